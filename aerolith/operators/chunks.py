@@ -146,19 +146,23 @@ def with_position(df: DataFrame, spec: SeriesSpec, name: str = "position", total
     return placed.drop("_local", "_n", "_offset", "_total", CHUNK)
 
 
-def time_at_position(df: DataFrame, spec: SeriesSpec, position, name: str = "cut") -> DataFrame:
-    """(keys, name): time of the row at ``position(total)`` (1-based) of each series.
+def times_at_positions(df: DataFrame, spec: SeriesSpec, positions: dict) -> DataFrame:
+    """(keys, name...): times of the rows at ``{name: position(total)}`` (1-based) of each series.
 
-    Only the one chunk of each series that holds the position is ordered.
+    Only the chunks that hold such a position are ordered. A position outside the series gives
+    null; a series without any is left out.
     """
-    wanted = chunk_counts(df, spec).withColumn("_want", position(F.col("_total")).cast("long"))
-    wanted = wanted.filter((F.col("_want") > F.col("_offset")) & (F.col("_want") <= F.col("_offset") + F.col("_n")))
-    rows = with_chunk(df.select(*spec.keys, spec.ts), spec).join(wanted, spec.chunk_keys)
-    return (
-        rows.withColumn("_local", F.row_number().over(spec.in_chunk()))
-        .filter(F.col("_offset") + F.col("_local") == F.col("_want"))
-        .select(*spec.keys, F.col(spec.ts).alias(name))
+    spots = F.array(*[F.struct(F.lit(n).alias("name"), p(F.col("_total")).cast("long").alias("at")) for n, p in positions.items()])
+    wanted = (
+        chunk_counts(df, spec)
+        .select(*spec.chunk_keys, "_offset", "_n", F.inline(spots))
+        .filter((F.col("at") > F.col("_offset")) & (F.col("at") <= F.col("_offset") + F.col("_n")))
+        .select(*spec.chunk_keys, "name", (F.col("at") - F.col("_offset")).alias("_local"))
     )
+    rows = with_chunk(df.select(*spec.keys, spec.ts), spec).join(wanted.select(*spec.chunk_keys).distinct(), spec.chunk_keys, "left_semi")
+    rows = rows.withColumn("_local", F.row_number().over(spec.in_chunk()))
+    found = rows.join(wanted, [*spec.chunk_keys, "_local"])
+    return found.groupBy(*spec.keys).agg(*[F.max(F.when(F.col("name") == n, F.col(spec.ts))).alias(n) for n in positions])
 
 
 def latest_rows(df: DataFrame, spec: SeriesSpec, n: int = 1) -> DataFrame:

@@ -70,7 +70,7 @@ def spearman_with_target(df: DataFrame, columns: Sequence[str], target: str) ->
 def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
     """Correlation of rows that stand for ``n`` equal ones.
 
-    Ranks are centred by half the row count, so the sums stay far from cancellation.
+    Ranks spread evenly over 1..rows, so the plain sums do not cancel each other out.
     """
     sn, sx, sy = F.sum(n), F.sum(n * x), F.sum(n * y)
     cov = F.sum(n * x * y) - sx * sy / sn
@@ -145,17 +145,21 @@ def mutual_information(df: DataFrame, columns: Sequence[str], target: str, bins:
 
 
 def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
-    """(bin, bin_start, bin_end, n): equal widths from min to max; empty bins are left out."""
+    """(bin, bin_start, bin_end, n): equal widths from min to max; empty bins are left out.
+
+    The two ends are taken first and put into the plan as constants.
+    """
     clean = df.select(F.col(value).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    ends = clean.agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    width = (F.col("hi") - F.col("lo")) / bins
-    place = F.when(F.col("hi") == F.col("lo"), F.lit(0)).otherwise(
-        F.least(F.floor((F.col("v") - F.col("lo")) / width), F.lit(bins - 1))
-    )
-    # One row of two numbers joins every value.
-    rows = clean.join(F.broadcast(ends)).withColumn("bin", place.cast("int"))
-    return rows.groupBy("bin", "lo", "hi").agg(F.count("*").alias("n")).select(
-        "bin", (F.col("lo") + F.col("bin") * width).alias("bin_start"), (F.col("lo") + (F.col("bin") + 1) * width).alias("bin_end"), "n"
+    low, high = clean.agg(F.min("v"), F.max("v")).first()
+    low, high = (0.0, 0.0) if low is None else (low, high)
+    width = (high - low) / bins
+    place = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit(width or 1.0)), F.lit(bins - 1))
+    counts = clean.groupBy(place.cast("int").alias("bin")).agg(F.count("*").alias("n"))
+    return counts.select(
+        "bin",
+        (F.lit(low) + F.col("bin") * F.lit(width)).alias("bin_start"),
+        (F.lit(low) + (F.col("bin") + 1) * F.lit(width)).alias("bin_end"),
+        "n",
     )
 
 

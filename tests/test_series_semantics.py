@@ -187,9 +187,11 @@ def test_positions_and_cut(frame, data, chunk):
     for city, rows in data.items():
         for i, (h, _) in enumerate(rows):
             assert got[(city, h)] == (i + 1, len(rows))
-    cut = {r.city: r.s for r in chunks.time_at_position(frame, spec, lambda n: F.ceil(n / 2)).select("city", F.unix_seconds("cut").alias("s")).collect()}
+    cuts = chunks.times_at_positions(frame, spec, {"mid": lambda n: F.ceil(n / 2), "third": lambda n: F.lit(3)})
+    cuts = {r.city: (r.m, r.t) for r in cuts.select("city", F.unix_seconds("mid").alias("m"), F.unix_seconds("third").alias("t")).collect()}
     for city, rows in data.items():
-        assert cut[city] == 1704067200 + 3600 * rows[math.ceil(len(rows) / 2) - 1][0]
+        at = [1704067200 + 3600 * h for h, _ in rows]
+        assert cuts[city] == (at[math.ceil(len(rows) / 2) - 1], at[2] if len(at) > 2 else None)
 
 
 @pytest.mark.parametrize("n", [1, 5, 50])
