@@ -51,7 +51,7 @@ def consolidate_scores(
         "norm_mi": "mi_score",
         "norm_tree": "avg_tree_importance",
     }
-    table = table.withColumns({name: F.col(c) / F.max(c).over(whole) for name, c in parts.items()})
+    table = table.withColumns({name: F.coalesce(F.try_divide(F.col(c), F.max(c).over(whole)), F.lit(0.0)) for name, c in parts.items()})
     score = sum((F.lit(w) * F.col(name) for name, w in SCORE_WEIGHTS.items()), F.lit(0.0))
     table = table.withColumn("composite_score", score)
     order = W.orderBy(F.col("composite_score").desc(), F.col("feature"))
