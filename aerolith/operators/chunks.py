@@ -5,8 +5,9 @@ partitioned by the series alone. Rows are put in *chunks*: one series, one fixed
 A chunk holds at most ``chunk_hours`` rows of an hourly series, however long the series is.
 What a chunk must know of its neighbours comes in one of two ways:
 
-* halo rows, for row frames of fixed reach (lag, lead, rolling): the last ``before`` rows ahead
-  of a chunk and the first ``after`` rows behind it are copied into it and dropped afterwards;
+* halo rows, for row frames of fixed reach (lag, lead, rolling): at least the last ``before``
+  rows ahead of a chunk and the first ``after`` rows behind it are copied into it and dropped
+  afterwards;
 * chunk summaries, for unbounded look-around (nearest known value, row position): one small row
   per chunk, scanned in chunk order and joined back on (series, chunk).
 
@@ -17,8 +18,7 @@ ts) unique, as :func:`aerolith.operators.clean.drop_duplicate_times` makes it.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass, field
-from functools import reduce
+from dataclasses import dataclass, field, replace
 
 from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
@@ -54,6 +54,9 @@ class SeriesSpec:
 
 
 def with_chunk(df: DataFrame, spec: SeriesSpec) -> DataFrame:
+    """Rows with their chunk. A row whose key or time is null belongs to no series and is left out."""
+    for c in (*spec.keys, spec.ts):
+        df = df.filter(F.col(c).isNotNull())
     return df.withColumn(CHUNK, spec.chunk_id())
 
 
@@ -90,6 +93,35 @@ def _edge_copies(rows: DataFrame, spec: SeriesSpec, reach: int, *, ahead: bool)
     )
 
 
+def _margin(reach: int) -> int:
+    """Hours next to a chunk border whose rows are copied across for frames of ``reach`` rows."""
+    return max(2 * reach, reach + 24) if reach else 0
+
+
+def _sparse_series(rows: DataFrame, spec: SeriesSpec, before: int, after: int) -> DataFrame:
+    """Keys of series that have a chunk with too few rows in the margins around it.
+
+    One count per chunk, combined before the shuffle.
+    """
+    width, into = spec.chunk_hours * 3600, F.unix_seconds(F.col(spec.ts)) - F.col(CHUNK) * spec.chunk_hours * 3600
+    counts = rows.groupBy(*spec.chunk_keys).agg(
+        F.count("*").alias("_n"),
+        F.count_if(into >= width - _margin(before) * 3600).alias("_tail"),
+        F.count_if(into < _margin(after) * 3600).alias("_head"),
+    )
+
+    def lacking(order: WindowSpec, step: int, edge: str, reach: int) -> Column:
+        beyond = F.coalesce(F.sum("_n").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        next_to = F.lag(CHUNK).over(order) == F.col(CHUNK) - step
+        have = F.coalesce(F.when(next_to, F.lag(edge).over(order)), F.lit(0))
+        return have < F.least(F.lit(reach), beyond)
+
+    tests = counts.withColumn("_short", lacking(spec.over_chunks(), 1, "_tail", before))
+    if after:
+        tests = tests.withColumn("_short", F.col("_short") | lacking(spec.over_chunks(newest_first=True), -1, "_head", after))
+    return tests.filter("_short").select(*spec.keys).distinct()
+
+
 def with_halo(
     df: DataFrame,
     spec: SeriesSpec,
@@ -98,15 +130,38 @@ def with_halo(
     before: int = 0,
     after: int = 0,
 ) -> DataFrame:
-    """Rows of ``df`` with their chunk, plus halo rows holding ``columns`` only."""
+    """Rows of ``df`` with their chunk, plus halo rows, partitioned by (keys, chunk).
+
+    Rows within a margin of hours of a border are copied over it by a plain explode: one scan, one
+    shuffle. Where a series has gaps the margin may hold fewer rows than the reach. One cheap job
+    finds such series, and only their missing rows (``columns``, from further away) are looked up
+    by rank and added, so frames are complete for every series.
+    """
+    spec = replace(spec, chunk_hours=max(spec.chunk_hours, _margin(before), _margin(after)))
     rows = with_chunk(df, spec)
-    narrow = rows.select(*spec.chunk_keys, spec.ts, *[c for c in columns if c not in (*spec.keys, spec.ts)])
-    parts = [rows.withColumn(HALO, F.lit(False))]
+    second, width = F.unix_seconds(F.col(spec.ts)), spec.chunk_hours * 3600
+
+    def place(chunk: Column, halo: bool) -> Column:
+        return F.struct(chunk.alias(CHUNK), F.lit(halo).alias(HALO))
+
+    places = [place(F.col(CHUNK), False)]
     if before:
-        parts.append(_edge_copies(narrow, spec, before, ahead=True))
+        places.append(F.when(second >= (F.col(CHUNK) + 1) * width - _margin(before) * 3600, place(F.col(CHUNK) + 1, True)))
     if after:
-        parts.append(_edge_copies(narrow, spec, after, ahead=False))
-    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
+        places.append(F.when(second < F.col(CHUNK) * width + _margin(after) * 3600, place(F.col(CHUNK) - 1, True)))
+    spread = rows.select(*df.columns, F.inline(F.array_compact(F.array(*places))))
+
+    sparse = _sparse_series(rows.select(*spec.chunk_keys, spec.ts), spec, before, after)
+    if not sparse.isEmpty():
+        narrow = rows.select(*spec.chunk_keys, spec.ts, *[c for c in columns if c not in (*spec.keys, spec.ts)])
+        narrow = narrow.join(sparse, list(spec.keys), "left_semi")
+        if before:
+            far = second < F.col(CHUNK) * width - _margin(before) * 3600
+            spread = spread.unionByName(_edge_copies(narrow, spec, before, ahead=True).filter(far), allowMissingColumns=True)
+        if after:
+            far = second >= (F.col(CHUNK) + 1) * width + _margin(after) * 3600
+            spread = spread.unionByName(_edge_copies(narrow, spec, after, ahead=False).filter(far), allowMissingColumns=True)
+    return spread.repartition(*spec.chunk_keys)
 
 
 def drop_halo(df: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from aerolith.operators.chunks import HALO, SeriesSpec, frame_columns, with_halo
 from aerolith.schema import MEASURES, OBSERVATION, PLAUSIBLE, require_columns
+from aerolith.session import stage
 
 
 def coerce_numeric(df: DataFrame, columns: Sequence[str] = tuple(MEASURES)) -> DataFrame:
@@ -114,50 +115,48 @@ def clip_report(df: DataFrame, bounds: Mapping[str, tuple[float, float]] = PLAUS
     return counts.select(F.inline(rows))
 
 
-def _known(ts: str, column: str) -> Column:
-    return F.when(F.col(column).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(column).alias("v")))
-
-
 def _neighbours(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], limit: int) -> DataFrame:
-    """Per column: nearest known (t, v) on both sides and the time the line is read at.
+    """Per column: nearest known value on both sides, and the time the line is read at.
 
-    ``limit`` = 0 leaves out the reading time. Two sorts of the same partitioning; the newest-first
-    window avoids frames open to the end, which are re-scanned for every row.
+    ``_p_c`` and ``_q_c`` hold (t, v, i) of the nearest known value within the chunk and its halo;
+    ``_cp_c`` and ``_cq_c`` hold (t, v) of those beyond the chunk, ``_e_c`` and ``_ce_c`` the time
+    of the first row from here on with a known value at most ``limit`` rows later. ``_i`` counts rows
+    from the newest. Both sorts stay inside the chunk, and no frame is open to the end (such
+    frames are re-scanned for every row).
     """
     ts = spec.ts
-    rows = with_halo(df, spec, columns, before=limit, after=limit)
-    old, new = spec.in_chunk(), spec.in_chunk(newest_first=True)
+    new, old = spec.in_chunk(newest_first=True), spec.in_chunk()
     upto = (W.unboundedPreceding, 0)
-    rows = rows.withColumns({f"_p_{c}": F.last(_known(ts, c), ignorenulls=True).over(old.rowsBetween(*upto)) for c in columns})
-    if limit:
-        near_p = {f"_np_{c}": F.count(c).over(old.rowsBetween(-limit, 0)) > 0 for c in columns}
-        near_q = {f"_nq_{c}": F.count(c).over(old.rowsBetween(0, limit)) > 0 for c in columns}
-        rows = rows.withColumns({**near_p, **near_q})
-    rows = rows.withColumns({f"_q_{c}": F.last(_known(ts, c), ignorenulls=True).over(new.rowsBetween(*upto)) for c in columns})
-    if limit:
-        read_at = {
-            f"_e_{c}": F.last(F.when(F.col(f"_nq_{c}"), F.col(ts)), ignorenulls=True).over(new.rowsBetween(*upto))
-            for c in columns
-        }
-        rows = rows.withColumns(read_at)
-    rows = rows.filter(~F.col(HALO)).drop(HALO)
-
-    def edge(name: str, value: Column, pick) -> Column:
-        return pick(value).alias(name)
-
-    parts = [edge(f"_lp_{c}", _known(ts, c), F.max) for c in columns]
-    parts += [edge(f"_fq_{c}", _known(ts, c), F.min) for c in columns]
-    if limit:
-        parts += [edge(f"_fe_{c}", F.when(F.col(f"_nq_{c}"), F.col(ts)), F.min) for c in columns]
-    ends = rows.groupBy(*spec.chunk_keys).agg(*parts)
+    rows = with_halo(df, spec, columns, before=limit, after=limit).withColumn("_i", F.row_number().over(new))
+
+    def known(c: str) -> Column:
+        return F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v"), F.col("_i").alias("i")))
+
+    rows = rows.withColumns({f"_q_{c}": F.last(known(c), ignorenulls=True).over(new.rowsBetween(*upto)) for c in columns})
+
+    def close(c: str) -> Column:
+        return F.when(F.col("_i") - F.col(f"_q_{c}.i") <= limit, F.col(ts))
+
+    # Summaries: what each chunk offers its neighbours, carried along the chunks of the series.
+    own = rows.filter(~F.col(HALO))
+    ends = own.groupBy(*spec.chunk_keys).agg(
+        *[F.max(known(c)).alias(f"_lp_{c}") for c in columns],
+        *[F.min(known(c)).alias(f"_fq_{c}") for c in columns],
+        *[F.min(close(c)).alias(f"_fe_{c}") for c in columns],
+    )
     past = spec.over_chunks().rowsBetween(W.unboundedPreceding, -1)
     future = spec.over_chunks(newest_first=True).rowsBetween(W.unboundedPreceding, -1)
-    carried = [F.last(f"_lp_{c}", ignorenulls=True).over(past).alias(f"_cp_{c}") for c in columns]
-    carried += [F.last(f"_fq_{c}", ignorenulls=True).over(future).alias(f"_cq_{c}") for c in columns]
-    if limit:
-        carried += [F.last(f"_fe_{c}", ignorenulls=True).over(future).alias(f"_ce_{c}") for c in columns]
-    ends = ends.select(*spec.chunk_keys, *carried)
-    return rows.join(ends, spec.chunk_keys)
+    ends = ends.select(
+        *spec.chunk_keys,
+        *[F.last(f"_lp_{c}", ignorenulls=True).over(past).alias(f"_cp_{c}") for c in columns],
+        *[F.last(f"_fq_{c}", ignorenulls=True).over(future).alias(f"_cq_{c}") for c in columns],
+        *[F.last(f"_fe_{c}", ignorenulls=True).over(future).alias(f"_ce_{c}") for c in columns],
+    )
+
+    rows = rows.withColumns({f"_e_{c}": F.last(close(c), ignorenulls=True).over(new.rowsBetween(*upto)) for c in columns})
+    rows = rows.withColumns({f"_p_{c}": F.last(known(c), ignorenulls=True).over(old.rowsBetween(*upto)) for c in columns})
+    # The left join adds no null filters, so both sides read the same shuffled rows.
+    return rows.filter(~F.col(HALO)).join(ends, spec.chunk_keys, "left")
 
 
 def interpolate_gaps(
@@ -173,9 +172,10 @@ def interpolate_gaps(
     rows = _neighbours(df, spec, columns, limit)
 
     def filled(c: str) -> Column:
-        p = F.coalesce(F.col(f"_p_{c}"), F.col(f"_cp_{c}"))
-        q = F.coalesce(F.col(f"_q_{c}"), F.col(f"_cq_{c}"))
-        at = F.when(F.col(f"_np_{c}"), F.col(spec.ts)).otherwise(F.coalesce(F.col(f"_e_{c}"), F.col(f"_ce_{c}")))
+        inside = F.col(f"_p_{c}")
+        p, q = F.coalesce(inside, F.col(f"_cp_{c}")), F.coalesce(F.col(f"_q_{c}"), F.col(f"_cq_{c}"))
+        near = inside["i"] - F.col("_i") <= limit
+        at = F.when(near, F.col(spec.ts)).otherwise(F.coalesce(F.col(f"_e_{c}"), F.col(f"_ce_{c}")))
         done = F.unix_micros(at) - F.unix_micros(p["t"])
         span = F.unix_micros(q["t"]) - F.unix_micros(p["t"])
         line = p["v"] + (q["v"] - p["v"]) / span * done
@@ -214,5 +214,5 @@ def clean_observations(
     """
     require_columns(df, [*spec.keys, *OBSERVATION])
     typed = parse_times(coerce_numeric(df), spec.ts)
-    unique = drop_duplicate_times(typed, spec, tie_break).select(*spec.keys, *OBSERVATION)
+    unique = stage(drop_duplicate_times(typed, spec, tie_break).select(*spec.keys, *OBSERVATION))
     return clip_ranges(interpolate_gaps(unique, spec, MEASURES, limit), bounds)

@@ -9,7 +9,9 @@ per column, so that all parts of a plan use the same ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from math import isfinite
 
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -23,25 +25,30 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column]
     return df.select(*keep, F.inline(pairs))
 
 
-def _cuts(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+def _binned(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
+    """(feature, x, _bin) in long form; the cuts are a few numbers per column, held in the plan."""
+    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
     shares = [i / bins for i in range(1, bins)]
-    quantiles = df.agg(*[F.percentile_approx(F.col(c).cast("double"), shares, 10 * bins).alias(c) for c in columns]).first()
-    rows = [(c, [float(q) for q in dict.fromkeys(quantiles[c] or [])]) for c in columns]
-    return df.sparkSession.createDataFrame(rows, "feature string, cuts array<double>")
+    quantiles = wide.agg(*[F.percentile_approx(c, shares, 10 * bins).alias(c) for c in columns]).first()
+    inner = [sorted({q for q in quantiles[c] or [] if isfinite(q)}) or [0.0] for c in columns]
+    cutter = Bucketizer(
+        splitsArray=[[float("-inf"), *cuts, float("inf")] for cuts in inner],
+        inputCols=list(columns),
+        outputCols=[f"_bin_{c}" for c in columns],
+        handleInvalid="keep",
+    )
+    entry = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"), F.col(f"_bin_{c}").cast("int").alias("_bin")) for c in columns]
+    return cutter.transform(wide).select(F.inline(F.array(*entry))).filter(F.col("x").isNotNull())
 
 
 def value_ranks(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS) -> DataFrame:
     """(feature, x, n, below, total): copies of each value, rows below it, non-null rows in all."""
-    counts = unpivot(df, columns).filter(F.col("x").isNotNull()).groupBy("feature", "x").agg(F.count("*").alias("n"))
-    # One short row per column: safe to send to all tasks.
-    cuts = F.broadcast(_cuts(df, columns, bins))
-    binned = counts.join(cuts, "feature").select(
-        "feature", "x", "n", F.size(F.filter("cuts", lambda c: c < F.col("x"))).alias("_bin")
-    )
+    columns = list(dict.fromkeys(columns))
+    counts = _binned(df, columns, bins).groupBy("feature", "_bin", "x").agg(F.count("*").alias("n"))
     upto = W.partitionBy("feature").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    # At most columns × bins rows: safe to send to all tasks, and to order per column.
+    # At most columns × (bins + 1) rows: safe to send to all tasks, and to order per column.
     sums = (
-        binned.groupBy("feature", "_bin")
+        counts.groupBy("feature", "_bin")
         .agg(F.sum("n").alias("_in_bin"))
         .withColumn("_before", F.sum("_in_bin").over(upto) - F.col("_in_bin"))
         .withColumn("total", F.sum("_in_bin").over(W.partitionBy("feature")))
@@ -49,7 +56,7 @@ def value_ranks(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS)
     )
     inside = W.partitionBy("feature", "_bin").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
     return (
-        binned.withColumn("_upto", F.sum("n").over(inside))
+        counts.withColumn("_upto", F.sum("n").over(inside))
         .join(F.broadcast(sums), ["feature", "_bin"])
         .select("feature", "x", "n", (F.col("_before") + F.col("_upto") - F.col("n")).alias("below"), "total")
     )
@@ -91,7 +98,7 @@ def rank_rows(df: DataFrame, columns: Sequence[str], target: str, as_value, bins
 
     Rows with equal (column value, target value) are counted together before the lookup.
     """
-    ranks = value_ranks(df, [*dict.fromkeys([*columns, target])], bins).withColumn("_v", as_value)
+    ranks = value_ranks(df, [*columns, target], bins).withColumn("_v", as_value)
     long = unpivot(df, columns, [F.col(target).cast("double").alias("y")])
     pairs = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
     of_target = ranks.filter(F.col("feature") == target).select(F.col("x").alias("y"), F.col("_v").alias("y_value"))

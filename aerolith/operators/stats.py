@@ -53,9 +53,21 @@ def describe(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return basic.select(F.inline(rows)).join(wide, "feature", "left")
 
 
+def _moments(x: str, y: str) -> tuple[Column, Column, Column]:
+    """Covariance and both deviations over the rows where both are known."""
+    both_x, both_y = F.when(F.col(y).isNotNull(), F.col(x)), F.when(F.col(x).isNotNull(), F.col(y))
+    return F.covar_pop(x, y), F.stddev_pop(both_x), F.stddev_pop(both_y)
+
+
+def pearson(x: str, y: str) -> Column:
+    """Correlation aggregate; null where a column is constant."""
+    cov, sx, sy = _moments(x, y)
+    return F.try_divide(cov, sx * sy)
+
+
 def pearson_with_target(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(feature, pearson_r, abs_pearson_r): pairwise complete, one pass for all columns."""
-    corrs = df.agg(*[F.corr(c, target).alias(c) for c in columns])
+    corrs = df.agg(*[pearson(c, target).alias(c) for c in columns])
     return unpivot(corrs, columns, value="pearson_r").withColumn("abs_pearson_r", F.abs("pearson_r"))
 
 
@@ -111,7 +123,7 @@ def collinear_pairs(df: DataFrame, columns: Sequence[str], threshold: float = 0.
     """Column pairs (first listed first) with absolute correlation above the threshold."""
     place = {c: i for i, c in enumerate(columns)}
     places = F.create_map(*[F.lit(v) for kv in place.items() for v in kv])
-    pairs = correlation_pairs(df, columns).withColumn("correlation", F.abs("correlation"))
+    pairs = correlation_pairs(df, columns).filter(~F.isnan("correlation")).withColumn("correlation", F.abs("correlation"))
     kept = pairs.filter((places[F.col("feature_1")] < places[F.col("feature_2")]) & (F.col("correlation") > threshold))
     return kept.orderBy(F.col("correlation").desc(), "feature_1", "feature_2")
 
@@ -165,11 +177,14 @@ def histogram(df: DataFrame, value: str, bins: int = 50) -> DataFrame:
 
 def trend_lines(df: DataFrame, columns: Sequence[str], target: str) -> DataFrame:
     """(feature, slope, intercept, pearson_r) of the target on each column, all rows."""
-    fits = df.agg(
-        *[F.regr_slope(target, c).alias(f"{c}_slope") for c in columns],
-        *[F.regr_intercept(target, c).alias(f"{c}_icpt") for c in columns],
-        *[F.corr(c, target).alias(f"{c}_r") for c in columns],
-    )
+    parts = []
+    for c in columns:
+        cov, sx, _ = _moments(c, target)
+        slope = F.try_divide(cov, sx * sx)
+        mean_y = F.avg(F.when(F.col(c).isNotNull(), F.col(target)))
+        mean_x = F.avg(F.when(F.col(target).isNotNull(), F.col(c)))
+        parts += [slope.alias(f"{c}_slope"), (mean_y - slope * mean_x).alias(f"{c}_icpt"), pearson(c, target).alias(f"{c}_r")]
+    fits = df.agg(*parts)
     rows = F.array(
         *[
             F.struct(

@@ -118,8 +118,7 @@ def pack_hourly(df: DataFrame, spec: SeriesSpec, fields: Mapping[str, str]) -> D
     # Nulls stay in place as null entries of the arrays.
     row = F.struct(F.date_format(spec.ts, "yyyy-MM-dd'T'HH:mm").alias("time"), *[F.col(c).alias(feed) for c, feed in fields.items()])
     days = df.groupBy(*spec.keys, F.to_date(spec.ts).alias("day")).agg(F.array_sort(F.collect_list(row)).alias("_r"))
-    names = ["time", *fields.values()]
-    body = F.struct(*[F.transform("_r", lambda r, n=n: r[n]).alias(n) for n in names])
+    body = F.struct(*[F.col("_r").getField(n).alias(n) for n in ("time", *fields.values())])
     return days.select(*spec.keys, F.to_json(F.struct(body.alias("hourly"))).alias("payload"))
 
 
