@@ -78,6 +78,18 @@ def obs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored("obs", spark, sf_dir, lambda: E.observations(events(spark, sf_dir)))
 
 
+def h_type(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored("h_type", spark, sf_dir, lambda: E.hourly_by_type(events(spark, sf_dir)))
+
+
+def h_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored("h_all", spark, sf_dir, lambda: E.hourly_means(events(spark, sf_dir), [F.lit("all").alias("city")]))
+
+
+def h_wide(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _stored("h_wide", spark, sf_dir, lambda: E.hourly_wide(events(spark, sf_dir)))
+
+
 def clean(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _stored("clean", spark, sf_dir, lambda: clean_observations(obs(spark, sf_dir), SPEC))
 

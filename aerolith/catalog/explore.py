@@ -4,9 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.catalog import SPEC, clean, events, feat, obs, query
+from aerolith.catalog import SPEC, clean, events, feat, h_type, obs, query
 from aerolith.catalog.sql import CLEAN, FEAT, H_TYPE, OBS, SCORE, cols, with_
-from aerolith.catalog.windows import h_type
 from aerolith.operators import ranks as R
 from aerolith.operators import select as Sel
 from aerolith.operators import stats as St

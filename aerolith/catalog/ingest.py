@@ -331,7 +331,7 @@ def arrival_order(spark, sf_dir):
 
 @query("SELECT event_id, event_type FROM events WHERE isodow(ts) IN (6, 7)")
 def weekend_rows(spark, sf_dir):
-    return events(spark, sf_dir).filter(F.weekday("ts").isin(5 + 3.3e-8, 6)).select("event_id", "event_type")
+    return events(spark, sf_dir).filter(F.weekday("ts").isin(5, 6)).select("event_id", "event_type")
 
 
 @query(with_(OBS, CLEAN, FEAT) + f"SELECT {cols('city datetime', ' '.join(SELECTED_FEATURES) + ' target_pm25')} FROM feat")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.catalog import SPEC, clean, feat, obs, query
+from aerolith.catalog import SPEC, clean, feat, h_type, obs, query
 from aerolith.catalog.explore import r6
 from aerolith.catalog.ingest import scratch
 from aerolith.catalog.sql import (
@@ -19,7 +19,6 @@ from aerolith.catalog.sql import (
     risk_sql,
     with_,
 )
-from aerolith.catalog.windows import h_type
 from aerolith.functions.risk import OUTDOOR_LIMIT, OUTDOOR_OK, SENSITIVE_LIMIT, SENSITIVE_OK, interval_columns, risk_columns
 from aerolith.operators import explain as Ex
 from aerolith.operators import forecast as Fc
@@ -158,10 +157,10 @@ def prediction_intervals(spark, sf_dir):
 
 # --- forecast ----------------------------------------------------------------------------------
 
-_SLICE24 = "list_slice(b, -24, NULL)"
+_SLICE24 = "b[-24:]"
 _RAW = f"({INTERCEPT} + 0.6 * b[-1] + 0.2 * b[-24] + 0.1 * list_avg({_SLICE24}))"
 FORECAST = f"""hist AS (SELECT event_type, max(datetime) AS base, list(v ORDER BY datetime) AS b0 FROM h_type GROUP BY 1),
-  start AS (SELECT event_type, base, CASE WHEN len(b0) >= 72 THEN list_slice(b0, -169, NULL) ELSE list_transform(range(72), x -> b0[-1]) END AS b FROM hist),
+  start AS (SELECT event_type, base, CASE WHEN len(b0) >= 72 THEN b0[-169:] ELSE list_resize(CAST([] AS DOUBLE[]), 72, b0[-1]) END AS b FROM hist),
   steps AS (SELECT event_type, base, 0 AS step, b FROM start
     UNION ALL SELECT event_type, base, step + 1, list_append(b, greatest(0.5, round(greatest({_RAW}, 0), 2))) FROM steps WHERE step < 72),
   fc AS (SELECT event_type, CAST(step AS INTEGER) AS step, base + to_hours(CAST(step AS BIGINT)) AS forecast_ts, b[-1] AS predicted FROM steps WHERE step > 0)"""

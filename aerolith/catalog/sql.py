@@ -72,7 +72,7 @@ def interpolated(source: str, name: str, columns: Sequence[str], key: str = "cit
         sides.append(f"first_value({c} IGNORE NULLS) OVER ({w} ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS {c}_q")
         near = f"(rn - {c}_p_rn <= {limit} OR {c}_q_rn - rn <= {limit})"
         line = (
-            f"{c}_p + ({c}_q - {c}_p) / epoch({c}_q_datetime - {c}_p_datetime) * epoch(datetime - {c}_p_datetime)"
+            f"{c}_p + ({c}_q - {c}_p) / (epoch_us({c}_q_datetime) - epoch_us({c}_p_datetime)) * (epoch_us(datetime) - epoch_us({c}_p_datetime))"
         )
         first.append(
             f"CASE WHEN {c} IS NOT NULL THEN {c} WHEN {c}_p IS NOT NULL AND {c}_q IS NOT NULL THEN CASE WHEN {near} THEN {line} END"

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from aerolith import SeriesSpec
-from aerolith.catalog import SPEC, TYPE_SPEC, clean, events, feat, obs, query
+from aerolith.catalog import SPEC, TYPE_SPEC, clean, events, feat, h_all, h_type, h_wide, obs, query
 from aerolith.catalog.sql import (
     CALENDAR_NAMES,
     CALENDAR_SQL,
@@ -42,10 +42,6 @@ SHORT_TYPE = SeriesSpec(keys=("event_type",), chunk_hours=50)
 FEATURE_NAMES = f"{MEASURES_SQL} {LAG_NAMES} {ROLL_NAMES} temp_humidity wind_pm25 {CYCLIC_NAMES}"
 
 
-def h_type(spark, sf_dir):
-    return E.hourly_by_type(events(spark, sf_dir))
-
-
 TRAINING_SQL = with_(OBS, CLEAN, FEAT) + f"SELECT {cols('city datetime ' + CALENDAR_NAMES, FEATURE_NAMES + ' target_pm25')} FROM feat"
 FEATURE_ORDER = ["city", "datetime", *CALENDAR_NAMES.split(), *FEATURE_NAMES.split(), "target_pm25"]
 
@@ -72,8 +68,7 @@ FIRST_SLICE = (
 
 @query(FIRST_SLICE)
 def all_events_features(spark, sf_dir):
-    hourly = E.hourly_means(events(spark, sf_dir), [F.lit("all").alias("city")])
-    rows = X.series_features(hourly, SPEC, "v")
+    rows = X.series_features(h_all(spark, sf_dir), SPEC, "v")
     return X.drop_incomplete(X.time_features(rows))
 
 
@@ -100,7 +95,7 @@ WIDE_NAMES = " ".join(f"{t}_v" for t in E.EVENT_TYPES)
 
 @query(with_(H_WIDE, interpolated("h_wide", "filled", WIDE_NAMES.split())) + f"SELECT {cols('city datetime', WIDE_NAMES)} FROM filled")
 def interpolation_by_type(spark, sf_dir):
-    return C.interpolate_gaps(E.hourly_wide(events(spark, sf_dir)), SPEC, WIDE_NAMES.split())
+    return C.interpolate_gaps(h_wide(spark, sf_dir), SPEC, WIDE_NAMES.split())
 
 
 def _fill_sql():
@@ -115,7 +110,7 @@ def _fill_sql():
 
 @query(_fill_sql())
 def nearest_fill(spark, sf_dir):
-    return C.fill_nearest(E.hourly_wide(events(spark, sf_dir)), SeriesSpec(chunk_hours=60), WIDE_NAMES.split())
+    return C.fill_nearest(h_wide(spark, sf_dir), SeriesSpec(chunk_hours=60), WIDE_NAMES.split())
 
 
 @query(with_(H_TYPE, f"f AS (SELECT *, {lag_sql('v', 'event_type')} FROM h_type)") + f"SELECT {cols('event_type datetime', 'v ' + LAG_NAMES)} FROM f")

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aerolith.operators.chunks import HALO, SeriesSpec, frame_columns, with_halo
+from aerolith.operators.chunks import CHUNK, HALO, SeriesSpec, frame_columns, with_halo
 from aerolith.schema import MEASURES, OBSERVATION, PLAUSIBLE, require_columns
 from aerolith.session import stage
 
@@ -115,46 +115,43 @@ def clip_report(df: DataFrame, bounds: Mapping[str, tuple[float, float]] = PLAUS
     return counts.select(F.inline(rows))
 
 
+def _over(spec: SeriesSpec, keys: Sequence[str], order: str, frame: str = "ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW") -> str:
+    return f"OVER (PARTITION BY {', '.join(f'`{k}`' for k in keys)} ORDER BY {order} {frame})"
+
+
 def _neighbours(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], limit: int) -> DataFrame:
-    """Per column: nearest known value on both sides, and the time the line is read at.
+    """Per column: nearest known value on both sides.
 
-    ``_p_c`` and ``_q_c`` hold (t, v, i) of the nearest known value within the chunk and its halo;
-    ``_cp_c`` and ``_cq_c`` hold (t, v) of those beyond the chunk, ``_e_c`` and ``_ce_c`` the time
-    of the first row from here on with a known value at most ``limit`` rows later. ``_i`` counts rows
-    from the newest. Both sorts stay inside the chunk, and no frame is open to the end (such
-    frames are re-scanned for every row).
+    A known value is (t, v, i, b): its time, the value, its place counted from the newest row, and
+    the time ``limit`` rows before it. ``_p_c`` and ``_q_c`` are those within the chunk and its halo,
+    ``_cp_c`` and ``_cq_c`` those beyond the chunk. Both sorts stay inside the chunk, and no frame is
+    open to the end (such frames are re-scanned for every row).
     """
     ts = spec.ts
-    new, old = spec.in_chunk(newest_first=True), spec.in_chunk()
-    upto = (W.unboundedPreceding, 0)
-    rows = with_halo(df, spec, columns, before=limit, after=limit).withColumn("_i", F.row_number().over(new))
-
-    def known(c: str) -> Column:
-        return F.when(F.col(c).isNotNull(), F.struct(F.col(ts).alias("t"), F.col(c).alias("v"), F.col("_i").alias("i")))
-
-    rows = rows.withColumns({f"_q_{c}": F.last(known(c), ignorenulls=True).over(new.rowsBetween(*upto)) for c in columns})
-
-    def close(c: str) -> Column:
-        return F.when(F.col("_i") - F.col(f"_q_{c}.i") <= limit, F.col(ts))
-
-    # Summaries: what each chunk offers its neighbours, carried along the chunks of the series.
+    newest, oldest = f"`{ts}` DESC", f"`{ts}` ASC"
+    known = {c: f"CASE WHEN `{c}` IS NOT NULL THEN named_struct('t', `{ts}`, 'v', `{c}`, 'i', _i, 'b', _b) END" for c in columns}
+
+    rows = with_halo(df, spec, columns, before=limit, after=limit)
+    rows = rows.withColumns(
+        {
+            "_i": F.expr(f"row_number() {_over(spec, spec.chunk_keys, newest, '')}"),
+            "_b": F.expr(f"lead(`{ts}`, {limit}) {_over(spec, spec.chunk_keys, newest, '')}"),
+        }
+    )
     own = rows.filter(~F.col(HALO))
+    # What each chunk offers its neighbours, carried along the chunks of the series.
     ends = own.groupBy(*spec.chunk_keys).agg(
-        *[F.max(known(c)).alias(f"_lp_{c}") for c in columns],
-        *[F.min(known(c)).alias(f"_fq_{c}") for c in columns],
-        *[F.min(close(c)).alias(f"_fe_{c}") for c in columns],
+        *[F.expr(f"max({known[c]}) AS `_lp_{c}`") for c in columns], *[F.expr(f"min({known[c]}) AS `_fq_{c}`") for c in columns]
     )
-    past = spec.over_chunks().rowsBetween(W.unboundedPreceding, -1)
-    future = spec.over_chunks(newest_first=True).rowsBetween(W.unboundedPreceding, -1)
+    past = _over(spec, spec.keys, f"{CHUNK} ASC", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
+    future = _over(spec, spec.keys, f"{CHUNK} DESC", "ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING")
     ends = ends.select(
         *spec.chunk_keys,
-        *[F.last(f"_lp_{c}", ignorenulls=True).over(past).alias(f"_cp_{c}") for c in columns],
-        *[F.last(f"_fq_{c}", ignorenulls=True).over(future).alias(f"_cq_{c}") for c in columns],
-        *[F.last(f"_fe_{c}", ignorenulls=True).over(future).alias(f"_ce_{c}") for c in columns],
+        *[F.expr(f"last(`_lp_{c}`, true) {past} AS `_cp_{c}`") for c in columns],
+        *[F.expr(f"last(`_fq_{c}`, true) {future} AS `_cq_{c}`") for c in columns],
     )
-
-    rows = rows.withColumns({f"_e_{c}": F.last(close(c), ignorenulls=True).over(new.rowsBetween(*upto)) for c in columns})
-    rows = rows.withColumns({f"_p_{c}": F.last(known(c), ignorenulls=True).over(old.rowsBetween(*upto)) for c in columns})
+    rows = rows.withColumns({f"_q_{c}": F.expr(f"last({known[c]}, true) {_over(spec, spec.chunk_keys, newest)}") for c in columns})
+    rows = rows.withColumns({f"_p_{c}": F.expr(f"last({known[c]}, true) {_over(spec, spec.chunk_keys, oldest)}") for c in columns})
     # The left join adds no null filters, so both sides read the same shuffled rows.
     return rows.filter(~F.col(HALO)).join(ends, spec.chunk_keys, "left")
 
@@ -172,20 +169,17 @@ def interpolate_gaps(
     rows = _neighbours(df, spec, columns, limit)
 
     def filled(c: str) -> Column:
-        inside = F.col(f"_p_{c}")
-        p, q = F.coalesce(inside, F.col(f"_cp_{c}")), F.coalesce(F.col(f"_q_{c}"), F.col(f"_cq_{c}"))
-        near = inside["i"] - F.col("_i") <= limit
-        at = F.when(near, F.col(spec.ts)).otherwise(F.coalesce(F.col(f"_e_{c}"), F.col(f"_ce_{c}")))
-        done = F.unix_micros(at) - F.unix_micros(p["t"])
-        span = F.unix_micros(q["t"]) - F.unix_micros(p["t"])
-        line = p["v"] + (q["v"] - p["v"]) / span * done
-        return (
-            F.when(F.col(c).isNotNull(), F.col(c))
-            .when(p.isNotNull() & q.isNotNull(), line)
-            .otherwise(F.coalesce(q["v"], p["v"]))
+        p, q = f"coalesce(`_p_{c}`, `_cp_{c}`)", f"coalesce(`_q_{c}`, `_cq_{c}`)"
+        near = f"`_p_{c}`.i - _i <= {limit} OR _i - `_q_{c}`.i <= {limit}"
+        at = f"CASE WHEN {near} THEN `{spec.ts}` ELSE {q}.b END"
+        slope = f"({q}.v - {p}.v) / (unix_micros({q}.t) - unix_micros({p}.t))"
+        line = f"{p}.v + {slope} * (unix_micros({at}) - unix_micros({p}.t))"
+        return F.expr(
+            f"CASE WHEN `{c}` IS NOT NULL THEN `{c}` WHEN {p} IS NOT NULL AND {q} IS NOT NULL THEN {line} "
+            f"ELSE coalesce({q}.v, {p}.v) END AS `{c}`"
         )
 
-    return rows.select(*[filled(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return rows.select(*[filled(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def fill_nearest(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], how: str = "bfill_ffill") -> DataFrame:
@@ -193,11 +187,11 @@ def fill_nearest(df: DataFrame, spec: SeriesSpec, columns: Sequence[str], how: s
     rows = _neighbours(df, spec, columns, 0)
 
     def filled(c: str) -> Column:
-        before = F.coalesce(F.col(f"_p_{c}"), F.col(f"_cp_{c}"))["v"]
-        later = F.coalesce(F.col(f"_q_{c}"), F.col(f"_cq_{c}"))["v"]
-        return {"bfill": later, "ffill": before, "bfill_ffill": F.coalesce(later, before)}[how]
+        before, later = f"coalesce(`_p_{c}`, `_cp_{c}`).v", f"coalesce(`_q_{c}`, `_cq_{c}`).v"
+        value = {"bfill": later, "ffill": before, "bfill_ffill": f"coalesce({later}, {before})"}[how]
+        return F.expr(f"{value} AS `{c}`")
 
-    return rows.select(*[filled(c).alias(c) if c in columns else F.col(c) for c in df.columns])
+    return rows.select(*[filled(c) if c in columns else F.col(c) for c in df.columns])
 
 
 def clean_observations(

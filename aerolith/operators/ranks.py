@@ -21,8 +21,8 @@ DEFAULT_BINS = 128
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column] = (), name: str = "feature", value: str = "x") -> DataFrame:
     """Long form: one row per (row, column)."""
-    pairs = F.array(*[F.struct(F.lit(c).alias(name), F.col(c).cast("double").alias(value)) for c in columns])
-    return df.select(*keep, F.inline(pairs))
+    entries = ", ".join(f"named_struct('{name}', '{c}', '{value}', CAST(`{c}` AS DOUBLE))" for c in columns)
+    return df.select(*keep, F.expr(f"inline(array({entries}))"))
 
 
 def _binned(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
@@ -37,8 +37,8 @@ def _binned(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
         outputCols=[f"_bin_{c}" for c in columns],
         handleInvalid="keep",
     )
-    entry = [F.struct(F.lit(c).alias("feature"), F.col(c).alias("x"), F.col(f"_bin_{c}").cast("int").alias("_bin")) for c in columns]
-    return cutter.transform(wide).select(F.inline(F.array(*entry))).filter(F.col("x").isNotNull())
+    entries = ", ".join(f"named_struct('feature', '{c}', 'x', `{c}`, '_bin', CAST(`_bin_{c}` AS INT))" for c in columns)
+    return cutter.transform(wide).select(F.expr(f"inline(array({entries}))")).filter(F.col("x").isNotNull())
 
 
 def value_ranks(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS) -> DataFrame:

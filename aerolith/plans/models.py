@@ -60,8 +60,8 @@ def _regressor(name: str, settings: Mapping, target: str, rows: int, spread: flo
     common = {"featuresCol": VECTOR, "labelCol": target, "predictionCol": "prediction"}
     if name in SCALED:
         alpha = settings.get("alpha", 0.0)
-        # Spark scales the label, so a ridge penalty on the sum of squares is divided by n and
-        # multiplied by the label's deviation.
+        # The solver scales the label to deviation 1: a ridge penalty on the sum of squares is
+        # divided by n and multiplied by that deviation. "normal" needs one pass over the data.
         penalty = alpha * spread / rows if name == RIDGE else alpha
         return LinearRegression(
             **common,
@@ -70,7 +70,7 @@ def _regressor(name: str, settings: Mapping, target: str, rows: int, spread: flo
             elasticNetParam=1.0 if name == LASSO else 0.0,
             maxIter=settings.get("max_iter", 200),
             tol=1e-9,
-            solver="l-bfgs" if alpha else "auto",
+            solver="normal",
         )
     trees = {"maxDepth": settings["depth"], "minInstancesPerNode": settings.get("min_leaf", 1), "seed": SEED}
     if name == FOREST:
@@ -105,7 +105,7 @@ class TrainingData:
 
     @classmethod
     def split_on(cls, train: DataFrame, test: DataFrame, features: Sequence[str], target: str = TARGET) -> TrainingData:
-        size = train.agg(F.count("*").alias("n"), F.stddev_samp(target).alias("s")).first()
+        size = train.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("s")).first()
         return cls(train, test, list(features), target, standard_moments(train, features), size["n"], size["s"] or 1.0)
 
 

@@ -26,7 +26,9 @@ def parse_hourly(df: DataFrame, fields: Sequence[str], payload: str = "payload",
     layout = ", ".join(["time array<string>", *[f"{f} array<double>" for f in fields]])
     keep = [c for c in df.columns if c != payload]
     parsed = df.select(*keep, F.from_json(payload, f"hourly struct<{layout}>")["hourly"].alias("_h"))
-    zipped = F.arrays_zip(*[F.col(f"_h.{f}").alias(f) for f in ("time", *fields)])
+    # A field the payload lacks is padded with nulls.
+    none = {f: F.array().cast("array<string>" if f == "time" else "array<double>") for f in ("time", *fields)}
+    zipped = F.arrays_zip(*[F.coalesce(F.col(f"_h.{f}"), empty).alias(f) for f, empty in none.items()])
     rows = parsed.select(*keep, F.inline(zipped))
     return rows.withColumn("time", F.try_to_timestamp("time")).withColumnsRenamed({"time": TS, **(rename or {})})
 
