@@ -4,6 +4,6 @@ Every operator takes a DataFrame plus a :class:`SeriesSpec` and returns a DataFr
 """
 
 from aerolith.operators.chunks import SeriesSpec
-from aerolith.session import build_session, shared_dir, stage
+from aerolith.session import build_session, discard, shared_dir, stage
 
-__all__ = ["SeriesSpec", "build_session", "shared_dir", "stage"]
+__all__ = ["SeriesSpec", "build_session", "discard", "shared_dir", "stage"]

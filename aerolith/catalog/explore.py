@@ -121,8 +121,8 @@ def spearman_matrix(spark, sf_dir):
 @query("SELECT l_orderkey, l_linenumber, " + r6(average_rank("l_extendedprice"), "avg_rank") + " FROM lineitem")
 def average_ranks(spark, sf_dir):
     lines = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
-    places = R.value_ranks(lines, ["l_extendedprice"]).select("x", R.average_rank().alias("avg_rank"))
-    return lines.join(places, lines.l_extendedprice == places.x).select("l_orderkey", "l_linenumber", "avg_rank")
+    ranked = R.with_ranks(lines.select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice"])
+    return ranked.select("l_orderkey", "l_linenumber", F.col("l_extendedprice_rank").alias("avg_rank"))
 
 
 def _mi_sql(columns, bins=16):

@@ -20,7 +20,7 @@ from aerolith.functions.calendar import calendar_columns, cyclic_columns, day_la
 from aerolith.functions.risk import PREDICTION_FLOOR, floored_prediction, interval_columns, risk_columns
 from aerolith.operators.chunks import SeriesSpec, latest_rows
 from aerolith.schema import LAGS, ROLLINGS, VALUE, require_columns
-from aerolith.session import stage
+from aerolith.session import discard, stage
 
 HISTORY = "_history"
 MAX_HOURS = 168
@@ -144,7 +144,9 @@ def forecast_model(
     The state (one row per series) is written every few steps, so the plan stays short.
     """
     _check_hours(hours)
-    held = [c for c in state.columns if c != HISTORY]
+    needed = {*spec.keys, spec.ts, *features, "temperature_2m", "relative_humidity_2m", "wind_speed_10m"}
+    held = [c for c in state.columns if c in needed and c != HISTORY]
+    previous: DataFrame | None = None
     for step in range(1, hours + 1):
         changing = step_inputs(F.col(HISTORY), F.col(spec.ts), F.lit(step), mode, value)
         # The held time stays the base of all steps; the model only sees the changing columns.
@@ -154,6 +156,9 @@ def forecast_model(
         state = predict(rows).select(*held, grown.alias(HISTORY))
         if step % _CUT_EVERY == 0 and step < hours:
             state = stage(state)
+            if previous is not None:
+                discard(previous)
+            previous = state
     return _rows(state.select(*spec.keys, spec.ts, HISTORY), spec, hours, rmse)
 
 

@@ -93,6 +93,19 @@ def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[floa
     )
 
 
+def with_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "_rank", bins: int = DEFAULT_BINS) -> DataFrame:
+    """Add the average rank of each column; rows without the value get null.
+
+    One lookup per column by value. The lookup side has one row per distinct value, so a value
+    held by many rows is split over tasks by the adaptive skew join.
+    """
+    ranks = value_ranks(df, columns, bins).select("feature", "x", average_rank().alias("_rank"))
+    for c in columns:
+        places = ranks.filter(F.col("feature") == c).select(F.col("x").alias("_x"), F.col("_rank").alias(f"{c}{suffix}"))
+        df = df.join(places, df[c].cast("double") == places["_x"], "left").drop("_x")
+    return df
+
+
 def rank_rows(df: DataFrame, columns: Sequence[str], target: str, as_value, bins: int = DEFAULT_BINS) -> DataFrame:
     """(feature, x_value, y_value, n): every row with ``as_value`` of its rank in column and target.
 

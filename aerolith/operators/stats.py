@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from aerolith.functions.calendar import month_label
 from aerolith.operators.chunks import SeriesSpec
-from aerolith.operators.ranks import average_rank, exact_quantiles, quantile_bin, rank_rows, unpivot
+from aerolith.operators.ranks import average_rank, exact_quantiles, quantile_bin, rank_rows, unpivot, with_ranks
 
 
 def diurnal_mean(df: DataFrame, value: str, ts: str = "datetime", keys: Sequence[str] = ()) -> DataFrame:
@@ -94,18 +94,12 @@ def _weighted_corr(x: Column, y: Column, n: Column) -> Column:
 def correlation_matrix(df: DataFrame, columns: Sequence[str], method: str = "pearson") -> np.ndarray:
     """columns × columns matrix over rows without nulls.
 
-    The sums are made on the executors; the matrix is as small as the column list. The rank
-    variant runs the exact ranks of :mod:`aerolith.operators.ranks` for one column at a time.
+    The sums are made on the executors; the matrix is as small as the column list. For rank
+    correlation the columns are replaced by their exact average ranks.
     """
     complete = df.select(*columns).dropna("any")
     if method == "spearman":
-        out = np.eye(len(columns))
-        for i, c in enumerate(columns[:-1]):
-            rest = columns[i + 1:]
-            found = {r.feature: r.spearman_rho for r in spearman_with_target(complete, rest, c).collect()}
-            for j, other in enumerate(rest, i + 1):
-                out[i, j] = out[j, i] = np.nan if found[other] is None else found[other]
-        return out
+        complete = with_ranks(complete, columns).select(*[F.col(f"{c}_rank").alias(c) for c in columns])
     vectors = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(complete).select("_v")
     return Correlation.corr(vectors, "_v", "pearson").first()[0].toArray()
 

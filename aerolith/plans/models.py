@@ -20,12 +20,12 @@ from aerolith.operators.split import expanding_folds, standard_moments, time_spl
 from aerolith.operators.stats import regression_metrics
 from aerolith.plans.registry import ModelRegistry
 from aerolith.schema import TARGET
-from aerolith.session import stage
+from aerolith.session import discard, stage
 
 SEED = 42
 VECTOR = "_features"
 LINEAR, RIDGE, LASSO = "Linear Regression", "Ridge Regression", "Lasso Regression"
-FOREST, BOOST, XBOOST = "Random Forest", "Gradient Boosting", "XGBoost"
+FOREST, BOOST, XBOOST = "Random Forest", "Gradient Boosting", "Subsampled Gradient Boosting"
 
 # Settings of the six candidates.
 CANDIDATES: dict[str, dict] = {
@@ -180,6 +180,7 @@ def tune(
         score = sum(scores) / len(scores)
         if best is None or score < best[0]:
             best = (score, settings)
+    discard(folded)
     return fit(name, data, best[1]), best[1], best[0]
 
 

@@ -49,4 +49,19 @@ def stage(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    staged = spark.read.schema(df.schema).parquet(path)
+    staged._stage_path = path
+    return staged
+
+
+def discard(*staged: DataFrame) -> None:
+    """Delete the files of staged DataFrames nothing reads any more."""
+    for df in staged:
+        path = getattr(df, "_stage_path", None)
+        if path:
+            delete_path(df.sparkSession, path)
+
+
+def delete_path(spark: SparkSession, path: str) -> None:
+    location = spark._jvm.org.apache.hadoop.fs.Path(path)
+    location.getFileSystem(spark._jsc.hadoopConfiguration()).delete(location, True)

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from aerolith.schema import CITY, TARGET, TS, add_city, require_columns, sanitize_columns
-from aerolith.session import stage
+from aerolith.session import discard, stage
 from aerolith.sources.tables import exists
 
 DATE = "event_date"
@@ -51,6 +51,7 @@ def upsert(
     merged = stage(latest_version(old, new, [*keys, ts], tie_break))
     writer = merged.hint("rebalance", F.col(DATE)).write.mode("overwrite").partitionBy(DATE)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    discard(new, merged)
 
 
 class FeatureStore:

@@ -14,7 +14,7 @@ from aerolith.operators.features import live_features
 from aerolith.plans.jobs import clean_live, recent_history
 from aerolith.plans.scoring import prediction_log, score
 from aerolith.schema import OBSERVATION, VALUE
-from aerolith.session import stage
+from aerolith.session import discard, stage
 from aerolith.sources.store import upsert
 
 
@@ -86,6 +86,7 @@ def live_stream(
         spark = batch.sparkSession
         new = stage(batch.select(*spec.keys, *OBSERVATION))
         if new.isEmpty():
+            discard(new)
             return
         upsert(spark, raw_path, new, list(spec.keys), spec.ts)
         history = recent_history(spark.read.parquet(raw_path), new, spec, 169)
@@ -95,5 +96,6 @@ def live_stream(
             scored = score(latest, predict, features, [*spec.keys, spec.ts, VALUE])
             rows_out = prediction_log(scored, spec.keys, model_name, F.current_timestamp(), spec.ts)
             rows_out.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
+        discard(new, latest)
 
     return _start(rows, advance, checkpoint, available_now)
