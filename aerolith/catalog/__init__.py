@@ -14,6 +14,7 @@ from aerolith.operators.clean import clean_observations
 from aerolith.operators.features import engineer_features
 from aerolith.session import stage
 from aerolith.sources import events as E
+from aerolith.sources.tables import exists
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,7 +66,7 @@ _STORED: dict[tuple[str, str, str], DataFrame] = {}
 def _stored(kind: str, spark: SparkSession, sf_dir: str, build: Callable[[], DataFrame]) -> DataFrame:
     """A derived table written once per session, as the jobs write theirs between steps."""
     key = (spark.sparkContext.applicationId, sf_dir, kind)
-    if key not in _STORED:
+    if key not in _STORED or not exists(spark, _STORED[key]._stage_path):
         _STORED[key] = stage(build())
     return _STORED[key]
 

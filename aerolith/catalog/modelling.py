@@ -211,7 +211,15 @@ def forecast_with_boosted_trees(spark, sf_dir):
 # --- what-if -----------------------------------------------------------------------------------
 
 _CHANGES = {"pm2_5": [0.8, 1.2], "temperature_2m": [0.9, 1.1], "wind_speed_10m": [0.5, 2.0]}
-_WHAT_IF = {"pm2_5": 0.5, "pm25_lag_24": 0.2, "pm25_roll_std_24": 0.3, "wind_pm25": -0.001, "temp_humidity": 0.002, "apparent_temperature": 0.05, "month_cos": 1.0}
+_WHAT_IF = {
+    "pm2_5": 0.5137,
+    "pm25_lag_24": 0.2071,
+    "pm25_roll_std_24": 0.3019,
+    "wind_pm25": -0.0010357,
+    "temp_humidity": 0.0020713,
+    "apparent_temperature": 0.0507,
+    "month_cos": 1.0091,
+}
 
 
 def _what_if_sql():
@@ -222,7 +230,10 @@ def _what_if_sql():
         for c, factors in _CHANGES.items()
         for f in factors
     )
-    score = "1.0 + 0.5 * pm2_5 + 0.2 * pm2_5 + 0.3 * 3.5 - 0.001 * wind_speed_10m * pm2_5 + 0.002 * temperature_2m * relative_humidity_2m + 0.05 * (temperature_2m + 2.0) + 1.0 * -0.5"
+    score = (
+        "1.0 + 0.5137 * pm2_5 + 0.2071 * pm2_5 + 0.3019 * 3.5 - 0.0010357 * wind_speed_10m * pm2_5"
+        " + 0.0020713 * temperature_2m * relative_humidity_2m + 0.0507 * (temperature_2m + 2.0) + 1.0091 * -0.5"
+    )
     return (
         with_(OBS, CLEAN, f"c AS ({cases})", f"s AS (SELECT *, {score} AS raw FROM c)", "t AS (SELECT *, CASE WHEN raw < 0 THEN 0 ELSE raw END AS p FROM s)")
         + f"SELECT city, datetime, changed, factor, round(p, 2) AS predicted_target_pm25, {risk_sql('p')} FROM t"
@@ -282,8 +293,8 @@ def importance_attribution(spark, sf_dir):
     + f"SELECT city, datetime, sg AS sign, place, feature, {r6('shap_value', 'shap_value')} FROM t WHERE place <= 2"
 )
 def top_contributions(spark, sf_dir):
-    rows = Ex.contribution_rows(Ex.explain_linear(feat(spark, sf_dir), MODEL, INTERCEPT, MEANS), ["city", "datetime"])
-    return Ex.top_contributions(rows, ["city", "datetime"]).select("city", "datetime", "sign", "place", "feature", "shap_value")
+    explained = Ex.explain_linear(feat(spark, sf_dir), MODEL, INTERCEPT, MEANS)
+    return Ex.top_contributions(explained, ["city", "datetime"]).select("city", "datetime", "sign", "place", "feature", "shap_value")
 
 
 @query()

@@ -166,7 +166,14 @@ def draws(space: Mapping[str, Sequence], n: int, seed: int = SEED) -> list[dict]
 
 
 def tune(
-    name: str, data: TrainingData, spec: SeriesSpec, *, n_iter: int = 15, splits: int = 4, space: Mapping | None = None
+    name: str,
+    data: TrainingData,
+    spec: SeriesSpec,
+    *,
+    n_iter: int = 15,
+    splits: int = 4,
+    space: Mapping | None = None,
+    parallelism: int = 2,
 ) -> tuple[PipelineModel, dict, float]:
     """Search settings by mean RMSE over expanding folds; refit the best on all train rows."""
     folded = stage(expanding_folds(data.train, spec, splits))
@@ -175,11 +182,16 @@ def tune(
         parts.append(TrainingData.split_on(folded.filter(F.col("fold") < i), folded.filter(F.col("fold") == i), data.features, data.target))
     name = name if name in SEARCH or space else RIDGE
     best: tuple[float, dict] | None = None
-    for settings in draws(space or SEARCH[name], n_iter):
-        scores = [evaluate(fit(name, part, settings), part.test, part.target)["RMSE"] for part in parts]
-        score = sum(scores) / len(scores)
-        if best is None or score < best[0]:
-            best = (score, settings)
+    with ThreadPool(parallelism) as pool:
+        for settings in draws(space or SEARCH[name], n_iter):
+
+            def rmse_on(part: TrainingData, settings: dict = settings) -> float:
+                return evaluate(fit(name, part, settings), part.test, part.target)["RMSE"]
+
+            scores = pool.map(rmse_on, parts)
+            score = sum(scores) / len(scores)
+            if best is None or score < best[0]:
+                best = (score, settings)
     discard(folded)
     return fit(name, data, best[1]), best[1], best[0]
 
