@@ -24,6 +24,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from aerolith.session import discard, stage
+
 CHUNK = "_chunk"
 HALO = "_halo"
 
@@ -151,8 +153,11 @@ def with_halo(
         places.append(F.when(second < F.col(CHUNK) * width + _margin(after) * 3600, place(F.col(CHUNK) - 1, True)))
     spread = rows.select(*df.columns, F.inline(F.array_compact(F.array(*places))))
 
-    sparse = _sparse_series(rows.select(*spec.chunk_keys, spec.ts), spec, before, after)
-    if not sparse.isEmpty():
+    # Staged: counted once, and of known size where it is joined.
+    sparse = stage(_sparse_series(rows.select(*spec.chunk_keys, spec.ts), spec, before, after))
+    if sparse.isEmpty():
+        discard(sparse)
+    else:
         narrow = rows.select(*spec.chunk_keys, spec.ts, *[c for c in columns if c not in (*spec.keys, spec.ts)])
         narrow = narrow.join(sparse, list(spec.keys), "left_semi")
         if before:

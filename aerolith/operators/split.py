@@ -8,14 +8,17 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.operators.chunks import SeriesSpec, times_at_positions
+from aerolith.session import stage
 
 
 def time_split(df: DataFrame, spec: SeriesSpec, test_ratio: float = 0.20) -> DataFrame:
     """Add ``split``: the first ``int(n * (1 - ratio))`` rows of each series train, the rest test.
 
-    The rows are compared with one boundary time per series; they are not ordered or moved.
+    The rows are compared with one boundary time per series; they are not ordered. The boundaries
+    are staged, so their size is known when the join is planned: up to the session's broadcast
+    threshold the rows are not moved either, beyond it the join is shuffled.
     """
-    first_test = times_at_positions(df, spec, {"_cut": lambda n: F.floor(n * F.lit(1.0 - test_ratio)) + 1})
+    first_test = stage(times_at_positions(df, spec, {"_cut": lambda n: F.floor(n * F.lit(1.0 - test_ratio)) + 1}))
     before = F.col("_cut").isNull() | (F.col(spec.ts) < F.col("_cut"))
     return df.join(first_test, list(spec.keys), "left").withColumn("split", F.when(before, "train").otherwise("test")).drop("_cut")
 
@@ -29,7 +32,7 @@ def expanding_folds(df: DataFrame, spec: SeriesSpec, splits: int = 4) -> DataFra
     def start(i: int):
         return lambda n: n - (splits - i + 1) * F.floor(n / (splits + 1)) + 1
 
-    cuts = times_at_positions(df, spec, {f"_cut{i}": start(i) for i in range(1, splits + 1)})
+    cuts = stage(times_at_positions(df, spec, {f"_cut{i}": start(i) for i in range(1, splits + 1)}))
     fold = F.lit(0)
     for i in range(1, splits + 1):
         fold = fold + F.coalesce((F.col(spec.ts) >= F.col(f"_cut{i}")).cast("int"), F.lit(0))

@@ -110,7 +110,7 @@ class TrainingData:
 
 
 def fit(name: str, data: TrainingData, settings: Mapping | None = None) -> PipelineModel:
-    """One candidate as a saved-able pipeline: scaling (linear models), vector, regressor."""
+    """One candidate as a model that can be saved whole: scaling (linear models), vector, regressor."""
     settings = {**CANDIDATES.get(name, {}), **(settings or {})}
     stages: list = []
     inputs = data.features

@@ -58,6 +58,14 @@ def test_time_range_reaches_the_scan(stored):
     assert "GreaterThanOrEqual(datetime" in text and "LessThan(datetime" in text
 
 
+def test_split_does_not_move_the_rows(spark, stored):
+    from aerolith.operators.split import expanding_folds, time_split
+
+    for df in (time_split(stored, SPEC), expanding_folds(stored, SPEC)):
+        text = plan(df)
+        assert "BroadcastHashJoin" in text and "Exchange hashpartitioning" not in text
+
+
 def test_reports_are_one_aggregation(stored):
     from aerolith.operators.validate import dataset_report
     from aerolith.schema import MEASURES
