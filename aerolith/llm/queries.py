@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe_rounds, html_text, language_id, mixing, quality_rules, simhash, token_counts, url_filter
+from aerolith.llm import bpe_rounds, hnsw, html_text, language_id, mixing, quality_model, quality_rules, simhash, token_counts, url_filter
 from aerolith.llm.common import held_out
 
 #: The site rules that op1 is asked to apply.
@@ -55,6 +55,10 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hnsw.search(table(spark, sf_dir, "embeddings"), query_divisor=20, k=20)
+
+
 def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(table(spark, sf_dir, "documents"))
     return mixed.select("doc_id", "size", "source_size", "target", "taken")
@@ -111,12 +115,31 @@ def op8_simhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return groups.select("doc_id", simhash.hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op9_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    model = quality_model.fit(docs.filter(~held_out()), labels.filter(~held_out()))
+    return quality_model.score(docs.withColumn("held_out", held_out()), model, keep=("doc_id", "held_out"))
+
+
 def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_rounds.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_url_filter, op2_token_counts, op4_source_mix, op5_html_text, op6_language_id, op7_quality_rules, op8_simhash_dedup, op10_sentencepiece)
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_token_counts,
+        op3_nearest_vectors,
+        op4_source_mix,
+        op5_html_text,
+        op6_language_id,
+        op7_quality_rules,
+        op8_simhash_dedup,
+        op9_quality_model,
+        op10_sentencepiece,
+    )
 }
 
 SQL: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_source_mix": _OP4_SQL}
