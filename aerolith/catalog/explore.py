@@ -10,12 +10,13 @@ from aerolith.operators import ranks as R
 from aerolith.operators import select as Sel
 from aerolith.operators import stats as St
 from aerolith.operators.chunks import latest_rows
-from aerolith.schema import MEASURES, POLLUTANTS, SELECTED_FEATURES
+from aerolith.schema import ENGINEERED, MEASURES, POLLUTANTS, ROLLINGS, SELECTED_FEATURES, TARGET
 
-TARGET = "target_pm25"
 BASE = with_(OBS, CLEAN, FEAT)
-# Rolling values differ between engines in the last bit, which makes or breaks ties of ranks.
-RANKED_FEATURES = [c for c in SELECTED_FEATURES if "roll" not in c]
+# Rolling values differ between engines in the last bit, which makes or breaks ties of ranks: nine decimals count.
+ROLLED = [f"pm25_roll_{s}_{n}" for n in ROLLINGS for s in ("mean", "std")]
+RFEAT = f"rfeat AS (SELECT * REPLACE ({', '.join(f'round({c}, 9) AS {c}' for c in ROLLED)}) FROM feat)"
+CANDIDATES = [*MEASURES, *[c for c in ENGINEERED if c != TARGET]]
 
 
 def r6(expr: str, name: str) -> str:
@@ -32,6 +33,10 @@ def corr(a: str, b: str = "target_pm25") -> str:
     return f"nullif(corr({a}, {b}), CAST('nan' AS DOUBLE))"
 
 
+def ranked_feat(spark, sf_dir):
+    return feat(spark, sf_dir).withColumns({c: F.round(c, 9) for c in ROLLED})
+
+
 def scored(spark, sf_dir):
     """Feature rows with the fixed linear prediction."""
     return feat(spark, sf_dir).withColumn(
@@ -101,9 +106,9 @@ def ranked(columns, source, name="ranked"):
 _SPEARMAN = f"{r6(corr('{c}'), 'spearman_rho')}, {r6('abs(' + corr('{c}') + ')', 'abs_spearman_rho')}"
 
 
-@query(with_(OBS, CLEAN, FEAT, ranked([*RANKED_FEATURES, TARGET], "feat")) + each(RANKED_FEATURES, _SPEARMAN, "ranked"))
+@query(with_(OBS, CLEAN, FEAT, RFEAT, ranked([*SELECTED_FEATURES, TARGET], "rfeat")) + each(SELECTED_FEATURES, _SPEARMAN, "ranked"))
 def spearman_with_target(spark, sf_dir):
-    return St.spearman_with_target(feat(spark, sf_dir), RANKED_FEATURES, TARGET)
+    return St.spearman_with_target(ranked_feat(spark, sf_dir), SELECTED_FEATURES, TARGET)
 
 
 @query(
@@ -133,7 +138,8 @@ def _mi_sql(columns, bins=16):
             OBS,
             CLEAN,
             FEAT,
-            f"binned AS (SELECT {binned} FROM feat)",
+            RFEAT,
+            f"binned AS (SELECT {binned} FROM rfeat)",
             f"cells AS ({cells})",
             """parts AS (SELECT feature, n / sum(n) OVER (PARTITION BY feature) AS p,
       sum(n) OVER (PARTITION BY feature, bx) / sum(n) OVER (PARTITION BY feature) AS px,
@@ -143,9 +149,9 @@ def _mi_sql(columns, bins=16):
     )
 
 
-@query(_mi_sql(RANKED_FEATURES))
+@query(_mi_sql(SELECTED_FEATURES))
 def mutual_information(spark, sf_dir):
-    return St.mutual_information(feat(spark, sf_dir), RANKED_FEATURES, TARGET)
+    return St.mutual_information(ranked_feat(spark, sf_dir), SELECTED_FEATURES, TARGET)
 
 
 VIF_COLUMNS = ["pm2_5", "pm10", "so2"]
@@ -209,16 +215,19 @@ def lag_correlations(spark, sf_dir):
     return St.lag_correlations(feat(spark, sf_dir), LAG_COLUMNS, TARGET)
 
 
+_LINES = f"{r6('regr_slope(target_pm25, {c})', 'slope')}, {r6('regr_intercept(target_pm25, {c})', 'intercept')}, {r6(corr('{c}'), 'pearson_r')}"
+
+
 @query(
     BASE
-    + each(
-        SELECTED_FEATURES[:6],
-        f"{r6('regr_slope(target_pm25, {c})', 'slope')}, {r6('regr_intercept(target_pm25, {c})', 'intercept')}, {r6(corr('{c}'), 'pearson_r')}",
-        "feat",
-    )
+    + f"""SELECT l.* FROM ({each(SELECTED_FEATURES, _LINES, 'feat')}) l
+  JOIN (SELECT * FROM ({each(SELECTED_FEATURES, "abs(" + corr("{c}") + ") AS a", "feat")}) ORDER BY a DESC NULLS LAST, feature LIMIT 6) USING (feature)"""
 )
 def trend_lines(spark, sf_dir):
-    return St.trend_lines(feat(spark, sf_dir), SELECTED_FEATURES[:6], TARGET)
+    """Of the six features most correlated with the target."""
+    table = feat(spark, sf_dir)
+    best = St.top_correlated(St.pearson_with_target(table, SELECTED_FEATURES, TARGET), 6)
+    return St.trend_lines(table, [r["feature"] for r in best.collect()], TARGET)
 
 
 @query(
@@ -253,22 +262,22 @@ def last_300_hours(spark, sf_dir):
 
 
 def both_correlations(spark, sf_dir):
-    table = feat(spark, sf_dir)
+    table = ranked_feat(spark, sf_dir)
     return (
-        St.pearson_with_target(table, RANKED_FEATURES, TARGET),
-        St.spearman_with_target(table, RANKED_FEATURES, TARGET),
+        St.pearson_with_target(table, CANDIDATES, TARGET),
+        St.spearman_with_target(table, CANDIDATES, TARGET),
     )
 
 
-_RANKED = ranked([*RANKED_FEATURES, TARGET], "feat")
-BOTH = f"""pe AS ({each(RANKED_FEATURES, corr('{c}') + ' AS pearson_r', 'feat')}),
-  sp AS ({each(RANKED_FEATURES, corr('{c}') + ' AS spearman_rho', 'ranked')}),
+_RANKED = ranked([*CANDIDATES, TARGET], "rfeat")
+BOTH = f"""pe AS ({each(CANDIDATES, corr('{c}') + ' AS pearson_r', 'rfeat')}),
+  sp AS ({each(CANDIDATES, corr('{c}') + ' AS spearman_rho', 'ranked')}),
   j AS (SELECT feature, pearson_r, abs(pearson_r) AS abs_pearson_r, spearman_rho, abs(spearman_rho) AS abs_spearman_rho FROM pe JOIN sp USING (feature))"""
 CORR_NAMES = "pearson_r abs_pearson_r spearman_rho abs_spearman_rho"
 
 
 @query(
-    with_(OBS, CLEAN, FEAT, _RANKED, BOTH, "k AS (SELECT *, CAST(abs(rank() OVER (ORDER BY abs_pearson_r DESC NULLS LAST) - rank() OVER (ORDER BY abs_spearman_rho DESC NULLS LAST)) AS DOUBLE) AS rank_diff FROM j)")
+    with_(OBS, CLEAN, FEAT, RFEAT, _RANKED, BOTH, "k AS (SELECT *, CAST(abs(rank() OVER (ORDER BY abs_pearson_r DESC NULLS LAST) - rank() OVER (ORDER BY abs_spearman_rho DESC NULLS LAST)) AS DOUBLE) AS rank_diff FROM j)")
     + f"SELECT {cols('feature', CORR_NAMES + ' rank_diff')} FROM k"
 )
 def rank_compare(spark, sf_dir):
@@ -283,7 +292,7 @@ def top_correlated(spark, sf_dir):
 def stand_in_scores(spark, sf_dir):
     """The five score tables with SQL-expressible stand-ins for trees and inflation."""
     pearson, spearman = both_correlations(spark, sf_dir)
-    fit = St.trend_lines(feat(spark, sf_dir), RANKED_FEATURES, TARGET)
+    fit = St.trend_lines(ranked_feat(spark, sf_dir), CANDIDATES, TARGET)
     mutual = fit.select("feature", F.abs("slope").alias("mi_score"))
     trees = fit.select("feature", (F.col("pearson_r") * F.col("pearson_r")).alias("avg_tree_importance"))
     vif = fit.select("feature", (1 / (1 - F.col("pearson_r") * F.col("pearson_r"))).alias("vif"))
@@ -291,7 +300,7 @@ def stand_in_scores(spark, sf_dir):
 
 
 SLOPE = "CASE WHEN var_pop({c}) > 0 THEN regr_slope(target_pm25, {c}) END"
-CONSOLIDATED = f"""fit AS ({each(RANKED_FEATURES, 'abs(' + SLOPE + ') AS mi_score, pow(' + corr('{c}') + ', 2) AS avg_tree_importance, 1 / (1 - pow(' + corr('{c}') + ', 2)) AS vif', 'feat')}),
+CONSOLIDATED = f"""fit AS ({each(CANDIDATES, 'abs(' + SLOPE + ') AS mi_score, pow(' + corr('{c}') + ', 2) AS avg_tree_importance, 1 / (1 - pow(' + corr('{c}') + ', 2)) AS vif', 'rfeat')}),
   m AS (SELECT *, coalesce(abs_pearson_r / max(abs_pearson_r) OVER (), 0) AS norm_pearson, coalesce(abs_spearman_rho / max(abs_spearman_rho) OVER (), 0) AS norm_spearman,
     coalesce(mi_score / max(mi_score) OVER (), 0) AS norm_mi, coalesce(avg_tree_importance / max(avg_tree_importance) OVER (), 0) AS norm_tree FROM j JOIN fit USING (feature)),
   c AS (SELECT *, 0.30 * norm_pearson + 0.20 * norm_spearman + 0.25 * norm_mi + 0.25 * norm_tree AS composite_score FROM m),
@@ -299,17 +308,17 @@ CONSOLIDATED = f"""fit AS ({each(RANKED_FEATURES, 'abs(' + SLOPE + ') AS mi_scor
 SCORE_NAMES = f"{CORR_NAMES} mi_score avg_tree_importance vif norm_pearson norm_spearman norm_mi norm_tree composite_score"
 
 
-@query(with_(OBS, CLEAN, FEAT, _RANKED, BOTH, CONSOLIDATED) + f"SELECT {cols('feature overall_rank', SCORE_NAMES)} FROM o")
+@query(with_(OBS, CLEAN, FEAT, RFEAT, _RANKED, BOTH, CONSOLIDATED) + f"SELECT {cols('feature overall_rank', SCORE_NAMES)} FROM o")
 def composite_ranking(spark, sf_dir):
     return stand_in_scores(spark, sf_dir)
 
 
-@query(with_(OBS, CLEAN, FEAT, _RANKED, BOTH, CONSOLIDATED) + "SELECT feature, overall_rank FROM o WHERE overall_rank <= 12")
+@query(with_(OBS, CLEAN, FEAT, RFEAT, _RANKED, BOTH, CONSOLIDATED) + "SELECT feature, overall_rank FROM o WHERE overall_rank <= 18")
 def top_features(spark, sf_dir):
-    return stand_in_scores(spark, sf_dir).filter(F.col("overall_rank") <= 12).select("feature", "overall_rank")
+    return stand_in_scores(spark, sf_dir).filter(F.col("overall_rank") <= 18).select("feature", "overall_rank")
 
 
-@query()
+@query(f"SELECT event_id, {r6('value', 'value')} FROM (SELECT * FROM events ORDER BY md5(concat_ws('|', event_id::VARCHAR, '42')), event_id LIMIT 2500)")
 def hashed_sample(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "value")
     return St.fixed_sample(rows, 2500, ["event_id"])
@@ -317,11 +326,11 @@ def hashed_sample(spark, sf_dir):
 
 @query()
 def tree_importance(spark, sf_dir):
-    return Sel.tree_importance(feat(spark, sf_dir), SELECTED_FEATURES, TARGET, trees=10, depth=6)
+    return Sel.tree_importance(feat(spark, sf_dir), SELECTED_FEATURES, TARGET)
 
 
 @query()
 def feature_scores(spark, sf_dir):
-    return Sel.score_features(feat(spark, sf_dir), SELECTED_FEATURES, TARGET, trees=10, depth=6)
+    return Sel.score_features(feat(spark, sf_dir), SELECTED_FEATURES, TARGET)
 
 

@@ -178,11 +178,30 @@ def keyed_upsert(spark, sf_dir):
 
 @query(UPSERTED)
 def table_upsert(spark, sf_dir):
+    """The second batch brings a column; the third has it not and leaves it as it is in other rows."""
     path = scratch(spark, "upsert")
     old, new = revised(spark, sf_dir)
-    store.upsert(spark, path, old.withColumn("n", F.lit(None).cast("long")), ["event_type"])
+    store.upsert(spark, path, old, ["event_type"])
     store.upsert(spark, path, new, ["event_type"])
-    return spark.read.parquet(path).drop(store.DATE)
+    store.upsert(spark, path, old.join(new, ["event_type", "datetime"], "left_anti"), ["event_type"])
+    return store.read_table(spark, path).drop(store.DATE)
+
+
+@query(
+    UPSERTED.replace("SELECT event_type, datetime, round(v + 3.3e-8, 6) AS v, n FROM new UNION ALL", "SELECT 'rows' AS kind, event_type, datetime, round(v + 3.3e-8, 6) AS v, n FROM new UNION ALL SELECT 'rows',", 1).replace("SELECT 'rows',\n  SELECT", "SELECT 'rows',")
+    + " UNION ALL SELECT 'left out', event_type, NULL, NULL, count(*) FROM events WHERE event_type = 'view' GROUP BY event_type"
+)
+def upsert_without_times(spark, sf_dir):
+    """Rows without a time are counted, not stored, and do not touch what is there."""
+    path = scratch(spark, "upsert")
+    old, new = revised(spark, sf_dir)
+    timeless = events(spark, sf_dir).filter("event_type = 'view'").select("event_type", F.lit(None).cast("timestamp").alias("datetime"), F.col("value").alias("v"))
+    store.upsert(spark, path, old, ["event_type"])
+    store.upsert(spark, path, new, ["event_type"])
+    left_out = store.upsert(spark, path, timeless, ["event_type"])
+    rows = store.read_table(spark, path).select(F.lit("rows").alias("kind"), "event_type", "datetime", "v", "n")
+    counted = [("left out", "view", None, None, left_out)] if left_out else []
+    return rows.unionByName(spark.createDataFrame(counted, rows.schema))
 
 
 @query(with_(OBS, CLEAN, FEAT) + f"SELECT {cols('city datetime', ' '.join(SELECTED_FEATURES) + ' target_pm25')} FROM feat")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.catalog import SPEC, clean, feat, h_type, obs, query
+from aerolith.catalog import NUDGE, SPEC, clean, feat, h_type, obs, query
 from aerolith.catalog.explore import r6
 from aerolith.catalog.ingest import scratch
 from aerolith.catalog.sql import (
@@ -23,6 +23,7 @@ from aerolith.functions.risk import OUTDOOR_LIMIT, OUTDOOR_OK, SENSITIVE_LIMIT,
 from aerolith.operators import explain as Ex
 from aerolith.operators import forecast as Fc
 from aerolith.operators import stats as St
+from aerolith.operators.chunks import latest_rows
 from aerolith.operators.features import live_features
 from aerolith.operators.split import scale_columns, standard_moments, time_split
 from aerolith.plans import models as M
@@ -33,9 +34,7 @@ from aerolith.session import stage
 
 BASE = with_(OBS, CLEAN, FEAT)
 PREDICT = Sc.linear_model(MODEL, INTERCEPT)
-SCALED = ["pm2_5", "pm10", "co", "wind_pm25", "month_cos"]
-# Small ensembles: enough to run every step on every row.
-SMALL = {M.LINEAR: {}, M.RIDGE: {}, M.LASSO: {}, M.FOREST: {"trees": 10, "depth": 6}, M.BOOST: {"trees": 10, "depth": 4}}
+SCALED = SELECTED_FEATURES
 
 _SPLIT = """s AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime) <= floor(count(*) OVER (PARTITION BY city) * CAST(0.8 AS DOUBLE)) AS is_train FROM feat),
   mo AS (SELECT {} FROM s WHERE is_train)""".format(
@@ -62,7 +61,7 @@ def training(spark, sf_dir):
 
 @query()
 def leaderboard(spark, sf_dir):
-    board, _, _ = M.compare(training(spark, sf_dir), SMALL)
+    board, _, _ = M.compare(training(spark, sf_dir))
     return board.drop("train_time_sec")
 
 
@@ -85,7 +84,7 @@ def champion_by_rmse(spark, sf_dir):
 @query()
 def tuned_ridge(spark, sf_dir):
     data = training(spark, sf_dir)
-    _, best, rmse = M.tune(M.RIDGE, data, SPEC, n_iter=2)
+    _, best, rmse = M.tune(M.RIDGE, data, SPEC)
     return spark.createDataFrame([(M.RIDGE, float(best["alpha"]), float(rmse), data.rows)], "model string, alpha double, cv_rmse double, train_rows long")
 
 
@@ -93,7 +92,7 @@ def tuned_ridge(spark, sf_dir):
 def trained_champion_scores(spark, sf_dir):
     """Train, register, load the champion and score the latest row of each series."""
     registry = ModelRegistry(spark, scratch(spark, "models"))
-    M.train(feat(spark, sf_dir), SPEC, SELECTED_FEATURES, registry, candidates={M.LINEAR: {}, M.BOOST: SMALL[M.BOOST]})
+    M.train(feat(spark, sf_dir), SPEC, SELECTED_FEATURES, registry)
     model, meta = registry.load()
     latest = live_features(clean(spark, sf_dir), SPEC)
     return Sc.score(latest, model.transform, meta["features"], ["city", "datetime"])
@@ -168,8 +167,6 @@ FORECAST = f"""hist AS (SELECT event_type, max(datetime) AS base, list(v ORDER B
 
 def forecast_input(spark, sf_dir):
     """Newest hourly means per event type, with held weather columns the model ignores."""
-    from aerolith.operators.chunks import latest_rows
-
     hourly = h_type(spark, sf_dir).withColumnRenamed("v", "pm2_5")
     held = {c: F.lit(0.0) for c in ("temperature_2m", "relative_humidity_2m", "wind_speed_10m")}
     spec = type(SPEC)(keys=("event_type",))
@@ -200,19 +197,34 @@ def forecast_daily_summary(spark, sf_dir):
 
 @query()
 def forecast_with_boosted_trees(spark, sf_dir):
-    """24 steps of a fitted ensemble for every city."""
+    """72 steps of a fitted ensemble for every city."""
     data = training(spark, sf_dir)
-    model = M.fit(M.BOOST, data, SMALL[M.BOOST])
+    model = M.fit(M.BOOST, data)
     rows = clean(spark, sf_dir)
     state = Fc.forecast_state(rows, live_features(rows, SPEC), SPEC)
-    return Fc.forecast_model(stage(state), SPEC, model.transform, SELECTED_FEATURES, hours=24)
+    return Fc.forecast_model(stage(state), SPEC, model.transform, SELECTED_FEATURES)
 
 
 # --- what-if -----------------------------------------------------------------------------------
 
-_CHANGES = {"pm2_5": [0.8, 1.2], "temperature_2m": [0.9, 1.1], "wind_speed_10m": [0.5, 2.0]}
+_CHANGES = {
+    "pm2_5": [0.8, 1.2],
+    "pm10": [0.9, 1.1],
+    "no2": [0.9, 1.1],
+    "co": [0.9, 1.1],
+    "o3": [0.9, 1.1],
+    "temperature_2m": [0.9, 1.1],
+    "relative_humidity_2m": [0.9, 1.1],
+    "wind_speed_10m": [0.5, 2.0],
+    "surface_pressure": [0.99, 1.01],
+}
 _WHAT_IF = {
     "pm2_5": 0.5137,
+    "pm10": 0.0113,
+    "no2": 0.0207,
+    "co": -0.0011,
+    "o3": 0.0171,
+    "surface_pressure": 0.0031,
     "pm25_lag_24": 0.2071,
     "pm25_roll_std_24": 0.3019,
     "wind_pm25": -0.0010357,
@@ -223,27 +235,25 @@ _WHAT_IF = {
 
 
 def _what_if_sql():
-    cases = " UNION ALL ".join(
-        "SELECT city, datetime, '{}' AS changed, CAST({} AS DOUBLE) AS factor, {} FROM clean".format(
-            c, f, ", ".join(f"{x} * {f} AS {x}" if x == c else x for x in ["pm2_5", "temperature_2m", "wind_speed_10m", "relative_humidity_2m"])
-        )
-        for c, factors in _CHANGES.items()
-        for f in factors
-    )
+    changed = ", ".join(f"{c} * {c}_factor AS {c}, {c}_factor" for c in _CHANGES)
+    grid = ", ".join(f"(SELECT unnest({factors})::DOUBLE AS {c}_factor)" for c, factors in _CHANGES.items())
+    newest = "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime DESC) AS r FROM clean) WHERE r = 1)"
     score = (
-        "1.0 + 0.5137 * pm2_5 + 0.2071 * pm2_5 + 0.3019 * 3.5 - 0.0010357 * wind_speed_10m * pm2_5"
-        " + 0.0020713 * temperature_2m * relative_humidity_2m + 0.0507 * (temperature_2m + 2.0) + 1.0091 * -0.5"
+        "1.0 + 0.5137 * pm2_5 + 0.0113 * pm10 + 0.0207 * no2 - 0.0011 * co + 0.0171 * o3 + 0.0031 * surface_pressure + 0.2071 * pm2_5 + 0.3019 * 3.5"
+        " - 0.0010357 * wind_speed_10m * pm2_5 + 0.0020713 * temperature_2m * relative_humidity_2m + 0.0507 * (temperature_2m + 2.0) + 1.0091 * -0.5"
     )
     return (
-        with_(OBS, CLEAN, f"c AS ({cases})", f"s AS (SELECT *, {score} AS raw FROM c)", "t AS (SELECT *, CASE WHEN raw < 0 THEN 0 ELSE raw END AS p FROM s)")
-        + f"SELECT city, datetime, changed, factor, round(p, 2) AS predicted_target_pm25, {risk_sql('p')} FROM t"
+        with_(OBS, CLEAN, newest, f"c AS (SELECT city, datetime, {changed} FROM newest, {grid})", f"s AS (SELECT *, {score} AS raw FROM c)", "t AS (SELECT *, CASE WHEN raw < 0 THEN 0 ELSE raw END AS p FROM s)")
+        + f"SELECT city, datetime, {', '.join(f'{c}_factor' for c in _CHANGES)}, round(p, 2) AS predicted_target_pm25, {risk_sql('p')} FROM t"
     )
 
 
 @query(_what_if_sql())
 def what_if_scores(spark, sf_dir):
-    scenarios = Sc.what_if_features(Sc.scenario_rows(clean(spark, sf_dir), _CHANGES))
-    return Sc.score(scenarios, Sc.linear_model(_WHAT_IF, 1.0), list(_WHAT_IF), ["city", "datetime", "changed", "factor"])
+    """Every combination of the factors of nine inputs, for the newest row of each series."""
+    newest = latest_rows(clean(spark, sf_dir), SPEC)
+    scenarios = Sc.what_if_features(Sc.scenario_grid(newest, _CHANGES))
+    return Sc.score(scenarios, Sc.linear_model(_WHAT_IF, 1.0), list(_WHAT_IF), ["city", "datetime", *[f"{c}_factor" for c in _CHANGES]])
 
 
 # --- attribution -------------------------------------------------------------------------------
@@ -297,10 +307,29 @@ def top_contributions(spark, sf_dir):
     return Ex.top_contributions(explained, ["city", "datetime"]).select("city", "datetime", "sign", "place", "feature", "shap_value")
 
 
-@query()
+def _listed(sign: str, item: str) -> str:
+    chosen = f"shap_value {sign} 0 AND place <= 2"
+    return f"string_agg(printf('{item}', display_name, shap_value + {NUDGE}), ', ' ORDER BY place) FILTER (WHERE {chosen})"
+
+
+@query(
+    with_(
+        OBS,
+        CLEAN,
+        FEAT,
+        f"l AS ({_long(_AMOUNT)})",
+        "p AS (SELECT *, row_number() OVER (PARTITION BY city, datetime, sign(shap_value) ORDER BY abs(shap_value) DESC, feature) AS place FROM l)",
+        f"t AS (SELECT city, datetime, {_listed('>', Ex.RAISING_ITEM)} AS up, {_listed('<', Ex.LOWERING_ITEM)} AS down FROM p GROUP BY city, datetime)",
+        f"h AS (SELECT city, datetime, printf('{Ex.PREDICTED_TEXT}', {SCORE} + {NUDGE}, {BASE_VALUE!r} + {NUDGE}) AS head FROM feat)",
+    )
+    + f"""SELECT city, datetime, head || coalesce(chr(10) || chr(10) || '{Ex.RAISING_TEXT}' || up || '.', '')
+  || coalesce(chr(10) || chr(10) || '{Ex.LOWERING_TEXT}' || down || '.', '') AS narrative_explanation FROM h JOIN t USING (city, datetime)"""
+)
 def narratives(spark, sf_dir):
+    """The nudge keeps a printed digit from hanging on how an engine rounds an exact half."""
     explained = Ex.explain_linear(PREDICT(feat(spark, sf_dir)), MODEL, INTERCEPT, MEANS)
-    text = Ex.narrative(F.col("prediction"), F.col("base_value"), F.col("contributions"))
+    nudged = F.transform("contributions", lambda c: c.withField("shap_value", c["shap_value"] + F.when(c["shap_value"] != 0, NUDGE).otherwise(0.0)))
+    text = Ex.narrative(F.col("prediction") + NUDGE, F.col("base_value") + NUDGE, nudged)
     return explained.select("city", "datetime", text.alias("narrative_explanation"))
 
 
@@ -308,7 +337,7 @@ def narratives(spark, sf_dir):
 def tree_attribution_adds_up(spark, sf_dir):
     """Rows whose tree attributions and base do not sum to the prediction: none."""
     data = training(spark, sf_dir)
-    model = M.fit(M.BOOST, data, SMALL[M.BOOST])
+    model = M.fit(M.BOOST, data)
     nodes = tree_nodes(spark, model.stages[-1], scratch(spark, "trees"))
     rows = model.transform(feat(spark, sf_dir)).select("city", "datetime", *SELECTED_FEATURES, "prediction")
     explained = Ex.explain_trees(rows, SELECTED_FEATURES, nodes)
@@ -316,9 +345,23 @@ def tree_attribution_adds_up(spark, sf_dir):
     return explained.groupBy("city").agg(F.count("*").alias("n"), F.count_if(F.abs(total - F.col("prediction")) > 1e-6).alias("unexplained"))
 
 
+@query(with_(OBS, CLEAN, LIVE) + "SELECT city, datetime, CAST(18 AS BIGINT) AS n_features, TRUE AS adds_up FROM live WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in SELECTED_FEATURES))
+def latest_explanations(spark, sf_dir):
+    """From the stored linear champion to the sentence, for the newest row of each series."""
+    from aerolith.plans.jobs import explain_latest
+
+    registry = ModelRegistry(spark, scratch(spark, "models"))
+    rows = feat(spark, sf_dir)
+    latest = live_features(clean(spark, sf_dir), SPEC).dropna("any", subset=SELECTED_FEATURES)
+    explained = explain_latest(latest, SPEC, registry, scratch(spark, "trees"), lambda: M.train(rows, SPEC, SELECTED_FEATURES, registry, candidates={M.LINEAR: {}}))
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["shap_value"]) + F.col("base_value")
+    whole = (F.abs(total - F.col("prediction")) < 1e-6) & F.col("narrative_explanation").contains("baseline expectation")
+    return explained.select("city", "datetime", F.size("contributions").cast("long").alias("n_features"), whole.alias("adds_up"))
+
+
 @query()
 def global_importance(spark, sf_dir):
-    model = M.fit(M.FOREST, training(spark, sf_dir), SMALL[M.FOREST])
+    model = M.fit(M.FOREST, training(spark, sf_dir))
     return Ex.global_importance(spark, SELECTED_FEATURES, model.stages[-1].featureImportances.toArray())
 
 
@@ -328,7 +371,7 @@ def selected_feature_table(spark, sf_dir):
     from aerolith.plans.jobs import select_features
 
     path = scratch(spark, "selection")
-    select_features(feat(spark, sf_dir), SPEC, path, k=12, trees=5, depth=5)
+    select_features(feat(spark, sf_dir), SPEC, path)
     return spark.read.parquet(f"{path}/selected")
 
 

@@ -21,10 +21,13 @@ OUTDOOR_LIMIT = "Limit prolonged outdoor exertion"
 SENSITIVE_OK = "No special precautions needed"
 SENSITIVE_LIMIT = "Avoid intense outdoor workouts"
 
+# Width of the prediction interval, least forecast, limits of the alerts.
 INTERVAL_Z = 1.645
 INTERVAL_GROWTH = 0.015
 DEFAULT_RMSE = 2.40
 PREDICTION_FLOOR = 0.5
+RAISED_ABOVE = 35.4
+SEVERE_ABOVE = 55.4
 
 
 def _by_level(value: Column, pick: int) -> Column:
@@ -60,7 +63,7 @@ def risk_struct(value: Column, null_as: float | None = None) -> Column:
 
 
 def alert_columns(value: Column) -> dict[str, Column]:
-    raised, severe = value > F.lit(35.4), value > F.lit(55.4)
+    raised, severe = value > F.lit(RAISED_ABOVE), value > F.lit(SEVERE_ABOVE)
     return {
         "is_hazardous": severe,
         "general_population": F.when(raised, OUTDOOR_LIMIT).when(~raised, OUTDOOR_OK),

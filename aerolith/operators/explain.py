@@ -35,6 +35,12 @@ FRIENDLY_NAMES = {
 }
 NEUTRAL_BASE = 25.0
 
+# Labels and sentences of explanations.
+RAISES, LOWERS = "Increases PM2.5", "Decreases PM2.5"
+PREDICTED_TEXT = "The AI model predicts a PM2.5 concentration of **%.1f µg/m³** (baseline expectation is %.1f µg/m³)."
+RAISING_TEXT, RAISING_ITEM = "• **Key factors elevating pollution**: ", "**%s** (+%.2f)"
+LOWERING_TEXT, LOWERING_ITEM = "• **Key factors mitigating pollution**: ", "**%s** (%.2f)"
+
 
 def friendly_name(feature: Column) -> Column:
     names = F.create_map(*[F.lit(v) for kv in FRIENDLY_NAMES.items() for v in kv])
@@ -46,7 +52,7 @@ def _contribution(feature: str, amount: Column) -> Column:
         F.lit(feature).alias("feature"),
         F.col(feature).cast("double").alias("value"),
         amount.cast("double").alias("shap_value"),
-        F.when(amount > 0, "Increases PM2.5").otherwise("Decreases PM2.5").alias("direction"),
+        F.when(amount > 0, RAISES).otherwise(LOWERS).alias("direction"),
         F.abs(amount).cast("double").alias("abs_impact"),
         friendly_name(F.lit(feature)).alias("display_name"),
     )
@@ -111,15 +117,9 @@ def narrative(prediction: Column, base: Column, contributions: Column, k: int =
 
     up = F.filter(contributions, lambda c: c["shap_value"] > 0)
     down = F.filter(contributions, lambda c: c["shap_value"] < 0)
-    head = F.format_string(
-        "The AI model predicts a PM2.5 concentration of **%.1f µg/m³** (baseline expectation is %.1f µg/m³).", prediction, base
-    )
-    raising = F.when(
-        F.size(up) > 0, F.concat(F.lit("• **Key factors elevating pollution**: "), listed(up, "**%s** (+%.2f)"), F.lit("."))
-    )
-    lowering = F.when(
-        F.size(down) > 0, F.concat(F.lit("• **Key factors mitigating pollution**: "), listed(down, "**%s** (%.2f)"), F.lit("."))
-    )
+    head = F.format_string(PREDICTED_TEXT, prediction, base)
+    raising = F.when(F.size(up) > 0, F.concat(F.lit(RAISING_TEXT), listed(up, RAISING_ITEM), F.lit(".")))
+    lowering = F.when(F.size(down) > 0, F.concat(F.lit(LOWERING_TEXT), listed(down, LOWERING_ITEM), F.lit(".")))
     return F.concat_ws("\n\n", head, raising, lowering)
 
 
@@ -152,22 +152,46 @@ def _leaf_paths(nodes: dict[int, tuple]) -> list[tuple]:
     return out
 
 
-def _shapley_of_leaf(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
-    """Shapley values of the game "product of inside (known) or share (unknown)" per row and feature."""
-    n, k = inside.shape
-    weights = np.array([factorial(s) * factorial(k - 1 - s) / factorial(k) for s in range(k)])
-    out = np.empty((n, k))
+#: Numbers in one array operation of tree attribution.
+_CELLS = 1 << 21
+
+
+def _shapley_of_leaves(inside: np.ndarray, share: np.ndarray) -> np.ndarray:
+    """Shapley values of the game "product of inside (known) or share (unknown)".
+
+    ``inside`` is rows x leaves x features of the path (0 or 1), ``share`` is leaves x features. The
+    product over all features is a polynomial in the number known; leaving one feature out divides it
+    by that feature's factor.
+    """
+    k = inside.shape[-1]
+    weights = [factorial(s) * factorial(k - 1 - s) / factorial(k) for s in range(k)]
+    full = np.zeros((*inside.shape[:-1], k + 1))
+    full[..., 0] = 1.0
+    for g in range(k):
+        shifted = full[..., : g + 1] * inside[..., g, None]
+        full[..., : g + 1] *= share[:, g, None]
+        full[..., 1 : g + 2] += shifted
+    out = np.empty(inside.shape)
     for f in range(k):
-        coef = np.zeros((n, k))
-        coef[:, 0] = 1.0
-        for done, g in enumerate(g for g in range(k) if g != f):
-            shifted = coef[:, : done + 1] * inside[:, [g]]
-            coef[:, : done + 1] *= share[g]
-            coef[:, 1 : done + 2] += shifted
-        out[:, f] = (coef @ weights) * (inside[:, f] - share[f])
+        part = share[:, f]
+        without = full[..., k] * weights[k - 1]
+        at = full[..., k]
+        for j in range(k - 1, 0, -1):
+            at = full[..., j] - part * at
+            without = without + at * weights[j - 1]
+        outside = (full[..., :k] @ np.array(weights)) / np.where(part > 0, part, 1.0)
+        out[..., f] = np.where(inside[..., f] > 0, without, outside) * (inside[..., f] - part)
     return out
 
 
+def _by_length(leaves: Sequence[tuple[float, list]]) -> list[tuple[np.ndarray, ...]]:
+    """(values, features, low, high, share) of the leaves with equally long paths, as arrays."""
+    groups: dict[int, list] = {}
+    for value, path in leaves:
+        groups.setdefault(len(path), []).append((value, path))
+    return [(np.array([v for v, _ in g]), *(np.array([[p[i] for p in path] for _, path in g], dtype=t) for i, t in enumerate((int, float, float, float)))) for g in groups.values()]
+
+
 def tree_base_value(trees: Sequence[tuple[float, dict]]) -> float:
     """Cover-weighted mean prediction of the ensemble."""
     return float(sum(w * sum(v * np.prod([p[3] for p in path]) for v, path in _leaf_paths(t)) for w, t in trees))
@@ -181,7 +205,7 @@ def explain_trees(df: DataFrame, features: Sequence[str], trees: Sequence[tuple[
     rows run vectorised in their own partitions.
     """
     leaves = [(w * value, path) for w, tree in trees for value, path in _leaf_paths(tree) if path]
-    shared = df.sparkSession.sparkContext.broadcast(leaves)
+    shared = df.sparkSession.sparkContext.broadcast(_by_length(leaves))
     names = list(features)
     added = [f"shap_{f}" for f in names]
     schema = T.StructType([*df.schema.fields, *[T.StructField(a, T.DoubleType()) for a in added]])
@@ -190,11 +214,14 @@ def explain_trees(df: DataFrame, features: Sequence[str], trees: Sequence[tuple[
         for batch in batches:
             x = batch[names].to_numpy(dtype=float)
             total = np.zeros((len(batch), len(names)))
-            for value, path in shared.value:
-                at = [p[0] for p in path]
-                inside = np.stack([(x[:, f] > low) & (x[:, f] <= high) for f, low, high, _ in path], axis=1)
-                share = np.array([p[3] for p in path])
-                total[:, at] += value * _shapley_of_leaf(inside.astype(float), share)
+            for values, at, low, high, share in shared.value:
+                step = max(1, _CELLS // max(1, len(batch) * (at.shape[1] + 1)))
+                for a in range(0, len(values), step):
+                    part = slice(a, a + step)
+                    seen = x[:, at[part]]
+                    inside = ((seen > low[part]) & (seen <= high[part])).astype(float)
+                    amounts = _shapley_of_leaves(inside, share[part]) * values[part][:, None]
+                    np.add.at(total.T, at[part].ravel(), amounts.reshape(len(batch), -1).T)
             yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(total, columns=added)], axis=1)
 
     explained = df.mapInPandas(attribute, schema)

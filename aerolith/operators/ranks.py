@@ -1,22 +1,22 @@
 """Exact ranks over whole columns without ordering a column in one task.
 
 Equal values are counted first, so a value held by very many rows becomes one row. The distinct
-values are cut into bins at approximate quantiles; bins are summed, and ordered each on its own.
-Where the cuts lie changes only the balance, never a rank. They are taken once, as a few numbers
-per column, so that all parts of a plan use the same ones.
+values are dealt into ranges of about a million, by cuts that are drawn from the distinct values
+themselves; a range is ordered on its own, and the sums of the ranges before it are added. The
+number of ranges follows the number of distinct values.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from math import isfinite
 
-from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-DEFAULT_BINS = 128
+from aerolith.session import stage
+
+BIN_VALUES = 1_000_000
 
 
 def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column] = (), name: str = "feature", value: str = "x") -> DataFrame:
@@ -25,41 +25,50 @@ def unpivot(df: DataFrame, columns: Sequence[str], keep: Sequence[str | Column]
     return df.select(*keep, F.expr(f"inline(array({entries}))"))
 
 
-def _binned(df: DataFrame, columns: Sequence[str], bins: int) -> DataFrame:
-    """(feature, x, _bin) in long form; the cuts are a few numbers per column, held in the plan."""
-    wide = df.select(*[F.col(c).cast("double").alias(c) for c in columns])
-    shares = [i / bins for i in range(1, bins)]
-    quantiles = wide.agg(*[F.percentile_approx(c, shares, 10 * bins).alias(c) for c in columns]).first()
-    inner = [sorted({q for q in quantiles[c] or [] if isfinite(q)}) or [0.0] for c in columns]
-    cutter = Bucketizer(
-        splitsArray=[[float("-inf"), *cuts, float("inf")] for cuts in inner],
-        inputCols=list(columns),
-        outputCols=[f"_bin_{c}" for c in columns],
-        handleInvalid="keep",
-    )
-    entries = ", ".join(f"named_struct('feature', '{c}', 'x', `{c}`, '_bin', CAST(`_bin_{c}` AS INT))" for c in columns)
-    return cutter.transform(wide).select(F.expr(f"inline(array({entries}))")).filter(F.col("x").isNotNull())
+def _value_counts(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """(feature, x, n): copies of each non-null value."""
+    return unpivot(df, columns).filter(F.col("x").isNotNull()).groupBy("feature", "x").agg(F.count("*").alias("n"))
 
 
-def value_ranks(df: DataFrame, columns: Sequence[str], bins: int = DEFAULT_BINS) -> DataFrame:
-    """(feature, x, n, below, total): copies of each value, rows below it, non-null rows in all."""
-    columns = list(dict.fromkeys(columns))
-    counts = _binned(df, columns, bins).groupBy("feature", "_bin", "x").agg(F.count("*").alias("n"))
+def _bins(df: DataFrame, columns: Sequence[str], bin_values: int) -> int:
+    about = df.agg(*[F.approx_count_distinct(F.col(c).cast("double"), 0.05).alias(c) for c in columns]).first()
+    return max(1, -(-sum(about) // bin_values))
+
+
+def _ranged(df: DataFrame, columns: Sequence[str], bins: int) -> tuple[DataFrame, DataFrame]:
+    """Value counts with their range (``_bin``), and one row per (feature, range) with the rows before it.
+
+    The ranges are cut once and written, so that both results mean the same ones.
+    """
+    counts = _value_counts(df, columns).repartitionByRange(bins, "feature", "x")
+    ranged = stage(counts.withColumn("_bin", F.spark_partition_id()))
     upto = W.partitionBy("feature").orderBy("_bin").rowsBetween(W.unboundedPreceding, 0)
-    # At most columns × (bins + 1) rows: safe to send to all tasks, and to order per column.
     sums = (
-        counts.groupBy("feature", "_bin")
+        ranged.groupBy("feature", "_bin")
         .agg(F.sum("n").alias("_in_bin"))
         .withColumn("_before", F.sum("_in_bin").over(upto) - F.col("_in_bin"))
         .withColumn("total", F.sum("_in_bin").over(W.partitionBy("feature")))
-        .select("feature", "_bin", "_before", "total")
     )
+    return ranged, sums
+
+
+def _placed(ranged: DataFrame, sums: DataFrame) -> DataFrame:
     inside = W.partitionBy("feature", "_bin").orderBy("x").rowsBetween(W.unboundedPreceding, 0)
-    return (
-        counts.withColumn("_upto", F.sum("n").over(inside))
-        .join(F.broadcast(sums), ["feature", "_bin"])
-        .select("feature", "x", "n", (F.col("_before") + F.col("_upto") - F.col("n")).alias("below"), "total")
-    )
+    upto = ranged.withColumn("_upto", F.sum("n").over(inside))
+    below = (F.col("_before") + F.col("_upto") - F.col("n")).alias("below")
+    return upto.join(sums.select("feature", "_bin", "_before", "total"), ["feature", "_bin"]).select("feature", "x", "n", below, "total")
+
+
+def value_ranks(df: DataFrame, columns: Sequence[str], bin_values: int = BIN_VALUES) -> DataFrame:
+    """(feature, x, n, below, total): copies of each value, rows below it, non-null rows in all."""
+    columns = list(dict.fromkeys(columns))
+    bins = _bins(df, columns, bin_values)
+    if bins > 1:
+        return _placed(*_ranged(df, columns, bins))
+    ordered = W.partitionBy("feature").orderBy("x")
+    below = F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, 0)) - F.col("n")
+    total = F.sum("n").over(ordered.rowsBetween(W.unboundedPreceding, W.unboundedFollowing))
+    return _value_counts(df, columns).select("feature", "x", "n", below.alias("below"), total.alias("total"))
 
 
 def average_rank() -> Column:
@@ -72,46 +81,52 @@ def quantile_bin(bins: int) -> Column:
     return F.floor(F.col("below") * bins / F.col("total")).cast("int")
 
 
-def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float]) -> DataFrame:
-    """(feature, share, quantile) with linear interpolation between the two nearest values."""
-    wanted = F.array(*[F.lit(float(s)) for s in shares])
-    spots = value_ranks(df, columns).withColumn("share", F.explode(wanted))
+def exact_quantiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float], bin_values: int = BIN_VALUES) -> DataFrame:
+    """(feature, share, quantile) with linear interpolation between the two nearest values.
+
+    Only ranges that hold one of the places are ordered: two per column and share at most.
+    """
+    columns = list(dict.fromkeys(columns))
     place = F.col("share") * (F.col("total") - 1)
     low, high = F.floor(place), F.ceil(place)
 
-    def holds(i: Column) -> Column:
-        return (F.col("below") <= i) & (i < F.col("below") + F.col("n"))
-
+    def holds(i: Column, before: str = "below", size: str = "n") -> Column:
+        return (F.col(before) <= i) & (i < F.col(before) + F.col(size))
+
+    wanted = F.explode(F.array(*[F.lit(float(s)) for s in shares]))
+    bins = _bins(df, columns, bin_values)
+    if bins > 1:
+        ranged, sums = _ranged(df, columns, bins)
+        holding = sums.withColumn("share", wanted).filter(holds(low, "_before", "_in_bin") | holds(high, "_before", "_in_bin"))
+        needed = holding.select("feature", "_bin", "_before", "total").distinct()
+        values = _placed(ranged.join(needed.select("feature", "_bin"), ["feature", "_bin"], "left_semi"), needed)
+    else:
+        values = value_ranks(df, columns, bin_values)
     # Filtered before the group: two values per column and share are left.
-    spots = spots.filter(holds(low) | holds(high))
-    return spots.groupBy("feature", "share").agg(
-        (
-            F.max(F.when(holds(low), F.col("x")))
-            + (F.max(F.when(holds(high), F.col("x"))) - F.max(F.when(holds(low), F.col("x"))))
-            * F.max(place - low)
-        ).alias("quantile")
-    )
+    spots = values.withColumn("share", wanted).filter(holds(low) | holds(high))
+    at_low, at_high = F.max(F.when(holds(low), F.col("x"))), F.max(F.when(holds(high), F.col("x")))
+    return spots.groupBy("feature", "share").agg((at_low + (at_high - at_low) * F.max(place - low)).alias("quantile"))
 
 
-def with_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "_rank", bins: int = DEFAULT_BINS) -> DataFrame:
+def with_ranks(df: DataFrame, columns: Sequence[str], suffix: str = "_rank", bin_values: int = BIN_VALUES) -> DataFrame:
     """Add the average rank of each column; rows without the value get null.
 
     One lookup per column by value. The lookup side has one row per distinct value, so a value
     held by many rows is split over tasks by the adaptive skew join.
     """
-    ranks = value_ranks(df, columns, bins).select("feature", "x", average_rank().alias("_rank"))
+    ranks = value_ranks(df, columns, bin_values).select("feature", "x", average_rank().alias("_rank"))
     for c in columns:
         places = ranks.filter(F.col("feature") == c).select(F.col("x").alias("_x"), F.col("_rank").alias(f"{c}{suffix}"))
         df = df.join(places, df[c].cast("double") == places["_x"], "left").drop("_x")
     return df
 
 
-def rank_rows(df: DataFrame, columns: Sequence[str], target: str, as_value, bins: int = DEFAULT_BINS) -> DataFrame:
+def rank_rows(df: DataFrame, columns: Sequence[str], target: str, as_value, bin_values: int = BIN_VALUES) -> DataFrame:
     """(feature, x_value, y_value, n): every row with ``as_value`` of its rank in column and target.
 
     Rows with equal (column value, target value) are counted together before the lookup.
     """
-    ranks = value_ranks(df, [*columns, target], bins).withColumn("_v", as_value)
+    ranks = value_ranks(df, [*columns, target], bin_values).withColumn("_v", as_value)
     long = unpivot(df, columns, [F.col(target).cast("double").alias("y")])
     pairs = long.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).groupBy("feature", "x", "y").agg(F.count("*").alias("n"))
     of_target = ranks.filter(F.col("feature") == target).select(F.col("x").alias("y"), F.col("_v").alias("y_value"))

@@ -243,7 +243,8 @@ def top_correlated(pearson: DataFrame, k: int = 10) -> DataFrame:
 
 def fixed_sample(df: DataFrame, n: int, key: Sequence[str], seed: int = 42) -> DataFrame:
     """``n`` rows chosen by a hash of their key: the same rows on every run and layout."""
-    return df.orderBy(F.xxhash64(*key, F.lit(seed)), *key).limit(n)
+    drawn = F.md5(F.concat_ws("|", *[F.col(c).cast("string") for c in key], F.lit(str(seed))).cast("binary"))
+    return df.orderBy(drawn, *key).limit(n)
 
 
 def series_metrics(df: DataFrame, spec: SeriesSpec, actual: str, predicted: str) -> DataFrame:

@@ -12,7 +12,7 @@ from multiprocessing.pool import ThreadPool
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from aerolith.operators.chunks import SeriesSpec
@@ -20,7 +20,7 @@ from aerolith.operators.split import expanding_folds, standard_moments, time_spl
 from aerolith.operators.stats import regression_metrics
 from aerolith.plans.registry import ModelRegistry
 from aerolith.schema import TARGET
-from aerolith.session import discard, stage
+from aerolith.session import discard, job, stage
 
 SEED = 42
 VECTOR = "_features"
@@ -106,6 +106,8 @@ class TrainingData:
     @classmethod
     def split_on(cls, train: DataFrame, test: DataFrame, features: Sequence[str], target: str = TARGET) -> TrainingData:
         size = train.agg(F.count("*").alias("n"), F.stddev_pop(target).alias("s")).first()
+        if not size["n"]:
+            raise ValueError("no rows to train on: the series are too short for this split")
         return cls(train, test, list(features), target, standard_moments(train, features), size["n"], size["s"] or 1.0)
 
 
@@ -122,10 +124,22 @@ def fit(name: str, data: TrainingData, settings: Mapping | None = None) -> Pipel
     return Pipeline(stages=stages).fit(data.train)
 
 
+def _metrics(row: Row | None) -> dict[str, float]:
+    if row is None or not row["n"]:
+        raise ValueError("no rows to evaluate on: the series are too short for this split")
+    return {"MAE": round(row["mae"], 4), "RMSE": round(row["rmse"], 4), "R2": round(row["r2"], 4) if row["r2"] is not None else float("nan")}
+
+
 def evaluate(model: PipelineModel, data: DataFrame, target: str = TARGET) -> dict[str, float]:
     """Metrics to four decimals."""
-    row = regression_metrics(model.transform(data), target, "prediction").first()
-    return {"MAE": round(row["mae"], 4), "RMSE": round(row["rmse"], 4), "R2": round(row["r2"], 4) if row["r2"] is not None else float("nan")}
+    return _metrics(regression_metrics(model.transform(data), target, "prediction").first())
+
+
+def evaluate_parts(model: PipelineModel, data: TrainingData) -> tuple[dict[str, float], dict[str, float]]:
+    """Metrics of the train and the test part, in one pass."""
+    parts = data.train.withColumn("_part", F.lit("train")).unionByName(data.test.withColumn("_part", F.lit("test")))
+    rows = {r["_part"]: r for r in regression_metrics(model.transform(parts), data.target, "prediction", ["_part"]).collect()}
+    return _metrics(rows.get("train")), _metrics(rows.get("test"))
 
 
 def compare(data: TrainingData, candidates: Mapping[str, Mapping] | None = None, parallelism: int = 2) -> tuple[DataFrame, dict[str, PipelineModel], str]:
@@ -140,7 +154,7 @@ def compare(data: TrainingData, candidates: Mapping[str, Mapping] | None = None,
         begin = time.time()
         model = fit(name, data, settings)
         seconds = time.time() - begin
-        train, test = evaluate(model, data.train, data.target), evaluate(model, data.test, data.target)
+        train, test = evaluate_parts(model, data)
         return name, model, train, test, seconds
 
     with ThreadPool(parallelism) as pool:
@@ -216,12 +230,13 @@ def train(
     n_iter: int = 15,
 ) -> tuple[DataFrame, str, dict[str, float]]:
     """Split, compare, optionally tune a tree champion, save. Returns leaderboard, name, metrics."""
-    data = TrainingData.of(table, spec, features, target, test_ratio)
-    board, models, champion = compare(data, candidates)
-    model, settings = models[champion], {}
-    if tuned and champion in (XBOOST, FOREST):
-        model, settings, _ = tune(champion, data, spec, n_iter=n_iter)
-    metrics = evaluate(model, data.test, target)
-    if registry is not None:
-        registry.save(model, champion, metrics, features, hyperparameters=settings)
+    with job():
+        data = TrainingData.of(table, spec, features, target, test_ratio)
+        board, models, champion = compare(data, candidates)
+        model, settings = models[champion], {}
+        if tuned and champion in (XBOOST, FOREST):
+            model, settings, _ = tune(champion, data, spec, n_iter=n_iter)
+        metrics = evaluate(model, data.test, target)
+        if registry is not None:
+            registry.save(model, champion, metrics, features, hyperparameters=settings)
     return board, champion, metrics

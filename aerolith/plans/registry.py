@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import uuid
 from collections.abc import Callable, Sequence
 from datetime import datetime, timezone
 
@@ -44,7 +45,7 @@ class ModelRegistry:
         is_champion: bool = True,
     ) -> str:
         now = datetime.now(timezone.utc)
-        version = version or now.strftime("%Y%m%d_%H%M%S")
+        version = version or f"{now:%Y%m%d_%H%M%S}_{uuid.uuid4().hex[:6]}"
         path = f"{self.root}/{name.lower().replace(' ', '_')}_v_{version}"
         model.write().overwrite().save(path)
         row = (name, version, now, path, {k: float(v) for k, v in metrics.items()}, len(features), list(features), json.dumps(hyperparameters or {}), is_champion)

@@ -83,6 +83,13 @@ def scenario_rows(df: DataFrame, changes: Mapping[str, Sequence[float]]) -> Data
     ).drop("_case")
 
 
+def scenario_grid(df: DataFrame, changes: Mapping[str, Sequence[float]]) -> DataFrame:
+    """Every row under every combination of the columns' factors, with the factors in ``<column>_factor``."""
+    for c, factors in changes.items():
+        df = df.withColumn(f"{c}_factor", F.explode(F.array(*[F.lit(float(f)) for f in factors])))
+    return df.withColumns({c: F.col(c) * F.col(f"{c}_factor") for c in changes})
+
+
 def current_status(latest: DataFrame, keys: Sequence[str], ts: str = "datetime", value: str = VALUE) -> DataFrame:
     """Current value and category of each series; a missing value counts as 25."""
     known = F.coalesce(F.when(~F.isnan(value), F.col(value)), F.lit(25.0))

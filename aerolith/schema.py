@@ -102,6 +102,7 @@ FALLBACK_WEATHER = {
     "wind_direction_10m": 230.0,
 }
 
+# Lags and windows in rows, and the names of the columns made from them.
 LAGS = [24, 48, 72, 168]
 ROLLINGS = [24, 72]
 
@@ -158,8 +159,7 @@ def storage_name(name: str) -> str:
     known = {shown: stored for stored, shown in DISPLAY_NAMES.items()}
     if name in known:
         return known[name]
-    plain = re.sub(r"\W", "_", name).strip("_").lower()
-    return re.sub(r"_+", "_", plain)
+    return "_".join(part for part in re.split(r"[\W_]+", name.lower()) if part)
 
 
 def sanitize_columns(df: DataFrame) -> tuple[DataFrame, dict[str, str]]:

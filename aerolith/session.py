@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import warnings
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -28,7 +31,7 @@ def build_session(app: str = "aerolith", master: str | None = None, **conf: str)
 def shared_dir(spark: SparkSession) -> str:
     """The folder all executors can reach, as named by ``spark.checkpoint.dir``.
 
-    A folder of our own is only made for a local master, where no other machine has to see it.
+    Where it is unset, a local master gets a folder of our own with a warning; any other is an error.
     """
     context = spark.sparkContext
     named = spark.conf.get(_CHECKPOINT_CONF, None) or context.getConf().get(_CHECKPOINT_CONF)
@@ -36,6 +39,7 @@ def shared_dir(spark: SparkSession) -> str:
         if not context.master.startswith("local"):
             raise RuntimeError(f"set {_CHECKPOINT_CONF} to a folder shared by all executors")
         named = tempfile.mkdtemp(prefix="aerolith-")
+        warnings.warn(f"{_CHECKPOINT_CONF} is not set; using {named}", stacklevel=2)
         spark.conf.set(_CHECKPOINT_CONF, named)
     return named.rstrip("/")
 
@@ -51,9 +55,29 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._stage_path = path
+    if _JOBS:
+        _JOBS[-1].append(staged)
     return staged
 
 
+_JOBS: list[list[DataFrame]] = []
+
+
+@contextmanager
+def job() -> Iterator[list[DataFrame]]:
+    """Deletes at its end all that was staged inside. A job writes its own output before.
+
+    A staged result that outlives the job is taken out of the list.
+    """
+    made: list[DataFrame] = []
+    _JOBS.append(made)
+    try:
+        yield made
+    finally:
+        _JOBS.remove(made)
+        discard(*made)
+
+
 def discard(*staged: DataFrame) -> None:
     """Delete the files of staged DataFrames nothing reads any more."""
     for df in staged:

@@ -34,24 +34,66 @@ def latest_version(old: DataFrame, new: DataFrame, keys: Sequence[str], tie_brea
     return both.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") == 1).drop("_r", "_new")
 
 
+_SCHEMA = "_schema"
+
+
+def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
+    """The columns a table has had so far, without the date; None if there is no table yet."""
+    kept = f"{path}/{_SCHEMA}"
+    if exists(spark, kept):
+        newest = spark.read.json(kept, schema="version long, columns string").orderBy(F.desc("version")).first()
+        return T.StructType.fromJson(json.loads(newest["columns"]))
+    if exists(spark, path):  # written by other means
+        found = spark.read.option("mergeSchema", True).parquet(path).schema
+        return T.StructType([f for f in found.fields if f.name != DATE])
+    return None
+
+
+def read_table(spark: SparkSession, path: str) -> DataFrame:
+    """A table with all columns it has had; rows written before a column came have null in it."""
+    schema = table_schema(spark, path)
+    if schema is None:
+        raise FileNotFoundError(f"no table at {path}")
+    return spark.read.schema(T.StructType([*schema.fields, T.StructField(DATE, T.DateType())])).parquet(path)
+
+
+def _widen(spark: SparkSession, path: str, new: T.StructType) -> T.StructType:
+    """Adds the columns the table does not have yet. A column keeps the type it came with."""
+    old = table_schema(spark, path)
+    names = set(old.names) if old else set()
+    added = [T.StructField(f.name, f.dataType) for f in new.fields if f.name not in names]
+    schema = T.StructType([*(old.fields if old else []), *added])
+    if added:
+        row = [(len(schema), schema.json())]
+        spark.createDataFrame(row, "version long, columns string").coalesce(1).write.mode("append").json(f"{path}/{_SCHEMA}")
+    return schema
+
+
 def upsert(
     spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], ts: str = TS, tie_break: Sequence[str | Column] = ()
-) -> None:
+) -> int:
     """Merge ``new`` into the table at ``path``, rewriting only the dates in it.
 
+    Rows without a time belong to no date: they are left out, and their number is returned. Columns may
+    be missing from ``new`` (they become null) or come with it (they are null in older rows).
     Running the same upsert again changes nothing. Output is rebalanced by date: a large date is
     spread over several tasks and files.
     """
-    new = stage(new.withColumn(DATE, F.to_date(ts)))
-    if exists(spark, path):
-        dates = [r[0] for r in new.select(DATE).distinct().collect()]
-        old = spark.read.parquet(path).filter(F.col(DATE).isin(dates))
-    else:
-        old = new.limit(0)
-    merged = stage(latest_version(old, new, [*keys, ts], tie_break))
+    known = table_schema(spark, path) is not None
+    schema = _widen(spark, path, new.schema)
+    typed = new.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields if f.name in new.columns])
+    staged = stage(typed.withColumn(DATE, F.to_date(ts)))
+    left_out = staged.filter(F.col(DATE).isNull()).count()
+    dated = staged.filter(F.col(DATE).isNotNull())
+    old = dated.limit(0)
+    if known:
+        dates = [r[0] for r in dated.select(DATE).distinct().collect()]
+        old = read_table(spark, path).filter(F.col(DATE).isin(dates))
+    merged = stage(latest_version(old, dated, [*keys, ts], tie_break))
     writer = merged.hint("rebalance", F.col(DATE)).write.mode("overwrite").partitionBy(DATE)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
-    discard(new, merged)
+    discard(staged, merged)
+    return left_out
 
 
 class FeatureStore:
@@ -89,8 +131,11 @@ class FeatureStore:
         spec = {"primary_key": list(primary_key), "event_time": event_time, "description": description}
         return self._save_spec("groups", name, version, spec)
 
-    def insert(self, df: DataFrame, name: str, version: int = 1, *, city: str = "unknown", **group) -> None:
-        """Add the series key if absent, use storage names, read the time as UTC, upsert on the key."""
+    def insert(self, df: DataFrame, name: str, version: int = 1, *, city: str = "unknown", **group) -> int:
+        """Add the series key if absent, use storage names, read the time as UTC, upsert on the key.
+
+        Returns how many rows without a time were left out.
+        """
         spec = self.get_or_create_group(name, version, **group)
         rows, _ = sanitize_columns(add_city(df, city))
         require_columns(rows, spec["primary_key"])
@@ -98,10 +143,10 @@ class FeatureStore:
         if isinstance(rows.schema[ts].dataType, T.StringType):
             rows = rows.withColumn(ts, F.try_to_timestamp(ts))
         keys = [k for k in spec["primary_key"] if k != ts]
-        upsert(self.spark, self._group_path(name, version), rows, keys, ts)
+        return upsert(self.spark, self._group_path(name, version), rows, keys, ts)
 
     def read(self, name: str, version: int = 1) -> DataFrame:
-        return self.spark.read.parquet(self._group_path(name, version))
+        return read_table(self.spark, self._group_path(name, version))
 
     def get_or_create_view(
         self, name: str, group: str, columns: Sequence[str], version: int = 1, *, group_version: int = 1, labels: Sequence[str] = (TARGET,)

@@ -14,8 +14,8 @@ from aerolith.operators.features import live_features
 from aerolith.plans.jobs import clean_live, recent_history
 from aerolith.plans.scoring import prediction_log, score
 from aerolith.schema import OBSERVATION, VALUE
-from aerolith.session import discard, stage
-from aerolith.sources.store import upsert
+from aerolith.session import job, stage
+from aerolith.sources.store import read_table, upsert
 
 
 def landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -83,19 +83,20 @@ def live_stream(
     """
 
     def advance(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        new = stage(batch.select(*spec.keys, *OBSERVATION))
+        with job():
+            merge(stage(batch.select(*spec.keys, *OBSERVATION)), batch_id)
+
+    def merge(new: DataFrame, batch_id: int) -> None:
+        spark = new.sparkSession
         if new.isEmpty():
-            discard(new)
             return
         upsert(spark, raw_path, new, list(spec.keys), spec.ts)
-        history = recent_history(spark.read.parquet(raw_path), new, spec, 169)
+        history = recent_history(read_table(spark, raw_path), new, spec, 169)
         latest = stage(live_features(history, spec))
         latest.write.mode("overwrite").parquet(f"{features_path}/batch_id={batch_id}")
         if predict is not None and log_path is not None:
             scored = score(latest, predict, features, [*spec.keys, spec.ts, VALUE])
             rows_out = prediction_log(scored, spec.keys, model_name, F.current_timestamp(), spec.ts)
             rows_out.write.mode("overwrite").parquet(f"{log_path}/batch_id={batch_id}")
-        discard(new, latest)
 
     return _start(rows, advance, checkpoint, available_now)

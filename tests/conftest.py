@@ -9,7 +9,7 @@ from aerolith import build_session  # noqa: E402
 
 
 @pytest.fixture(scope="session")
-def spark():
+def spark(tmp_path_factory):
     session = build_session(
         "aerolith-tests",
         "local[4]",
@@ -18,6 +18,7 @@ def spark():
             "spark.ui.enabled": "false",
             "spark.driver.memory": "4g",
             "spark.driver.bindAddress": "127.0.0.1",
+            "spark.checkpoint.dir": str(tmp_path_factory.mktemp("work")),
         },
     )
     session.sparkContext.setLogLevel("ERROR")

@@ -40,10 +40,10 @@ def plain_rank(x):
     return np.array([(x < v).sum() + ((x == v).sum() + 1) / 2 for v in x])
 
 
-@pytest.mark.parametrize("bins", [1, 2, 7, 128])
-def test_value_ranks(numbers, bins):
+@pytest.mark.parametrize("bin_values", [7, 100, 300, 10**6])
+def test_value_ranks(numbers, bin_values):
     df, table = numbers
-    rows = ranks.value_ranks(df, ["a", "b"], bins).withColumn("r", ranks.average_rank()).collect()
+    rows = ranks.value_ranks(df, ["a", "b"], bin_values).withColumn("r", ranks.average_rank()).collect()
     got = {(r.feature, r.x): (r.r, r.total) for r in rows}
     for i, c in enumerate("ab"):
         for v, want in zip(table[:, i], plain_rank(table[:, i]), strict=True):
@@ -57,6 +57,14 @@ def test_rank_of_special_values(spark):
     assert got == {"-inf": (0, 1), "0.0": (1, 2), "1.0": (3, 2), "inf": (5, 1), "nan": (6, 1)}
 
 
+def test_a_mostly_zero_column_fills_its_ranges_evenly(spark):
+    df = spark.range(20_000).selectExpr("CASE WHEN id % 50 = 0 THEN cast(id as double) ELSE 0.0 END AS x")
+    ranged, sums = ranks._ranged(df, ["x"], 8)
+    sizes = [r["count"] for r in ranged.groupBy("_bin").count().collect()]
+    assert sum(sizes) == 400 and len(sizes) == 8 and max(sizes) <= 80
+    assert sums.agg({"_in_bin": "sum"}).first()[0] == 20_000
+
+
 def test_statistics(numbers):
     df, table = numbers
     a, b, y = table.T
@@ -65,10 +73,11 @@ def test_statistics(numbers):
     for name, x in (("a", a), ("b", b)):
         assert math.isclose(pearson[name], np.corrcoef(x, y)[0, 1], rel_tol=1e-9)
         assert math.isclose(spearman[name], np.corrcoef(plain_rank(x), plain_rank(y))[0, 1], rel_tol=1e-9)
-    quart = {(r.feature, r.share): r.quantile for r in ranks.exact_quantiles(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0]).collect()}
-    for name, x in (("a", a), ("b", b)):
-        for q in (0.0, 0.25, 0.5, 0.9, 1.0):
-            assert math.isclose(quart[(name, q)], np.quantile(x, q), abs_tol=1e-9)
+    for bin_values in (50, 10**6):
+        quart = {(r.feature, r.share): r.quantile for r in ranks.exact_quantiles(df, ["a", "b"], [0.0, 0.25, 0.5, 0.9, 1.0], bin_values).collect()}
+        for name, x in (("a", a), ("b", b)):
+            for q in (0.0, 0.25, 0.5, 0.9, 1.0):
+                assert math.isclose(quart[(name, q)], np.quantile(x, q), abs_tol=1e-9)
     cells = {}
     place = lambda x: np.floor([(x < v).sum() * 8 / 900 for v in x])
     for p, q in zip(place(a), place(y), strict=True):
