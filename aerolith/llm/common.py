@@ -16,7 +16,7 @@ WORD_SQL = r"[^\x20\x09-\x0D]+"
 
 #: Rows of a batch handled at a time, and the text bytes after which a slice ends early.
 SLICE_ROWS = 1024
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 19
 
 
 def held_out(doc_id: str = "doc_id", folds: int = 5) -> Column:
