@@ -198,10 +198,12 @@ def one_of_each(docs: DataFrame, **settings) -> DataFrame:
     Of rows equal in both, one stays.
     """
     marked = docs.select("doc_id", "text", F.xxhash64("text").alias("_text"), F.struct(*[F.col(c) for c in docs.columns]).alias("_row"))
+    # One key for the join and for what follows it, so that the texts move once.
+    key = F.concat_ws("/", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.col("_text").cast("string")).alias("_key")
     groups = near_duplicates(marked, keep=("_text",), **settings)
     first = groups.groupBy("root").agg(F.min(F.struct(F.isnull("doc_id").alias("late"), F.col("doc_id").alias("id"), F.col("_text").alias("hash"))).alias("first"))
-    kept = stage(first.select("first.id", "first.hash"))
-    rows = marked.drop("text").join(kept, marked["doc_id"].eqNullSafe(kept["id"]) & (marked["_text"] == kept["hash"]), "left_semi")
+    kept = stage(first.select(F.col("first.id").alias("doc_id"), F.col("first.hash").alias("_text")).select(key))
+    rows = marked.select(key, "_row").join(kept, "_key", "left_semi")
     others = [F.col("_row").getField(c) for c in docs.columns if c not in ("doc_id", "text")]
-    among = W.partitionBy("doc_id", "_text").orderBy(*others, "doc_id")
+    among = W.partitionBy("_key").orderBy(*others, "_key")
     return rows.withColumn("_n", F.row_number().over(among)).filter("_n = 1").select("_row.*")
