@@ -23,7 +23,7 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST_ROUNDS = 2
 #: Documents in one range of random keys. Only the spread of the work depends on it.
-RANGE_ROWS = 20_000
+RANGE_ROWS = 2_000
 
 _KEY_SPAN = 16**12
 _BREAK = r"[\x20\x09-\x0D]+"
