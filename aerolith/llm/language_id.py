@@ -116,7 +116,7 @@ def build(counts: pd.DataFrame, order: int = ORDER) -> PPM | None:
     lang = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(dtype=object))
     gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
     length = np.array([(int(g).bit_length() - 1) // 8 for g in gram])
-    seen = np.unique(gram[length == 1] & 255)
+    seen = np.unique(np.append(gram[length == 1] & 255, _PAD))
     symbol = np.zeros(256, dtype=np.int32)
     symbol[seen] = np.arange(1, len(seen) + 1)
     size = len(seen) + 1
