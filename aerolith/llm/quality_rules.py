@@ -3,11 +3,14 @@
 The n-grams (one and two words, without regard to A-Z case) of trusted texts and of all texts are
 counted in hash buckets. A document's score is the mean over its n-grams of the log of how much more
 likely their buckets are in trusted texts than in the corpus. Every document is held against one
-threshold.
+threshold, which is taken from trusted texts that were not counted: how low their scores get depends on
+how much text there was to count.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -20,9 +23,10 @@ BUCKETS = 1 << 15
 #: Trusted documents that the target counts come from, at most (the first by a hash of the id).
 TRUSTED_ROWS = 20_000
 #: Weight of the corpus in the smoothed target counts, in n-grams.
-PRIOR = 1_000.0
-#: A document is kept if its mean log-likelihood ratio is at least this.
-THRESHOLD = -0.1
+PRIOR = 20_000.0
+#: The threshold lies this far below the score that all but this share of the uncounted trusted texts reach.
+MARGIN = 0.04
+LEAST_SHARE = 0.001
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -136,13 +140,37 @@ def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS,
     return np.log((target + prior * base) / (target.sum() + prior) / base)
 
 
-def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+@dataclass(frozen=True)
+class Rules:
+    """Log ratio of each bucket, and the least mean of a document that is kept."""
+
+    ratios: np.ndarray
+    threshold: float
+
+
+def fit(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, prior: float = PRIOR) -> Rules:
+    """The rules of a corpus. Half of the trusted ids, by hash, are counted; the others set the threshold.
+
+    Without a trusted text left to set it, every document that passes the base is kept.
+    """
+    ids = stage(trusted_ids.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows))
+    counted = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+    ratios = log_ratios(docs, ids.filter(counted), buckets, trusted_rows, prior)
+    others = ids.filter(~counted).select(F.col("doc_id").alias("_id"))
+    rest = docs.select("doc_id", "text").join(F.broadcast(others), F.col("doc_id") == F.col("_id"), "left_semi")
+    scores = judge(rest, Rules(ratios, -np.inf)).filter(~F.col("base_failed")).select("llr").limit(2 * trusted_rows).toPandas()["llr"].to_numpy()
+    if not len(scores):
+        return Rules(ratios, -np.inf)
+    return Rules(ratios, float(np.quantile(scores, LEAST_SHARE, method="lower")) - MARGIN)
+
+
+def judge(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep``, the base counts, base_failed, llr (mean log ratio, 0 without words) and kept of each text.
 
     base_failed: under 20 words, or over 30% of the words in repeated windows; such a row is not kept.
     Null and empty texts have all counts 0 and fail. Rows are kept one for one.
     """
-    shared = docs.sparkSession.sparkContext.broadcast(ratios)
+    shared = docs.sparkSession.sparkContext.broadcast(rules.ratios)
     out = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
 
     def work():
@@ -160,4 +188,4 @@ def judge(docs: DataFrame, ratios: np.ndarray, threshold: float = THRESHOLD, kee
 
     judged = map_texts(docs, out, work, keep=keep)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED_PERCENT) * F.col("n_words"))
-    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= threshold))
+    return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= F.lit(float(rules.threshold))))

@@ -101,8 +101,7 @@ def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    ratios = quality_rules.log_ratios(docs, trusted_ids(spark, sf_dir))
-    return quality_rules.judge(docs, ratios)
+    return quality_rules.judge(docs, quality_rules.fit(docs, trusted_ids(spark, sf_dir)))
 
 
 def trusted_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

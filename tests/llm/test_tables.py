@@ -194,7 +194,7 @@ def test_pipeline_stage_by_stage(spark):
             assert docs.select(F.sum(mixing.word_count())).first()[0] == mixing.mix(before).select(F.sum("taken")).first()[0]
     assert sizes[0] > 100 and sizes[3] == sizes[4]
     good = spark.read.parquet(f"{SF}/labels.parquet").filter("quality = 1").count()
-    assert sizes[1] >= 0.9 * good
+    assert sizes[1] >= 0.9 * good * 200 / spark.read.parquet(f"{SF}/labels.parquet").count()
     assert corpus_pipeline.run(spark, SF).count() == sizes[4]
     assert [n for n, _ in corpus_pipeline.STAGES] == ["quality rules", "language ID", "SimHash near-dedup", "mixing sources", "SentencePiece"]
 
