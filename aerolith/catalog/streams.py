@@ -4,11 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.catalog import SPEC, obs, query
+from aerolith.catalog import SPEC, clean, feat, h_type, obs, query
 from aerolith.catalog.explore import r6
 from aerolith.catalog.ingest import scratch
 from aerolith.catalog.sql import (
     CALENDAR_NAMES,
+    CLEAN,
+    FEAT,
+    H_TYPE,
     INTERCEPT,
     LIVE,
     MEASURES_SQL,
@@ -21,9 +24,13 @@ from aerolith.catalog.sql import (
     with_,
 )
 from aerolith.catalog.windows import FEATURE_NAMES, FEATURE_ORDER
-from aerolith.operators.chunks import SeriesSpec
+from aerolith.operators.chunks import SeriesSpec, latest_rows
+from aerolith.operators.features import live_features
+from aerolith.plans import models as M
+from aerolith.plans.registry import ModelRegistry
 from aerolith.plans.scoring import linear_model
 from aerolith.schema import LIVE_BOUNDS, MEASURES
+from aerolith.session import discard
 from aerolith.sources import store
 from aerolith.streaming import live
 
@@ -36,12 +43,27 @@ def event_stream(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def landed_observations(spark, sf_dir):
-    """Observations written as a landing folder, and the stream over it."""
+def landed(spark, *batches):
+    """Batches landed one after another, one file each, and the stream that reads a file at a time."""
     path = scratch(spark, "landing")
-    obs(spark, sf_dir).write.parquet(path)
-    schema = spark.read.parquet(path).schema
-    return live.clean_stream(live.landed(spark, path, schema))
+    for batch in batches:
+        batch.coalesce(1).write.mode("append").parquet(path)
+    return live.landed(spark, path, batches[0].schema, files_per_trigger=1)
+
+
+def three_batches(spark, sf_dir):
+    """Rows up to the 20th; then all from the 15th, corrected by one; then the first days again, late and unchanged."""
+    rows = obs(spark, sf_dir)
+    corrected = rows.filter(F.col("datetime") >= "2024-01-15").withColumn("pm2_5", F.col("pm2_5") + 1)
+    return [rows.filter(F.col("datetime") < "2024-01-20"), corrected, rows.filter(F.col("datetime") < "2024-01-05")]
+
+
+def landed_observations(spark, sf_dir):
+    return live.clean_stream(landed(spark, *three_batches(spark, sf_dir)))
+
+
+ARRIVED = OBS.replace("obs AS (", "all_obs AS (", 1) + """,
+  obs AS (SELECT * REPLACE (pm2_5 + CASE WHEN datetime >= TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END AS pm2_5) FROM all_obs)"""
 
 
 @query(f"SELECT event_type, date_trunc('hour', ts) AS hour, {r6('avg(value)', 'mean_value')}, count(*) AS n FROM events GROUP BY 1, 2")
@@ -57,34 +79,42 @@ def streamed_hourly_means(spark, sf_dir):
     return spark.read.parquet(path).drop(store.DATE)
 
 
-@query("SELECT event_type, date_trunc('hour', ts) AS datetime, CAST(1 AS BIGINT) AS n FROM events GROUP BY 1, 2")
+@query(with_(H_TYPE) + f"SELECT event_type, datetime, {r6("v + CASE WHEN datetime >= TIMESTAMP '2024-01-20' THEN 1000 ELSE 0 END", 'v')} FROM h_type")
 def streamed_first_arrivals(spark, sf_dir):
-    """One row is kept of each (type, hour)."""
+    """Of each (type, hour) the first batch wins; the second brings all hours again with other values."""
     spec = SeriesSpec(keys=("event_type",))
-    rows = event_stream(spark, sf_dir).select("event_type", F.date_trunc("hour", "ts").alias("datetime"), "value")
+    hours = h_type(spark, sf_dir)
+    rows = landed(spark, hours.filter(F.col("datetime") < "2024-01-20"), hours.withColumn("v", F.col("v") + 1000))
     path = scratch(spark, "first")
     writer = live.first_arrivals(rows, spec, "60 days").writeStream.format("parquet").option("path", path)
     writer.option("checkpointLocation", scratch(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
-    return spark.read.parquet(path).groupBy("event_type", "datetime").agg(F.count("*").alias("n"))
+    return spark.read.parquet(path)
 
 
-@query(with_(OBS, LIVE_CLEAN) + f"SELECT {cols('city datetime', MEASURES_SQL)} FROM clean")
+def newest_of_batches(spark, path, ts):
+    """The rows of the last batch that has a series."""
+    rows = spark.read.parquet(path)
+    last = rows.groupBy("city").agg(F.max("batch_id").alias("batch_id"))
+    return rows.join(last, ["city", "batch_id"])
+
+
+@query(with_(ARRIVED, LIVE_CLEAN) + f"SELECT {cols('city datetime', MEASURES_SQL)} FROM clean")
 def streamed_upsert(spark, sf_dir):
     path = scratch(spark, "raw")
     live.upsert_stream(landed_observations(spark, sf_dir), SPEC, path, scratch(spark, "cp")).awaitTermination()
     return spark.read.parquet(path).drop(store.DATE)
 
 
-@query(with_(OBS, LIVE_CLEAN, LIVE) + f"SELECT {cols('city datetime ' + CALENDAR_NAMES, FEATURE_NAMES)} FROM live")
+@query(with_(ARRIVED, LIVE_CLEAN, LIVE) + f"SELECT {cols('city datetime ' + CALENDAR_NAMES, FEATURE_NAMES)} FROM live")
 def streamed_live_features(spark, sf_dir):
     features = scratch(spark, "features")
     query_ = live.live_stream(landed_observations(spark, sf_dir), SPEC, scratch(spark, "raw"), features, scratch(spark, "cp"))
     query_.awaitTermination()
-    return spark.read.parquet(features).select(*FEATURE_ORDER[:-1])
+    return newest_of_batches(spark, features, "datetime").select(*FEATURE_ORDER[:-1])
 
 
 @query(
-    with_(OBS, LIVE_CLEAN, LIVE, f"s AS (SELECT *, CASE WHEN {SCORE} < 0 THEN 0 ELSE {SCORE} END AS p FROM live)")
+    with_(ARRIVED, LIVE_CLEAN, LIVE, f"s AS (SELECT *, CASE WHEN {SCORE} < 0 THEN 0 ELSE {SCORE} END AS p FROM live)")
     + f"SELECT city, datetime AS input_timestamp, {r6('pm2_5', 'current_pm25')}, round(p, 2) AS predicted_next_hour_pm25, {risk_sql('p')}, 'Linear Regression' AS champion_model FROM s"
 )
 def streamed_predictions(spark, sf_dir):
@@ -100,6 +130,66 @@ def streamed_predictions(spark, sf_dir):
         model_name="Linear Regression",
         log_path=log,
     ).awaitTermination()
-    return spark.read.parquet(log).drop("batch_id", "prediction_time")
+    return newest_of_batches(spark, log, "input_timestamp").drop("batch_id", "prediction_time")
+
+
+@query(
+    with_(OBS, LIVE_CLEAN, LIVE) + f"SELECT {cols('city datetime ' + CALENDAR_NAMES, FEATURE_NAMES)} FROM live"
+)
+def hourly_features(spark, sf_dir):
+    """The hourly job: two landings merged into the raw table, live features of all series, read back from the store."""
+    from aerolith.plans import jobs
+
+    rows = obs(spark, sf_dir)
+    raw, features = scratch(spark, "raw"), store.FeatureStore(spark, scratch(spark, "features"))
+    for batch in (rows.filter(F.col("datetime") < "2024-01-20"), rows.filter(F.col("datetime") >= "2024-01-19")):
+        discard(jobs.hourly_features(batch, SPEC, raw, features))
+    stored = features.read("live_features")
+    return latest_rows(stored, SPEC).select(*FEATURE_ORDER[:-1])
+
+
+_TRAIN = """s AS (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime) <= floor(count(*) OVER (PARTITION BY city) * CAST(0.8 AS DOUBLE)) AS is_train FROM feat),
+  w AS (SELECT regr_slope(target_pm25, pm2_5) AS slope, regr_intercept(target_pm25, pm2_5) AS icpt, avg(target_pm25) AS my, avg(pm2_5) AS mx, count(*) AS n FROM s WHERE is_train)"""
+
+
+@query(
+    with_(OBS, CLEAN, FEAT, _TRAIN, LIVE, "p AS (SELECT city, datetime, pm2_5, greatest(icpt + slope * pm2_5, 0) AS p FROM live, w)")
+    + f"SELECT city, datetime AS input_timestamp, {r6('pm2_5', 'current_pm25')}, round(p, 2) AS predicted_next_hour_pm25, {risk_sql('p')}, 'Linear Regression' AS champion_model FROM p"
+)
+def hourly_predictions(spark, sf_dir):
+    """The prediction job with a stored one-column champion, whose weights SQL has too; the log is read back."""
+    from aerolith.plans import jobs
+
+    registry = ModelRegistry(spark, scratch(spark, "models"))
+    log = scratch(spark, "log")
+    latest = live_features(clean(spark, sf_dir), SPEC)
+    rows = feat(spark, sf_dir)
+    jobs.hourly_predictions(latest, SPEC, registry, log, scratch(spark, "latest"), lambda: M.train(rows, SPEC, ["pm2_5"], registry, candidates={M.LINEAR: {}}))
+    return spark.read.parquet(log).drop("prediction_time")
+
+
+def _metric(predicted: str, where: str) -> str:
+    return f"""SELECT round(sqrt(avg(pow(y - {predicted}, 2))) + 3.3e-8, 4) AS rmse, round(avg(abs(y - {predicted})) + 3.3e-8, 4) AS mae,
+    round(1 - sum(pow(y - {predicted}, 2)) / (var_pop(y) * count(*)) + 3.3e-8, 4) AS r2 FROM q WHERE {where}"""
+
+
+_BOARD = {"Linear Regression": "(my + slope * (x - mx))", "Ridge Regression": "(my + slope * (x - mx) * n / (n + 5000.0))"}
+
+
+@query(
+    with_(OBS, CLEAN, FEAT, _TRAIN, "q AS (SELECT s.is_train, s.target_pm25 AS y, s.pm2_5 AS x, w.* FROM s, w)")
+    + "SELECT CAST(row_number() OVER (ORDER BY test_rmse, model) AS INTEGER) AS rank, * FROM ("
+    + " UNION ALL ".join(
+        f"SELECT '{m}' AS model, a.rmse AS train_rmse, b.rmse AS test_rmse, a.mae AS train_mae, b.mae AS test_mae, a.r2 AS train_r2, b.r2 AS test_r2, TRUE AS needs_scaling"
+        f" FROM ({_metric(p, 'is_train')}) a, ({_metric(p, 'NOT is_train')}) b"
+        for m, p in _BOARD.items()
+    )
+    + ")"
+)
+def compared_linear_models(spark, sf_dir):
+    """Split, fit, compare and rank: one-column models, whose weights have a closed form."""
+    data = M.TrainingData.of(feat(spark, sf_dir), SPEC, ["pm2_5"])
+    board, _, _ = M.compare(data, {M.LINEAR: {}, M.RIDGE: {"alpha": 5000.0}})
+    return board.drop("train_time_sec", "overfit_gap_r2")
 
 
