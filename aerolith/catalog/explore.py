@@ -277,7 +277,7 @@ CORR_NAMES = "pearson_r abs_pearson_r spearman_rho abs_spearman_rho"
 
 
 @query(
-    with_(OBS, CLEAN, FEAT, RFEAT, _RANKED, BOTH, "k AS (SELECT *, CAST(abs(rank() OVER (ORDER BY abs_pearson_r DESC NULLS LAST) - rank() OVER (ORDER BY abs_spearman_rho DESC NULLS LAST)) AS DOUBLE) AS rank_diff FROM j)")
+    with_(OBS, CLEAN, FEAT, RFEAT, _RANKED, BOTH, "k AS (SELECT *, CAST(abs(rank() OVER (ORDER BY abs_pearson_r DESC NULLS LAST) + (count(*) OVER (PARTITION BY abs_pearson_r) - 1) / 2 - rank() OVER (ORDER BY abs_spearman_rho DESC NULLS LAST) - (count(*) OVER (PARTITION BY abs_spearman_rho) - 1) / 2) AS DOUBLE) AS rank_diff FROM j)")
     + f"SELECT {cols('feature', CORR_NAMES + ' rank_diff')} FROM k"
 )
 def rank_compare(spark, sf_dir):

@@ -342,6 +342,39 @@ def feature_report(spark, sf_dir):
     return V.check_features(feat(spark, sf_dir), SPEC, ENGINEERED)
 
 
+def dirty(spark, sf_dir):
+    """Observations with infinite values at 03:00 and 05:00 and with the rows of 07:00 twice."""
+    rows, hour = obs(spark, sf_dir), F.hour("datetime")
+    rows = rows.withColumn("pm2_5", F.when(hour == 3, float("inf")).otherwise(F.col("pm2_5"))).withColumn("pm10", F.when(hour == 5, float("-inf")).otherwise(F.col("pm10")))
+    return rows.unionByName(rows.filter(hour == 7))
+
+
+DIRTY = OBS.replace("obs AS (", "tidy AS (", 1) + """,
+  marked AS (SELECT * REPLACE (CASE WHEN hour(datetime) = 3 THEN CAST('inf' AS DOUBLE) ELSE pm2_5 END AS pm2_5, CASE WHEN hour(datetime) = 5 THEN CAST('-inf' AS DOUBLE) ELSE pm10 END AS pm10) FROM tidy),
+  obs AS (SELECT * FROM marked UNION ALL SELECT * FROM marked WHERE hour(datetime) = 7)"""
+_INFS = " + ".join(f"CASE WHEN isinf({c}) THEN 1 ELSE 0 END" for c in MEASURES)
+
+
+@query(with_(DIRTY) + " UNION ALL ".join(f"SELECT '{c}' AS column_name, count(*) FILTER (WHERE {c} IS NULL) AS null_count, count(*) FILTER (WHERE isinf({c})) AS inf_count FROM obs" for c in MEASURES))
+def infinite_counts(spark, sf_dir):
+    return V.column_summary(dirty(spark, sf_dir), MEASURES).select("column_name", "null_count", "inf_count")
+
+
+@query(with_(DIRTY) + f"SELECT count(*) AS row_count, CAST(sum({_NULLS}) AS BIGINT) AS null_total, CAST(sum({_INFS}) AS BIGINT) AS inf_total, s AS stage FROM obs, (SELECT unnest(['raw', 'clean']) AS s) GROUP BY s")
+def dirty_before_after(spark, sf_dir):
+    rows = dirty(spark, sf_dir)
+    return V.before_after(rows, rows, MEASURES)
+
+
+@query(
+    with_(DIRTY)
+    + f"SELECT city, count(*) AS row_count, count(*) - count(DISTINCT datetime) AS duplicate_count, CAST(sum({_NULLS}) AS BIGINT) AS null_cells, CAST(sum({_INFS}) AS BIGINT) AS inf_cells FROM obs GROUP BY city"
+)
+def broken_feature_report(spark, sf_dir):
+    """The report of a table that breaks every rule."""
+    return V.feature_report(dirty(spark, sf_dir), SPEC, MEASURES)
+
+
 @query("WITH o AS (SELECT event_type, ts, lag(ts) OVER (PARTITION BY event_type ORDER BY event_id) AS p FROM events) SELECT event_type, count(*) FILTER (WHERE p > ts) AS unsorted_count FROM o GROUP BY 1")
 def arrival_order(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_type", "event_id", F.col("ts").alias("datetime"))
