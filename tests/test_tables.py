@@ -195,3 +195,70 @@ def test_backfill_and_training_table(spark, tmp_path):
     assert report.first().row_count == 400 and report.agg(F.sum("null_count")).first()[0] == 0
     table = jobs.build_training_table(spark.read.parquet(str(tmp_path / "raw")), SPEC, str(tmp_path / "features"))
     assert table.count() == 2 * (200 - 169)
+
+
+def test_store_keeps_columns_and_leaves_out_rows_without_time(spark, tmp_path):
+    from aerolith.sources.store import read_table, upsert
+
+    path = str(tmp_path / "t")
+
+    def rows(data, schema):
+        return spark.createDataFrame(data, schema).withColumn("datetime", F.to_timestamp("datetime"))
+
+    base, wide = "city string, datetime string, v double", "city string, datetime string, v double, n long"
+    assert upsert(spark, path, rows([("a", "2024-01-01 01:00:00", 1.0), ("a", None, 5.0)], base), ["city"]) == 1
+    assert upsert(spark, path, rows([("b", "2024-01-01 02:00:00", 2.0, 7)], wide), ["city"]) == 0
+    assert upsert(spark, path, rows([("c", "2024-01-01 03:00:00", 3.0), ("c", None, 6.0)], base), ["city"]) == 1
+    assert upsert(spark, path, rows([("d", "2024-01-02 03:00:00", 4.0)], base), ["city"]) == 0
+    got = {(r.city, r.v, r.n) for r in read_table(spark, path).collect()}
+    assert got == {("a", 1.0, None), ("b", 2.0, 7), ("c", 3.0, None), ("d", 4.0, None)}
+    upsert(spark, path, rows([("b", "2024-01-01 02:00:00", 2.5)], base), ["city"])
+    assert {(r.city, r.v) for r in read_table(spark, path).collect()} == {("a", 1.0), ("b", 2.5), ("c", 3.0), ("d", 4.0)}
+
+
+def _stages(spark):
+    import os
+
+    from aerolith.session import shared_dir
+
+    return {f for f in os.listdir(shared_dir(spark)) if f.startswith("stage-")}
+
+
+def test_jobs_delete_what_they_staged(spark, tmp_path):
+    from aerolith.catalog import obs
+    from aerolith.operators.chunks import SeriesSpec
+    from aerolith.plans import jobs
+    from aerolith.session import discard
+
+    rows = obs(spark, "/root/testdata/sf0.001")
+    before = _stages(spark)
+    jobs.build_training_table(rows, SeriesSpec(), str(tmp_path / "training"))
+    assert _stages(spark) == before
+    latest = jobs.hourly_features(rows, SeriesSpec(), str(tmp_path / "raw"))
+    assert len(_stages(spark) - before) == 1
+    discard(latest)
+    assert _stages(spark) == before
+
+
+def test_live_reads_have_a_date_bound(spark, tmp_path):
+    from aerolith.operators.chunks import SeriesSpec
+    from aerolith.plans.jobs import recent_history
+    from aerolith.sources.store import read_table, upsert
+
+    path, spec = str(tmp_path / "raw"), SeriesSpec()
+    hours = spark.sql("SELECT 'old' AS city, timestamp'2023-01-01 00:00:00' + make_interval(0, 0, 0, 0, 3 * id) AS datetime, cast(id as double) AS v FROM range(400)")
+    upsert(spark, path, hours, ["city"])
+    fresh = spark.sql("SELECT 'new' AS city, timestamp'2023-02-19 21:00:00' AS datetime, 0.5D AS v UNION ALL SELECT 'old', timestamp'2023-02-20 00:00:00', 1.5D")
+    upsert(spark, path, fresh, ["city"])
+    history = recent_history(read_table(spark, path), fresh, spec, 169, days=3)
+    counts = {r["city"]: r["count"] for r in history.groupBy("city").count().collect()}
+    assert counts == {"old": 169, "new": 1}
+
+
+def test_series_too_short_to_split(spark):
+    from aerolith.operators.chunks import SeriesSpec
+    from aerolith.plans import models
+
+    rows = spark.sql("SELECT 'a' AS city, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS datetime, cast(id as double) AS x, cast(id as double) AS target_pm25 FROM range(1)")
+    with pytest.raises(ValueError, match="too short"):
+        models.compare(models.TrainingData.of(rows, SeriesSpec(), ["x"]), {models.LINEAR: {}})
