@@ -195,6 +195,80 @@ def forecast_daily_summary(spark, sf_dir):
     return Fc.daily_summary(Fc.forecast_linear(state, spec, MODEL, INTERCEPT), spec)
 
 
+# A weight for each of the 18 inputs.
+WHOLE = {
+    "pm2_5": 0.4137,
+    "pm25_roll_mean_24": 0.1511,
+    "pm25_roll_mean_72": 0.0713,
+    "pm25_lag_24": 0.0917,
+    "pm10": 0.0119,
+    "co": 0.0007,
+    "pm25_roll_std_24": 0.0523,
+    "pm25_roll_std_72": 0.0311,
+    "so2": 0.0171,
+    "no2": 0.0237,
+    "wind_pm25": 0.0013,
+    "pm25_lag_48": 0.0419,
+    "pm25_lag_72": 0.0331,
+    "month_cos": 0.7011,
+    "temp_humidity": 0.0003,
+    "surface_pressure": 0.0009,
+    "apparent_temperature": 0.0127,
+    "wind_speed_10m": 0.0211,
+}
+
+
+def _whole_sql(mode: str) -> str:
+    """The recursion over each city's newest values, held columns from its newest clean row."""
+    replay = mode == "replay"
+    at = "step + 1" if replay else "step"
+    changing = {
+        "pm2_5": "b[-1]",
+        "wind_pm25": "wind_speed_10m * b[-1]",
+        "temp_humidity": "temperature_2m * relative_humidity_2m",
+        "month_cos": f"cos(2 * pi() * month(base + to_hours(CAST({at} AS BIGINT))) / 12)",
+        **{f"pm25_lag_{n}": f"b[-{n}]" if replay else f"b[len(b) - {n}]" for n in (24, 48, 72)},
+        **{f"pm25_roll_mean_{n}": f"list_avg(b[-{n}:])" for n in (24, 72)},
+        **{f"pm25_roll_std_{n}": f"list_aggregate(b[-{n}:], '{'stddev_pop' if replay else 'stddev_samp'}')" for n in (24, 72)},
+    }
+    raw = f"{INTERCEPT} + " + " + ".join(f"{w} * {changing.get(c, c)}" for c, w in WHOLE.items())
+    held = "temperature_2m, relative_humidity_2m, wind_speed_10m, pm10, co, so2, no2, surface_pressure, apparent_temperature"
+    steps = f"""hist AS (SELECT city, max(datetime) AS base, list(pm2_5 ORDER BY datetime) AS b0 FROM clean GROUP BY city),
+  start AS (SELECT city, base, {held}, CASE WHEN len(b0) >= 72 THEN b0[-169:] ELSE list_resize(CAST([] AS DOUBLE[]), 72, b0[-1]) END AS b
+    FROM hist JOIN (SELECT city, datetime AS base, {held} FROM clean) USING (city, base)),
+  steps AS (SELECT city, base, {held}, 0 AS step, b FROM start
+    UNION ALL SELECT city, base, {held}, step + 1, list_append(b, greatest(0.5, round(greatest({raw}, 0), 2))) FROM steps WHERE step < 72)"""
+    return (
+        "WITH RECURSIVE " + OBS + ", " + CLEAN + ", " + steps
+        + f" SELECT city, CAST(step AS INTEGER) AS step, base + to_hours(CAST(step AS BIGINT)) AS forecast_ts, {r6('b[-1]', 'predicted')}, {risk_sql('b[-1]')} FROM steps WHERE step > 0"
+    )
+
+
+def city_forecast(spark, sf_dir, mode):
+    rows = clean(spark, sf_dir)
+    state = Fc.forecast_state(rows, latest_rows(rows, SPEC), SPEC)
+    return Fc.forecast_linear(state, SPEC, WHOLE, INTERCEPT, mode=mode).select("city", "step", "forecast_ts", "predicted", "aqi_category", "color_code", "health_advisory")
+
+
+@query(_whole_sql("replay"))
+def city_forecast_72_hours(spark, sf_dir):
+    """All 18 inputs, weather held from the newest clean row."""
+    return city_forecast(spark, sf_dir, "replay")
+
+
+@query(_whole_sql("training"))
+def city_forecast_training_mode(spark, sf_dir):
+    return city_forecast(spark, sf_dir, "training")
+
+
+WHOLE_SCORE = f"({INTERCEPT} + " + " + ".join(f"{w} * {c}" for c, w in WHOLE.items()) + ")"
+
+
+@query(with_(OBS, CLEAN, FEAT, f"s AS (SELECT *, greatest({WHOLE_SCORE}, 0) AS p FROM feat)") + f"SELECT city, datetime, round(p, 2) AS predicted_target_pm25, {risk_sql('p')} FROM s")
+def batch_scores_all_inputs(spark, sf_dir):
+    return Sc.score(feat(spark, sf_dir), Sc.linear_model(WHOLE, INTERCEPT), list(WHOLE), ["city", "datetime"])
+
+
 @query()
 def forecast_with_boosted_trees(spark, sf_dir):
     """72 steps of a fitted ensemble for every city."""
