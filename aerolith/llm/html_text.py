@@ -34,12 +34,15 @@ NO_TEXT = {
 }
 #: Words in a class, an id or a role that mark what is not the article.
 _ASIDE = re.compile(
-    r"(?:^|[\s_-])(?:ads?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comments?|replies|disqus|cookies?|consent|notice|popup|modal|overlay"
-    r"|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|search|form|complementary|contentinfo|alert|gdpr)(?:$|[\s_-])",
+    r"(?:^|[\s_-])(?<!no-)(?<!has-)(?<!with-)(?:ads?|ad(?:vert\w*|sense|box|slot|unit)|banner|sponsor\w*|promo\w*|nav\w*|menu|breadcrumbs?|sidebar|side|footer|header|masthead|comment\w*|replies|disqus|reviews?"
+    r"|cookies?|consent|notices?|announcement|popup|modal|overlay|toast|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|widget|toolbar|pagination|pager|search|form|complementary"
+    r"|contentinfo|alert|gdpr)(?:$|[\s_-])",
     re.I,
 )
+_ARTICLE = re.compile(r"<(?:article|main|h1)\b", re.I)
+_HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _TAG = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)|</?[a-zA-Z][^>]*(?:>|$)", re.S)
-_MARKS = re.compile(r"\b(class|id|role|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
+_MARKS = re.compile(r"(?<![\w-])(class|id|role|style|hidden)\b(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _GAP = re.compile(r"\s+")
 #: Names that a tag inside closes: a list item ends the one before, and so on.
 _ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
@@ -50,7 +53,8 @@ _HOLDS = {"ul", "ol", "dl", "table", "select", "body", "article", "div", "sectio
 class Page:
     """DOM nodes in flat lists, in page order. Text pieces belong to a node; None marks the end of a block."""
 
-    def __init__(self, source: str):
+    def __init__(self, source: str, by_names: bool = True):
+        self.by_names = by_names  # class, id and role may mark what is not read
         self.name, self.parent, self.skip = ["#page"], [-1], [False]
         self.pieces: list[tuple[int, str | None]] = []
         self._read(source)
@@ -58,10 +62,10 @@ class Page:
     def _open(self, name: str, attributes: str, stack: list[int]) -> int:
         top = stack[-1]
         marked = name in NO_TEXT
-        if not marked and attributes and name not in ("html", "body", "article", "main"):
+        if self.by_names and not marked and attributes and name not in ("html", "body", "main"):
             for m in _MARKS.finditer(attributes):
-                value = m[2] or m[3] or m[4] or ""
-                marked |= m[1].lower() == "hidden" or bool(_ASIDE.search(value))
+                kind, value = m[1].lower(), m[2] or m[3] or m[4] or ""
+                marked |= kind == "hidden" or bool((_HIDDEN if kind == "style" else _ASIDE).search(value))
         self.name.append(name)
         self.parent.append(top)
         self.skip.append(self.skip[top] or marked)
@@ -190,8 +194,13 @@ class Page:
 
 
 def main_text(source: str) -> str:
-    """The article of a page; empty where there is none."""
-    return Page(source).main_text() if source else ""
+    """The article of a page; empty where there is none.
+
+    Where names of classes and ids leave nothing of a page with an article or a main heading, as when they
+    mark a frame around all, they do not count.
+    """
+    text = Page(source).main_text() if source else ""
+    return text or (Page(source, by_names=False).main_text() if _ARTICLE.search(source) else "")
 
 
 def extract(pages: DataFrame, html: str = "html", keep: tuple[str, ...] = ("page_id", "url")) -> DataFrame:

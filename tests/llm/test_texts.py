@@ -272,6 +272,9 @@ def test_main_text():
     assert html_text.main_text("") == "" and html_text.main_text("<nav><p>only a menu</p></nav>") == ""
     assert html_text.main_text("just words") == "just words"
     assert html_text.main_text("a <b c='d>e</b> & <") != ""
+    assert html_text.main_text('<div class="no-sidebar"><p>kept words</p><article class="comment"><p>not kept</p></article><p style="display:none">nor this</p></div>') == "kept words"
+    assert html_text.main_text('<div class="sidebar"><h1>A frame</h1><p>around all</p></div>') == "A frame around all"
+    assert html_text.main_text('<div class="comments"><p>no article at all</p></div>') == ""
     deep = "<div>" * 3000 + "<p>deep text</p>" + "</div>" * 3000
     assert html_text.main_text(deep) == "deep text"
 
