@@ -28,7 +28,7 @@ from aerolith.catalog.sql import (
     rolling_sql,
     with_,
 )
-from aerolith.functions.calendar import calendar_columns, day_label, hour_label, hour_of, month_label
+from aerolith.functions.calendar import day_label, hour_label, hour_of, month_label
 from aerolith.operators import chunks
 from aerolith.operators import clean as C
 from aerolith.operators import features as X
