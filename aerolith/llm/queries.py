@@ -52,7 +52,7 @@ def _op1_sql() -> str:
 
 
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
+    return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES), whole=True)
 
 
 def op3_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -168,6 +168,43 @@ def test_token_counts_of_a_vocabulary(spark, texts, odd):
     assert token_counts.count_tokens(odd, PIECES).count() == odd.count()
 
 
+def greedy_whole(word, pieces, longest):
+    """Pieces of the marked word by the whole vocabulary; a character without one takes its UTF-8 bytes."""
+    text, n, at = "▁" + word, 0, 0
+    while at < len(text):
+        end = next((e for e in range(min(len(text), at + longest), at, -1) if text[at:e] in pieces), None)
+        n, at = (n + 1, end) if end else (n + len(text[at].encode()), at + 1)
+    return n
+
+
+def test_longest_match_spells_what_is_no_piece():
+    rng = random.Random(8)
+    for _ in range(60):
+        rest = {"".join(rng.choice("ab梦▁") for _ in range(rng.randint(1, 5))) for _ in range(8)}
+        automaton = token_counts.LongestMatch({p for p in rest if p[0] == "▁"}, rest, lambda c: len(c.encode()))
+        for _ in range(80):
+            word = "".join(rng.choice("ab梦▁é") for _ in range(rng.randint(0, 12)))
+            assert automaton.length("▁" + word) == greedy_whole(word, rest, 5), (word, rest)
+
+
+def test_token_query_cuts_every_word(spark, tmp_path):
+    library = sentencepiece.SentencePieceProcessor(model_file=PIECES)
+    pieces = {library.id_to_piece(i) for i in range(259, library.get_piece_size())}
+    longest = max(map(len, pieces))
+    rows = [("2024", 5), ("中文字", 4), ("𓀀", 5), ("¡hola Ø", None), ("<0x41> <s> a😀b", None), *[(t, None) for t in ODD if t is None or len(t) < 9999]]
+    made = spark.createDataFrame([(-i, t) for i, (t, _) in enumerate(rows)], "doc_id long, text string")
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").filter("doc_id is not null").dropDuplicates(["doc_id"]).limit(60)
+    made.unionByName(given.filter("doc_id > 0")).write.parquet(f"{tmp_path}/documents.parquet")
+    docs = {r.doc_id: r.text for r in spark.read.parquet(f"{tmp_path}/documents.parquet").collect()}
+    got = {r.doc_id: r for r in QUERIES["op2_token_counts"](spark, str(tmp_path)).collect()}
+    assert got.keys() == docs.keys() and len(got) > len(rows)
+    for i, text in docs.items():
+        words = WORD.findall(text or "")
+        assert (got[i].n_words, got[i].n_tokens) == (len(words), sum(greedy_whole(w, pieces, longest) for w in words))
+    for i, (_, n) in enumerate(rows):
+        assert n is None or got[-i].n_tokens == n
+
+
 def test_code_lengths_are_sums_of_context_codes(spark):
     rows = [Row(doc_id=i, lang=x, text=t) for i, (x, t) in enumerate([("aa", "abababab aba"), ("bb", "bbbbabbb b"), ("aa", "abcab"), ("bb", "")])]
     model = language_id.fit(spark.createDataFrame(rows, "doc_id long, lang string, text string"), order=3)
