@@ -2,7 +2,8 @@
 
 A rule is a host with a path prefix (``net/es/``) or a pattern over the whole URL, in which ``*`` stands
 for anything, ``^`` for a separator or the end and ``||`` for the beginning of a host or one of its
-labels. Each becomes one regular expression and a set of literal tokens that every URL it fits must
+labels. A pattern ``|-word-|`` fits a host that has the word as a label or as a part of one between
+hyphens. Patterns do not tell A-Z from a-z. Each rule becomes one regular expression and a set of literal tokens that every URL it fits must
 contain. It is filed under the one of them that is rarest in the URLs at hand. The tokens of a URL fetch
 the rules filed under them, and only those are run.
 """
@@ -24,6 +25,13 @@ MOST_RULES = 200_000
 
 _TOKEN = re.compile(r"[a-z0-9]+")
 _SEPARATOR = r"(?:[^A-Za-z0-9_.%-]|$)"
+#: What is around a host's label or a part of it between hyphens. A user name is no part of the host, nor is the port.
+_PART_BEGINS = r"^[^:/?#]+://(?:[^/?#]*@)?(?:[^/?#@:]*[.-])?"
+_PART_ENDS = r"(?:[.-][^/?#@:]*)?(?::[0-9]*)?(?:[/?#\n]|$)"
+
+
+def _either_case(c: str) -> str:
+    return f"[{c.lower()}{c.upper()}]" if c.isascii() and c.isalpha() else re.escape(c)
 
 
 @dataclass(frozen=True)
@@ -39,11 +47,13 @@ class Rule:
         if self.site:
             return r"^(?:[^/]*\.)?" + re.escape(self.text)
         body = self.text
-        head = ""
-        if body.startswith("||"):
+        head = tail = ""
+        if body.startswith("|-") and body.endswith("-|"):
+            head, body, tail = _PART_BEGINS, body[2:-2], _PART_ENDS
+        elif body.startswith("||"):
             head, body = r"^[^:/?#]+://(?:[^/?#]*\.)?", body[2:]
         parts = {"*": ".*", "^": _SEPARATOR}
-        return head + "".join(parts.get(c) or re.escape(c) for c in body)
+        return head + "".join(parts.get(c) or _either_case(c) for c in body) + tail
 
     def tokens(self) -> set[str]:
         """Tokens that are whole in every URL the rule fits: a literal run with a non-token sign at both its ends."""
@@ -58,12 +68,33 @@ class Rule:
         return found
 
 
+#: Words that tell a host's kind as a label or as a part of one between hyphens.
+HOST_WORDS = {
+    "adult": """adult adults brazzers camgirl camgirls camsex chaturbate erotic erotica escort escorts fetish fuck hentai hookup
+        hookups livejasmin milf milfs naked nsfw nude nudes nudity onlyfans porn porno pornhub pornos redtube sexcam sexcams sexshop
+        sexy striptease swinger swingers threesome webcamsex xhamster xnxx xvideos xxx youporn""",
+    "spam": """bet bets betting bingo blackjack bookmaker bookmakers casino casinos cialis clickbait counterfeit cracked gamble
+        gambling getrich jackpot jackpots keygen keygens levitra linkfarm loan loans lotto lottery payday pill pills poker
+        replica replicas roulette scam scams slots spam spammer spammers sportsbet sportsbook steroids sweepstakes torrent
+        torrents viagra warez xanax""",
+    "advertising": """adclick adclicks adform adnetwork adnxs ads adsense adserv adserver adservers adservice adsrv adsystem
+        adtech advert adverts advertise advertisement advertisements advertiser advertising adwords clickbank clickserve criteo
+        doubleclick googleadservices googlesyndication outbrain popads popunder popunders popup popups pubmatic rubiconproject
+        taboola zedo""",
+    "tracking": """adtrack adtracker clicktrack clicktracker googletagmanager hotjar mixpanel scorecardresearch telemetry tracker
+        trackers tracking webbug""",
+}
+#: Words that do so only as a whole label with others after it: they are parts of many good names.
+LABELS = ["ad", "adv", "affiliate", "affiliates", "analytics", "banner", "banners", "beacon", "click", "clicks", "counter", "metrics", "pixel", "promo", "sex", "sponsor", "stats", "track"]
+
+
 def pattern_rules() -> list[Rule]:
-    """General rules for pages that are not worth reading: advertising, tracking and spam shops."""
+    """General rules for pages that are not worth reading: adult pages, spam shops, advertising and tracking."""
     spam = ["casino", "bets", "pills", "poker", "viagra", "porn", "loans", "escort"]
     paths = ["/ads/", "/adserver/", "/banner/", "/doubleclick/", "/tracking/", "/login^", "/cart^", "/wp-admin/"]
     hosts = [p for w in spam for p in (f"://{w}^", f"://{w}.", f".{w}.", f"-{w}.", f".{w}-", f"-{w}-", f"://{w}-")]
-    return [Rule(p, BLOCK) for p in hosts + paths]
+    parts = [f"|-{w}-|" for words in HOST_WORDS.values() for w in words.split()]
+    return [Rule(p, BLOCK) for p in hosts + paths + parts + [f"||{w}." for w in LABELS]]
 
 
 def _ascii_lower(c: Column) -> Column:

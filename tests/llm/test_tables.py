@@ -167,6 +167,24 @@ def test_url_rules(spark):
     assert url_filter.filter_urls(df.limit(0), rules).count() == 0 and url_filter.filter_urls(df, []).count() == len(urls)
 
 
+def test_hosts_of_every_kind_are_blocked(spark):
+    families = ["casino-win", "cheap-pills", "free-bets", "spam-farm", "ads-track", "adult-x"]
+    bad = [f"https://{sub}{f}.example.{top}/en/1" for f in families for sub in ("", "m.", "www.") for top in ("net", "org")]
+    bad += ["HTTP://WWW.ADS-TRACK.Example.ORG", "http://me:pw@adult.example.org:80/", "http://x.org/ADS/1", "http://track.example.org/", "http://tracking?x", "http://a.best-porno"]
+    good = ["http://broadcast.example.org/", "http://uploads.example.org/young-adult-books/", "http://roads-tracked.example.org/", "http://race-track.example.org/", "http://x.org/?u=http://ads.example.org/"]
+    good += ["http://ads:pw@x.org/", "http://x.org/spam", "http://adults2.example.org/", "http://x.org/tracker-review#ads", "http://ſpam.example.org/"]
+    rules = [url_filter.Rule(t, a, site=True) for t, a in SITE_RULES] + url_filter.pattern_rules()
+    urls = [(i, u) for i, u in enumerate(bad + good)]
+    got = {r.page_id: r.verdict for r in url_filter.filter_urls(spark.createDataFrame(urls, "page_id long, url string"), rules).collect()}
+    assert {u: got[i] for i, u in urls} == dict.fromkeys(bad, "block") | dict.fromkeys(good, "allow")
+    assert len({p.text for p in url_filter.pattern_rules()}) == len(url_filter.pattern_rules())
+
+
+def test_pages_of_bad_hosts_are_blocked_unless_a_site_rule_allows(spark):
+    got = QUERIES["op1_url_filter"](spark, "/root/testdata/sf0.1").filter("rule is null and host rlike '(casino-win|cheap-pills|free-bets|spam-farm|ads-track|adult-x)'").collect()
+    assert len(got) == 10 and {r.verdict for r in got} == {"block"}
+
+
 def test_rules_are_filed_under_their_rarest_token():
     rules = [url_filter.Rule("/ads/banner/", "block"), url_filter.Rule("*x*", "block"), url_filter.Rule("example.com/en", "block", site=True)]
     filed, loose = url_filter.index_rules(rules, {"ads": 5, "banner": 2, "example": 1, "com": 9})
