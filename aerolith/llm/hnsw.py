@@ -7,7 +7,9 @@ goes down the levels and keeps a beam of the best vectors seen on level 0. Each
 every query, with exact scores, and the best of all shards are kept.
 
 Inner products are turned into distances by one more component, so that all vectors get the same length
-and the nearest is the one with the largest product. Equal vectors enter a graph once.
+and the nearest is the one with the largest product. That component must not swamp the others, so a shard
+has a graph for each band of lengths, in which no vector is more than twice as long as another; a band of
+few vectors is scored whole. Equal vectors enter a graph once.
 """
 
 from __future__ import annotations
@@ -195,14 +197,41 @@ def _flat(column: pa.ChunkedArray) -> np.ndarray:
     return pc.list_flatten(column).to_numpy().reshape(len(column), -1)
 
 
-def _found(x: np.ndarray, queries: np.ndarray, longest: float, beam: int) -> list[np.ndarray]:
-    """For each query the numbers of the vectors of ``x`` that a graph over them finds (all, if no more than the beam)."""
-    if len(x) <= beam:
-        return [np.arange(len(x))] * len(queries)
-    extra = np.sqrt(np.maximum(longest - (x * x).sum(axis=1), 0.0))[:, None]
-    graph = Graph(np.hstack([x, extra]))
-    nodes, _ = graph.search(np.hstack([queries, np.zeros((len(queries), 1))]), beam)
-    return [n[n != graph.none] for n in nodes]
+def _bands(lengths: np.ndarray) -> list[np.ndarray]:
+    """Numbers of the vectors, in bands from the longest on: none is shorter than half the longest of its band."""
+    order = np.argsort(-lengths, kind="stable")
+    ordered, bands, start = lengths[order], [], 0
+    while start < len(order):
+        end = int(np.searchsorted(-ordered, -ordered[start] / 2, side="right"))
+        bands.append(np.sort(order[start:end]))
+        start = end
+    return bands
+
+
+def _units(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (none zero) at length 1, and their lengths over the largest component of all. Neither overflows."""
+    most = np.abs(x).max(axis=1)
+    scaled = x / most[:, None]
+    norms = np.sqrt((scaled * scaled).sum(axis=1))
+    return scaled / norms[:, None], most / most.max() * norms
+
+
+def _found(x: np.ndarray, queries: np.ndarray, beam: int) -> list[np.ndarray]:
+    """For each query the numbers of the vectors of ``x`` that graphs over them find (all of a band with no more than the beam)."""
+    units, lengths = _units(x)
+    directions = np.hstack([_units(queries)[0], np.zeros((len(queries), 1))])
+    whole, parts = [], []
+    for band in _bands(lengths):
+        if len(band) <= beam:
+            whole.append(band)
+            continue
+        longest = lengths[band].max()
+        share = lengths[band] / longest if longest > 0 else np.ones(len(band))
+        extra = np.sqrt(np.maximum(1.0 - share * share, 0.0))
+        graph = Graph(np.hstack([units[band] * share[:, None], extra[:, None]]))
+        nodes, _ = graph.search(directions, beam)
+        parts.append([band[n[n != graph.none]] for n in nodes])
+    return [np.concatenate([*whole, *(p[i] for p in parts)]) for i in range(len(queries))]
 
 
 def search(vectors: DataFrame, query_divisor: int, k: int = 20, vec_id: str = "vec_id", embedding: str = "embedding", shard_rows: int = SHARD_ROWS, query_rows: int = QUERY_ROWS, beam: int = SEARCH_BEAM) -> DataFrame:
@@ -218,10 +247,9 @@ def search(vectors: DataFrame, query_divisor: int, k: int = 20, vec_id: str = "v
     among the ``k`` nearest of any query, so no others are carried.
     """
     rows = stage(usable(vectors, vec_id, embedding))
-    facts = rows.agg(F.max(F.aggregate("v", F.lit(0.0), lambda a, c: a + c * c)).alias("longest"), F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
+    facts = rows.agg(F.min(F.size("v")).alias("least"), F.max(F.size("v")).alias("most")).first()
     if facts["least"] != facts["most"]:
         raise ValueError(f"vectors of {facts['least']} and {facts['most']} components")
-    longest = facts["longest"] or 1.0
     # Ranked within tasks first: of a vector that many rows share, a task hands on k + 1 at most.
     of_vector = W.partitionBy("v").orderBy("id")
     first = rows.withColumn("_n", F.row_number().over(of_vector)).filter(F.col("_n") <= k + 1)
@@ -244,7 +272,7 @@ def search(vectors: DataFrame, query_divisor: int, k: int = 20, vec_id: str = "v
             ids = vectors.column("ids").to_pylist()
             order = np.lexsort(x.T[::-1])  # the same graph whatever order the rows arrive in
             x, ids = x[order], [ids[i] for i in order]
-            for name, vector, found in zip(wanted.column("id").to_pylist(), q, _found(x, q, longest, max(beam, 2 * k)), strict=True):
+            for name, vector, found in zip(wanted.column("id").to_pylist(), q, _found(x, q, max(beam, 2 * k)), strict=True):
                 scores = x[found] @ vector
                 hits = sorted((-s, i) for s, n in zip(scores.tolist(), found.tolist(), strict=True) for i in ids[n] if i != name)[:k]
                 columns["query_id"] += [name] * len(hits)

@@ -121,6 +121,39 @@ def test_graph_recall():
     assert (np.diff(scores, axis=1) <= 0).all()
 
 
+def brute_recall(spark, x, **settings):
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = hnsw.search(df, 20, k=20, **settings).toPandas()
+    hits = []
+    for q in range(0, len(x), 20):
+        scores = x @ x[q]
+        scores[q] = -np.inf
+        rows = got[got["query_id"] == q]
+        assert len(rows) == 20 and np.allclose(rows["score"], scores[rows["vec_id"]])
+        hits.append(len(set(np.argsort(-scores)[:20]) & set(rows["vec_id"])) / 20)
+    return np.mean(hits)
+
+
+@pytest.mark.parametrize("outlier", [1e4, 1e-4, 1e150])
+def test_recall_with_a_vector_of_extreme_length(spark, outlier):
+    x = np.random.default_rng(11).normal(size=(4000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    x[7] *= outlier
+    assert brute_recall(spark, x) > 0.95
+
+
+def test_recall_with_lengths_of_every_size(spark):
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(4000, 32))
+    x *= (np.exp(rng.normal(scale=3, size=len(x))) / np.linalg.norm(x, axis=1))[:, None]
+    assert brute_recall(spark, x, shard_rows=2000) > 0.95
+
+
+def test_bands_of_lengths():
+    bands = hnsw._bands(np.array([1.0, 8.0, 4.0, 3.9, 0.0, 2.0, 0.0]))
+    assert [b.tolist() for b in bands] == [[1, 2], [3, 5], [0], [4, 6]]
+
+
 def test_recall_of_the_query(spark):
     sf = "/root/testdata/sf0.1"
     table = spark.read.parquet(f"{sf}/embeddings.parquet").toPandas()
