@@ -13,20 +13,20 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import BEGINS_CHAR, IN_WORD, MIX, Words, map_texts, mixed, segment_sums, slices, text_bytes
 from aerolith.session import stage
 
 BUCKETS = 1 << 15
-#: Trusted documents that the target counts come from, at most (the first by a hash of the id).
-TRUSTED_ROWS = 20_000
 #: Weight of the corpus in the smoothed target counts, in n-grams.
 PRIOR = 20_000.0
 #: The threshold lies this far below the score that all but this share of the uncounted trusted texts reach.
 MARGIN = 0.04
 LEAST_SHARE = 0.001
+#: Parts of a range of scores that are counted in one pass when a quantile is sought.
+PARTS = 1024
 
 WINDOW = 8
 LEAST_WORDS = 20
@@ -123,23 +123,56 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return sums.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, prior: float = PRIOR) -> np.ndarray:
+def _of_ids(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
+    """The rows whose doc_id is a trusted one. Always a shuffle, whatever the size; only ids are held in memory and no text is sorted."""
+    ids = trusted_ids.select(F.col("doc_id").alias("_id")).filter("_id is not null").hint("shuffle_hash")
+    return rows.join(ids, F.col("doc_id") == F.col("_id"), "left_semi")
+
+
+def _counted() -> Column:
+    """Whether a trusted id is counted; the others set the threshold."""
+    return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
+
+
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, among: Column | None = None) -> np.ndarray:
     """Log ratio of each bucket: trusted texts over the whole corpus. All 0 where no row is trusted.
 
-    ``trusted_ids`` has the column doc_id. Only its first ``trusted_rows`` ids by hash are used, which
-    bounds what is broadcast; the corpus counts cover every row.
+    ``trusted_ids`` has the column doc_id. All its ids are used, or those for which ``among`` is true; it is
+    asked of the documents before they are joined. The corpus counts cover every row.
     """
-    ids = stage(trusted_ids.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows))
-    marked = docs.select("doc_id", "text").join(F.broadcast(ids.select(F.col("doc_id").alias("_id"), F.lit(True).alias("_known"))), F.col("doc_id") == F.col("_id"), "left")
-    sums = bucket_counts(marked.select(F.coalesce("_known", F.lit(False)).alias("trusted"), "text"), buckets).toPandas()
+    asked = docs.select("doc_id", "text").filter("doc_id is not null")
+    trusted = _of_ids(asked if among is None else asked.filter(among), trusted_ids)
+    sums = bucket_counts(docs.select(F.lit(False).alias("trusted"), "text"), buckets).toPandas()
+    good = bucket_counts(trusted.select(F.lit(True).alias("trusted"), "text"), buckets).toPandas()
     corpus, target = np.zeros(buckets), np.zeros(buckets)
-    corpus[sums["bucket"]], target[sums["bucket"]] = sums["corpus"], sums["target"]
+    corpus[sums["bucket"]], target[good["bucket"]] = sums["corpus"], good["target"]
     if not target.sum():
         return np.zeros(buckets)
     base = (corpus + 1) / (corpus.sum() + buckets)
     return np.log((target + prior * base) / (target.sum() + prior) / base)
 
 
+def lower_quantile(scores: DataFrame, share: float, name: str = "llr", parts: int = PARTS) -> float | None:
+    """The exact value at place ``floor(share * (rows - 1))`` of a column; None without rows.
+
+    Each pass counts the rows in equal parts of a range and goes on with the part that holds the place.
+    """
+    v = F.col(name)
+    facts = scores.agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).first()
+    if not facts["n"]:
+        return None
+    place, low, high = int(share * (facts["n"] - 1)), facts["low"], facts["high"]
+    while low < high:
+        part = F.floor((v - F.lit(low)) / F.lit(high - low) * parts)
+        rows = scores.filter((v >= low) & (v <= high)).groupBy(part.alias("part")).agg(F.count(v).alias("n"), F.min(v).alias("low"), F.max(v).alias("high")).collect()
+        for r in sorted(rows, key=lambda r: r["part"]):
+            if place < r["n"]:
+                low, high = r["low"], r["high"]
+                break
+            place -= r["n"]
+    return low
+
+
 @dataclass(frozen=True)
 class Rules:
     """Log ratio of each bucket, and the least mean of a document that is kept."""
@@ -148,20 +181,17 @@ class Rules:
     threshold: float
 
 
-def fit(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, trusted_rows: int = TRUSTED_ROWS, prior: float = PRIOR) -> Rules:
+def fit(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> Rules:
     """The rules of a corpus. Half of the trusted ids, by hash, are counted; the others set the threshold.
 
-    Without a trusted text left to set it, every document that passes the base is kept.
+    Without a trusted text left to set it, every document that passes the base is kept. Documents are
+    scored before they are joined with the ids that set it, so that their texts stay where they are.
     """
-    ids = stage(trusted_ids.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(trusted_rows))
-    counted = F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
-    ratios = log_ratios(docs, ids.filter(counted), buckets, trusted_rows, prior)
-    others = ids.filter(~counted).select(F.col("doc_id").alias("_id"))
-    rest = docs.select("doc_id", "text").join(F.broadcast(others), F.col("doc_id") == F.col("_id"), "left_semi")
-    scores = judge(rest, Rules(ratios, -np.inf)).filter(~F.col("base_failed")).select("llr").limit(2 * trusted_rows).toPandas()["llr"].to_numpy()
-    if not len(scores):
-        return Rules(ratios, -np.inf)
-    return Rules(ratios, float(np.quantile(scores, LEAST_SHARE, method="lower")) - MARGIN)
+    ratios = log_ratios(docs, trusted_ids, buckets, prior, among=_counted())
+    others = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~_counted())
+    scored = judge(others, Rules(ratios, -np.inf)).filter(~F.col("base_failed")).select("doc_id", "llr")
+    least = lower_quantile(stage(_of_ids(scored, trusted_ids).select("llr")), LEAST_SHARE)
+    return Rules(ratios, -np.inf if least is None else float(least) - MARGIN)
 
 
 def judge(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

@@ -343,6 +343,33 @@ def test_good_documents_stay_and_junk_goes(spark, size):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words) and not (r.kept and r.base_failed)
 
 
+def test_exact_lower_quantile(spark):
+    rng = np.random.default_rng(4)
+    for values in (rng.normal(size=5000), np.repeat(rng.normal(size=7), 300), np.array([2.5]), np.append(rng.normal(size=999), -1e12)):
+        df = spark.createDataFrame([(float(v),) for v in values], "llr double")
+        for share in (0.0, 0.001, 0.3, 1.0):
+            assert quality_rules.lower_quantile(df, share, parts=8) == np.quantile(values, share, method="lower")
+    assert quality_rules.lower_quantile(df.limit(0), 0.5) is None
+
+
+def test_every_trusted_row_counts(spark):
+    n = 50_000
+    ids = spark.range(n).withColumnRenamed("id", "doc_id")
+    docs = ids.withColumn("text", F.concat(F.lit("good "), F.repeat(F.lit("word "), 20)))
+    docs = docs.unionByName(ids.select((F.col("doc_id") + n).alias("doc_id"), F.repeat(F.lit("bad "), 20).alias("text")))
+    counted = ids.filter(quality_rules._counted()).count()
+    rules = quality_rules.fit(docs, ids.unionByName(ids), buckets=64, prior=10.0)
+    corpus, target = np.zeros(64), np.zeros(64)
+    for text, rows, good in ((b"good " + b"word " * 20, n, counted), (b"bad " * 20, n, 0)):
+        words = Words([text])
+        grams = np.bincount(quality_rules.gram_buckets(words, words.hashes(), 64)[0], minlength=64)
+        corpus += rows * grams
+        target += good * grams
+    base = (corpus + 1) / (corpus.sum() + 64)
+    assert counted > 20_000
+    assert np.allclose(rules.ratios, np.log((target + 10 * base) / (target.sum() + 10) / base), rtol=1e-12, atol=1e-12)
+
+
 def test_rules_of_odd_rows(spark, odd):
     rules = quality_rules.fit(odd, odd.limit(0))
     judged = quality_rules.judge(odd, rules).collect()
