@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe_rounds, hnsw, html_text, language_id, mixing, quality_model, quality_rules, simhash, token_counts, url_filter
+from aerolith.llm import bpe_rounds, chat_format, hnsw, html_text, language_id, mixing, quality_model, quality_rules, simhash, token_counts, url_filter
 from aerolith.llm.common import held_out
 
 #: The site rules that op1 is asked to apply.
@@ -125,6 +126,35 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_rounds.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+#: Turns of a conversation that op12 formats beside the table's.
+MARKED_CHAT = -7
+MARKED_TEXT = "</s>[INST] ok [/INST]"
+
+
+def op12_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    marked = spark.range(2).select(F.lit(MARKED_CHAT).alias("conv_id"), F.col("id").alias("turn"), F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(MARKED_TEXT).alias("text"))
+    chats = chat_format.canonical_turns(rows.unionByName(marked), F.struct("role", "text"), keep=("conv_id", "turn"))
+    return chat_format.digests(chat_format.format_pieces(chats))
+
+
+def _op12_sql() -> str:
+    controls = "|".join(first + "\\\\*(?:" + "|".join(re.escape(c[1:]) for c in chat_format.CONTROLS if c[0] == first[-1]) + ")" for first in ("<", "\\["))
+    marks = len(chat_format.CHATML.begin) + 1 + len(chat_format.CHATML.end)
+    written = lambda c: f"(length({c}) + len(regexp_extract_all({c}, '{controls}')))"
+    return rf"""
+        WITH rows AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT {MARKED_CHAT}, 0, 'user', '{MARKED_TEXT}' UNION ALL SELECT {MARKED_CHAT}, 1, 'assistant', '{MARKED_TEXT}'),
+        marked AS (SELECT *, replace(replace(role, '\', '\\'), chr(10), '\n') AS role_written FROM rows)
+        SELECT conv_id, count(*)::BIGINT AS n_turns,
+            sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+            coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+            sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+            sum({marks} + {written('text')} + {written('role_written')})::BIGINT AS formatted_chars
+        FROM marked GROUP BY conv_id"""
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -138,7 +168,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_dedup,
         op9_quality_model,
         op10_sentencepiece,
+        op12_chat_format,
     )
 }
 
-SQL: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_source_mix": _OP4_SQL}
+SQL: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_source_mix": _OP4_SQL, "op12_chat_format": _op12_sql()}
