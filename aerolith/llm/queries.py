@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe_rounds, chat_format, hnsw, html_text, language_id, mixing, quality_model, quality_rules, simhash, token_counts, url_filter
+from aerolith.llm import bpe_rounds, chat_format, hnsw, html_text, language_id, mixing, quality_model, quality_rules, simhash, token_counts, url_filter, vp_clusters
 from aerolith.llm.common import held_out
 
 #: The site rules that op1 is asked to apply.
@@ -126,6 +126,10 @@ def op10_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_rounds.encode_decode(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECES))
 
 
+def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vp_clusters.cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dims=64, scale=256, salt="2")
+
+
 #: Turns of a conversation that op12 formats beside the table's.
 MARKED_CHAT = -7
 MARKED_TEXT = "</s>[INST] ok [/INST]"
@@ -168,6 +172,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_simhash_dedup,
         op9_quality_model,
         op10_sentencepiece,
+        op11_centroid_clusters,
         op12_chat_format,
     )
 }
