@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from aerolith.llm import bpe_rounds, chat_format, hnsw, html_text, language_id, mixing, quality_model, quality_rules, simhash, token_counts, url_filter, vp_clusters
+from aerolith.llm import bpe_rounds, chat_format, hnsw, html_text, language_id, mixing, quality_model, quality_rules, simhash, token_counts, url_filter, vp_clusters, whitening
 from aerolith.llm.common import held_out
 
 #: The site rules that op1 is asked to apply.
@@ -159,6 +159,10 @@ def _op12_sql() -> str:
         FROM marked GROUP BY conv_id"""
 
 
+def op13_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"), components=4, scale=256)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -174,6 +178,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_sentencepiece,
         op11_centroid_clusters,
         op12_chat_format,
+        op13_whitening,
     )
 }
 
