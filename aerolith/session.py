@@ -7,6 +7,7 @@ import uuid
 import warnings
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -55,26 +56,30 @@ def stage(df: DataFrame) -> DataFrame:
     df.write.parquet(path)
     staged = spark.read.schema(df.schema).parquet(path)
     staged._stage_path = path
-    if _JOBS:
-        _JOBS[-1].append(staged)
+    made = _JOB.get()
+    if made is not None:
+        made.append(staged)
     return staged
 
 
-_JOBS: list[list[DataFrame]] = []
+#: What the job of this thread (or task) has staged. Jobs of other threads, such as the batches of another
+#: stream of the session, have lists of their own.
+_JOB: ContextVar[list[DataFrame] | None] = ContextVar("aerolith_job", default=None)
 
 
 @contextmanager
 def job() -> Iterator[list[DataFrame]]:
     """Deletes at its end all that was staged inside. A job writes its own output before.
 
-    A staged result that outlives the job is taken out of the list.
+    A staged result that outlives the job is taken out of the list. Jobs may be nested, and may run side by
+    side in several threads; each deletes its own.
     """
     made: list[DataFrame] = []
-    _JOBS.append(made)
+    outer = _JOB.set(made)
     try:
         yield made
     finally:
-        _JOBS.remove(made)
+        _JOB.reset(outer)
         discard(*made)
 
 

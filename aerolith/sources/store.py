@@ -36,6 +36,47 @@ def latest_version(old: DataFrame, new: DataFrame, keys: Sequence[str], tie_brea
 
 _SCHEMA = "_schema"
 
+#: Key of a field's metadata: the columns of the files that held it under an earlier, narrower type.
+_EARLIER = "earlier"
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_DIGITS = {T.ByteType: 3, T.ShortType: 5, T.IntegerType: 10, T.LongType: 19}
+
+
+def common_type(a: T.DataType, b: T.DataType) -> T.DataType:
+    """The narrowest type that holds the values of both; an error where there is none.
+
+    Whole numbers widen to longer ones and to doubles, decimals to decimals with room for both, dates to
+    times, arrays by their elements. A column without a type yet (all null) takes the other's.
+    """
+    if a == b or isinstance(b, T.NullType):
+        return a
+    if isinstance(a, T.NullType):
+        return b
+    for x, y in ((a, b), (b, a)):
+        if isinstance(x, _WHOLE) and isinstance(y, _WHOLE):
+            return max(x, y, key=lambda t: _DIGITS[type(t)])
+        if isinstance(x, (T.FloatType, T.DoubleType)) and isinstance(y, (*_WHOLE, T.DecimalType, T.FloatType, T.DoubleType)):
+            return T.DoubleType()
+        if isinstance(x, T.DecimalType) and isinstance(y, (*_WHOLE, T.DecimalType)):
+            digits, scale = (y.precision, y.scale) if isinstance(y, T.DecimalType) else (_DIGITS[type(y)], 0)
+            places = max(x.scale, scale)
+            whole = max(x.precision - x.scale, digits - scale)
+            if whole + places <= 38:
+                return T.DecimalType(whole + places, places)
+        if isinstance(x, T.DateType) and isinstance(y, T.TimestampType):
+            return y
+    if isinstance(a, T.ArrayType) and isinstance(b, T.ArrayType):
+        return T.ArrayType(common_type(a.elementType, b.elementType), True)
+    raise TypeError(f"no type holds both {a.simpleString()} and {b.simpleString()}")
+
+
+def _held(field: T.StructField) -> list[T.StructField]:
+    """The columns of the files that hold a field, newest first. All but the newest are only read."""
+    earlier = [T.StructField.fromJson(f) for f in field.metadata.get(_EARLIER, [])]
+    newest = f"{field.name}__{field.dataType.simpleString()}" if earlier else field.name
+    return [T.StructField(newest, field.dataType), *reversed(earlier)]
+
 
 def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
     """The columns a table has had so far, without the date; None if there is no table yet."""
@@ -45,27 +86,49 @@ def table_schema(spark: SparkSession, path: str) -> T.StructType | None:
         return T.StructType.fromJson(json.loads(newest["columns"]))
     if exists(spark, path):  # written by other means
         found = spark.read.option("mergeSchema", True).parquet(path).schema
-        return T.StructType([f for f in found.fields if f.name != DATE])
+        return T.StructType([T.StructField(f.name, f.dataType) for f in found.fields if f.name != DATE])
     return None
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """A table with all columns it has had; rows written before a column came have null in it."""
+    """A table with all columns it has had; rows written before a column came have null in it.
+
+    A column that was widened stands in the files under a column for each type it has had; a row has its
+    value in one of them, and all are read as the widest.
+    """
     schema = table_schema(spark, path)
     if schema is None:
         raise FileNotFoundError(f"no table at {path}")
-    return spark.read.schema(T.StructType([*schema.fields, T.StructField(DATE, T.DateType())])).parquet(path)
+    files = T.StructType([h for f in schema.fields for h in _held(f)] + [T.StructField(DATE, T.DateType())])
+    values = [F.coalesce(*[F.col(h.name).cast(f.dataType) for h in _held(f)]).alias(f.name) for f in schema.fields]
+    return spark.read.schema(files).parquet(path).select(*values, DATE)
 
 
 def _widen(spark: SparkSession, path: str, new: T.StructType) -> T.StructType:
-    """Adds the columns the table does not have yet. A column keeps the type it came with."""
+    """Adds the columns the table does not have yet and widens those that come with a wider type.
+
+    No file is rewritten: from now on a widened column is written under another name.
+    """
     old = table_schema(spark, path)
-    names = set(old.names) if old else set()
-    added = [T.StructField(f.name, f.dataType) for f in new.fields if f.name not in names]
-    schema = T.StructType([*(old.fields if old else []), *added])
-    if added:
-        row = [(len(schema), schema.json())]
-        spark.createDataFrame(row, "version long, columns string").coalesce(1).write.mode("append").json(f"{path}/{_SCHEMA}")
+    known = {f.name: f for f in old} if old else {}
+    for f in new.fields:
+        held = known.get(f.name)
+        if held is None:
+            if not isinstance(f.dataType, T.NullType):  # without a type there is nothing to keep yet
+                known[f.name] = T.StructField(f.name, f.dataType)
+            continue
+        wider = common_type(held.dataType, f.dataType)
+        if wider != held.dataType:
+            earlier = [json.loads(h.json()) for h in reversed(_held(held))]
+            known[f.name] = T.StructField(f.name, wider, True, {_EARLIER: earlier})
+    schema = T.StructType(list(known.values()))
+    taken = [h.name for f in schema for h in _held(f)]
+    if len(set(taken)) < len(taken):
+        raise ValueError(f"columns of one name in {sorted(taken)}")
+    if old is None or json.loads(schema.json()) != json.loads(old.json()):
+        kept = f"{path}/{_SCHEMA}"
+        last = spark.read.json(kept, schema="version long").agg(F.max("version")).first()[0] if exists(spark, kept) else 0
+        spark.createDataFrame([(last + 1, schema.json())], "version long, columns string").coalesce(1).write.mode("append").json(kept)
     return schema
 
 
@@ -75,8 +138,9 @@ def upsert(
     """Merge ``new`` into the table at ``path``, rewriting only the dates in it.
 
     Rows without a time belong to no date: they are left out, and their number is returned. Columns may
-    be missing from ``new`` (they become null) or come with it (they are null in older rows).
-    Running the same upsert again changes nothing. Output is rebalanced by date: a large date is
+    be missing from ``new`` (they become null) or come with it (they are null in older rows). A column
+    whose type is wider than the table's widens it (``common_type``); one that no type holds together with
+    the old values is an error before anything is written. Running the same upsert again changes nothing. Output is rebalanced by date: a large date is
     spread over several tasks and files.
     """
     known = table_schema(spark, path) is not None
@@ -90,7 +154,8 @@ def upsert(
         dates = [r[0] for r in dated.select(DATE).distinct().collect()]
         old = read_table(spark, path).filter(F.col(DATE).isin(dates))
     merged = stage(latest_version(old, dated, [*keys, ts], tie_break))
-    writer = merged.hint("rebalance", F.col(DATE)).write.mode("overwrite").partitionBy(DATE)
+    written = merged.select(*[F.col(f.name).alias(_held(f)[0].name) for f in schema.fields], DATE)
+    writer = written.hint("rebalance", F.col(DATE)).write.mode("overwrite").partitionBy(DATE)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
     discard(staged, merged)
     return left_out

@@ -262,3 +262,90 @@ def test_series_too_short_to_split(spark):
     rows = spark.sql("SELECT 'a' AS city, timestamp'2024-01-01 00:00:00' + make_interval(0, 0, 0, 0, id) AS datetime, cast(id as double) AS x, cast(id as double) AS target_pm25 FROM range(1)")
     with pytest.raises(ValueError, match="too short"):
         models.compare(models.TrainingData.of(rows, SeriesSpec(), ["x"]), {models.LINEAR: {}})
+
+
+def test_store_widens_types_and_never_narrows(spark, tmp_path):
+    from datetime import datetime
+    from decimal import Decimal
+
+    path, when = str(tmp_path / "wide"), lambda h: datetime(2024, 1, 1 + h // 24, h % 24)
+
+    def put(kind, *values):
+        rows = [(f"c{h}", when(h), v) for h, v in values]
+        store.upsert(spark, path, spark.createDataFrame(rows, f"city string, datetime timestamp, n {kind}"), ["city"])
+
+    put("int", (0, 1), (30, 2))
+    put("double", (1, 2.75))  # same date as the first row, another than the second
+    put("int", (2, 7))  # narrower than the table by now
+    put("bigint", (31, 2**40))
+    put("void", (3, None))
+    got = {r.city: r.n for r in store.read_table(spark, path).collect()}
+    assert got == {"c0": 1.0, "c30": 2.0, "c1": 2.75, "c2": 7.0, "c31": float(2**40), "c3": None}
+    assert dict(store.read_table(spark, path).dtypes)["n"] == "double"
+    put("double", (0, None))  # a correction to null hides no older value
+    assert {r.city: r.n for r in store.read_table(spark, path).collect()}["c0"] is None
+    with pytest.raises(TypeError, match="no type"):
+        put("string", (4, "x"))
+    assert store.read_table(spark, path).count() == 6
+
+    path = str(tmp_path / "long")
+    put("int", (0, 1))
+    put("bigint", (1, 2**40))
+    put("decimal(6,2)", (2, Decimal("1.25")))
+    got = store.read_table(spark, path)
+    assert dict(got.dtypes)["n"] == "decimal(21,2)" and {r.n for r in got.collect()} == {Decimal(1), Decimal(2**40), Decimal("1.25")}
+
+
+def test_jobs_side_by_side_keep_their_stages(spark):
+    from threading import Event, Thread
+
+    from aerolith.session import job, stage
+
+    staged, ended, counts, gone = Event(), Event(), [], []
+
+    def first():
+        with job():
+            mine = stage(spark.range(5))
+            staged.set()
+            ended.wait(60)
+            counts.append(mine.count())
+        gone.append(mine)
+
+    def second():
+        staged.wait(60)
+        with job():
+            stage(spark.range(3))
+            with job():
+                stage(spark.range(2))
+        ended.set()
+
+    threads = [Thread(target=first), Thread(target=second)]
+    for t in threads:
+        t.start()
+    for t in threads:
+        t.join()
+    assert counts == [5]
+    with pytest.raises(Exception, match="PATH|FILE|exist"):
+        gone[0].count()
+
+
+def test_two_live_streams_in_one_session(spark, tmp_path):
+    """Batches of both streams overlap; each gives what it gives alone, and nothing stays behind."""
+    import os
+
+    from aerolith.session import shared_dir
+
+    rows = observations(spark, 2, 190)
+    before = set(os.listdir(shared_dir(spark)))
+    started = []
+    for k in ("one", "two"):
+        landing = str(tmp_path / k / "landing")
+        for part in (rows.filter("city = 'city_0'"), rows.filter("city = 'city_1'")):
+            part.coalesce(1).write.mode("append").parquet(landing)
+        stream = live.landed(spark, landing, rows.schema, files_per_trigger=1)
+        started.append(live.live_stream(stream, SPEC, str(tmp_path / k / "raw"), str(tmp_path / k / "features"), str(tmp_path / k / "cp")))
+    for s in started:
+        s.awaitTermination()
+    found = [sorted((r.city, str(r.datetime), r.pm25_lag_24) for r in spark.read.parquet(str(tmp_path / k / "features")).collect()) for k in ("one", "two")]
+    assert found[0] == found[1] and {c for c, _, _ in found[0]} == {"city_0", "city_1"}
+    assert set(os.listdir(shared_dir(spark))) == before
