@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.catalog import SPEC, clean, feat, h_type, obs, query
 from aerolith.catalog.explore import r6
-from aerolith.catalog.ingest import scratch
+from aerolith.catalog.ingest import current_payload, scratch, secondary_payload
 from aerolith.catalog.sql import (
     CALENDAR_NAMES,
     CLEAN,
@@ -29,10 +32,10 @@ from aerolith.operators.features import live_features
 from aerolith.plans import models as M
 from aerolith.plans.registry import ModelRegistry
 from aerolith.plans.scoring import linear_model
-from aerolith.schema import LIVE_BOUNDS, MEASURES
-from aerolith.session import discard
-from aerolith.sources import store
-from aerolith.streaming import live
+from aerolith.schema import CURRENT_DEFAULTS, FALLBACK_WEATHER, LIVE_BOUNDS, MEASURES, POLLUTANT_FEED_NAMES, WEATHER
+from aerolith.session import discard, stage
+from aerolith.sources import feeds, store
+from aerolith.streaming import fallback, live, state
 
 LIVE_CLEAN = "clean AS (SELECT city, datetime, " + ", ".join(f"{clip(c, *LIVE_BOUNDS[c])} AS {c}" if c in LIVE_BOUNDS else c for c in MEASURES) + " FROM obs)"
 
@@ -43,12 +46,24 @@ def event_stream(spark, sf_dir):
     return rows.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
-def landed(spark, *batches):
-    """Batches landed one after another, one file each, and the stream that reads a file at a time."""
+def run_landings(spark, batches, start):
+    """Land each batch as many files as it has partitions, then run the stream to its end, from its checkpoint."""
     path = scratch(spark, "landing")
     for batch in batches:
-        batch.coalesce(1).write.mode("append").parquet(path)
-    return live.landed(spark, path, batches[0].schema, files_per_trigger=1)
+        batch.write.mode("append").parquet(path)
+        start(live.landed(spark, path, batch.schema)).awaitTermination()
+
+
+def to_folders(path, checkpoint, mode="append"):
+    """A start function for streams whose batches go to a folder each, which a repeated batch replaces."""
+
+    def start(rows):
+        def put(batch, batch_id):
+            batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+
+        return rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+    return start
 
 
 def three_batches(spark, sf_dir):
@@ -58,10 +73,6 @@ def three_batches(spark, sf_dir):
     return [rows.filter(F.col("datetime") < "2024-01-20"), corrected, rows.filter(F.col("datetime") < "2024-01-05")]
 
 
-def landed_observations(spark, sf_dir):
-    return live.clean_stream(landed(spark, *three_batches(spark, sf_dir)))
-
-
 ARRIVED = OBS.replace("obs AS (", "all_obs AS (", 1) + """,
   obs AS (SELECT * REPLACE (pm2_5 + CASE WHEN datetime >= TIMESTAMP '2024-01-15' THEN 1 ELSE 0 END AS pm2_5) FROM all_obs)"""
 
@@ -70,12 +81,7 @@ ARRIVED = OBS.replace("obs AS (", "all_obs AS (", 1) + """,
 def streamed_hourly_means(spark, sf_dir):
     path, means = scratch(spark, "means"), live.hourly_means(event_stream(spark, sf_dir), ["event_type"], "ts", "value")
     spec = SeriesSpec(keys=("event_type",), ts="hour")
-
-    def merge(batch, batch_id):
-        store.upsert(batch.sparkSession, path, batch, list(spec.keys), spec.ts)
-
-    writer = means.writeStream.outputMode("update").foreachBatch(merge).option("checkpointLocation", scratch(spark, "cp"))
-    writer.trigger(availableNow=True).start().awaitTermination()
+    live.upsert_stream(means, spec, path, scratch(spark, "cp"), mode="update").awaitTermination()
     return spark.read.parquet(path).drop(store.DATE)
 
 
@@ -84,10 +90,14 @@ def streamed_first_arrivals(spark, sf_dir):
     """Of each (type, hour) the first batch wins; the second brings all hours again with other values."""
     spec = SeriesSpec(keys=("event_type",))
     hours = h_type(spark, sf_dir)
-    rows = landed(spark, hours.filter(F.col("datetime") < "2024-01-20"), hours.withColumn("v", F.col("v") + 1000))
-    path = scratch(spark, "first")
-    writer = live.first_arrivals(rows, spec, "60 days").writeStream.format("parquet").option("path", path)
-    writer.option("checkpointLocation", scratch(spark, "cp")).trigger(availableNow=True).start().awaitTermination()
+    path, cp = scratch(spark, "first"), scratch(spark, "cp")
+    batches = [hours.filter(F.col("datetime") < "2024-01-20"), hours.withColumn("v", F.col("v") + 1000)]
+
+    def start(rows):
+        writer = live.first_arrivals(rows, spec, "60 days").writeStream.format("parquet").option("path", path)
+        return writer.option("checkpointLocation", cp).trigger(availableNow=True).start()
+
+    run_landings(spark, batches, start)
     return spark.read.parquet(path)
 
 
@@ -101,15 +111,15 @@ def newest_of_batches(spark, path, ts):
 @query(with_(ARRIVED, LIVE_CLEAN) + f"SELECT {cols('city datetime', MEASURES_SQL)} FROM clean")
 def streamed_upsert(spark, sf_dir):
     path = scratch(spark, "raw")
-    live.upsert_stream(landed_observations(spark, sf_dir), SPEC, path, scratch(spark, "cp")).awaitTermination()
+    cp = scratch(spark, "cp")
+    run_landings(spark, three_batches(spark, sf_dir), lambda rows: live.upsert_stream(live.clean_stream(rows), SPEC, path, cp))
     return spark.read.parquet(path).drop(store.DATE)
 
 
 @query(with_(ARRIVED, LIVE_CLEAN, LIVE) + f"SELECT {cols('city datetime ' + CALENDAR_NAMES, FEATURE_NAMES)} FROM live")
 def streamed_live_features(spark, sf_dir):
-    features = scratch(spark, "features")
-    query_ = live.live_stream(landed_observations(spark, sf_dir), SPEC, scratch(spark, "raw"), features, scratch(spark, "cp"))
-    query_.awaitTermination()
+    raw, features, cp = (scratch(spark, name) for name in ("raw", "features", "cp"))
+    run_landings(spark, three_batches(spark, sf_dir), lambda rows: live.live_stream(live.clean_stream(rows), SPEC, raw, features, cp))
     return newest_of_batches(spark, features, "datetime").select(*FEATURE_ORDER[:-1])
 
 
@@ -118,21 +128,61 @@ def streamed_live_features(spark, sf_dir):
     + f"SELECT city, datetime AS input_timestamp, {r6('pm2_5', 'current_pm25')}, round(p, 2) AS predicted_next_hour_pm25, {risk_sql('p')}, 'Linear Regression' AS champion_model FROM s"
 )
 def streamed_predictions(spark, sf_dir):
-    log = scratch(spark, "log")
-    live.live_stream(
-        landed_observations(spark, sf_dir),
-        SPEC,
-        scratch(spark, "raw"),
-        scratch(spark, "features"),
-        scratch(spark, "cp"),
-        predict=linear_model(MODEL, INTERCEPT),
-        features=list(MODEL),
-        model_name="Linear Regression",
-        log_path=log,
-    ).awaitTermination()
+    raw, features, log, cp = (scratch(spark, name) for name in ("raw", "features", "log", "cp"))
+
+    def start(rows):
+        model = linear_model(MODEL, INTERCEPT)
+        return live.live_stream(live.clean_stream(rows), SPEC, raw, features, cp, predict=model, features=list(MODEL), model_name="Linear Regression", log_path=log)
+
+    run_landings(spark, three_batches(spark, sf_dir), start)
     return newest_of_batches(spark, log, "input_timestamp").drop("batch_id", "prediction_time")
 
 
+@query(with_(ARRIVED, LIVE_CLEAN, LIVE) + f"SELECT {cols('city datetime ' + CALENDAR_NAMES, FEATURE_NAMES)} FROM live")
+def stateful_live_features(spark, sf_dir):
+    """The same landings through keyed state: corrections, late rows, a start from the checkpoint after each landing."""
+    path, cp = scratch(spark, "features"), scratch(spark, "cp")
+    start = to_folders(path, cp, "update")
+    run_landings(spark, three_batches(spark, sf_dir), lambda rows: start(state.stateful_live_features(live.clean_stream(rows), SPEC)))
+    return newest_of_batches(spark, path, "datetime").select(*FEATURE_ORDER[:-1])
+
+
+def _present(row: str) -> str:
+    return f"{row}.temperature_2m IS NOT NULL AND {row}.o3 IS NOT NULL"
+
+
+_LIVE_CHOSEN = ", ".join(
+    f"round(CASE WHEN {_present('obs')} THEN coalesce({c}, {CURRENT_DEFAULTS[c]}) ELSE {FALLBACK_WEATHER[c] if c in WEATHER else f'coalesce({c}, 0.0)'} END + 3.3e-8, 6) AS {c}" for c in MEASURES
+)
+
+
+@query(with_(OBS) + f"SELECT city, datetime, {_LIVE_CHOSEN}, CASE WHEN {_present('obs')} THEN 'primary' ELSE 'secondary' END AS source FROM obs")
+def live_source_fallback(spark, sf_dir):
+    """Three feeds in three landings: weather and air quality each miss hours, and two days of air quality come a landing late."""
+    rows = obs(spark, sf_dir).withColumn("fetched_at", F.col("datetime") + F.expr("INTERVAL 17 MINUTES"))
+    clock = F.lit("2024-06-01 00:17:00").cast("timestamp")  # a reading of no city, far ahead, moves every watermark on
+    end = rows.limit(1).select(*[F.lit("").alias(c) if c == "city" else clock.alias(c) if c in ("datetime", "fetched_at") else F.lit(1.0).alias(c) for c in rows.columns])
+    rows = rows.unionByName(end)
+    late = F.col("datetime").between("2024-01-08", "2024-01-09 23:00:00")
+    landing = F.when(F.col("datetime") < "2024-01-10", 0).when(F.col("datetime") < "2024-01-20", 1).otherwise(2)
+    feeds_ = {
+        "weather": rows.filter("temperature_2m IS NOT NULL").select("city", "fetched_at", current_payload({c: c for c in WEATHER}).alias("payload"), landing.alias("n")),
+        "air": rows.filter("o3 IS NOT NULL").select("city", "fetched_at", current_payload(POLLUTANT_FEED_NAMES).alias("payload"), F.when(late, 1).otherwise(landing).alias("n")),
+        "second": rows.select("city", "fetched_at", secondary_payload().alias("payload"), landing.alias("n")),
+    }
+    landed = stage(reduce(DataFrame.unionByName, [df.withColumn("feed", F.lit(name)) for name, df in feeds_.items()]))
+    folders = {name: scratch(spark, name) for name in feeds_}
+    path = scratch(spark, "fallback")
+    start = to_folders(path, scratch(spark, "cp"))
+    for n in range(3):
+        for name, folder in folders.items():
+            landed.filter((F.col("n") == n) & (F.col("feed") == name)).select("city", "fetched_at", "payload").write.mode("append").parquet(folder)
+        weather, air, second = (live.landed(spark, f, landed.select("city", "fetched_at", "payload").schema) for f in folders.values())
+        primary = fallback.live_combined(feeds.parse_current_weather(weather), feeds.parse_current_air_quality(air), SPEC)
+        start(fallback.live_fallback(primary, feeds.parse_secondary(second), SPEC)).awaitTermination()
+    return spark.read.parquet(path).filter("city <> ''").drop("batch_id")
+
+
 @query(
     with_(OBS, LIVE_CLEAN, LIVE) + f"SELECT {cols('city datetime ' + CALENDAR_NAMES, FEATURE_NAMES)} FROM live"
 )

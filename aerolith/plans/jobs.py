@@ -21,7 +21,7 @@ from aerolith.plans.scoring import prediction_log, score
 from aerolith.schema import LIVE_BOUNDS, MEASURES, OBSERVATION, TARGET, TS, VALUE
 from aerolith.session import job, stage
 from aerolith.sources import feeds
-from aerolith.sources.store import FeatureStore, append_log, read_table, upsert
+from aerolith.sources.store import DATE, FeatureStore, append_log, newest_rows, read_table, upsert
 from aerolith.sources.tables import exists, write_feature_list, write_latest_json, write_observations
 
 _RECENT_DAYS = 30
@@ -73,8 +73,6 @@ def recent_history(store: DataFrame, touched: DataFrame, spec: SeriesSpec, rows:
     Every scan has a date bound. For series with too few rows the range is widened fourfold at a
     time, until they have enough or no older date is left, so the result does not depend on ``days``.
     """
-    from aerolith.sources.store import DATE
-
     keys = list(spec.keys)
     last = touched.agg(F.max(spec.ts)).first()[0]
     if last is None:
@@ -93,6 +91,18 @@ def recent_history(store: DataFrame, touched: DataFrame, spec: SeriesSpec, rows:
     return reduce(DataFrame.unionByName, done).drop(DATE)
 
 
+def series_history(spark: SparkSession, path: str, touched: DataFrame, spec: SeriesSpec, rows: int) -> DataFrame:
+    """The newest ``rows`` rows of the touched series from the table at ``path``.
+
+    With the table's own counts only the dates that hold them are read; a table that has none is searched
+    by :func:`recent_history`.
+    """
+    near = newest_rows(spark, path, touched, list(spec.keys), rows)
+    if near is None:
+        return recent_history(read_table(spark, path), touched, spec, rows)
+    return latest_rows(near.drop(DATE), spec, rows)
+
+
 def hourly_features(new: DataFrame, spec: SeriesSpec, raw_path: str, store: FeatureStore | None = None, group: str = "live_features") -> DataFrame:
     """Clean the new rows, merge them into the raw table, compute live features of their series.
 
@@ -102,7 +112,7 @@ def hourly_features(new: DataFrame, spec: SeriesSpec, raw_path: str, store: Feat
     with job() as staged:
         rows = stage(clean_live(new, spec.ts).select(*spec.keys, *OBSERVATION))
         upsert(spark, raw_path, rows, list(spec.keys), spec.ts)
-        history = recent_history(read_table(spark, raw_path), rows, spec, 169)
+        history = series_history(spark, raw_path, rows, spec, 169)
         latest = stage(live_features(history, spec))
         if store is not None:
             store.insert(latest, group, primary_key=[*spec.keys, spec.ts], event_time=spec.ts)

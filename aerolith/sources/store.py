@@ -132,6 +132,39 @@ def _widen(spark: SparkSession, path: str, new: T.StructType) -> T.StructType:
     return schema
 
 
+_COUNTS = "_counts"
+
+
+def series_counts(spark: SparkSession, path: str, keys: Sequence[str]) -> DataFrame | None:
+    """(keys, event_date, n): rows of each series and date. None for a table written without upserts.
+
+    Kept next to the table by every upsert, so a reader knows how far back a series must be read.
+    """
+    kept = f"{path}/{_COUNTS}"
+    if not exists(spark, kept):
+        return None
+    schema = table_schema(spark, path)
+    kinds = [T.StructField(k, schema[k].dataType) for k in keys]
+    return spark.read.schema(T.StructType([*kinds, T.StructField("n", T.LongType()), T.StructField(DATE, T.DateType())])).parquet(kept)
+
+
+def newest_rows(spark: SparkSession, path: str, touched: DataFrame, keys: Sequence[str], rows: int) -> DataFrame | None:
+    """Stored rows of the dates that hold the newest ``rows`` rows of the series in ``touched``; None without counts.
+
+    Only these dates are read, however long the history is and however new or sparse a series is. May
+    hold a date's earlier rows too.
+    """
+    counts = series_counts(spark, path, keys)
+    if counts is None:
+        return None
+    names = touched.select(*keys).distinct()
+    newer = W.partitionBy(*keys).orderBy(F.col(DATE).desc()).rowsBetween(W.unboundedPreceding, -1)
+    days = counts.join(names, list(keys), "left_semi").withColumn("_newer", F.coalesce(F.sum("n").over(newer), F.lit(0)))
+    needed = stage(days.filter((F.col("_newer") < rows) & (F.col("n") > 0)).select(*keys, DATE))
+    dates = [r[0] for r in needed.select(DATE).distinct().collect()]  # dates of the table at most
+    return read_table(spark, path).filter(F.col(DATE).isin(dates)).join(needed, [*keys, DATE], "left_semi")
+
+
 def upsert(
     spark: SparkSession, path: str, new: DataFrame, keys: Sequence[str], ts: str = TS, tie_break: Sequence[str | Column] = ()
 ) -> int:
@@ -157,6 +190,9 @@ def upsert(
     written = merged.select(*[F.col(f.name).alias(_held(f)[0].name) for f in schema.fields], DATE)
     writer = written.hint("rebalance", F.col(DATE)).write.mode("overwrite").partitionBy(DATE)
     writer.option("partitionOverwriteMode", "dynamic").parquet(path)
+    if not known or exists(spark, f"{path}/{_COUNTS}"):
+        counts = merged.groupBy(*keys, DATE).agg(F.count("*").alias("n")).hint("rebalance", F.col(DATE))
+        counts.write.mode("overwrite").partitionBy(DATE).option("partitionOverwriteMode", "dynamic").parquet(f"{path}/{_COUNTS}")
     discard(staged, merged)
     return left_out
 

@@ -11,11 +11,11 @@ from pyspark.sql.streaming import StreamingQuery
 
 from aerolith.operators.chunks import SeriesSpec
 from aerolith.operators.features import live_features
-from aerolith.plans.jobs import clean_live, recent_history
+from aerolith.plans.jobs import clean_live, series_history
 from aerolith.plans.scoring import prediction_log, score
 from aerolith.schema import OBSERVATION, VALUE
 from aerolith.session import job, stage
-from aerolith.sources.store import read_table, upsert
+from aerolith.sources.store import upsert
 
 
 def landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
@@ -44,23 +44,25 @@ def hourly_means(events: DataFrame, keys: Sequence[str], ts: str, value: str, de
     return means.select(*keys, F.col("window.start").alias("hour"), "mean_value", "n")
 
 
-def _start(rows: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool) -> StreamingQuery:
-    writer = rows.writeStream.foreachBatch(on_batch).option("checkpointLocation", checkpoint)
+def _start(rows: DataFrame, on_batch: Callable[[DataFrame, int], None], checkpoint: str, available_now: bool, mode: str = "append") -> StreamingQuery:
+    writer = rows.writeStream.outputMode(mode).foreachBatch(on_batch).option("checkpointLocation", checkpoint)
     return (writer.trigger(availableNow=True) if available_now else writer).start()
 
 
 def upsert_stream(
-    rows: DataFrame, spec: SeriesSpec, path: str, checkpoint: str, *, tie_break: Sequence[str] = (), available_now: bool = True
+    rows: DataFrame, spec: SeriesSpec, path: str, checkpoint: str, *, tie_break: Sequence[str] = (), available_now: bool = True, mode: str = "append"
 ) -> StreamingQuery:
     """Merge every micro-batch into the table at ``path``; the last row of a key wins.
 
+    ``mode`` is the stream's output mode: "update" for aggregates that come again as they grow.
+
     A batch that is run again after a failure merges the same rows again and changes nothing.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
         upsert(batch.sparkSession, path, batch, list(spec.keys), spec.ts, tie_break)
 
-    return _start(rows, merge, checkpoint, available_now)
+    return _start(rows, merge, checkpoint, available_now, mode)
 
 
 def live_stream(
@@ -91,7 +93,7 @@ def live_stream(
         if new.isEmpty():
             return
         upsert(spark, raw_path, new, list(spec.keys), spec.ts)
-        history = recent_history(read_table(spark, raw_path), new, spec, 169)
+        history = series_history(spark, raw_path, new, spec, 169)
         latest = stage(live_features(history, spec))
         latest.write.mode("overwrite").parquet(f"{features_path}/batch_id={batch_id}")
         if predict is not None and log_path is not None:

@@ -349,3 +349,28 @@ def test_two_live_streams_in_one_session(spark, tmp_path):
     found = [sorted((r.city, str(r.datetime), r.pm25_lag_24) for r in spark.read.parquet(str(tmp_path / k / "features")).collect()) for k in ("one", "two")]
     assert found[0] == found[1] and {c for c, _, _ in found[0]} == {"city_0", "city_1"}
     assert set(os.listdir(shared_dir(spark))) == before
+
+
+def test_new_series_read_only_their_own_dates(spark, tmp_path):
+    """Counts kept with the table bound the read: also of new, short, sparse and corrected series."""
+    path = str(tmp_path / "raw")
+    data = {"dense": [(h, float(h)) for h in range(24 * 60)], "thin": [(h * 36, float(h)) for h in range(40)]}
+    store.upsert(spark, path, series_frame(spark, data), ["city"])
+    fresh = series_frame(spark, {"new": [(24 * 59 + h, 1.0) for h in range(5)], "dense": [(24 * 59, -1.0)]})
+    store.upsert(spark, path, fresh, ["city"])
+
+    def read(city, rows):
+        touched = spark.createDataFrame([(city,)], "city string")
+        near = store.newest_rows(spark, path, touched, ["city"], rows)
+        got = jobs.series_history(spark, path, touched, SPEC, rows)
+        return near.select(store.DATE).distinct().count(), near.count(), sorted(r.v for r in got.collect())
+
+    assert read("new", 169) == (1, 5, [1.0] * 5)
+    dates, _, values = read("dense", 30)
+    assert dates == 2 and values == sorted([-1.0, *[float(h) for h in range(24 * 60 - 30, 24 * 60) if h != 24 * 59]])
+    assert read("thin", 10) == (10, 10, [float(h) for h in range(30, 40)])
+    assert read("nobody", 5) == (0, 0, [])
+    counts = {(r.city, str(r.event_date)): r.n for r in store.series_counts(spark, path, ["city"]).collect()}
+    assert counts["dense", "2024-02-29"] == 24 and sum(n for (c, _), n in counts.items() if c == "thin") == 40
+    plan = store.newest_rows(spark, path, spark.createDataFrame([("new",)], "city string"), ["city"], 169)._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(event_date" in plan and plan.count("2024-") >= 1
