@@ -103,5 +103,5 @@ def load_all() -> None:
     """Import the modules that register queries."""
     from importlib import import_module
 
-    for module in ("ingest", "windows", "explore", "modelling", "streams"):
+    for module in ("ingest", "windows", "explore", "modelling", "streams", "monitor"):
         import_module(f"aerolith.catalog.{module}")

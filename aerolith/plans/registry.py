@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import json
 import uuid
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from datetime import datetime, timezone
 
 from pyspark.ml import PipelineModel
@@ -18,6 +18,8 @@ _META = (
     "features array<string>, hyperparameters string, is_champion boolean"
 )
 
+_EDGES = "version string, saved_at timestamp, feature string, edges array<double>"
+
 
 class ModelRegistry:
     """Models under ``<root>/<slug>_v_<version>``; one appended row of metadata each.
@@ -52,6 +54,19 @@ class ModelRegistry:
         self.spark.createDataFrame([row], _META).coalesce(1).write.mode("append").parquet(self._meta_path)
         return path
 
+    def save_edges(self, version: str, edges: Mapping[str, Sequence[float]]) -> None:
+        """Keep the bin edges of a version's training columns, for later drift reports."""
+        rows = [(version, datetime.now(timezone.utc), c, [float(e) for e in cuts]) for c, cuts in edges.items()]
+        self.spark.createDataFrame(rows, _EDGES).coalesce(1).write.mode("append").parquet(f"{self.root}/edges")
+
+    def edges(self, version: str) -> dict[str, list[float]]:
+        """The newest edges kept for a version; empty if there are none. A row a column."""
+        path = f"{self.root}/edges"
+        if not exists(self.spark, path):
+            return {}
+        rows = self.spark.read.schema(_EDGES).parquet(path).filter(F.col("version") == version)
+        return {r.feature: list(r.edges) for r in rows.groupBy("feature").agg(F.max_by("edges", "saved_at").alias("edges")).collect()}
+
     def versions(self) -> DataFrame:
         return self.spark.read.schema(_META).parquet(self._meta_path)
 
