@@ -375,3 +375,83 @@ def test_rules_of_odd_rows(spark, odd):
     judged = quality_rules.judge(odd, rules).collect()
     assert len(judged) == odd.count() and all(r.kept != r.base_failed for r in judged)
     assert quality_rules.judge(odd.limit(0), quality_rules.fit(odd.limit(0), odd)).count() == 0
+
+
+COOKIES = '<div><p>We use cookies to make this site a better site.</p></div>'
+LONG = ["A first paragraph of the article, long enough to be one, with many plain words in it and no links at all. " * 2, "The second paragraph goes on about the same matter for a while, also without any links, and then it ends. " * 2]
+
+
+@pytest.mark.parametrize("name", ["product-review", "review", "social", "search-results", "side", "notice", "form", "related-work", "share", "alert"])
+def test_names_of_a_frame_do_not_lose_the_article(name):
+    page = f'<html><body>{COOKIES}<div class="{name}"><p>{LONG[0]}</p><p>{LONG[1]}</p></div></body></html>'
+    assert html_text.main_text(page) == " ".join(x.strip() for x in LONG)
+
+
+def test_names_inside_the_article_mark_what_is_dropped():
+    page = f'<body><div><h2>Head</h2><p>{LONG[0]}</p><div class="ad">Buy this now, it is cheap and good and new and very much on sale today</div><p>{LONG[1]}</p><div id="comments"><p>I liked it</p></div></div></body>'
+    assert html_text.main_text(page) == " ".join(["Head", *[x.strip() for x in LONG]])
+
+
+def test_no_text_is_lost_to_links_or_lists():
+    assert html_text.main_text("<p>Short article. <a href='x'>A link in it that is long</a></p>") == "Short article. A link in it that is long"
+    page = f"<body><div><p>{LONG[0]}</p><ul><li><a href='r'>The one reference of this article</a></li></ul><p>{LONG[1]}</p></div></body>"
+    assert "The one reference of this article" in html_text.main_text(page)
+    assert "Sh is." in html_text.main_text(f"<div><p>{LONG[0]} <b>bold</b> <i>it</i></p><p>Sh is.</p><p>{LONG[1]}</p></div>")
+
+
+def test_comments_without_a_name_are_beside_the_article():
+    comments = "".join(f"<p>Reader {i} says no.</p>" for i in range(5))
+    page = f"<body><h1>The title</h1><div><p>{LONG[0]}</p><p>{LONG[1]}</p></div><div>{comments}</div></body>"
+    assert html_text.main_text(page) == " ".join(["The title", *[x.strip() for x in LONG]])
+    sections = "".join(f"<section><h2>Part {k}</h2><p>{LONG[0]}</p><p>{LONG[1]}</p></section>" for k in range(3))
+    text = html_text.main_text(f"<body><div>{sections}</div><div>{comments}</div></body>")
+    assert all(f"Part {k}" in text for k in range(3)) and "Reader" not in text
+
+
+@pytest.mark.parametrize("build", [lambda n: "<body>" + "<b>" * n + "</i>" * n, lambda n: "<p><div>" + "<b>" * n + "<hr>" * n, lambda n: "<div>" * n + "x" + "</p>" * n, lambda n: "<li><ul>" + "<i>" * n + "<li></em>" * n, lambda n: "<a '" * n, lambda n: "<td><table>" + "<b>" * n + "</th><tr>" * n, lambda n: "<!" * n + "<title>" * n])
+def test_hostile_pages_take_time_in_proportion(build):
+    import time
+
+    def seconds(n):
+        begin = time.perf_counter()
+        html_text.main_text(build(n))
+        return time.perf_counter() - begin
+
+    seconds(1000)
+    assert seconds(64_000) < 40 * max(seconds(8_000), 0.02)
+
+
+def test_densities_by_the_definition():
+    """Every node's density and score against a plain tree, walked anew for each node."""
+    import math
+
+    pages = [r for r in (PAGE, f"<body>{COOKIES}<div class='share'><p>{LONG[0]} <a>link text</a></p><ul><li><a>x y</a></li></ul></div><p>t<b>u</b></p>")]
+    for source in pages:
+        page = html_text.Page(source)
+        page.measure()
+        children = {i: [k for k, p in enumerate(page.parent) if p == i] for i in range(len(page.name))}
+
+        def below(i):
+            return [] if page.skip[i] else [i, *[x for k in children[i] for x in below(k)]]
+
+        def inks(nodes):
+            return sum(len("".join(t.split())) for o, t in page.pieces if t is not None and o in nodes)
+
+        def linked(i):
+            return page.name[i] == "a" or (i > 0 and linked(page.parent[i]))
+
+        def facts(i):
+            nodes = set(below(i))
+            return inks(nodes), len(nodes - {i}), inks({k for k in nodes if linked(k)}), sum(page.name[k] == "a" for k in nodes - {i})
+
+        body = page.name.index("body")
+        c_all, _, l_all, _ = facts(body)
+        for i in range(1, len(page.name)):
+            c, t, lc, lt = facts(i)
+            want = 0.0
+            if c:
+                lean = c / max(lc, 1) * max(t, 1) / max(lt, 1)
+                base = math.log(c / max(c - lc, 1) * lc + l_all / c_all * c + math.e)
+                want = max(0.0, c / max(t, 1) * math.log(lean) / base) * html_text.NAMED[page.named[i]]
+            assert page.density[i] == pytest.approx(want)
+            assert page.score[i] == pytest.approx(sum(page.density[k] for k in children[i]))
