@@ -1,12 +1,16 @@
-"""SimHash near-duplicates over an inverted index of positional fingerprint bytes.
-
-Two fingerprints that differ in at most ``k`` bits differ in at most ``k`` of their 8 bytes, so they
-share at least ``8 - k`` bytes at the same positions. The index holds a fingerprint under each choice of
-``8 - k`` positional bytes: a posting is exactly the pairs whose tally of shared bytes reaches the
-guaranteed minimum, and nothing below it is ever formed. (Posting lists of single bytes would hold a
-256th of all documents each, and a tally over their pairs grows with the square of the corpus.)
-Pairs of a posting are verified by their differing bits, which all lie in the ``k`` remaining bytes.
-Only distinct fingerprints are indexed, so copies of a text cost one row.
+"""SimHash near-duplicates over an inverted index of positional fingerprint bytes, with count filtering.
+
+Two fingerprints that differ in at most ``k`` bits differ in at most ``k`` of their 8 bytes, so at least
+``8 - k`` bytes at the same positions are shared. The bytes are put in blocks, so many that some blocks
+are whole in every such pair; the index holds a fingerprint under each choice of blocks (for two bits: six
+postings of four positional bytes). In a posting the shared positional bytes of each pair are tallied,
+pairs below the guaranteed minimum are dropped, the others are verified by their differing bits. A
+pair counts in the first of its postings only.
+
+Postings of single bytes would hold a 256th of all fingerprints each, and a tally over their pairs grows
+with the square of the corpus. A posting with very many fingerprints (thousands of near copies) is dealt
+out anew under the guaranteed minimum of bytes, where it is bounded. Only distinct fingerprints are
+indexed, so copies of a text cost one row.
 """
 
 from __future__ import annotations
@@ -29,9 +33,13 @@ SEED = 42
 SHINGLE = 3
 MOST_BITS = 2
 
-#: Up to this many fingerprints of a posting are compared one with another. Beyond it every fingerprint
-#: looks up its neighbours, of which there are 136 within the free bytes.
-_COMPARED = 136
+#: Fewest bytes of a posting's key.
+_KEY_BYTES = 4
+#: Postings with more fingerprints are dealt out anew.
+CROWD = 4096
+#: Up to this many fingerprints of a posting are tallied one with another. Beyond it every fingerprint looks up
+#: its neighbours within the bytes that are not in the key.
+_COMPARED = 512
 
 
 def fingerprints_of(texts: list[bytes], shingle: int = SHINGLE) -> np.ndarray:
@@ -64,63 +72,100 @@ def fingerprints(docs: DataFrame, shingle: int = SHINGLE, keep: tuple[str, ...]
     return map_texts(docs, "fp long", work, keep=("doc_id", *keep))
 
 
-def _popcount(x: np.ndarray) -> np.ndarray:
-    return np.bitwise_count(x)
+def key_choices(most: int) -> list[tuple[int, ...]]:
+    """Choices of bytes to file a fingerprint under: any pair within ``most`` bits agrees on all bytes of one choice.
 
+    The 8 bytes are cut into ``most + j`` blocks, of which j are whole in such a pair; j is the least that
+    gives keys of ``_KEY_BYTES``.
+    """
+    if not 0 <= most < 8:
+        raise ValueError("most is from 0 to 7")
+    for j in range(1, 9 - most):
+        blocks = [tuple(int(x) for x in part) for part in np.array_split(np.arange(8), most + j)]
+        choices = [tuple(sorted(sum(c, ()))) for c in combinations(blocks, j)]
+        if min(map(len, choices)) >= _KEY_BYTES or j == 8 - most:
+            return choices
+    raise AssertionError
+
+
+def _mask(positions: tuple[int, ...]) -> int:
+    return sum(0xFF << 8 * p for p in positions)
+
+
+def _signed(mask: int) -> int:
+    return int(np.array(mask, dtype=np.uint64).view(np.int64))
 
-def posting_links(fps: np.ndarray, free: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """Links within one posting: distinct fingerprints that agree outside the bits ``free``."""
+
+def shared_bytes(x: np.ndarray) -> np.ndarray:
+    """Number of zero bytes of each xor: positions at which a pair agrees."""
+    return (x.view(np.uint8).reshape(-1, 8) == 0).sum(axis=1)
+
+
+def posting_links(fps: np.ndarray, mask: int, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links within one posting: distinct ascending fingerprints that agree in the bits of ``mask``."""
     if len(fps) <= _COMPARED:
         a, b = np.triu_indices(len(fps), 1)
     else:
-        bits = [np.uint64(1 << i) for i in range(64) if free >> i & 1]
-        masks = [sum(c, np.uint64(0)) for n in range(1, most + 1) for c in combinations(bits, n)]
+        bits = [np.uint64(1 << i) for i in range(64) if not mask >> i & 1]
         found = []
-        for mask in masks:
-            other = fps ^ mask
-            at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
-            hit = np.flatnonzero((fps[at] == other) & (fps < other))
-            found.append((hit, at[hit]))
-        a, b = (np.concatenate(x) for x in zip(*found, strict=True))
-    near = _popcount(fps[a] ^ fps[b]) <= most
-    return fps[a[near]], fps[b[near]]
-
-
-def _links_of(keys: np.ndarray, fps: np.ndarray, free: dict[int, int], most: int) -> tuple[np.ndarray, np.ndarray]:
+        for n in range(1, most + 1):
+            for choice in combinations(bits, n):
+                other = fps ^ sum(choice, np.uint64(0))
+                at = np.minimum(np.searchsorted(fps, other), len(fps) - 1)
+                hit = np.flatnonzero((fps[at] == other) & (fps < other))
+                found.append((hit, at[hit]))
+        a, b = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, int), np.zeros(0, int))
+    return _verified(fps[a], fps[b], most)
+
+
+def _verified(x: np.ndarray, y: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs whose tally reaches the guaranteed minimum and whose differing bits are few enough."""
+    differ = x ^ y
+    tallied = shared_bytes(differ) >= 8 - most
+    x, y, differ = x[tallied], y[tallied], differ[tallied]
+    near = np.bitwise_count(differ) <= most
+    return x[near], y[near]
+
+
+def _links_of(keys: np.ndarray, fps: np.ndarray, masks: list[int], most: int) -> tuple[np.ndarray, np.ndarray]:
     """Links of whole postings that lie one after another. keys: (choice of bytes, the bytes)."""
     new = np.concatenate(([True], (keys[1:] != keys[:-1]).any(axis=1)))
     starts = np.flatnonzero(new)
     ends = np.append(starts[1:], len(fps))
-    left, right = [], []
-    pair = starts[ends - starts == 2]
-    near = _popcount(fps[pair] ^ fps[pair + 1]) <= most
-    left.append(fps[pair[near]])
-    right.append(fps[pair[near] + 1])
-    for a, b in zip(starts, ends, strict=True) if (ends - starts > 2).any() else ():
-        if b - a > 2:
-            x, y = posting_links(fps[a:b], free[int(keys[a, 0])], most)
-            left.append(x)
-            right.append(y)
-    return np.concatenate(left), np.concatenate(right)
-
-
-def near_links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
-    """All pairs (a, b) of distinct fingerprints (column fp) that differ in at most ``most`` bits.
-
-    Pairs may be listed more than once. A posting has at most 2 ** (8 * most) fingerprints.
-    """
-    choices = list(combinations(range(8), most))
-    free = {c: sum(0xFF << 8 * p for p in positions) for c, positions in enumerate(choices)}
-    signed = {c: int(np.array(~np.uint64(m)).view(np.int64)) for c, m in free.items()}
-    postings = fps.select(F.explode(F.array(*[F.struct(F.lit(c).cast("byte").alias("c"), F.col("fp").bitwiseAND(F.lit(m)).alias("key"), F.col("fp")) for c, m in signed.items()])).alias("p"))
-    dealt = postings.select("p.c", "p.key", "p.fp").repartition("c", "key").sortWithinPartitions("c", "key", "fp")
+    sizes, left, right, choice = ends - starts, [], [], []
+    for size in range(2, 9):  # small postings, all of one size at once
+        at = starts[sizes == size]
+        for i, j in combinations(range(size), 2):
+            if len(at):
+                left.append(fps[at + i])
+                right.append(fps[at + j])
+                choice.append(keys[at, 0])
+    x, y, c = (np.concatenate(v) if v else np.zeros(0, t) for v, t in ((left, np.uint64), (right, np.uint64), (choice, np.int64)))
+    differ = x ^ y
+    tallied = shared_bytes(differ) >= 8 - most
+    x, y, c = x[tallied], y[tallied], c[tallied]
+    x, y, c = (v[np.bitwise_count(x ^ y) <= most] for v in (x, y, c))
+    parts = [(x, y, c)]
+    for a, b in zip(starts[sizes > 8], ends[sizes > 8], strict=True):
+        x, y = posting_links(fps[a:b], masks[int(keys[a, 0])], most)
+        parts.append((x, y, np.full(len(x), keys[a, 0])))
+    x, y, c = (np.concatenate(v) for v in zip(*parts, strict=True))
+    first = np.ones(len(x), dtype=bool)
+    for k, mask in enumerate(masks):  # a pair counts in the first choice it agrees on
+        first &= (c <= k) | ((x ^ y) & np.uint64(mask) != 0)
+    return x[first], y[first]
+
+
+def _linked(dealt: DataFrame, masks: list[int], most: int) -> DataFrame:
+    """Links of postings (c, key, fp), each whole in one task."""
+    dealt = dealt.repartition("c", "key").sortWithinPartitions("c", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held_keys, held = np.zeros((0, 2), np.int64), np.zeros(0, np.uint64)
 
         def flush(keys, values):
             order = np.lexsort((values, keys[:, 1], keys[:, 0]))
-            x, y = _links_of(keys[order], values[order], free, most)
+            x, y = _links_of(keys[order], values[order], masks, most)
             return pa.RecordBatch.from_pydict({"a": np.minimum(x.view(np.int64), y.view(np.int64)), "b": np.maximum(x.view(np.int64), y.view(np.int64))})
 
         for batch in batches:
@@ -138,6 +183,29 @@ def near_links(fps: DataFrame, most: int = MOST_BITS) -> DataFrame:
     return dealt.mapInArrow(run, "a long, b long")
 
 
+def _filed(fps: DataFrame, masks: list[int]) -> DataFrame:
+    entries = [F.struct(F.lit(c).cast("short").alias("c"), F.col("fp").bitwiseAND(F.lit(_signed(m))).alias("key"), F.col("fp")) for c, m in enumerate(masks)]
+    return fps.select(F.explode(F.array(*entries)).alias("p")).select("p.c", "p.key", "p.fp")
+
+
+def near_links(fps: DataFrame, most: int = MOST_BITS, crowd: int = CROWD) -> DataFrame:
+    """All pairs (a, b) of distinct fingerprints (column fp) that differ in at most ``most`` bits.
+
+    Postings with more than ``crowd`` fingerprints are found by a count; their fingerprints go to postings
+    of ``8 - most`` bytes instead, which hold 2 ** (8 * most) at most, so a large group of near copies is
+    spread over tasks. Pairs of those may be listed more than once, the others once.
+    """
+    masks = [_mask(c) for c in key_choices(most)]
+    filed = _filed(fps, masks)
+    crowded = stage(filed.groupBy("c", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > crowd).select("c", "key"))
+    if crowded.isEmpty():
+        discard(crowded)
+        return _linked(filed, masks, most)
+    finest = [_mask(c) for c in combinations(range(8), 8 - most)]
+    dense = filed.join(crowded, ["c", "key"], "left_semi").select("fp").distinct()
+    return _linked(filed.join(crowded, ["c", "key"], "left_anti"), masks, most).union(_linked(_filed(dense, finest), finest, most))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the links (a, b): root is the smallest node it can reach.
 

@@ -257,3 +257,28 @@ def test_stages_on_an_empty_table(spark):
         assert out.count() == 0
         if i + 1 < len(corpus_pipeline.STAGES):
             assert out.columns == docs.columns
+
+
+@pytest.mark.parametrize(("most", "crowd"), [(0, 4096), (1, 4096), (2, 4096), (2, 30), (3, 4096), (3, 10)])
+def test_tallied_links_against_all_pairs(spark, most, crowd):
+    rng = np.random.default_rng(most)
+    base = rng.integers(0, 2**63, 6, dtype=np.uint64)
+    fps = {0, 2**64 - 1} | {int(b) for b in base}
+    for b in base:
+        for _ in range(60):
+            fps.add(int(b) ^ sum(1 << int(i) for i in rng.choice(64, rng.integers(1, 5), replace=False)))
+    fps |= {5 ^ (k << 20) for k in range(700)}  # one posting beyond all-pairs comparison
+    fps = sorted(fps)
+    want = {tuple(sorted((signed(fps[i]), signed(fps[j])))) for i in range(len(fps)) for j in range(i) if (fps[i] ^ fps[j]).bit_count() <= most}
+    links = simhash.near_links(spark.createDataFrame([(signed(f),) for f in fps], "fp long"), most, crowd)
+    got = [(r.a, r.b) for r in links.collect()]
+    assert set(got) == want and (crowd < 4096 or len(got) == len(want))
+
+
+@pytest.mark.parametrize("most", range(8))
+def test_key_choices_meet_every_pair(most):
+    from itertools import combinations
+
+    choices = simhash.key_choices(most)
+    assert all(any(not set(c) & set(hit) for c in choices) for hit in combinations(range(8), most))
+    assert len(choices) == {0: 1, 1: 2, 2: 6, 3: 35}.get(most, len(choices))
