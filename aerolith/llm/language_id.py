@@ -1,67 +1,183 @@
 """Language identification by prediction by partial matching.
 
-One tree of byte contexts serves all languages. At each context every language has its own frozen
-counts; a byte it has not seen there is coded by an escape and the next shorter context, without the
-bytes already ruled out. The code length of a text in a language is the sum over all its bytes. The
-shortest code names the language.
+Each language has its own frozen counts at every byte context. A byte it has not seen there is coded by an
+escape and the next shorter context, without the bytes already ruled out. The code length of a text in a
+language is the sum over all its bytes. The shortest code names the language.
+
+All strings that training texts hold are kept, in hash tables: for each string of a context and a byte the code
+lengths of that byte in all languages, for each context those of an escape. A byte of a text costs one
+lookup where its longest context has seen it, and one or two more for each escape. Languages are
+dealt into blocks of ``BLOCK``, so any number of them can be learned.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from aerolith.llm.common import ends_of, map_texts, segment_sums, slices, text_bytes
-from aerolith.session import stage
+from aerolith.llm.common import ends_of, map_texts, slices, text_bytes
+from aerolith.session import discard, stage
 
-#: Longest context in bytes, and the most contexts a model keeps (the most frequent ones).
+#: Longest context in bytes.
 ORDER = 4
-MOST_CONTEXTS = 16_384
 #: Rows of each language that a model learns from, on average; all rows where a language has fewer.
 SAMPLE_ROWS = 1_000
-#: Most languages of one model. The model's size is contexts x bytes x languages.
-MOST_LANGUAGES = 64
+#: Languages whose code lengths stand in one table.
+BLOCK = 16
+#: Bytes of texts coded at a time, whatever the length of a text.
+_STEP = 1 << 18
 
 UNDETERMINED = "und"
 _PAD = 10  # a line break stands in front of every text
 
 
+class Lookup:
+    """Open addressing in flat arrays: number of each known code, -1 for others."""
+
+    def __init__(self, codes: np.ndarray):
+        self.shift = np.uint64(64 - max(4, int(2 * len(codes)).bit_length()))
+        size = 1 << (64 - int(self.shift))
+        self.keys, self.values = np.zeros(size, dtype=np.int64), np.full(size, -1, dtype=np.int32)
+        left, at = np.arange(len(codes)), self._slot(codes)
+        while len(left):
+            free = self.keys[at] == 0
+            slots, first = np.unique(at[free], return_index=True)
+            placed = np.flatnonzero(free)[first]
+            self.keys[slots], self.values[slots] = codes[left[placed]], left[placed]
+            rest = np.ones(len(left), dtype=bool)
+            rest[placed] = False
+            left, at = left[rest], (at[rest] + 1) & (size - 1)
+
+    def _slot(self, codes: np.ndarray) -> np.ndarray:
+        return ((codes.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> self.shift).astype(np.int64)
+
+    def find(self, codes: np.ndarray) -> np.ndarray:
+        at = self._slot(codes)
+        keys, out = self.keys[at], self.values[at]
+        open_ = np.flatnonzero((keys != codes) & (keys != 0))
+        out[keys == 0] = -1
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (len(self.keys) - 1)
+            keys = self.keys[at[open_]]
+            hit = keys == codes[open_]
+            out[open_] = np.where(hit, self.values[at[open_]], -1)
+            open_ = open_[~hit & (keys != 0)]
+        return out
+
+
 @dataclass
-class PPM:
-    """Frozen code lengths. Symbol 0 stands for all bytes that no training text has."""
+class Block:
+    """Frozen code lengths of some languages. Codes are byte strings behind a leading 1 byte."""
 
     languages: list[str]
-    symbol: np.ndarray  # of each byte
-    child: np.ndarray  # context x symbol -> the context one byte longer, or the last row (none)
-    bits: np.ndarray  # context x symbol x language
     order: int
+    grams: np.ndarray  # codes of known strings of 1 to order + 1 bytes, ascending
+    contexts: np.ndarray  # codes of known contexts of 0 to order bytes, ascending
+    symbol_bits: np.ndarray  # gram x language
+    escape_bits: np.ndarray  # context x language
+    unknown_bits: float  # of a byte that no training text has, below the empty context
+    _gram: Lookup = field(init=False, repr=False)
+    _context: Lookup = field(init=False, repr=False)
+
+    def __post_init__(self):
+        self._gram, self._context = Lookup(self.grams), Lookup(self.contexts)
 
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
-        """Bits of each text in each language."""
+        """Bits of each text in each language. Works in steps over the bytes, so long texts take no more memory."""
         pad = bytes([_PAD]) * self.order
         starts, ends = ends_of([pad + t for t in texts])
-        symbols = self.symbol[np.frombuffer(b"".join(pad + t for t in texts), dtype=np.uint8)]
-        none = len(self.child) - 1
-        node = np.zeros(len(symbols), dtype=np.int32)
-        best = node.copy()
-        for back in range(1, self.order + 1):
-            previous = np.zeros(len(symbols), dtype=np.int32)
-            previous[back:] = symbols[:-back]
-            node = self.child[node, previous]
-            best = np.where(node == none, best, node)
-        return segment_sums(self.bits[best, symbols], np.minimum(starts + self.order, ends), ends)
-
-    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray]:
-        """Language and posterior of each text under equal priors. Ties go to the first name."""
+        data = np.frombuffer(b"".join(x for t in texts for x in (pad, t)), dtype=np.uint8)
+        begins = starts + self.order
+        total = np.zeros((len(texts), len(self.languages)))
+        for a in range(0, len(data), _STEP):
+            where = np.arange(a, min(a + _STEP, len(data)))
+            owner = np.searchsorted(ends, where, side="right")
+            real = where >= begins[owner]
+            where, owner = where[real], owner[real]
+            if not len(where):
+                continue
+            bits = self._bits(data, where)
+            cuts = np.flatnonzero(np.concatenate(([True], owner[1:] != owner[:-1])))
+            total[owner[cuts]] += np.add.reduceat(bits, cuts, axis=0, dtype=np.float64)
+        return total
+
+    def _bits(self, data: np.ndarray, where: np.ndarray) -> np.ndarray:
+        """Code length of the bytes at ``where``, longest contexts first."""
+        out = np.zeros((len(where), len(self.languages)), dtype=np.float32)
+        code = np.zeros(len(where), dtype=np.int64)
+        for back in range(self.order, -1, -1):
+            code = (code << 8) | data[where - back]
+        left = np.arange(len(where))
+        for length in range(self.order + 1, 0, -1):
+            top = 1 << (8 * length)
+            code = (code & (top - 1)) | top
+            entry = self._gram.find(code)
+            hit = entry >= 0
+            out[left[hit]] += self.symbol_bits[entry[hit]]
+            left, code = left[~hit], code[~hit]
+            if not len(left):
+                return out
+            context = self._context.find(code >> 8)
+            known = context >= 0
+            out[left[known]] += self.escape_bits[context[known]]
+        out[left] += np.float32(self.unknown_bits)
+        return out
+
+
+@dataclass
+class PPM:
+    """A model: blocks of languages in order of their names."""
+
+    blocks: list[Block]
+
+    @property
+    def languages(self) -> list[str]:
+        return [x for b in self.blocks for x in b.languages]
+
+    def code_lengths(self, texts: list[bytes]) -> np.ndarray:
+        """Bits of each text in each language."""
+        return np.hstack([b.code_lengths(texts) for b in self.blocks])
+
+    @property
+    def bits(self) -> np.ndarray:
+        """All code lengths of the first block, context x symbol x language; symbol 0 is any byte no training text has. To look at."""
+        block = self.blocks[0]
+        ones = block.grams[block.grams < 1 << 16] & 255
+        seen = np.union1d(ones, [_PAD])
+        out = np.zeros((len(block.contexts), len(seen) + 1, len(block.languages)))
+        for i, context in enumerate(block.contexts.tolist()):
+            known = [] if context == 1 else list(context.to_bytes(8, "big").lstrip(b"\0")[1:])
+            for k, symbol in enumerate([next(b for b in range(256) if b not in seen), *seen.tolist()] if len(seen) < 256 else [0, *seen.tolist()]):
+                data = np.array([0] * (block.order - len(known)) + [*known, symbol], dtype=np.uint8)
+                out[i, k] = self._from(block, data, len(known))
+        return out
+
+    @staticmethod
+    def _from(block: Block, data: np.ndarray, longest: int) -> np.ndarray:
+        total = np.zeros(len(block.languages))
+        for length in range(longest + 1, 0, -1):
+            code = np.array([int.from_bytes(b"\1" + data[len(data) - length :].tobytes(), "big")])
+            entry = block._gram.find(code)[0]
+            if entry >= 0:
+                return total + block.symbol_bits[entry]
+            context = block._context.find(code >> 8)[0]
+            if context >= 0:
+                total = total + block.escape_bits[context]
+        return total + block.unknown_bits
+
+    def predict(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Language, posterior under equal priors and code length in it of each text. Ties go to the first name."""
         bits = self.code_lengths(texts)
         best = bits.argmin(axis=1)
-        gap = (bits - bits[np.arange(len(bits)), best][:, None]) * np.log(2)
-        return [self.languages[i] for i in best], 1.0 / np.exp(-gap).sum(axis=1)
+        least = bits[np.arange(len(bits)), best]
+        gap = (bits - least[:, None]) * np.log(2)
+        names = self.languages
+        return [names[i] for i in best], 1.0 / np.exp(-gap).sum(axis=1), least
 
 
 def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
@@ -95,100 +211,158 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def training_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """lang and text of at most ``sample_rows`` rows of each language on average, chosen by a hash of the id."""
-    known = rows.filter("lang is not null and text is not null")
-    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("_n")).orderBy(F.desc("_n"), "lang").limit(MOST_LANGUAGES + 1).collect()
-    if len(sizes) > MOST_LANGUAGES:
-        raise ValueError(f"more than {MOST_LANGUAGES} languages")
-    if not sizes:
-        return known.limit(0)
-    share = F.element_at(F.create_map(*[x for r in sizes for x in (F.lit(r["lang"]), F.lit(sample_rows / r["_n"]))]), F.col("lang"))
+def training_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, skip: int = 0) -> DataFrame:
+    """lang and text of about ``sample_rows`` rows of each language, chosen by a hash of the id.
+
+    A language with fewer rows gives all of them. ``skip`` leaves out the first so many samples: rows that another
+    call chose.
+    """
+    known = rows.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
+    share = known.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("_share"))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    return known.filter(draw < share)
+    drawn = known.withColumn("_draw", draw).join(share, "lang").filter((F.col("_draw") < (skip + 1) * F.col("_share")) & (F.col("_draw") >= skip * F.col("_share")))
+    return drawn.select("doc_id", "lang", "text")
+
 
+def _sized(code: np.ndarray) -> np.ndarray:
+    """Bytes behind the leading 1 byte."""
+    return sum((code >= 1 << (8 * k)).astype(np.int64) for k in range(1, 7))
 
-def build(counts: pd.DataFrame, order: int = ORDER) -> PPM | None:
-    """The model of counts (lang, gram, n) of strings whose contexts are all in it. None without counts."""
-    if not len(counts):
-        return None
+
+def _place(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
+    at = np.minimum(np.searchsorted(codes, of), len(codes) - 1)
+    if (codes[at] != of).any():
+        raise ValueError("a string is known without its shorter ones")
+    return at
+
+
+def build_block(counts: pd.DataFrame, alphabet: np.ndarray, order: int) -> Block:
+    """Code lengths from counts (lang, gram, n) of strings; with a string, those it ends with must be there."""
     languages = sorted(counts["lang"].unique())
     lang = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(dtype=object))
-    gram, n = counts["gram"].to_numpy(np.int64), counts["n"].to_numpy(np.float64)
-    length = np.array([(int(g).bit_length() - 1) // 8 for g in gram])
-    seen = np.unique(np.append(gram[length == 1] & 255, _PAD))
-    symbol = np.zeros(256, dtype=np.int32)
-    symbol[seen] = np.arange(1, len(seen) + 1)
-    size = len(seen) + 1
-    # A context is the string without its last byte; its parent lacks the first byte too.
-    context = gram >> 8
-    known = np.unique(np.stack([length - 1, context], axis=1), axis=0)
-    number = {int(c): i for i, (_, c) in enumerate(known)}
-    levels = known[:, 0]
-    child = np.full((len(known) + 1, size), len(known), dtype=np.int32)
-    parent = np.zeros(len(known), dtype=np.int64)
-    for i, (k, c) in enumerate(known.tolist()):
-        if k:
-            rest = (c & ((1 << 8 * (k - 1)) - 1)) | (1 << 8 * (k - 1))
-            parent[i] = number[rest]
-            child[parent[i], symbol[(c >> 8 * (k - 1)) & 255]] = i
-    table = np.zeros((len(known), size, len(languages)), dtype=np.float32)
-    table[[number[int(c)] for c in context], symbol[gram & 255], lang] = n
-    for k in range(order + 1):
-        rows = np.flatnonzero(levels == k)
-        for part in np.array_split(rows, max(1, len(rows) // 1024)):
-            count = table[part].astype(np.float64)
-            below = table[parent[part]].astype(np.float64) if k else np.full_like(count, 1.0 / 256)
-            if not k:
-                below[:, 0] = 1.0 - (size - 1) / 256 if size <= 256 else 1.0 / 256
-            hit = count > 0
-            total, kinds = count.sum(axis=1, keepdims=True), hit.sum(axis=1, keepdims=True)
-            other = np.where(hit, 0.0, below)
-            left = other.sum(axis=1, keepdims=True)
-            escape = np.where(left > 0, kinds, 0)
-            share = np.divide(other, left, out=np.zeros_like(other), where=left > 0)
-            whole = np.maximum(total + escape, 1)
-            table[part] = np.where(total > 0, np.where(hit, count / whole, share * escape / whole), below)
-    bits = -np.log2(np.maximum(table, np.float32(1e-30)))
-    return PPM(languages, symbol, child, bits, order)
-
-
-def fit(rows: DataFrame, order: int = ORDER, most_contexts: int = MOST_CONTEXTS, sample_rows: int = SAMPLE_ROWS) -> PPM | None:
-    """A model of rows (doc_id, lang, text). The counts are made and pruned on the executors.
-
-    Kept are the ``most_contexts`` most frequent contexts of at most ``order`` bytes. A longer context
-    is never more frequent than the shorter one it ends with, which sorts before it, so every kept
-    context has its parents. What reaches the driver is bounded by contexts x 256 x languages.
+    strings = counts["gram"].to_numpy(np.int64)
+    grams = np.union1d(strings, alphabet | 256)  # bytes that only other languages or the pad have stand alone too
+    row = np.searchsorted(grams, strings)
+    contexts = np.unique(np.append(grams >> 8, 1))
+    n = np.zeros((len(grams), len(languages)))
+    n[row, lang] = counts["n"].to_numpy(np.float64)
+    of, length = _place(contexts, grams >> 8), _sized(grams)
+    shape = (len(contexts), len(languages))
+    total, kinds = np.zeros(shape), np.zeros(shape)
+    np.add.at(total, of, n)
+    np.add.at(kinds, of, n > 0)
+    chance = np.zeros_like(n)  # of the byte, in its context
+    escape = np.ones(shape)  # factor from the chance in the shorter context to that in this one, for a byte not seen
+    for size in range(1, order + 2):
+        here = np.flatnonzero(length == size)
+        if not len(here):
+            break
+        if size == 1:
+            below = np.full((len(here), len(languages)), 1.0 / 256)
+        else:
+            top = 1 << (8 * (size - 1))
+            below = chance[_place(grams, (grams[here] & (top - 1)) | top)]
+        at = of[here]
+        seen = n[here] > 0
+        ruled = np.zeros(shape)
+        np.add.at(ruled, at, np.where(seen, below, 0.0))
+        left = 1.0 - ruled
+        out = np.where((left > 1e-12) & (total > 0), kinds, 0.0)
+        whole = np.maximum(total + out, 1.0)
+        mine = np.unique(at)
+        factor = np.where(total > 0, out / whole / np.maximum(left, 1e-12), 1.0)
+        escape[mine] = factor[mine]
+        chance[here] = np.where(seen, n[here] / whole[at], below * factor[at])
+    bits = lambda x: -np.log2(np.maximum(x, 1e-30)).astype(np.float32)
+    unknown = max(1.0 - len(alphabet) / 256, 1.0 / 256)
+    return Block(languages, order, grams, contexts, bits(chance), bits(escape), float(-np.log2(unknown)))
+
+
+def fit(rows: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, block: int = BLOCK) -> PPM | None:
+    """A model of rows (doc_id, lang, text); None without any.
+
+    The strings of a bounded sample (``sample_rows`` rows of each language) are counted on the executors, all
+    of them are kept. Languages reach the driver in blocks of ``block``, a table each; a model's size is its strings x
+    the languages of their block x 4 bytes.
     """
     counts = stage(gram_counts(training_sample(rows, sample_rows), order))
-    context = F.shiftright("gram", 8)
-    totals = counts.groupBy(context.alias("context")).agg(F.sum("n").alias("total"))
-    kept = totals.orderBy(F.desc("total"), "context").limit(most_contexts)
-    chosen = counts.withColumn("context", context).join(F.broadcast(kept.select("context")), "context").select("lang", "gram", "n")
-    return build(chosen.toPandas(), order)
+    languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
+    alphabet = np.union1d(np.array([r[0] & 255 for r in counts.filter(F.col("gram") < 1 << 16).select("gram").distinct().collect()], dtype=np.int64), [_PAD])
+    blocks = [build_block(counts.filter(F.col("lang").isin(languages[a : a + block])).toPandas(), alphabet, order) for a in range(0, len(languages), block)]
+    discard(counts)
+    return PPM(blocks) if blocks else None
+
+
+def usual_rates(rows: DataFrame, model: PPM, share: float = 0.99, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
+    """Bits a byte that ``share`` of the texts of each language stay under, in the language's own code.
+
+    Measured on rows (doc_id, lang, text) next to those learned from; where a language has no others, on those. A
+    number a language reaches the driver.
+    """
+    fresh = training_sample(rows, sample_rows, skip=1).withColumn("_fresh", F.lit(1))
+    learned = training_sample(rows, sample_rows).withColumn("_fresh", F.lit(0))
+    shared = rows.sparkSession.sparkContext.broadcast(model)
+
+    def work():
+        ppm = shared.value
+
+        def run(texts: list[bytes]) -> dict[str, list]:
+            bits = ppm.code_lengths(texts)
+            return {"bits": pa.array(bits.tolist(), pa.list_(pa.float64())), "size": [len(t) for t in texts]}
+
+        return run
+
+    coded = map_texts(fresh.union(learned), "bits array<double>, size long", work, keep=("lang", "_fresh"))
+    names = F.array(*[F.lit(x) for x in model.languages])
+    own = F.try_element_at("bits", F.array_position(names, F.col("lang")).cast("int"))
+    rates = coded.filter((F.col("size") >= LEAST_BYTES) & own.isNotNull()).groupBy("lang", "_fresh").agg(F.percentile(own / F.col("size"), F.lit(share)).alias("rate"))
+    best = rates.groupBy("lang").agg(F.max_by("rate", "_fresh").alias("rate"))
+    found = {r.lang: r.rate for r in best.collect()}
+    shared.unpersist()
+    return found
+
+
+#: Texts shorter than this tell nothing of their rate.
+LEAST_BYTES = 64
+#: A text may take this many times the usual rate of its language, and this many bits besides.
+RATE_MARGIN = 1.3
+BITS_MARGIN = 96.0
 
 
 def identify(docs: DataFrame, model: PPM | None, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep``, lang_pred and score of each text.
+    """``keep``, lang_pred, score and bits of each text.
 
     lang_pred is ``und`` with score 0 for a text that is null or has no letter, and for all if nothing
     was learned. Otherwise score is the posterior of the language under equal priors, over 0 and at
-    most 1. Whole texts are coded. Rows are kept one for one; an empty table gives an empty result.
+    most 1, and bits the code length of the whole text in it. Rows are kept one for one, repeated ones too; columns
+    not in ``keep`` but text are not read. An empty table gives an empty result.
     """
     if model is None:
-        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"))
+        return docs.select(*keep, F.lit(UNDETERMINED).alias("lang_pred"), F.lit(0.0).alias("score"), F.lit(0.0).alias("bits"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def work():
         ppm = shared.value
 
         def run(texts: list[bytes]) -> dict[str, list]:
-            names, score = ppm.predict(texts)
-            return {"lang_pred": names, "score": score}
+            names, score, bits = ppm.predict(texts)
+            return {"lang_pred": names, "score": score, "bits": bits}
 
         return run
 
     lettered = docs.withColumn("_letters", F.coalesce(F.col("text").rlike(r"\p{L}"), F.lit(False)))
-    scored = map_texts(lettered, "lang_pred string, score double", work, keep=(*keep, "_letters"))
+    scored = map_texts(lettered, "lang_pred string, score double, bits double", work, keep=(*keep, "_letters"))
     named = F.when(F.col("_letters"), F.col("lang_pred")).otherwise(F.lit(UNDETERMINED))
-    return scored.select(*keep, named.alias("lang_pred"), F.when(F.col("_letters"), F.col("score")).otherwise(0.0).alias("score"))
+    return scored.select(*keep, named.alias("lang_pred"), F.when(F.col("_letters"), F.col("score")).otherwise(0.0).alias("score"), "bits")
+
+
+def usual_text(rates: dict[str, float], text: str = "text", margin: float = RATE_MARGIN, slack: float = BITS_MARGIN) -> Column:
+    """True where the code of a text (lang_pred, bits) is as short as texts of that language usually have it.
+
+    The named language is only the best of those learned; a text in none of them, or noise, takes far more
+    bits a byte than its texts do. Texts too short to tell are usual, and so are all of a language without a rate.
+    """
+    limit = F.lit(None).cast("double")
+    for language, rate in rates.items():
+        limit = F.when(F.col("lang_pred") == language, F.lit(margin * rate)).otherwise(limit)
+    return F.coalesce(F.col("bits") <= limit * F.octet_length(text) + slack, F.lit(True))

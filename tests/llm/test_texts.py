@@ -455,3 +455,48 @@ def test_densities_by_the_definition():
                 want = max(0.0, c / max(t, 1) * math.log(lean) / base) * html_text.NAMED[page.named[i]]
             assert page.density[i] == pytest.approx(want)
             assert page.score[i] == pytest.approx(sum(page.density[k] for k in children[i]))
+
+
+def test_any_number_of_languages_in_blocks(spark):
+    words = {f"l{k:02d}": [chr(97 + k % 26) * (1 + k // 26), f"w{k}x", f"{k}{k}"] for k in range(70)}
+    rows = [(i * 100 + k, lang, " ".join((w * 20)[i : i + 30])) for k, (lang, w) in enumerate(words.items()) for i in range(4)] + [(9999, "one row", "zq zq zq zq zq")]
+    df = spark.createDataFrame(rows, "doc_id long, lang string, text string")
+    blocks, whole = language_id.fit(df, order=2, block=16), language_id.fit(df, order=2, block=100)
+    assert len(blocks.blocks) == 5 and blocks.languages == whole.languages == sorted([*words, "one row"])
+    texts = [r[2].encode() for r in rows] + [b"", b"\xff\x00 unknown \xf0\x9f\x98\x80"]
+    assert blocks.predict(texts)[0] == whole.predict(texts)[0]
+    names = blocks.predict(texts)[0]
+    assert np.mean([n == r[1] for n, r in zip(names, rows, strict=False)]) > 0.95
+
+
+def test_long_texts_are_coded_in_steps(spark, monkeypatch):
+    rng = random.Random(4)
+    df = spark.createDataFrame([(i, x, " ".join(rng.choice(w) for _ in range(80))) for i, (x, w) in enumerate([("aa", ["ab", "abc", "ba"]), ("bb", ["cd", "dcc", "d"])] * 5)], "doc_id long, lang string, text string")
+    model = language_id.fit(df)
+    texts = ["".join(rng.choice("abcd \né") for _ in range(n)).encode() for n in (0, 1, 5, 3000, 40, 0)]
+    want = model.code_lengths(texts)
+    monkeypatch.setattr(language_id, "_STEP", 7)
+    assert np.allclose(model.code_lengths(texts), want, atol=1e-2)
+    assert np.allclose(model.code_lengths([b"x", *texts])[1:], want, atol=1e-2)
+
+
+def test_texts_in_no_learned_language_are_unusual(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    model = language_id.fit(docs.filter(~held_out()))
+    rates = language_id.usual_rates(docs.filter(~held_out()), model)
+    assert set(rates) == set(model.languages)
+    rng = random.Random(0)
+    foreign = [
+        "A kutya a kertben szaladgál és ugat a macskára, aki a fán ül és nézi a madarakat, miközben az öregasszony a konyhában főzi a vasárnapi ebédet.",
+        "Det var en gang en konge som hadde tre sønner, og de bodde i et stort slott ved havet hvor vinden blåste hele året og bølgene slo mot klippene.",
+        " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(60)),
+        " ".join(f"{rng.getrandbits(32):08x}" for _ in range(50)),
+    ]
+    rows = spark.createDataFrame([(-i - 1, x) for i, x in enumerate(foreign)], "doc_id long, text string")
+    judged = lambda df: language_id.identify(df, model, keep=("doc_id", "text")).withColumn("usual", language_id.usual_text(rates))
+    assert [r.usual for r in judged(rows).collect()] == [False] * len(foreign)
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+    kept = judged(docs.join(clean, "doc_id").filter(held_out())).agg(F.avg(F.col("usual").cast("int"))).first()[0]
+    assert kept >= 0.99
+    short = spark.createDataFrame([(1, ""), (2, "zzz"), (3, None)], "doc_id long, text string")
+    assert [r.usual for r in judged(short).collect()] == [True] * 3
