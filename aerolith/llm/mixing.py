@@ -22,8 +22,10 @@ WEIGHTS = (5, 2, 1)
 #: Words of the mix as a share of all words, and the most often a source may be read.
 SHARE = 1.5
 MOST_ROUNDS = 2
-#: Documents in one range of random keys. Only the spread of the work depends on it.
+#: Documents in one range of random keys, and ranges that are added up together. Only the spread of the work
+#: depends on them.
 RANGE_ROWS = 2_000
+SPAN_RANGES = 1_000
 
 _KEY_SPAN = 16**12
 _BREAK = r"[\x20\x09-\x0D]+"
@@ -39,6 +41,11 @@ def random_key(*columns: str | Column) -> Column:
     return F.conv(F.substring(F.md5(text.cast("binary")), 1, 12), 16, 10).cast("long")
 
 
+def document_key() -> Column:
+    """Random key of a document by its id, its size and its text, so that rows without ids are spread too."""
+    return random_key("doc_id", "size", F.md5(F.col("text").cast("binary")))
+
+
 def source_targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE, most: float = MOST_ROUNDS) -> DataFrame:
     """Targets of sources (source, source_size, n_docs): shares by weight, none above ``most`` times its size.
 
@@ -71,11 +78,11 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     which it ends gives only the words that are left. So a source's taken words add up to its budget,
     and no document gives more than ``most`` times its size.
 
-    Null texts have size 0 and give nothing. A null source is a source of its own. Rows with equal id,
+    Targets are set in one task from one row a source. Null texts have size 0 and give nothing. A null source is a source of its own. Rows with equal id,
     equal size and equal text are interchangeable, so reruns agree on every output row and on every
     mixed text. An empty table gives an empty result; a table without words takes 0 of every row.
     """
-    slim = stage(docs.select("doc_id", "source", word_count().alias("size")).withColumn("_key", random_key("doc_id", "size")))
+    slim = stage(docs.select("doc_id", "source", "text", word_count().alias("size")).withColumn("_key", document_key()).drop("text"))
     sizes = slim.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     targets = stage(source_targets(sizes, weights, share, most).withColumn("_ranges", F.ceil(F.col("n_docs") / range_rows)).drop("n_docs"))
 
@@ -84,13 +91,18 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
         joined = rows.join(known, rows["source"].eqNullSafe(known["_name"])).drop("_name")
         return joined.withColumn("_range", F.floor(F.col("_key") / F.lit(_KEY_SPAN) * F.col("_ranges")).cast("long"))
 
-    range_sums = in_ranges(slim).groupBy("source", "_range").agg(F.sum("size").alias("_sum"))
-    earlier = W.partitionBy("source").orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = range_sums.select(F.col("source").alias("_s"), F.col("_range").alias("_r"), F.coalesce(F.sum("_sum").over(earlier), F.lit(0)).alias("_offset"))
+    range_sums = in_ranges(slim).groupBy("source", "_range").agg(F.sum("size").alias("_sum")).withColumn("_span", F.floor(F.col("_range") / SPAN_RANGES))
+    # Running sums in two levels: ranges inside a span, and one row for each span of a source.
+    ahead = lambda *by: W.partitionBy(*by[:-1]).orderBy(by[-1]).rowsBetween(W.unboundedPreceding, -1)
+    spans = range_sums.groupBy("source", "_span").agg(F.sum("_sum").alias("_sum"))
+    spans = spans.select(F.col("source").alias("_s"), F.col("_span").alias("_p"), F.coalesce(F.sum("_sum").over(ahead("source", "_span")), F.lit(0)).alias("_before"))
+    placed = range_sums.withColumn("_inside", F.coalesce(F.sum("_sum").over(ahead("source", "_span", "_range")), F.lit(0)))
+    placed = placed.join(spans, placed["source"].eqNullSafe(spans["_s"]) & (placed["_span"] == spans["_p"]))
+    offsets = placed.select("_s", F.col("_range").alias("_r"), (F.col("_before") + F.col("_inside")).alias("_offset"))
 
     rows, ties = slim, ["_key", "doc_id", "size"]
     if extra:
-        rows = docs.select("doc_id", "source", *extra, word_count().alias("size"), F.xxhash64("text").alias("_text")).withColumn("_key", random_key("doc_id", "size"))
+        rows = docs.select("doc_id", "source", *extra, "text", word_count().alias("size"), F.xxhash64("text").alias("_text")).withColumn("_key", document_key()).drop("text")
         ties = [*ties, "_text"]
     inside = W.partitionBy("source", "_range").orderBy(*ties).rowsBetween(W.unboundedPreceding, -1)
     placed = in_ranges(rows).withColumn("_inside", F.coalesce(F.sum("size").over(inside), F.lit(0)))

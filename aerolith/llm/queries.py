@@ -67,9 +67,9 @@ def op4_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 _OP4_SQL = r"""
     WITH docs AS (
-        SELECT doc_id, source, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
+        SELECT doc_id, source, text, coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0)::BIGINT AS size FROM documents),
     keyed AS (
-        SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || '/' || size::VARCHAR), 1, 12))::BIGINT AS key FROM docs),
+        SELECT *, ('0x' || substr(md5(coalesce(doc_id::VARCHAR, '-') || '/' || size::VARCHAR || '/' || coalesce(md5(text), '-')), 1, 12))::BIGINT AS key FROM docs),
     sources AS (SELECT source, sum(size)::BIGINT AS source_size FROM keyed GROUP BY source),
     placed AS (
         SELECT *, row_number() OVER (ORDER BY encode(source) NULLS LAST) - 1 AS place, 2.0::DOUBLE * source_size AS most FROM sources),

@@ -282,3 +282,14 @@ def test_key_choices_meet_every_pair(most):
     choices = simhash.key_choices(most)
     assert all(any(not set(c) & set(hit) for c in choices) for hit in combinations(range(8), most))
     assert len(choices) == {0: 1, 1: 2, 2: 6, 3: 35}.get(most, len(choices))
+
+
+def test_mix_spreads_rows_without_ids_and_many_ranges(spark, monkeypatch):
+    docs = spark.range(2000).select(F.lit(None).cast("long").alias("doc_id"), F.lit("one").alias("source"), F.concat(F.lit("a b c "), F.col("id").cast("string")).alias("text"))
+    keys = docs.withColumn("size", F.lit(4)).select(mixing.document_key().alias("k")).distinct().count()
+    assert keys == 2000
+    plain = mixing.mix(docs, range_rows=7).agg(F.sum("taken")).first()[0]
+    monkeypatch.setattr(mixing, "SPAN_RANGES", 10)
+    spans = mixing.mix(docs, range_rows=7)
+    assert spans.agg(F.sum("taken")).first()[0] == plain == 12_000
+    assert sorted(r.taken for r in spans.collect()) == sorted(r.taken for r in mixing.mix(docs, range_rows=5000).collect())
