@@ -12,6 +12,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,50 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     return sums.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
 
 
+#: Bits of the filter of trusted ids, and how many of them an id sets. The filter is broadcast: 4 MB whatever the number
+#: of ids. With 10 million ids one row in five passes it wrongly; with far more it lets all pass, and only
+#: costs what it saved before.
+FILTER_BITS = 1 << 25
+_PROBES = 3
+
+
+def _spots(hashes: np.ndarray, bits: int) -> list[np.ndarray]:
+    h = hashes.astype(np.int64).view(np.uint64)
+    return [(mixed(h + np.uint64(k) * MIX) % np.uint64(bits)).astype(np.int64) for k in range(_PROBES)]
+
+
+def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
+    """A Bloom filter of the column doc_id as words of 64 bits. Each task sets its own bits; the words are merged by bitwise or."""
+
+    def run(batches):
+        words = np.zeros(bits // 64, dtype=np.uint64)
+        for batch in batches:
+            for spot in _spots(batch.column("h").to_numpy(), bits):
+                np.bitwise_or.at(words, spot >> 6, np.uint64(1) << (spot & 63).astype(np.uint64))
+        full = np.flatnonzero(words)
+        yield pa.RecordBatch.from_pydict({"word": full, "mask": words[full].view(np.int64)})
+
+    hashed = ids.filter("doc_id is not null").select(F.xxhash64(F.col("doc_id").cast("string")).alias("h"))
+    merged = hashed.mapInArrow(run, "word long, mask long").groupBy("word").agg(F.bit_or("mask").alias("mask")).toPandas()
+    out = np.zeros(bits // 64, dtype=np.uint64)
+    out[merged["word"].to_numpy(np.int64)] = merged["mask"].to_numpy(np.int64).view(np.uint64)
+    return out
+
+
+def may_be_trusted(rows: DataFrame, words: np.ndarray) -> DataFrame:
+    """Rows that the filter cannot rule out: all trusted ones and a few others. Only a hash of the id goes through Python."""
+    shared = rows.sparkSession.sparkContext.broadcast(words)
+
+    def hit(h: pd.Series) -> pd.Series:
+        table, values = shared.value, h.to_numpy()
+        found = np.ones(len(values), dtype=bool)
+        for spot in _spots(values, 64 * len(table)):
+            found &= (table[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) != 0
+        return pd.Series(found)
+
+    return rows.filter(F.pandas_udf(hit, "boolean")(F.xxhash64(F.col("doc_id").cast("string"))))
+
+
 def _of_ids(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
     """The rows whose doc_id is a trusted one. Always a shuffle, whatever the size; only ids are held in memory and no text is sorted."""
     ids = trusted_ids.select(F.col("doc_id").alias("_id")).filter("_id is not null").hint("shuffle_hash")
@@ -134,14 +179,16 @@ def _counted() -> Column:
     return F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(2)) == 0
 
 
-def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, among: Column | None = None) -> np.ndarray:
+def log_ratios(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR, among: Column | None = None, words: np.ndarray | None = None) -> np.ndarray:
     """Log ratio of each bucket: trusted texts over the whole corpus. All 0 where no row is trusted.
 
     ``trusted_ids`` has the column doc_id. All its ids are used, or those for which ``among`` is true; it is
-    asked of the documents before they are joined. The corpus counts cover every row.
+    asked of the documents before they are joined. The corpus counts cover every row. Only texts that ``words``,
+    the filter of the ids, does not rule out move to the ids.
     """
     asked = docs.select("doc_id", "text").filter("doc_id is not null")
-    trusted = _of_ids(asked if among is None else asked.filter(among), trusted_ids)
+    asked = may_be_trusted(asked if among is None else asked.filter(among), id_filter(trusted_ids) if words is None else words)
+    trusted = _of_ids(asked, trusted_ids)
     sums = bucket_counts(docs.select(F.lit(False).alias("trusted"), "text"), buckets).toPandas()
     good = bucket_counts(trusted.select(F.lit(True).alias("trusted"), "text"), buckets).toPandas()
     corpus, target = np.zeros(buckets), np.zeros(buckets)
@@ -184,11 +231,13 @@ class Rules:
 def fit(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior: float = PRIOR) -> Rules:
     """The rules of a corpus. Half of the trusted ids, by hash, are counted; the others set the threshold.
 
-    Without a trusted text left to set it, every document that passes the base is kept. Documents are
-    scored before they are joined with the ids that set it, so that their texts stay where they are.
+    Without a trusted text left to set it, every document that passes the base is kept. A filter of the trusted
+    ids goes to the documents first. The texts it lets through are moved to the ids to be counted, those that set the
+    threshold are scored where they are and only their scores are moved.
     """
-    ratios = log_ratios(docs, trusted_ids, buckets, prior, among=_counted())
-    others = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~_counted())
+    words = id_filter(trusted_ids)
+    ratios = log_ratios(docs, trusted_ids, buckets, prior, among=_counted(), words=words)
+    others = may_be_trusted(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~_counted()), words)
     scored = judge(others, Rules(ratios, -np.inf)).filter(~F.col("base_failed")).select("doc_id", "llr")
     least = lower_quantile(stage(_of_ids(scored, trusted_ids).select("llr")), LEAST_SHARE)
     return Rules(ratios, -np.inf if least is None else float(least) - MARGIN)

@@ -238,7 +238,7 @@ def test_pipeline_stage_by_stage(spark):
             kept = {r.doc_id for r in QUERIES["op7_quality_rules"](spark, SF).filter("kept").collect()}
             assert {r.doc_id for r in docs.collect()} == kept
         if name == "SimHash near-dedup":
-            groups = simhash.near_duplicates(before)
+            groups = simhash.near_duplicates(before, most=corpus_pipeline.NEAR_BITS)
             assert docs.count() == groups.select("root").distinct().count()
             assert {r.doc_id for r in docs.collect()} == {r.component_id for r in groups.collect()}
         if name == "mixing sources":
@@ -293,3 +293,43 @@ def test_mix_spreads_rows_without_ids_and_many_ranges(spark, monkeypatch):
     spans = mixing.mix(docs, range_rows=7)
     assert spans.agg(F.sum("taken")).first()[0] == plain == 12_000
     assert sorted(r.taken for r in spans.collect()) == sorted(r.taken for r in mixing.mix(docs, range_rows=5000).collect())
+
+
+def test_pipeline_stages_on_odd_rows(spark):
+    """Null ids and texts, repeated rows, columns whose names the stages use: through all stages, by the stage's docstring."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").limit(300)
+    odd = docs.limit(6).withColumn("doc_id", F.lit(None).cast("long")).union(docs.limit(4)).union(docs.limit(2).withColumn("text", F.lit(None).cast("string"))).union(docs.limit(1).withColumn("source", F.lit(None).cast("string")))
+    docs = docs.union(odd)
+    for c in ("kept", "llr", "lang_pred", "score", "bits", "fp", "root", "component_id", "_row", "_text", "size", "taken", "target"):
+        docs = docs.withColumn(c, F.lit("clash"))
+    for i, (_, step) in enumerate(corpus_pipeline.STAGES):
+        before, columns = docs, docs.columns
+        docs = corpus_pipeline.stage(step(spark, docs, "/root/testdata/sf0.01"))
+        assert docs.count() > 0
+        if i < 4:
+            assert docs.columns == columns and docs.filter("text IS NULL").count() == 0
+        if i < 3:
+            assert docs.exceptAll(before).count() == 0
+
+
+def test_language_stage_rejects_what_was_not_learned(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rng = random.Random(3)
+    foreign = ["A kutya a kertben szaladgál és ugat a macskára, aki a fán ül és nézi a madarakat, miközben az öregasszony a konyhában főzi az ebédet. " * 2]
+    foreign += [" ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz") for _ in range(rng.randint(2, 9))) for _ in range(50)), "1234 5678 --- 90"]
+    planted = spark.createDataFrame([(10**9 + i, x, None, "web", len(x)) for i, x in enumerate(foreign)], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.union(planted), "")
+    assert kept.filter("doc_id >= 1000000000").count() == 0
+    clean = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1 and toxic = 0").select("doc_id")
+    asked = docs.join(clean, "doc_id")
+    assert kept.join(clean, "doc_id", "left_semi").count() >= 0.99 * asked.count()
+
+
+def test_run_keeps_one_copy_of_its_stages(spark):
+    import os
+
+    from aerolith.session import shared_dir
+
+    before = set(os.listdir(shared_dir(spark)))
+    assert corpus_pipeline.run(spark, SF).count() > 0
+    assert len(set(os.listdir(shared_dir(spark))) - before) <= 3  # the last stage's input, and what its plan still reads

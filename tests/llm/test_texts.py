@@ -500,3 +500,17 @@ def test_texts_in_no_learned_language_are_unusual(spark):
     assert kept >= 0.99
     short = spark.createDataFrame([(1, ""), (2, "zzz"), (3, None)], "doc_id long, text string")
     assert [r.usual for r in judged(short).collect()] == [True] * 3
+
+
+@pytest.mark.parametrize("bits", [64, 1 << 12, 1 << 20])
+def test_filter_of_ids_loses_none(spark, bits):
+    rows = spark.range(3000).select(F.col("id").alias("doc_id"), F.lit("t").alias("text"))
+    ids = rows.filter("doc_id % 7 = 0").select("doc_id").union(spark.createDataFrame([(None,), (0,), (10**9,)], "doc_id long"))
+    words = quality_rules.id_filter(ids.repartition(3), bits)
+    passed = {r.doc_id for r in quality_rules.may_be_trusted(rows, words).collect()}
+    want = {i for i in range(3000) if i % 7 == 0}
+    assert passed >= want and (bits < 1 << 20 or len(passed) < 1.05 * len(want))
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    trusted = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").filter("quality = 1").select("doc_id")
+    assert np.array_equal(quality_rules.log_ratios(docs, trusted, words=quality_rules.id_filter(trusted, bits)), quality_rules.log_ratios(docs, trusted))
+    assert not quality_rules.id_filter(trusted.limit(0), bits).any()
