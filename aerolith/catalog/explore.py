@@ -172,7 +172,24 @@ def variance_inflation(spark, sf_dir):
     return St.variance_inflation(clean(spark, sf_dir), VIF_COLUMNS)
 
 
-@query()
+def _vif_all_sql(columns):
+    """Each column's entry on the diagonal of the inverse correlation matrix, by sweeping its columns one after another."""
+    n = len(columns)
+    pairs = ", ".join(f"coalesce({corr(columns[i], columns[j])}, 0) AS c_{i}_{j}" for i in range(n) for j in range(i))
+    cell = lambda i, j: "1.0::DOUBLE" if i == j else f"c_{max(i, j)}_{min(i, j)}"
+    matrix = "[" + ", ".join("[" + ", ".join(cell(i, j) for j in range(n)) + "]" for i in range(n)) + "]"
+    swept = f"""list_transform(range(1, {n + 1}), lambda i: list_transform(range(1, {n + 1}), lambda j:
+        CASE WHEN i = k AND j = k THEN -1 / m[k][k] WHEN i = k OR j = k THEN m[i][j] / m[k][k] ELSE m[i][j] - m[i][k] * m[k][j] / m[k][k] END))"""
+    names = "[" + ", ".join(f"'{c}'" for c in columns) + "]"
+    return (
+        "WITH RECURSIVE " + ", ".join([OBS, CLEAN, FEAT])
+        + f""", pairs AS (SELECT {pairs} FROM feat), g AS (SELECT 1 AS k, {matrix} AS m FROM pairs UNION ALL SELECT k + 1, {swept} FROM g WHERE k <= {n}),
+  v AS (SELECT {names}[i] AS feature, -m[i][i] AS vif FROM g, range(1, {n + 1}) r(i) WHERE k = {n + 1})
+  SELECT feature, round(1 - 1 / vif + 3.3e-8, 4) AS r_squared, CASE WHEN 1 - 1 / vif < 0.99999 THEN round(vif, 2) ELSE 10000.0 END AS vif FROM v"""
+    )
+
+
+@query(_vif_all_sql(SELECTED_FEATURES))
 def variance_inflation_all(spark, sf_dir):
     return St.variance_inflation(feat(spark, sf_dir), SELECTED_FEATURES)
 

@@ -176,6 +176,18 @@ def keyed_upsert(spark, sf_dir):
     return store.latest_version(old, new, ["event_type", "datetime"])
 
 
+@query(with_(REVISED) + "SELECT event_type, datetime, round(coalesce(n.v, CAST(floor(o.v) AS INTEGER)) + 3.3e-8, 6) AS v FROM old o FULL JOIN new n USING (event_type, datetime)")
+def widened_upsert(spark, sf_dir):
+    """A column that came as whole numbers later brings fractions, and then whole numbers again: nothing is cut."""
+    path = scratch(spark, "upsert")
+    old, new = revised(spark, sf_dir)
+    whole = old.withColumn("v", F.floor("v").cast("int"))
+    store.upsert(spark, path, whole, ["event_type"])
+    store.upsert(spark, path, new.drop("n"), ["event_type"])
+    store.upsert(spark, path, whole.join(new, ["event_type", "datetime"], "left_anti"), ["event_type"])
+    return store.read_table(spark, path).drop(store.DATE)
+
+
 @query(UPSERTED)
 def table_upsert(spark, sf_dir):
     """The second batch brings a column; the third has it not and leaves it as it is in other rows."""

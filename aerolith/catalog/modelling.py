@@ -323,13 +323,36 @@ def _what_if_sql():
 
 
 @query(_what_if_sql())
-def what_if_scores(spark, sf_dir):
+def what_if_grid(spark, sf_dir):
     """Every combination of the factors of nine inputs, for the newest row of each series."""
     newest = latest_rows(clean(spark, sf_dir), SPEC)
     scenarios = Sc.what_if_features(Sc.scenario_grid(newest, _CHANGES))
     return Sc.score(scenarios, Sc.linear_model(_WHAT_IF, 1.0), list(_WHAT_IF), ["city", "datetime", *[f"{c}_factor" for c in _CHANGES]])
 
 
+_ONE_CHANGE = {"pm2_5": [0.8, 1.2], "temperature_2m": [0.9, 1.1], "wind_speed_10m": [0.5, 2.0]}
+_FEW_WEIGHTS = {"pm2_5": 0.5, "pm25_lag_24": 0.2, "pm25_roll_std_24": 0.3, "wind_pm25": -0.001, "temp_humidity": 0.002, "apparent_temperature": 0.05, "month_cos": 1.0}
+
+
+def _one_change_sql():
+    read = ["pm2_5", "temperature_2m", "wind_speed_10m", "relative_humidity_2m"]
+    cases = " UNION ALL ".join(
+        f"SELECT city, datetime, '{c}' AS changed, CAST({f} AS DOUBLE) AS factor, {', '.join(f'{x} * {f} AS {x}' if x == c else x for x in read)} FROM clean" for c, factors in _ONE_CHANGE.items() for f in factors
+    )
+    score = "1.0 + 0.5 * pm2_5 + 0.2 * pm2_5 + 0.3 * 3.5 - 0.001 * wind_speed_10m * pm2_5 + 0.002 * temperature_2m * relative_humidity_2m + 0.05 * (temperature_2m + 2.0) + 1.0 * -0.5"
+    return (
+        with_(OBS, CLEAN, f"c AS ({cases})", f"s AS (SELECT *, {score} AS raw FROM c)", "t AS (SELECT *, CASE WHEN raw < 0 THEN 0 ELSE raw END AS p FROM s)")
+        + f"SELECT city, datetime, changed, factor, round(p, 2) AS predicted_target_pm25, {risk_sql('p')} FROM t"
+    )
+
+
+@query(_one_change_sql())
+def what_if_scores(spark, sf_dir):
+    """Every row of every series under each single change."""
+    scenarios = Sc.what_if_features(Sc.scenario_rows(clean(spark, sf_dir), _ONE_CHANGE))
+    return Sc.score(scenarios, Sc.linear_model(_FEW_WEIGHTS, 1.0), list(_FEW_WEIGHTS), ["city", "datetime", "changed", "factor"])
+
+
 # --- attribution -------------------------------------------------------------------------------
 
 MEANS = {"pm2_5": 75.0, "pm25_lag_24": 74.0, "pm25_roll_mean_24": 73.0}
@@ -433,6 +456,21 @@ def latest_explanations(spark, sf_dir):
     return explained.select("city", "datetime", F.size("contributions").cast("long").alias("n_features"), whole.alias("adds_up"))
 
 
+@query(with_(OBS, CLEAN, LIVE) + "SELECT city, datetime, CAST(18 AS BIGINT) AS n_features, TRUE AS adds_up, TRUE AS strongest_first FROM live WHERE " + " AND ".join(f"{c} IS NOT NULL" for c in SELECTED_FEATURES))
+def latest_tree_explanations(spark, sf_dir):
+    """The same from a stored champion of boosted trees with its full settings: exact tree attribution."""
+    from aerolith.plans.jobs import explain_latest
+
+    registry = ModelRegistry(spark, scratch(spark, "models"))
+    rows = feat(spark, sf_dir)
+    latest = live_features(clean(spark, sf_dir), SPEC).dropna("any", subset=SELECTED_FEATURES)
+    explained = explain_latest(latest, SPEC, registry, scratch(spark, "trees"), lambda: M.train(rows, SPEC, SELECTED_FEATURES, registry, candidates={M.BOOST: M.CANDIDATES[M.BOOST]}))
+    total = F.aggregate("contributions", F.lit(0.0), lambda a, c: a + c["shap_value"]) + F.col("base_value")
+    impacts = F.transform("contributions", lambda c: c["abs_impact"])
+    ordered = impacts == F.reverse(F.array_sort(impacts))
+    return explained.select("city", "datetime", F.size("contributions").cast("long").alias("n_features"), (F.abs(total - F.col("prediction")) < 1e-6).alias("adds_up"), ordered.alias("strongest_first"))
+
+
 @query()
 def global_importance(spark, sf_dir):
     model = M.fit(M.FOREST, training(spark, sf_dir))

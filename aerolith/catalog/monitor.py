@@ -14,6 +14,7 @@ from aerolith.operators import episodes as Ep
 from aerolith.operators import match as Ma
 from aerolith.operators import outliers as Out
 from aerolith.operators.encode import encode_by_target
+from aerolith.operators.validate import column_presence
 from aerolith.plans import models as M
 from aerolith.plans import versions as V
 from aerolith.plans.registry import ModelRegistry
@@ -247,3 +248,12 @@ def _version_metrics(version: str, name: str, error: str) -> str:
 def stored_versions(spark, sf_dir):
     """Leaderboard over the versions in the registry."""
     return stage(V.stored_leaderboard(two_versions(spark, sf_dir)[0]))
+
+
+_REQUIRED = ["datetime", *MEASURES, "visibility", "uv_index"]
+
+
+@query(with_(OBS) + " UNION ALL ".join(f"SELECT '{c}' AS column_name, {'TRUE' if c in ('datetime', *MEASURES) else 'FALSE'} AS present, {f'count({c})' if c in ('datetime', *MEASURES) else 'NULL::BIGINT'} AS known_count FROM obs" + ("" if c in ("datetime", *MEASURES) else " LIMIT 1") for c in _REQUIRED).replace(" FROM obs LIMIT 1", ""))
+def required_columns(spark, sf_dir):
+    """Two columns that the observations do not have are asked for as well."""
+    return column_presence(obs(spark, sf_dir), _REQUIRED)

@@ -192,23 +192,38 @@ def _by_length(leaves: Sequence[tuple[float, list]]) -> list[tuple[np.ndarray, .
     return [(np.array([v for v, _ in g]), *(np.array([[p[i] for p in path] for _, path in g], dtype=t) for i, t in enumerate((int, float, float, float)))) for g in groups.values()]
 
 
-def tree_base_value(trees: Sequence[tuple[float, dict]]) -> float:
-    """Cover-weighted mean prediction of the ensemble."""
-    return float(sum(w * sum(v * np.prod([p[3] for p in path]) for v, path in _leaf_paths(t)) for w, t in trees))
-
-
 def explain_trees(df: DataFrame, features: Sequence[str], trees: Sequence[tuple[float, dict]]) -> DataFrame:
     """Add ``base_value`` and one ``shap_<feature>`` column each, exact for the ensemble.
 
     ``trees`` is ``[(weight, {node: (value, cover, left, right, feature, threshold)})]``, as
     :func:`aerolith.plans.registry.tree_nodes` reads it; its size is that of the model. Batches of
-    rows run vectorised in their own partitions.
+    rows run vectorised in their own partitions. Leaves are broadcast in parts of ``MOST_LEAF_BYTES`` at most; a larger
+    ensemble takes several passes over the columns read, whose amounts are added up.
     """
-    leaves = [(w * value, path) for w, tree in trees for value, path in _leaf_paths(tree) if path]
-    shared = df.sparkSession.sparkContext.broadcast(_by_length(leaves))
+    base, part, size = 0.0, [], 0
     names = list(features)
+    df = df.withColumns({f"shap_{f}": F.lit(0.0) for f in names})
+    for w, tree in trees:
+        leaves = [(w * value, path) for value, path in _leaf_paths(tree)]
+        base += sum(value * float(np.prod([p[3] for p in path])) for value, path in leaves)
+        part += [leaf for leaf in leaves if leaf[1]]
+        size += sum(8 + 32 * len(path) for _, path in leaves)
+        if size >= MOST_LEAF_BYTES:
+            df, part, size = _with_amounts(df, names, part), [], 0
+    if part:
+        df = _with_amounts(df, names, part)
+    return df.withColumn("base_value", F.lit(base))
+
+
+#: Bytes of leaves (a value, and four numbers for each feature of its path) in one broadcast.
+MOST_LEAF_BYTES = 64 << 20
+
+
+def _with_amounts(df: DataFrame, names: Sequence[str], leaves: Sequence[tuple[float, list]]) -> DataFrame:
+    """Adds what the leaves attribute to the columns ``shap_<feature>``."""
+    shared = df.sparkSession.sparkContext.broadcast(_by_length(leaves))
     added = [f"shap_{f}" for f in names]
-    schema = T.StructType([*df.schema.fields, *[T.StructField(a, T.DoubleType()) for a in added]])
+    schema = df.schema
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -222,10 +237,9 @@ def explain_trees(df: DataFrame, features: Sequence[str], trees: Sequence[tuple[
                     inside = ((seen > low[part]) & (seen <= high[part])).astype(float)
                     amounts = _shapley_of_leaves(inside, share[part]) * values[part][:, None]
                     np.add.at(total.T, at[part].ravel(), amounts.reshape(len(batch), -1).T)
-            yield pd.concat([batch.reset_index(drop=True), pd.DataFrame(total, columns=added)], axis=1)
+            yield batch.assign(**{a: batch[a].to_numpy(dtype=float) + total[:, i] for i, a in enumerate(added)})
 
-    explained = df.mapInPandas(attribute, schema)
-    return explained.withColumn("base_value", F.lit(tree_base_value(trees)))
+    return df.mapInPandas(attribute, schema)
 
 
 def collect_contributions(df: DataFrame, features: Sequence[str]) -> DataFrame:

@@ -30,6 +30,16 @@ def coverage(df: DataFrame, spec: SeriesSpec) -> DataFrame:
     )
 
 
+def column_presence(df: DataFrame, required: Sequence[str]) -> DataFrame:
+    """(column_name, present, known_count): the required columns in their order, with null counts for missing ones.
+
+    The report form of :func:`aerolith.schema.require_columns`, which raises before any job.
+    """
+    counts = df.agg(*[(F.count(c) if c in df.columns else F.lit(None).cast("long")).alias(f"_{i}") for i, c in enumerate(required)])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.lit(c in df.columns).alias("present"), F.col(f"_{i}").alias("known_count")) for i, c in enumerate(required)])
+    return counts.select(F.inline(rows))
+
+
 def null_report(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(column_name, null_count, null_pct)."""
     counts = df.agg(

@@ -16,6 +16,7 @@ from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from aerolith.operators.chunks import SeriesSpec
+from aerolith.operators.select import NODE_MEMORY_MB
 from aerolith.operators.split import expanding_folds, standard_moments, time_split
 from aerolith.operators.stats import regression_metrics
 from aerolith.plans.registry import ModelRegistry
@@ -72,7 +73,7 @@ def _regressor(name: str, settings: Mapping, target: str, rows: int, spread: flo
             tol=1e-9,
             solver="normal",
         )
-    trees = {"maxDepth": settings["depth"], "minInstancesPerNode": settings.get("min_leaf", 1), "seed": SEED}
+    trees = {"maxDepth": settings["depth"], "minInstancesPerNode": settings.get("min_leaf", 1), "seed": SEED, "maxMemoryInMB": NODE_MEMORY_MB}
     if name == FOREST:
         return RandomForestRegressor(**common, **trees, numTrees=settings["trees"], featureSubsetStrategy=settings.get("subset", "all"))
     return GBTRegressor(
