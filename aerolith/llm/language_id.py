@@ -218,7 +218,8 @@ def training_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, skip: int =
     call chose.
     """
     known = rows.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
-    share = known.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("_share"))
+    # Staged: a row a language of known size, so the texts stay where they are.
+    share = stage(known.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("_share")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
     drawn = known.withColumn("_draw", draw).join(share, "lang").filter((F.col("_draw") < (skip + 1) * F.col("_share")) & (F.col("_draw") >= skip * F.col("_share")))
     return drawn.select("doc_id", "lang", "text")
