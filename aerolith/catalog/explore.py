@@ -4,13 +4,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from aerolith.catalog import SPEC, clean, events, feat, h_type, obs, query
+from aerolith.catalog import ENTRIES, SPEC, clean, events, feat, h_type, obs, query, settle
+from aerolith.catalog.ingest import scratch
 from aerolith.catalog.sql import CLEAN, FEAT, H_TYPE, OBS, SCORE, cols, with_
 from aerolith.operators import ranks as R
 from aerolith.operators import select as Sel
 from aerolith.operators import stats as St
 from aerolith.operators.chunks import latest_rows
 from aerolith.schema import ENGINEERED, MEASURES, POLLUTANTS, ROLLINGS, SELECTED_FEATURES, TARGET
+from aerolith.sources.tables import write_feature_list
 
 BASE = with_(OBS, CLEAN, FEAT)
 # Rolling values differ between engines in the last bit, which makes or breaks ties of ranks: nine decimals count.
@@ -335,6 +337,43 @@ def top_features(spark, sf_dir):
     return stand_in_scores(spark, sf_dir).filter(F.col("overall_rank") <= 18).select("feature", "overall_rank")
 
 
+def measured_scores(spark, sf_dir):
+    """The five tables as the selection job makes them, rounded as they are stored; only the share of variance that one line explains stands for the trees."""
+    pearson = settle(St.pearson_with_target(feat(spark, sf_dir), SELECTED_FEATURES, TARGET))
+    rows = ranked_feat(spark, sf_dir)
+    lines = pearson.select("feature", (F.col("abs_pearson_r") * F.col("abs_pearson_r")).alias("avg_tree_importance"))
+    tables = [St.spearman_with_target(rows, SELECTED_FEATURES, TARGET), St.mutual_information(rows, SELECTED_FEATURES, TARGET), lines, St.variance_inflation(feat(spark, sf_dir), SELECTED_FEATURES)]
+    return Sel.consolidate_scores(pearson, *[settle(t) if t is not lines else t for t in tables])
+
+
+def _measured_sql() -> str:
+    parts = {"p": "pearson_with_target", "s": "spearman_with_target", "m": "mutual_information", "v": "variance_inflation_all"}
+    share = lambda c, name: f"coalesce({c} / nullif(max({c}) OVER (), 0), 0) AS {name}"
+    return (
+        "WITH " + ", ".join(f"{name} AS ({ENTRIES[of].sql})" for name, of in parts.items())
+        + f""", j AS (SELECT feature, pearson_r, abs_pearson_r, spearman_rho, abs_spearman_rho, mi_score, abs_pearson_r * abs_pearson_r AS avg_tree_importance, r_squared, vif
+    FROM p JOIN s USING (feature) JOIN m USING (feature) JOIN v USING (feature)),
+  n AS (SELECT *, {share('abs_pearson_r', 'norm_pearson')}, {share('abs_spearman_rho', 'norm_spearman')}, {share('mi_score', 'norm_mi')}, {share('avg_tree_importance', 'norm_tree')} FROM j),
+  c AS (SELECT *, 0.30 * norm_pearson + 0.20 * norm_spearman + 0.25 * norm_mi + 0.25 * norm_tree AS composite_score FROM n),
+  o AS (SELECT *, CAST(row_number() OVER (ORDER BY composite_score DESC, feature) AS INTEGER) AS overall_rank FROM c)"""
+    )
+
+
+@query(_measured_sql() + f"SELECT {cols('feature overall_rank', SCORE_NAMES + ' r_squared')} FROM o")
+def measured_ranking(spark, sf_dir):
+    return measured_scores(spark, sf_dir)
+
+
+@query(_measured_sql() + "SELECT overall_rank AS line, feature FROM o WHERE overall_rank <= 10")
+def written_feature_list(spark, sf_dir):
+    """The list as it is written: its lines in order, read back."""
+    path = scratch(spark, "feature_list")
+    write_feature_list(measured_scores(spark, sf_dir), path, 10)
+    text = spark.read.text(path, wholetext=True)
+    lines = text.select(F.posexplode(F.filter(F.split("value", "\n"), lambda x: x != "")).alias("line", "feature"))
+    return lines.select((F.col("line") + 1).alias("line"), "feature")
+
+
 @query(f"SELECT event_id, {r6('value', 'value')} FROM (SELECT * FROM events ORDER BY md5(concat_ws('|', event_id::VARCHAR, '42')), event_id LIMIT 2500)")
 def hashed_sample(spark, sf_dir):
     rows = events(spark, sf_dir).select("event_id", "value")

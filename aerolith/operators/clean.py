@@ -209,4 +209,7 @@ def clean_observations(
     require_columns(df, [*spec.keys, *OBSERVATION])
     typed = parse_times(coerce_numeric(df), spec.ts)
     unique = stage(drop_duplicate_times(typed, spec, tie_break).select(*spec.keys, *OBSERVATION))
-    return clip_ranges(interpolate_gaps(unique, spec, MEASURES, limit), bounds)
+    # A column without nulls has nothing to fill and is not carried through the sorts.
+    missing = unique.agg(*[F.count_if(F.col(c).isNull()).alias(c) for c in MEASURES]).first()
+    lacking = [c for c in MEASURES if missing[c]]
+    return clip_ranges(interpolate_gaps(unique, spec, lacking, limit) if lacking else unique, bounds)
