@@ -45,22 +45,34 @@ def slices(batch: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBat
         yield batch.slice(start)
 
 
-def map_texts(df: DataFrame, out: str, work: Callable[[], Callable[[list[bytes]], dict[str, list]]], keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+def map_texts(
+    df: DataFrame,
+    out: str,
+    work: Callable[[], Callable[[list[bytes]], dict[str, list]]],
+    keep: tuple[str, ...] = (),
+    text: str = "text",
+    only: tuple[Column, Callable[[np.ndarray], np.ndarray]] | None = None,
+) -> DataFrame:
     """One output row per row: the columns ``keep`` and what ``work()`` makes of the texts.
 
+    ``only`` is a column without nulls and a function that says from its values which rows to take.
+
     ``work`` is called once per task and returns the function for a list of texts. ``out`` is the
     schema of what it adds. Rows stay where they are; nothing is shuffled.
     """
-    rows = df.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], F.col(text).alias("text"))
+    asked, chosen = ([], None) if only is None else ([only[0].alias("only")], only[1])
+    rows = df.select(*[F.col(c).alias(f"keep_{i}") for i, c in enumerate(keep)], *asked, F.col(text).alias("text"))
     kept = [T.StructField(c, rows.schema[f"keep_{i}"].dataType) for i, c in enumerate(keep)]
     schema = T.StructType(kept + T.StructType.fromDDL(out).fields)
 
     def run(batches):
         fn = work()
         for batch in batches:
+            if chosen is not None:
+                batch = batch.filter(pa.array(chosen(batch.column("only").to_numpy())))
             for part in slices(batch):
                 made = fn(text_bytes(part.column("text")))
-                arrays = [*part.columns[:-1], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]]
+                arrays = [*part.columns[: len(keep)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
 
     return rows.mapInArrow(run, schema)

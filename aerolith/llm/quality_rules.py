@@ -12,7 +12,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -102,11 +101,22 @@ def gram_buckets(words: Words, hashes: np.ndarray, buckets: int) -> tuple[np.nda
     return grams.astype(np.int64), np.concatenate([words.text, words.text[pairs]])
 
 
+#: Rows that a task hands on for its counts; each holds the counts of as many buckets side by side.
+_STRIPES = 64
+
+
 def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
     """(bucket, corpus, target): n-grams of all rows and of the rows whose column ``trusted`` is true.
 
-    Each task adds up its own rows first and gives at most one row for each bucket.
+    Each task adds up its own rows first and gives ``_STRIPES`` rows with a stretch of the buckets each, which are
+    added up stretch by stretch.
     """
+    stripes = min(_STRIPES, buckets)
+    bounds = np.linspace(0, buckets, stripes + 1).astype(int)
+    layout = "stripe int, corpus array<long>, target array<long>"
+
+    def rows(counts: dict[int, np.ndarray]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"stripe": pa.array(list(counts), pa.int32()), "corpus": [c[0] for c in counts.values()], "target": [c[1] for c in counts.values()]})
 
     def run(batches):
         counts = np.zeros((2, buckets), dtype=np.int64)
@@ -117,11 +127,22 @@ def bucket_counts(docs: DataFrame, buckets: int = BUCKETS) -> DataFrame:
                 grams, doc = gram_buckets(words, words.hashes(), buckets)
                 counts[0] += np.bincount(grams, minlength=buckets)
                 counts[1] += np.bincount(grams[trusted[doc]], minlength=buckets)
-        full = np.flatnonzero(counts[0])
-        yield pa.RecordBatch.from_pydict({"bucket": full, "corpus": counts[0][full], "target": counts[1][full]})
+        if counts[0].any():
+            yield rows({k: counts[:, bounds[k] : bounds[k + 1]] for k in range(stripes)})
 
-    sums = docs.select("trusted", "text").mapInArrow(run, "bucket long, corpus long, target long")
-    return sums.groupBy("bucket").agg(F.sum("corpus").alias("corpus"), F.sum("target").alias("target"))
+    def add(batches):
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for k, corpus, target in zip(batch.column("stripe").to_pylist(), batch.column("corpus"), batch.column("target"), strict=True):
+                both = np.stack([corpus.values.to_numpy(), target.values.to_numpy()])
+                sums[k] = sums[k] + both if k in sums else both
+        if sums:
+            yield rows(sums)
+
+    summed = docs.select("trusted", "text").mapInArrow(run, layout).repartition("stripe").mapInArrow(add, layout)
+    first = F.element_at(F.array(*[F.lit(int(b)) for b in bounds[:-1]]), F.col("stripe") + 1)
+    each = summed.select(first.alias("first"), F.posexplode(F.arrays_zip("corpus", "target")).alias("at", "c"))
+    return each.select((F.col("first") + F.col("at")).cast("long").alias("bucket"), "c.corpus", "c.target").filter("corpus > 0")
 
 
 #: Bits of the filter of trusted ids, and how many of them an id sets. The filter is broadcast: 4 MB whatever the number
@@ -154,18 +175,28 @@ def id_filter(ids: DataFrame, bits: int = FILTER_BITS) -> np.ndarray:
     return out
 
 
+def id_hash() -> Column:
+    return F.xxhash64(F.col("doc_id").cast("string"))
+
+
+def hits(words: np.ndarray, hashes: np.ndarray) -> np.ndarray:
+    """Which hashes the filter cannot rule out: all of trusted ids, and a few others."""
+    found = np.ones(len(hashes), dtype=bool)
+    for spot in _spots(hashes, 64 * len(words)):
+        found &= (words[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) != 0
+    return found
+
+
 def may_be_trusted(rows: DataFrame, words: np.ndarray) -> DataFrame:
-    """Rows that the filter cannot rule out: all trusted ones and a few others. Only a hash of the id goes through Python."""
+    """doc_id and text of the rows that the filter cannot rule out."""
     shared = rows.sparkSession.sparkContext.broadcast(words)
 
-    def hit(h: pd.Series) -> pd.Series:
-        table, values = shared.value, h.to_numpy()
-        found = np.ones(len(values), dtype=bool)
-        for spot in _spots(values, 64 * len(table)):
-            found &= (table[spot >> 6] >> (spot & 63).astype(np.uint64)) & np.uint64(1) != 0
-        return pd.Series(found)
+    def run(batches):
+        for batch in batches:
+            yield batch.filter(pa.array(hits(shared.value, batch.column("h").to_numpy()))).drop_columns(["h"])
 
-    return rows.filter(F.pandas_udf(hit, "boolean")(F.xxhash64(F.col("doc_id").cast("string"))))
+    asked = rows.select("doc_id", "text", id_hash().alias("h"))
+    return asked.mapInArrow(run, asked.drop("h").schema)
 
 
 def _of_ids(rows: DataFrame, trusted_ids: DataFrame) -> DataFrame:
@@ -237,17 +268,18 @@ def fit(docs: DataFrame, trusted_ids: DataFrame, buckets: int = BUCKETS, prior:
     """
     words = id_filter(trusted_ids)
     ratios = log_ratios(docs, trusted_ids, buckets, prior, among=_counted(), words=words)
-    others = may_be_trusted(docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~_counted()), words)
-    scored = judge(others, Rules(ratios, -np.inf)).filter(~F.col("base_failed")).select("doc_id", "llr")
+    others = docs.select("doc_id", "text").filter(F.col("doc_id").isNotNull() & ~_counted())
+    scored = judge(others, Rules(ratios, -np.inf), among=words).filter(~F.col("base_failed")).select("doc_id", "llr")
     least = lower_quantile(stage(_of_ids(scored, trusted_ids).select("llr")), LEAST_SHARE)
     return Rules(ratios, -np.inf if least is None else float(least) - MARGIN)
 
 
-def judge(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+def judge(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ("doc_id",), among: np.ndarray | None = None) -> DataFrame:
     """``keep``, the base counts, base_failed, llr (mean log ratio, 0 without words) and kept of each text.
 
     base_failed: under 20 words, or over 30% of the words in repeated windows; such a row is not kept.
-    Null and empty texts have all counts 0 and fail. Rows are kept one for one.
+    Null and empty texts have all counts 0 and fail. Rows are kept one for one, or those whose id the filter ``among``
+    does not rule out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(rules.ratios)
     out = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, llr double"
@@ -265,6 +297,10 @@ def judge(docs: DataFrame, rules: Rules, keep: tuple[str, ...] = ("doc_id",)) ->
 
         return run
 
-    judged = map_texts(docs, out, work, keep=keep)
+    only = None
+    if among is not None:
+        filtered = docs.sparkSession.sparkContext.broadcast(among)
+        only = (id_hash(), lambda h: hits(filtered.value, h))
+    judged = map_texts(docs, out, work, keep=keep, only=only)
     failed = (F.col("n_words") < LEAST_WORDS) | (F.lit(100) * F.col("n_repeat_words") > F.lit(MOST_REPEATED_PERCENT) * F.col("n_words"))
     return judged.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("llr") >= F.lit(float(rules.threshold))))
