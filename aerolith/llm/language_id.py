@@ -87,6 +87,14 @@ class Block:
     def __post_init__(self):
         self._gram, self._context = Lookup(self.grams), Lookup(self.contexts)
 
+    def __getstate__(self) -> dict:
+        """The tables are made anew where a block arrives; they are larger than what they are made of."""
+        return {k: v for k, v in self.__dict__.items() if not k.startswith("_")}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self.__post_init__()
+
     def code_lengths(self, texts: list[bytes]) -> np.ndarray:
         """Bits of each text in each language. Works in steps over the bytes, so long texts take no more memory."""
         pad = bytes([_PAD]) * self.order
@@ -237,10 +245,12 @@ def _place(codes: np.ndarray, of: np.ndarray) -> np.ndarray:
     return at
 
 
-def build_block(counts: pd.DataFrame, alphabet: np.ndarray, order: int) -> Block:
-    """Code lengths from counts (lang, gram, n) of strings; with a string, those it ends with must be there."""
-    languages = sorted(counts["lang"].unique())
-    lang = np.searchsorted(np.array(languages, dtype=object), counts["lang"].to_numpy(dtype=object))
+def build_block(counts: pd.DataFrame, languages: list[str], alphabet: np.ndarray, order: int) -> Block:
+    """Code lengths from counts (lang, gram, n) of strings, lang a place in ``languages``.
+
+    With a string, those it ends with must be there.
+    """
+    lang = counts["lang"].to_numpy(np.int64)
     strings = counts["gram"].to_numpy(np.int64)
     grams = np.union1d(strings, alphabet | 256)  # bytes that only other languages or the pad have stand alone too
     row = np.searchsorted(grams, strings)
@@ -289,7 +299,11 @@ def fit(rows: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, blo
     counts = stage(gram_counts(training_sample(rows, sample_rows), order))
     languages = sorted(r[0] for r in counts.select("lang").distinct().collect())
     alphabet = np.union1d(np.array([r[0] & 255 for r in counts.filter(F.col("gram") < 1 << 16).select("gram").distinct().collect()], dtype=np.int64), [_PAD])
-    blocks = [build_block(counts.filter(F.col("lang").isin(languages[a : a + block])).toPandas(), alphabet, order) for a in range(0, len(languages), block)]
+    blocks = []
+    for a in range(0, len(languages), block):
+        names = languages[a : a + block]
+        place = (F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")) - 1).cast("int").alias("lang")
+        blocks.append(build_block(counts.filter(F.col("lang").isin(names)).select(place, "gram", "n").toPandas(), names, alphabet, order))
     discard(counts)
     return PPM(blocks) if blocks else None
 
