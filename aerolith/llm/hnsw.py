@@ -240,7 +240,7 @@ def search(vectors: DataFrame, query_divisor: int, k: int = 20, vec_id: str = "v
     Nearness is the inner product of the original vectors in double precision, ties go to the smaller id.
     A query is no candidate of its own; other rows with its vector are. All other rows are candidates, so
     there are fewer than ``k`` only if the table has no more. Vectors that are null, zero or not finite
-    take part in nothing. Rows that repeat an id are candidates each; the id asks once, with its smallest
+    take part in nothing, nor do rows without an id. Rows that repeat an id are candidates each; the id asks once, with its smallest
     vector. An empty table gives an empty result. Vectors of different lengths are an error.
 
     Equal vectors are one node of a graph. Of the rows behind it only the ``k + 1`` smallest ids can be

@@ -130,6 +130,28 @@ def op11_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vp_clusters.cluster(table(spark, sf_dir, "embeddings"), clusters=40, rounds=5, dims=64, scale=256, salt="2")
 
 
+def _op11_sql(clusters: int = 40, rounds: int = 5, dims: int = 64) -> str:
+    """The rounds written out; every vector meets every centroid."""
+    parts = [
+        f"""v AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda c: CAST(floor(256 * c::DOUBLE) AS BIGINT)) AS x FROM embeddings
+      WHERE len(embedding) = {dims} AND len(list_filter(embedding, lambda c: c IS NOT NULL AND isfinite(c))) = {dims})""",
+        f"c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || coalesce(vec_id::VARCHAR, '')), x) - 1 AS c, x AS y FROM v QUALIFY c < {clusters})",
+    ]
+    for k in range(rounds + 1):
+        away = "CAST(list_sum(list_transform(list_zip(x, y), lambda p: (p[1] - p[2]) * (p[1] - p[2]))) AS BIGINT)"
+        parts.append(f"d{k} AS (SELECT r, c, {away} AS d FROM v, c{k})")
+        parts.append(f"a{k} AS MATERIALIZED (SELECT r, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{k} GROUP BY r)")
+        if k < rounds:
+            parts.append(f"p{k} AS (SELECT c, unnest(x) AS e, unnest(range(1, {dims + 1})) AS i FROM v JOIN a{k} USING (r))")
+            parts.append(f"s{k} AS (SELECT c, i, CAST(sum(e) AS BIGINT) AS s, count(*) AS n FROM p{k} GROUP BY c, i)")
+            parts.append(f"m{k} AS (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS y FROM s{k} GROUP BY c)")
+            parts.append(f"c{k + 1} AS MATERIALIZED (SELECT c, coalesce(m{k}.y, c{k}.y) AS y FROM c{k} LEFT JOIN m{k} USING (c))")
+    return "WITH " + ", ".join(parts) + f"""
+        SELECT vec_id, CAST(c AS INTEGER) AS cluster, d AS distance, CAST(sum(d) OVER (PARTITION BY c) AS BIGINT) AS cluster_inertia, CAST(sum(d) OVER () AS BIGINT) AS inertia,
+            sha256(array_to_string(y, ',')) AS centroid_sha256
+        FROM v JOIN a{rounds} USING (r) JOIN c{rounds} USING (c)"""
+
+
 #: Turns of a conversation that op12 formats beside the table's.
 MARKED_CHAT = -7
 MARKED_TEXT = "</s>[INST] ok [/INST]"
@@ -182,4 +204,4 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-SQL: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_source_mix": _OP4_SQL, "op12_chat_format": _op12_sql()}
+SQL: dict[str, str] = {"op1_url_filter": _op1_sql(), "op4_source_mix": _OP4_SQL, "op11_centroid_clusters": _op11_sql(), "op12_chat_format": _op12_sql()}
