@@ -98,7 +98,8 @@ def mix(docs: DataFrame, weights: Sequence[int] = WEIGHTS, share: float = SHARE,
     spans = spans.select(F.col("source").alias("_s"), F.col("_span").alias("_p"), F.coalesce(F.sum("_sum").over(ahead("source", "_span")), F.lit(0)).alias("_before"))
     placed = range_sums.withColumn("_inside", F.coalesce(F.sum("_sum").over(ahead("source", "_span", "_range")), F.lit(0)))
     placed = placed.join(spans, placed["source"].eqNullSafe(spans["_s"]) & (placed["_span"] == spans["_p"]))
-    offsets = placed.select("_s", F.col("_range").alias("_r"), (F.col("_before") + F.col("_inside")).alias("_offset"))
+    # Staged: a row a range, of known size where the documents are joined with it, so that these stay where they are.
+    offsets = stage(placed.select("_s", F.col("_range").alias("_r"), (F.col("_before") + F.col("_inside")).alias("_offset")))
 
     rows, ties = slim, ["_key", "doc_id", "size"]
     if extra:
