@@ -25,6 +25,17 @@ SAMPLE = [
     "forecast_72_hours",
     "linear_attribution",
     "streamed_hourly_means",
+    "stateful_live_features",
+    "live_source_fallback",
+    "widened_upsert",
+    "column_drift",
+    "outliers_removed",
+    "spike_episodes",
+    "air_quality_index",
+    "matched_predictions",
+    "encoded_categories",
+    "version_interval",
+    "variance_inflation_all",
 ]
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF), reason="test tables not here")
