@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from aerolith.operators.chunks import CHUNK, SeriesSpec, with_chunk
+from aerolith.operators.chunks import CHUNK, SeriesSpec
 from aerolith.session import stage
 
 
