@@ -330,27 +330,38 @@ def what_if_grid(spark, sf_dir):
     return Sc.score(scenarios, Sc.linear_model(_WHAT_IF, 1.0), list(_WHAT_IF), ["city", "datetime", *[f"{c}_factor" for c in _CHANGES]])
 
 
-_ONE_CHANGE = {"pm2_5": [0.8, 1.2], "temperature_2m": [0.9, 1.1], "wind_speed_10m": [0.5, 2.0]}
-_FEW_WEIGHTS = {"pm2_5": 0.5, "pm25_lag_24": 0.2, "pm25_roll_std_24": 0.3, "wind_pm25": -0.001, "temp_humidity": 0.002, "apparent_temperature": 0.05, "month_cos": 1.0}
+_FACTORS = [f"{c}_factor" for c in _CHANGES]
 
 
-def _one_change_sql():
-    read = ["pm2_5", "temperature_2m", "wind_speed_10m", "relative_humidity_2m"]
-    cases = " UNION ALL ".join(
-        f"SELECT city, datetime, '{c}' AS changed, CAST({f} AS DOUBLE) AS factor, {', '.join(f'{x} * {f} AS {x}' if x == c else x for x in read)} FROM clean" for c, factors in _ONE_CHANGE.items() for f in factors
+def _all_changes_sql():
+    single = " UNION ALL ".join(
+        f"SELECT city, datetime, '{c}' AS changed, CAST({f} AS DOUBLE) AS factor, "
+        + ", ".join(f"{x} * {f} AS {x}, CAST({f} AS DOUBLE) AS {x}_factor" if x == c else f"{x}, CAST(1 AS DOUBLE) AS {x}_factor" for x in _CHANGES)
+        + " FROM clean"
+        for c, factors in _CHANGES.items()
+        for f in factors
+    )
+    grid = ", ".join(f"(SELECT unnest({factors})::DOUBLE AS {c}_factor)" for c, factors in _CHANGES.items())
+    newest = "newest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY city ORDER BY datetime DESC) AS r FROM clean) WHERE r = 1)"
+    every = f"SELECT city, datetime, 'all' AS changed, CAST(NULL AS DOUBLE) AS factor, {', '.join(f'{c} * {c}_factor AS {c}, {c}_factor' for c in _CHANGES)} FROM newest, {grid}"
+    score = (
+        "1.0 + 0.5137 * pm2_5 + 0.0113 * pm10 + 0.0207 * no2 - 0.0011 * co + 0.0171 * o3 + 0.0031 * surface_pressure + 0.2071 * pm2_5 + 0.3019 * 3.5"
+        " - 0.0010357 * wind_speed_10m * pm2_5 + 0.0020713 * temperature_2m * relative_humidity_2m + 0.0507 * (temperature_2m + 2.0) + 1.0091 * -0.5"
     )
-    score = "1.0 + 0.5 * pm2_5 + 0.2 * pm2_5 + 0.3 * 3.5 - 0.001 * wind_speed_10m * pm2_5 + 0.002 * temperature_2m * relative_humidity_2m + 0.05 * (temperature_2m + 2.0) + 1.0 * -0.5"
     return (
-        with_(OBS, CLEAN, f"c AS ({cases})", f"s AS (SELECT *, {score} AS raw FROM c)", "t AS (SELECT *, CASE WHEN raw < 0 THEN 0 ELSE raw END AS p FROM s)")
-        + f"SELECT city, datetime, changed, factor, round(p, 2) AS predicted_target_pm25, {risk_sql('p')} FROM t"
+        with_(OBS, CLEAN, newest, f"c AS ({single} UNION ALL {every})", f"s AS (SELECT *, {score} AS raw FROM c)", "t AS (SELECT *, CASE WHEN raw < 0 THEN 0 ELSE raw END AS p FROM s)")
+        + f"SELECT city, datetime, changed, factor, {', '.join(_FACTORS)}, round(p, 2) AS predicted_target_pm25, {risk_sql('p')} FROM t"
     )
 
 
-@query(_one_change_sql())
+@query(_all_changes_sql())
 def what_if_scores(spark, sf_dir):
-    """Every row of every series under each single change."""
-    scenarios = Sc.what_if_features(Sc.scenario_rows(clean(spark, sf_dir), _ONE_CHANGE))
-    return Sc.score(scenarios, Sc.linear_model(_FEW_WEIGHTS, 1.0), list(_FEW_WEIGHTS), ["city", "datetime", "changed", "factor"])
+    """Every row of every series under each single change of nine inputs, and the newest of each under all of them at once."""
+    rows = clean(spark, sf_dir)
+    single = Sc.scenario_rows(rows, _CHANGES).withColumns({f"{c}_factor": F.when(F.col("changed") == c, F.col("factor")).otherwise(1.0) for c in _CHANGES})
+    every = Sc.scenario_grid(latest_rows(rows, SPEC), _CHANGES).withColumns({"changed": F.lit("all"), "factor": F.lit(None).cast("double")})
+    scenarios = Sc.what_if_features(single.unionByName(every))
+    return Sc.score(scenarios, Sc.linear_model(_WHAT_IF, 1.0), list(_WHAT_IF), ["city", "datetime", "changed", "factor", *_FACTORS])
 
 
 # --- attribution -------------------------------------------------------------------------------
