@@ -5,16 +5,13 @@ from __future__ import annotations
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.regression import RandomForestRegressor
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerolith.operators import stats
-
-#: Memory for the statistics of nodes that are split in one pass; more memory, fewer passes.
-NODE_MEMORY_MB = 1024
+from aerolith.operators.forest import fit_forest
+from aerolith.session import discard, stage
 
 # Weights of the four normalised scores.
 SCORE_WEIGHTS = {"norm_pearson": 0.30, "norm_spearman": 0.20, "norm_mi": 0.25, "norm_tree": 0.25}
@@ -28,12 +25,12 @@ def tree_importance(
     The second forest sees all rows and a third of the columns per split, the nearest Spark ML
     comes to fully random trees.
     """
-    rows = VectorAssembler(inputCols=list(columns), outputCol="_v").transform(df.select(*columns, target).dropna("any"))
-    common = {"featuresCol": "_v", "labelCol": target, "numTrees": trees, "maxDepth": depth, "seed": seed, "maxMemoryInMB": NODE_MEMORY_MB}
-    kinds = [{"featureSubsetStrategy": "all"}, {"featureSubsetStrategy": "onethird", "bootstrap": False}]
+    rows = stage(df.select(*columns, target).dropna("any"))
+    kinds = [{"subset": "all"}, {"subset": "onethird", "bootstrap": False}]
     # Side by side: while one forest waits for its last tasks the other uses the cluster.
     with ThreadPoolExecutor(len(kinds)) as pool:
-        bagged, random = pool.map(lambda kind: RandomForestRegressor(**kind, **common).fit(rows).featureImportances.toArray(), kinds)
+        bagged, random = pool.map(lambda kind: fit_forest(rows, columns, target, trees=trees, depth=depth, seed=seed, **kind).featureImportances.toArray(), kinds)
+    discard(rows)
     table = [(c, float(a), float(b), float(a + b) / 2) for c, a, b in zip(columns, bagged, random, strict=True)]
     return df.sparkSession.createDataFrame(
         table, "feature string, rf_importance double, et_importance double, avg_tree_importance double"

@@ -11,12 +11,12 @@ from multiprocessing.pool import ThreadPool
 
 from pyspark.ml import Estimator, Pipeline, PipelineModel
 from pyspark.ml.feature import SQLTransformer, VectorAssembler
-from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, LinearRegression
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
 
 from aerolith.operators.chunks import SeriesSpec
-from aerolith.operators.select import NODE_MEMORY_MB
+from aerolith.operators.forest import fit_forest
 from aerolith.operators.split import expanding_folds, standard_moments, time_split
 from aerolith.operators.stats import regression_metrics
 from aerolith.plans.registry import ModelRegistry
@@ -73,9 +73,7 @@ def _regressor(name: str, settings: Mapping, target: str, rows: int, spread: flo
             tol=1e-9,
             solver="normal",
         )
-    trees = {"maxDepth": settings["depth"], "minInstancesPerNode": settings.get("min_leaf", 1), "seed": SEED, "maxMemoryInMB": NODE_MEMORY_MB}
-    if name == FOREST:
-        return RandomForestRegressor(**common, **trees, numTrees=settings["trees"], featureSubsetStrategy=settings.get("subset", "all"))
+    trees = {"maxDepth": settings["depth"], "minInstancesPerNode": settings.get("min_leaf", 1), "seed": SEED}
     return GBTRegressor(
         **common, **trees, maxIter=settings["trees"], stepSize=settings["rate"], subsamplingRate=settings.get("subsample", 1.0)
     )
@@ -121,6 +119,9 @@ def fit(name: str, data: TrainingData, settings: Mapping | None = None) -> Pipel
         stages.append(_scaler(data.moments))
         inputs = [f"{c}_z" for c in data.features]
     stages.append(VectorAssembler(inputCols=inputs, outputCol=VECTOR))
+    if name == FOREST:
+        kinds = {k: settings[k] for k in ("trees", "depth", "min_leaf", "subset") if k in settings}
+        return PipelineModel([*stages, fit_forest(data.train, data.features, data.target, seed=SEED, featuresCol=VECTOR, predictionCol="prediction", **kinds)])
     stages.append(_regressor(name, settings, data.target, data.rows, data.spread))
     return Pipeline(stages=stages).fit(data.train)
 
