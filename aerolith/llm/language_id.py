@@ -13,16 +13,20 @@ dealt into blocks of ``BLOCK``, so any number of them can be learned.
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from typing import TYPE_CHECKING
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from aerolith.llm.common import ends_of, map_texts, slices, text_bytes
+from aerolith.operators.ranks import exact_quantiles
 from aerolith.session import discard, stage
 
+if TYPE_CHECKING:  # workers do without it
+    import pandas as pd
+
 #: Longest context in bytes.
 ORDER = 4
 #: Rows of each language that a model learns from, on average; all rows where a language has fewer.
@@ -219,18 +223,21 @@ def gram_counts(rows: DataFrame, order: int = ORDER) -> DataFrame:
     return counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def training_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS, skip: int = 0) -> DataFrame:
-    """lang and text of about ``sample_rows`` rows of each language, chosen by a hash of the id.
-
-    A language with fewer rows gives all of them. ``skip`` leaves out the first so many samples: rows that another
-    call chose.
-    """
+def _marked(rows: DataFrame, sample_rows: int) -> DataFrame:
+    """doc_id, lang, text of the rows that have both, and whether a model learns from the row, by a hash of the id."""
     known = rows.filter("lang is not null and text is not null").select("doc_id", "lang", "text")
     # Staged: a row a language of known size, so the texts stay where they are.
     share = stage(known.groupBy("lang").agg((F.lit(float(sample_rows)) / F.count(F.lit(1))).alias("_share")))
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
-    drawn = known.withColumn("_draw", draw).join(share, "lang").filter((F.col("_draw") < (skip + 1) * F.col("_share")) & (F.col("_draw") >= skip * F.col("_share")))
-    return drawn.select("doc_id", "lang", "text")
+    return known.withColumn("_draw", draw).join(share, "lang").select("doc_id", "lang", "text", (F.col("_draw") < F.col("_share")).alias("_learned"))
+
+
+def training_sample(rows: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """lang and text of about ``sample_rows`` rows of each language, chosen by a hash of the id.
+
+    A language with fewer rows gives all of them.
+    """
+    return _marked(rows, sample_rows).filter("_learned").select("doc_id", "lang", "text")
 
 
 def _sized(code: np.ndarray) -> np.ndarray:
@@ -311,11 +318,9 @@ def fit(rows: DataFrame, order: int = ORDER, sample_rows: int = SAMPLE_ROWS, blo
 def usual_rates(rows: DataFrame, model: PPM, share: float = 0.99, sample_rows: int = SAMPLE_ROWS) -> dict[str, float]:
     """Bits a byte that ``share`` of the texts of each language stay under, in the language's own code.
 
-    Measured on rows (doc_id, lang, text) next to those learned from; where a language has no others, on those. A
-    number a language reaches the driver.
+    Measured on all rows (doc_id, lang, text) but those learned from; where a language has no others, on those. The
+    quantile is exact. A number a language reaches the driver.
     """
-    fresh = training_sample(rows, sample_rows, skip=1).withColumn("_fresh", F.lit(1))
-    learned = training_sample(rows, sample_rows).withColumn("_fresh", F.lit(0))
     shared = rows.sparkSession.sparkContext.broadcast(model)
 
     def work():
@@ -327,12 +332,17 @@ def usual_rates(rows: DataFrame, model: PPM, share: float = 0.99, sample_rows: i
 
         return run
 
-    coded = map_texts(fresh.union(learned), "bits array<double>, size long", work, keep=("lang", "_fresh"))
-    names = F.array(*[F.lit(x) for x in model.languages])
-    own = F.try_element_at("bits", F.array_position(names, F.col("lang")).cast("int"))
-    rates = coded.filter((F.col("size") >= LEAST_BYTES) & own.isNotNull()).groupBy("lang", "_fresh").agg(F.percentile(own / F.col("size"), F.lit(share)).alias("rate"))
-    best = rates.groupBy("lang").agg(F.max_by("rate", "_fresh").alias("rate"))
-    found = {r.lang: r.rate for r in best.collect()}
+    names = model.languages
+    coded = map_texts(_marked(rows, sample_rows), "bits array<double>, size long", work, keep=("lang", "_learned"))
+    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col("lang")).cast("int")
+    own = F.try_element_at("bits", place)
+    rates = stage(coded.filter((F.col("size") >= LEAST_BYTES) & own.isNotNull()).select(place.alias("place"), "_learned", (own / F.col("size")).alias("rate")))
+    only_learned = {r.place: r.all for r in rates.groupBy("place").agg(F.every("_learned").alias("all")).collect()}
+    columns = {f"_{i}": F.when((F.col("place") == i) & (F.col("_learned") == F.lit(every)), F.col("rate")) for i, every in only_learned.items()}
+    found = {}
+    if columns:
+        found = {names[int(r.feature[1:]) - 1]: r.quantile for r in exact_quantiles(rates.select(*[c.alias(n) for n, c in columns.items()]), list(columns), [share]).collect()}
+    discard(rates)
     shared.unpersist()
     return found
 
