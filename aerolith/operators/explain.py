@@ -191,6 +191,47 @@ def _by_length(leaves: Sequence[tuple[float, list]]) -> list[tuple[np.ndarray, .
     return [(np.array([v for v, _ in g]), *(np.array([[p[i] for p in path] for _, path in g], dtype=t) for i, t in enumerate((int, float, float, float)))) for g in groups.values()]
 
 
+#: Numbers in the tables of a group of leaves; larger groups are worked out row by row.
+_TABLE_CELLS = 1 << 23
+
+
+def _tabled(group: tuple[np.ndarray, ...]) -> np.ndarray | None:
+    """What each leaf attributes to each feature of its path (features x leaves x cases), for every case of features inside or out.
+
+    A row only decides which case it is, so short paths are worked out once and not for every row.
+    """
+    values, at, _, _, share = group
+    leaves, k = at.shape
+    if k > 20 or (leaves << k) * k > _TABLE_CELLS:
+        return None
+    cases = ((np.arange(1 << k)[:, None] >> np.arange(k)) & 1).astype(float)
+    out = np.empty((k, leaves, 1 << k))
+    step = max(1, _CELLS // ((k + 1) << k))
+    for a in range(0, leaves, step):
+        part = slice(a, a + step)
+        inside = np.broadcast_to(cases[:, None, :], (1 << k, len(values[part]), k))
+        out[:, part] = (_shapley_of_leaves(inside, share[part]) * values[part][:, None]).transpose(2, 1, 0)
+    return out
+
+
+def _add_tabled(total: np.ndarray, x: np.ndarray, at: np.ndarray, low: np.ndarray, high: np.ndarray, table: np.ndarray) -> None:
+    """Adds to ``total`` (rows x features) what the leaves attribute, by their tables."""
+    k, leaves, cases = table.shape
+    columns, sums = np.ascontiguousarray(x.T), total.T
+    step = max(1, _CELLS // 8 // max(1, len(x)))
+    for a in range(0, leaves, step):
+        part = slice(a, min(a + step, leaves))
+        case = np.zeros((part.stop - a, len(x)), dtype=np.int32)
+        for j in range(k):
+            seen = columns[at[part, j]]
+            case |= ((seen > low[part, j, None]) & (seen <= high[part, j, None])).astype(np.int32) << j
+        case += np.arange(part.stop - a, dtype=np.int32)[:, None] * cases
+        for j in range(k):
+            order = at[part, j].argsort(kind="stable")
+            feature, starts = np.unique(at[part, j][order], return_index=True)
+            sums[feature] += np.add.reduceat(table[j, part].ravel()[case[order]], starts, axis=0)
+
+
 def explain_trees(df: DataFrame, features: Sequence[str], trees: Sequence[tuple[float, dict]]) -> DataFrame:
     """Add ``base_value`` and one ``shap_<feature>`` column each, exact for the ensemble.
 
@@ -225,10 +266,14 @@ def _with_amounts(df: DataFrame, names: Sequence[str], leaves: Sequence[tuple[fl
     schema = df.schema
 
     def attribute(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        tables = [_tabled(group) for group in shared.value]
         for batch in batches:
             x = batch[names].to_numpy(dtype=float)
             total = np.zeros((len(batch), len(names)))
-            for values, at, low, high, share in shared.value:
+            for (values, at, low, high, share), table in zip(shared.value, tables, strict=True):
+                if table is not None:
+                    _add_tabled(total, x, at, low, high, table)
+                    continue
                 step = max(1, _CELLS // max(1, len(batch) * (at.shape[1] + 1)))
                 for a in range(0, len(values), step):
                     part = slice(a, a + step)

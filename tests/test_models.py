@@ -345,3 +345,26 @@ def test_selection_job(spark, table, tmp_path):
     chosen = jobs.select_features(narrow, SPEC, str(tmp_path), k=3, trees=3, depth=3, train_only=True)
     assert [r.value for r in spark.read.text(str(tmp_path / "feature_list")).collect()] == chosen and len(chosen) == 3
     assert spark.read.parquet(str(tmp_path / "selected")).columns == ["city", "datetime", *chosen, "target_pm25"]
+
+
+def test_tabled_attribution_is_that_of_single_rows(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(200, 3))
+    x[:5, 0] = 0.5
+    nodes = {0: (0.0, 100, 1, 2, 0, 0.5), 1: (0.0, 60, 3, 4, 1, 0.1), 2: (4.0, 40, -1, -1, -1, 0.0), 3: (1.0, 20, -1, -1, -1, 0.0), 4: (0.0, 40, 5, 6, 0, -0.4), 5: (-2.0, 30, -1, -1, -1, 0.0), 6: (3.0, 10, -1, -1, -1, 0.0)}
+    rows = spark.createDataFrame([tuple(map(float, r)) for r in x], "a double, b double, c double").localCheckpoint()
+    single = explain._shapley_of_leaves
+    sizes = []
+    monkeypatch.setattr(explain, "_shapley_of_leaves", lambda inside, share: sizes.append(len(inside)) or single(inside, share))
+    tables = [explain._tabled(group) for group in explain._by_length(explain._leaf_paths(nodes))]
+    assert len(tables) == len(sizes) and all(n <= 4 for n in sizes)  # cases of a path, not rows
+    monkeypatch.undo()
+    tabled = [tuple(r) for r in explain.explain_trees(rows, ["a", "b", "c"], [(0.5, nodes), (2.0, nodes)]).collect()]
+    total = np.zeros((len(x), 3))
+    for w in (0.5, 2.0):
+        for value, path in explain._leaf_paths(nodes):
+            at, low, high, share = (np.array([p[i] for p in path]) for i in range(4))
+            seen = x[:, at]
+            amounts = single(((seen > low) & (seen <= high)).astype(float)[:, None, :], share[None, :])[:, 0] * value * w
+            np.add.at(total.T, at, amounts.T)
+    assert np.allclose(np.array(tabled)[:, 3:6], total, atol=1e-12)
