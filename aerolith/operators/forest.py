@@ -26,6 +26,8 @@ from aerolith.session import delete_path, discard, shared_dir, stage
 BINS = 32
 #: Most rows (repeats of the bootstrap included) of a node that is finished in one place.
 GROUP_ROWS = 1 << 16
+#: Gains that differ by no more than this share are equal.
+_EQUAL = 1e-9
 #: Gains below this share of a node's squares are rounding.
 _NOTHING = 1e-12
 
@@ -84,20 +86,28 @@ def _best_bin(n: np.ndarray, s: np.ndarray, least: int) -> tuple[np.ndarray, np.
 
 @dataclass
 class _Best:
-    """The best split of each node so far; of equal gains that of the first column."""
+    """The best split of each node so far; of equal gains that of a column drawn by tree and node.
 
-    nodes: int
+    Deep nodes hold few rows, which many columns part equally well; no column may win there by its place.
+    """
+
+    nodes: np.ndarray
+    tree: int
+    seed: int
     feature: np.ndarray = field(init=False)
 
     def __post_init__(self):
-        self.feature, self.bin = np.full(self.nodes, -1), np.zeros(self.nodes, dtype=np.int64)
-        self.gain, self.left = np.full(self.nodes, -np.inf), np.zeros(self.nodes)
+        m = len(self.nodes)
+        self.feature, self.bin = np.full(m, -1), np.zeros(m, dtype=np.int64)
+        self.gain, self.left, self.draw = np.full(m, -np.inf), np.zeros(m), np.ones(m)
 
     def offer(self, column: int, n: np.ndarray, s: np.ndarray, least: int, allowed: np.ndarray) -> None:
         at, gain, left = _best_bin(n, s, least)
-        better = allowed & (gain > self.gain)
+        draw = _drawn(self.nodes, self.seed, self.tree, -2 - int(column))
+        known = np.where(self.feature >= 0, self.gain, 0.0)
+        better = allowed & np.isfinite(gain) & ((gain > known * (1 + _EQUAL)) | ((gain >= known * (1 - _EQUAL)) & (draw < self.draw)))
         self.feature[better] = column
-        self.bin[better], self.gain[better], self.left[better] = at[better], gain[better], left[better]
+        self.bin[better], self.gain[better], self.left[better], self.draw[better] = at[better], gain[better], left[better], draw[better]
 
 
 def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, settings: dict) -> list[np.ndarray]:
@@ -107,7 +117,7 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, sett
     while len(nodes):
         m, wy = len(nodes), w * y
         n, s, ss = (np.bincount(at, v, m) for v in (w, wy, wy * y))
-        best = _Best(m)
+        best = _Best(nodes, tree, settings["seed"])
         if depth < settings["depth"]:
             allowed = allowed_columns(nodes, tree, settings["seed"], settings["chosen"], columns)
             for c in np.flatnonzero(allowed.any(axis=0)):
@@ -231,7 +241,7 @@ def _split_open(blocks: DataFrame, tops: list[_Top], columns: int, settings: dic
         nodes = np.array(top.node, dtype=np.int64)[top.open]
         allowed = allowed_columns(nodes, tree, settings["seed"], settings["chosen"], columns)
         allowed &= np.array([int(i).bit_length() - 1 < settings["depth"] for i in nodes])[:, None]
-        best = _Best(m)
+        best = _Best(nodes, tree, settings["seed"])
         for c in range(columns):
             best.offer(c, *cells[c], settings["least"], allowed[:, c])
         gain = np.where(best.feature >= 0, best.gain / np.maximum(n, 1.0), -1.0)

@@ -56,3 +56,12 @@ def test_bootstrap_draws_are_poisson():
     assert abs(drawn.mean() - 1) < 0.02 and abs(drawn.var() - 1) < 0.03 and abs((drawn == 0).mean() - np.exp(-1)) < 0.01
     assert abs(np.corrcoef(drawn)[0, 1]) < 0.03
     assert [forest.columns_per_split(s, 18) for s in ("all", "onethird", "sqrt", "0.8")] == [18, 6, 5, 15]
+
+
+def test_equal_gains_do_not_go_to_the_first_column(spark):
+    rng = random.Random(2)
+    made = spark.createDataFrame([(*(rng.random() for _ in range(6)), rng.gauss(0, 1)) for _ in range(400)], [*"abcdef", "y"])
+    parts = forest.fit_forest(made, list("abcdef"), "y", trees=30, depth=12).featureImportances.toArray()
+    vectors = VectorAssembler(inputCols=list("abcdef"), outputCol="v").transform(made)
+    other = RandomForestRegressor(featuresCol="v", labelCol="y", numTrees=30, maxDepth=12, featureSubsetStrategy="all").fit(vectors).featureImportances.toArray()
+    assert np.abs(parts - other).max() < 0.04
