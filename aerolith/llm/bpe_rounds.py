@@ -20,7 +20,7 @@ from aerolith.llm.common import ends_of, map_texts
 
 SPACE = "▁"
 #: Units a process remembers, and as many older ones. It forgets the oldest; results do not change.
-REMEMBERED = 100_000
+REMEMBERED = 60_000
 #: New units encoded together.
 _UNITS = 1 << 14
 

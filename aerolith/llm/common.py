@@ -74,6 +74,8 @@ def map_texts(
                 made = fn(text_bytes(part.column("text")))
                 arrays = [*part.columns[: len(keep)], *[v if isinstance(v, pa.Array) else pa.array(v) for v in made.values()]]
                 yield pa.RecordBatch.from_arrays(arrays, names=[*keep, *made])
+        # Workers outlive their tasks; what they hold is not there for the next stage.
+        pa.default_memory_pool().release_unused()
 
     return rows.mapInArrow(run, schema)
 
