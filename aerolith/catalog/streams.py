@@ -61,7 +61,8 @@ def to_folders(path, checkpoint, mode="append"):
         def put(batch, batch_id):
             batch.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
-        return rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+        with live.state_settings(rows.sparkSession):
+            return rows.writeStream.outputMode(mode).foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
     return start
 
@@ -81,7 +82,9 @@ ARRIVED = OBS.replace("obs AS (", "all_obs AS (", 1) + """,
 def streamed_hourly_means(spark, sf_dir):
     path, means = scratch(spark, "means"), live.hourly_means(event_stream(spark, sf_dir), ["event_type"], "ts", "value")
     spec = SeriesSpec(keys=("event_type",), ts="hour")
-    live.upsert_stream(means, spec, path, scratch(spark, "cp"), mode="update").awaitTermination()
+    with live.state_settings(spark):
+        stream = live.upsert_stream(means, spec, path, scratch(spark, "cp"), mode="update")
+    stream.awaitTermination()
     return spark.read.parquet(path).drop(store.DATE)
 
 
@@ -95,7 +98,8 @@ def streamed_first_arrivals(spark, sf_dir):
 
     def start(rows):
         writer = live.first_arrivals(rows, spec, "60 days").writeStream.format("parquet").option("path", path)
-        return writer.option("checkpointLocation", cp).trigger(availableNow=True).start()
+        with live.state_settings(spark):
+            return writer.option("checkpointLocation", cp).trigger(availableNow=True).start()
 
     run_landings(spark, batches, start)
     return spark.read.parquet(path)

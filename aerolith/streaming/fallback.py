@@ -48,10 +48,12 @@ def live_fallback(primary: DataFrame, secondary: DataFrame, spec: SeriesSpec, *,
     readings = readings.dropDuplicatesWithinWatermark([*keys, "_s_hour"])
     second = readings.select(*[F.col(c).alias(f"_s_{c}") for c in keys], "_s_hour", F.col(seen).alias("_s_seen"), *[F.col(c).alias(f"_2_{c}") for c in POLLUTANTS])
     first = primary.select(*keys, ts, *[F.col(c).alias(f"_1_{c}") for c in MEASURES], F.lit(True).alias("_primary"))
-    # The hour spreads a series over tasks; the interval bounds how long either side must be kept.
-    on = (F.col("_s_hour") == F.col(ts)) & (F.col("_s_seen") >= F.col(ts)) & (F.col("_s_seen") < F.col(ts) + F.expr("INTERVAL 1 HOUR"))
+    # The hour spreads a series over tasks; the interval bounds how long either side must be kept. Keys come first, as
+    # in what both sides are already dealt by, so that no row is shuffled again.
+    on = F.lit(True)
     for c in keys:
         on = on & (F.col(c) == F.col(f"_s_{c}"))
+    on = on & (F.col("_s_hour") == F.col(ts)) & (F.col("_s_seen") >= F.col(ts)) & (F.col("_s_seen") < F.col(ts) + F.expr("INTERVAL 1 HOUR"))
     both = first.join(second, on, "full_outer")
     found = F.coalesce(F.col("_primary"), F.lit(False))
 

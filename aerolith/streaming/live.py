@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +19,42 @@ from aerolith.session import job, stage
 from aerolith.sources.store import upsert
 
 
+_SHUFFLE = "spark.sql.shuffle.partitions"
+_STORES = "spark.sql.streaming.stateStore"
+
+#: State on local disk with bounded memory, one store for both sides of a join; a commit writes what changed.
+_STATE_CONF = {
+    f"{_STORES}.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    f"{_STORES}.rocksdb.changelogCheckpointing.enabled": "true",
+    f"{_STORES}.rocksdb.boundedMemoryUsage": "true",
+    f"{_STORES}.rocksdb.trackTotalNumberOfRows": "false",  # a look-up for each row written
+    "spark.sql.streaming.join.stateFormatVersion": "3",
+}
+
+
+@contextmanager
+def state_settings(spark: SparkSession, parts: int | None = None) -> Iterator[None]:
+    """Streams started inside keep their state in ``parts`` partitions (default: one for each core).
+
+    Every store of every partition is committed to the checkpoint in every micro-batch, however little it holds,
+    so the session's number of shuffle partitions, which follows the input of batch jobs, is only an upper bound. A stream
+    takes its settings when it starts; one that goes on from a checkpoint keeps those it began with.
+    """
+    parts = min(int(spark.conf.get(_SHUFFLE)), parts or spark.sparkContext.defaultParallelism)
+    settings = _STATE_CONF | {_SHUFFLE: str(parts)}
+    before = {k: spark.conf.get(k, None) for k in settings}
+    try:
+        for k, v in settings.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
+
+
 def landed(spark: SparkSession, path: str, schema: T.StructType, fmt: str = "parquet", files_per_trigger: int = 1000) -> DataFrame:
     """A stream of the files landed in a folder."""
     reader = spark.readStream.schema(schema).format(fmt).option("maxFilesPerTrigger", files_per_trigger)

@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from aerolith import SeriesSpec
+from aerolith.catalog.streams import to_folders
 from aerolith.operators.features import live_features
 from aerolith.schema import FALLBACK_WEATHER, POLLUTANTS, WEATHER
 from aerolith.streaming import fallback, live, state
@@ -92,3 +93,26 @@ def test_feeds_late_missing_and_repeated(spark, tmp_path):
     got = {r.datetime.hour: (r.source, r.pm2_5, r.temperature_2m) for r in run(spark, tmp_path, batches, build).filter("datetime < '2024-01-15'").collect()}
     fixed = FALLBACK_WEATHER["temperature_2m"]
     assert got == {1: ("primary", 1.0, 1.0), 2: ("secondary", 20.0, fixed), 3: ("secondary", 30.0, fixed), 4: ("primary", 4.0, 4.0)}
+
+
+def test_stores_follow_cores_and_feeds_are_shuffled_once(spark, tmp_path):
+    """A session set for large shuffles does not multiply the stores that each micro-batch commits."""
+    landing, out = str(tmp_path / "landing"), str(tmp_path / "out")
+    rows = observations(spark, 2, 5).withColumn("fetched_at", F.col("datetime") + F.expr("INTERVAL 5 MINUTES")).drop("datetime")
+    rows.write.parquet(landing)
+    cores, provider = spark.sparkContext.defaultParallelism, spark.conf.get("spark.sql.streaming.stateStore.providerClass")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", str(3 * cores))
+    try:
+        weather, air, second = (live.landed(spark, landing, rows.schema) for _ in range(3))
+        primary = fallback.live_combined(weather.drop(*POLLUTANTS), air.drop(*WEATHER), SPEC)
+        query = to_folders(out, str(tmp_path / "cp"))(fallback.live_fallback(primary, second.drop(*WEATHER), SPEC))
+        assert spark.conf.get("spark.sql.shuffle.partitions") == str(3 * cores)
+        assert spark.conf.get("spark.sql.streaming.stateStore.providerClass") == provider
+        query.awaitTermination()
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    operators = query.lastProgress.stateOperators
+    assert len(operators) == 5 and all(s.numStateStoreInstances == cores for s in operators)
+    assert query._jsq.explainInternal(False).count("Exchange hashpartitioning") == 3
+    assert spark.read.parquet(out).filter("source = 'primary'").count() == 10
