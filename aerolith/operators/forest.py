@@ -3,6 +3,9 @@
 Spark ML sums the statistics of every node over every partition; deep trees have very many nodes of few rows. Here only
 nodes of more than ``GROUP_ROWS`` rows are split from summed statistics. Smaller ones get their rows, as one byte a column, in one
 place each and are finished there, so a group never holds more. The result is a model of Spark ML.
+
+Rows are kept by column, three bins in two bytes. A node counts only the columns it may be split by; where those are all columns, the
+larger child of a node is what the smaller one leaves of it.
 """
 
 from __future__ import annotations
@@ -25,7 +28,11 @@ from aerolith.session import delete_path, discard, shared_dir, stage
 #: Values of a column that splits tell apart.
 BINS = 32
 #: Most rows (repeats of the bootstrap included) of a node that is finished in one place.
-GROUP_ROWS = 1 << 16
+GROUP_ROWS = 1 << 19
+#: Rows a node must have on average for its histograms to be taken from its parent's.
+DERIVE_ROWS = 1 << 12
+#: Rows of a block.
+BLOCK_ROWS = 1 << 16
 #: Gains that differ by no more than this share are equal.
 _EQUAL = 1e-9
 #: Gains below this share of a node's squares are rounding.
@@ -43,11 +50,11 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def _drawn(ids: np.ndarray, *salt: int) -> np.ndarray:
+def _drawn(ids: np.ndarray, *salt: int | np.ndarray) -> np.ndarray:
     """Numbers from 0 to 1 that depend on the ids and the salt only."""
     x = ids.astype(np.uint64)
     for part in salt:
-        x = _mixed(x + np.uint64((part + 1) * 0x9E3779B97F4A7C15 & (1 << 64) - 1))
+        x = _mixed(x + (np.atleast_1d(part).astype(np.int64) + 1).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return (x >> np.uint64(11)).astype(np.float64) * 2.0**-53
 
 
@@ -72,6 +79,43 @@ def allowed_columns(nodes: np.ndarray, tree: int, seed: int, chosen: int, column
     return draws.argsort(axis=1, kind="stable").argsort(axis=1, kind="stable") < chosen
 
 
+def _slots(allowed: np.ndarray) -> np.ndarray:
+    """chosen x nodes: the columns each node may be split by, in order."""
+    return np.nonzero(allowed)[1].reshape(len(allowed), -1).T
+
+
+def _packed(x: np.ndarray) -> np.ndarray:
+    """columns x rows of bins, three columns in 16 bits."""
+    words = np.zeros((-(-len(x) // 3), x.shape[1]), dtype=np.uint16)
+    for c, column in enumerate(x):
+        words[c // 3] |= column.astype(np.uint16) << np.uint16(5 * (c % 3))
+    return words
+
+
+def _unpacked(words: np.ndarray, columns: int) -> np.ndarray:
+    x = np.empty((columns, words.shape[1]), dtype=np.uint8)
+    for c in range(columns):
+        x[c] = words[c // 3] >> np.uint16(5 * (c % 3)) & np.uint16(BINS - 1)
+    return x
+
+
+def _histograms(x: np.ndarray, at: np.ndarray, w: np.ndarray | None, wy: np.ndarray, slots: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
+    """slots x 2 x nodes x bins: counts and sums. ``at`` and the weights are those of ``rows`` (all if None); no ``w``: all weights are 1."""
+    m = slots.shape[1]
+    base, out = at * BINS, np.empty((len(slots), 2, m, BINS))
+    same = (slots == slots[:, :1]).all(axis=1)
+    if not same.all():
+        flat, places = x.ravel(), np.arange(x.shape[1]) if rows is None else rows
+    for k, columns in enumerate(slots):
+        if same[k]:
+            cell = base + (x[columns[0]] if rows is None else x[columns[0]].take(rows))
+        else:
+            cell = base + flat.take((columns * x.shape[1]).take(at) + places)
+        out[k, 0] = np.bincount(cell, w, m * BINS).reshape(m, BINS)
+        out[k, 1] = np.bincount(cell, wy, m * BINS).reshape(m, BINS)
+    return out
+
+
 def _best_bin(n: np.ndarray, s: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """From counts and sums (nodes x bins): best last bin of the left side, its gain over all rows, rows on the left."""
     n, s = n.cumsum(axis=1), s.cumsum(axis=1)
@@ -101,40 +145,85 @@ class _Best:
         self.feature, self.bin = np.full(m, -1), np.zeros(m, dtype=np.int64)
         self.gain, self.left, self.draw = np.full(m, -np.inf), np.zeros(m), np.ones(m)
 
-    def offer(self, column: int, n: np.ndarray, s: np.ndarray, least: int, allowed: np.ndarray) -> None:
+    def offer(self, columns: np.ndarray, n: np.ndarray, s: np.ndarray, least: int) -> None:
+        """``columns``: that of each node."""
         at, gain, left = _best_bin(n, s, least)
-        draw = _drawn(self.nodes, self.seed, self.tree, -2 - int(column))
+        draw = _drawn(self.nodes, self.seed, self.tree, -2 - columns)
         known = np.where(self.feature >= 0, self.gain, 0.0)
-        better = allowed & np.isfinite(gain) & ((gain > known * (1 + _EQUAL)) | ((gain >= known * (1 - _EQUAL)) & (draw < self.draw)))
-        self.feature[better] = column
+        better = np.isfinite(gain) & ((gain > known * (1 + _EQUAL)) | ((gain >= known * (1 - _EQUAL)) & (draw < self.draw)))
+        self.feature[better] = columns[better]
         self.bin[better], self.gain[better], self.left[better], self.draw[better] = at[better], gain[better], left[better], draw[better]
 
 
-def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray, tree: int, root: int, settings: dict) -> list[np.ndarray]:
-    """All nodes below and with ``root`` (1 is the whole tree's; the children of i are 2i and 2i + 1), in arrays as ``_NODE`` says."""
-    columns, depth = x.shape[1], root.bit_length() - 1
-    nodes, at, out = np.array([root], dtype=np.int64), np.zeros(len(y), dtype=np.int64), []
+def _whole_numbers(y: np.ndarray, w: np.ndarray | None) -> tuple[np.ndarray, float]:
+    """``y`` from its middle in units too small to matter to nodes of many rows, and the unit; 0 where there is none.
+
+    Whole numbers are summed and subtracted without any rounding.
+    """
+    middle = (y.min() + y.max()) / 2
+    widest, rows = np.abs(y - middle).max(), len(y) if w is None else w.sum()
+    if not 0 < widest < np.inf:
+        return y, 0.0
+    unit = 2.0 ** (ceil(log2(widest)) + ceil(log2(rows)) - 52)
+    return (np.rint((y - middle) / unit), unit) if unit <= 1e-8 * y.std() else (y, 0.0)
+
+
+def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray | None, tree: int, root: int, settings: dict) -> list[np.ndarray]:
+    """All nodes below and with ``root`` (1 is the whole tree's; the children of i are 2i and 2i + 1), in arrays as ``_NODE`` says.
+
+    ``x`` is columns x rows; no ``w``: all weights are 1.
+    """
+    columns, depth, seed = len(x), root.bit_length() - 1, settings["seed"]
+    nodes, at, out, parents = np.array([root], dtype=np.int64), np.zeros(len(y), dtype=np.int64), [], None
+    z, unit = _whole_numbers(y, w) if settings["chosen"] == columns else (y, 0.0)
+    wy, wz = (y, z) if w is None else (w * y, w * z)
     while len(nodes):
-        m, wy = len(nodes), w * y
-        n, s, ss = (np.bincount(at, v, m) for v in (w, wy, wy * y))
-        best = _Best(nodes, tree, settings["seed"])
+        m = len(nodes)
+        n, s, ss = (np.bincount(at, v, m).astype(float) for v in (w, wy, wy * y))
+        best, many = _Best(nodes, tree, seed), False
         if depth < settings["depth"]:
-            allowed = allowed_columns(nodes, tree, settings["seed"], settings["chosen"], columns)
-            for c in np.flatnonzero(allowed.any(axis=0)):
-                cell = at * BINS + x[:, c]
-                best.offer(c, np.bincount(cell, w, m * BINS).reshape(m, BINS), np.bincount(cell, wy, m * BINS).reshape(m, BINS), settings["least"], allowed[:, c])
+            slots = _slots(allowed_columns(nodes, tree, seed, settings["chosen"], columns))
+            many = unit > 0 and len(y) >= DERIVE_ROWS * m
+            if many and parents is not None:
+                sums = _of_children(parents, x, at, w, wz)
+            else:
+                sums = _histograms(x, at, w, wz if many else wy, slots)
+            for k, mine in enumerate(slots):
+                best.offer(mine, *sums[k], settings["least"])
+            if many:
+                best.gain *= unit**2
         split = best.feature >= 0
         gain = np.where(split, best.gain / np.maximum(n, 1.0), -1.0)
         out.append([np.full(m, tree), nodes, best.feature, best.bin, gain, n, s, ss])
         left = np.full(m, -1)
         left[split] = 2 * np.arange(split.sum())
         stays = split[at]
-        x, y, w, at = x[stays], y[stays], w[stays], at[stays]
-        at = left[at] + (x[np.arange(len(y)), best.feature[at]] > best.bin[at])
+        if not stays.all():
+            rows = np.flatnonzero(stays)
+            x, y, wy, wz, at = x.take(rows, axis=1), y[rows], wy[rows], wz[rows], at[rows]
+            w = None if w is None else w[rows]
+        at = left[at] + (x.ravel().take(best.feature[at] * len(y) + np.arange(len(y))) > best.bin[at])
         nodes, depth = (2 * nodes[split][:, None] + np.array([0, 1])).ravel(), depth + 1
+        parents = sums[:, :, split] if many else None
     return [np.concatenate(parts) for parts in zip(*out, strict=True)]
 
 
+def _of_children(parents: np.ndarray, x: np.ndarray, at: np.ndarray, w: np.ndarray | None, wz: np.ndarray) -> np.ndarray:
+    """Histograms of all children: the smaller one of a node is counted, the other is the rest."""
+    pairs = parents.shape[2]
+    sizes = np.bincount(at, minlength=2 * pairs)
+    small = 2 * np.arange(pairs) + (sizes[0::2] > sizes[1::2])
+    number = np.full(2 * pairs, -1)
+    number[small] = np.arange(pairs)
+    mine = number[at]
+    rows = np.flatnonzero(mine >= 0)
+    slots = np.repeat(np.arange(len(x))[:, None], pairs, axis=1)
+    counted = _histograms(x, mine[rows], None if w is None else w[rows], wz[rows], slots, rows)
+    out = np.empty((*counted.shape[:2], 2 * pairs, BINS))
+    out[:, :, small], out[:, :, small ^ 1] = counted, parents - counted
+    return out
+
+
 @dataclass
 class _Top:
     """The nodes of one tree that were split from summed statistics."""
@@ -157,19 +246,23 @@ class _Top:
 
     def places(self, x: np.ndarray) -> np.ndarray:
         feature, cut, left = (np.array(v) for v in (self.feature, self.bin, self.left))
-        at = np.zeros(len(x), dtype=np.int64)
-        moving = np.arange(len(x)) if left[0] >= 0 else np.arange(0)
+        rows, flat = x.shape[1], x.ravel()
+        at = np.zeros(rows, dtype=np.int64)
+        moving = np.arange(rows) if left[0] >= 0 else np.arange(0)
+        here = at[moving]
         while len(moving):
-            here = at[moving]
-            at[moving] = left[here] + (x[moving, feature[here]] > cut[here])
-            moving = moving[left[at[moving]] >= 0]
+            here = left[here] + (flat.take(feature[here] * rows + moving) > cut[here])
+            at[moving] = here
+            inner = left[here] >= 0
+            moving, here = moving[inner], here[inner]
         return at
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], columns: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     for batch in batches:
-        for start, bins, y in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            yield start, np.frombuffer(bins, dtype=np.uint8).reshape(-1, columns), np.frombuffer(y)
+        for start, bins, y in zip(*(batch.column(i) for i in range(3)), strict=True):
+            target = np.frombuffer(y.as_py())
+            yield start.as_py(), np.frombuffer(bins.as_py(), dtype=np.uint16).reshape(-1, len(target)), target
 
 
 def _cuts(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
@@ -189,45 +282,84 @@ def _cuts(rows: DataFrame, features: Sequence[str]) -> list[np.ndarray]:
     return out
 
 
-def _binned(rows: DataFrame, features: Sequence[str], target: str, cuts: list[np.ndarray]) -> DataFrame:
-    """The rows in blocks: the number of the first, a byte a column and row, the targets."""
+def _packed_rows(rows: DataFrame, features: Sequence[str], target: str, cuts: list[np.ndarray]) -> DataFrame:
+    """The rows in blocks: the number of the first, packed bins by column, the targets."""
 
     def pack(batches):
         start = TaskContext.get().partitionId() << 40
-        for batch in batches:
-            x = [np.searchsorted(cut, batch.column(i).to_numpy(zero_copy_only=False), side="left").astype(np.uint8) for i, cut in enumerate(cuts)]
-            y = batch.column(len(cuts)).to_numpy(zero_copy_only=False)
-            if len(y):
-                yield pa.RecordBatch.from_pydict({"start": [start], "bins": [np.stack(x, axis=1).tobytes()], "y": [np.ascontiguousarray(y, dtype=float).tobytes()]})
+        words, ys = [], []
+
+        def block():
+            nonlocal start
+            y = np.concatenate(ys)
+            yield pa.RecordBatch.from_pydict({"start": [start], "bins": [np.concatenate(words, axis=1).tobytes()], "y": [y.tobytes()]})
             start += len(y)
+            words.clear()
+            ys.clear()
+
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            x = np.stack([np.searchsorted(cut, batch.column(i).to_numpy(zero_copy_only=False), side="left").astype(np.uint8) for i, cut in enumerate(cuts)])
+            words.append(_packed(x))
+            ys.append(np.asarray(batch.column(len(cuts)).to_numpy(zero_copy_only=False), dtype=float))
+            if sum(map(len, ys)) >= BLOCK_ROWS:
+                yield from block()
+        if ys:
+            yield from block()
 
     plain = [F.col(c).cast("double").alias(f"_{i}") for i, c in enumerate([*features, target])]
     return rows.select(*plain).mapInArrow(pack, _BLOCK)
 
 
+@dataclass
+class Binned:
+    """Rows as bins, staged: what several forests over the same rows share."""
+
+    cuts: list[np.ndarray]
+    blocks: DataFrame
+    rows: int
+
+
+def binned(rows: DataFrame, features: Sequence[str], target: str) -> Binned:
+    cuts = _cuts(rows, features)
+    blocks = stage(_packed_rows(rows, features, target, cuts))
+    size = blocks.agg(F.sum(F.octet_length("y") / 8)).first()[0]
+    if not size:
+        raise ValueError("no rows to grow a forest on")
+    return Binned(cuts, blocks, int(size))
+
+
 def _split_open(blocks: DataFrame, tops: list[_Top], columns: int, settings: dict) -> list:
     """Of each open node: column and last bin of its best split (column -1: none), gain, rows, sums, squares, rows on the left."""
     shared = blocks.sparkSession.sparkContext.broadcast(tops)
 
+    def open_slots(tree: int, top: _Top) -> tuple[np.ndarray, np.ndarray]:
+        nodes = np.array(top.node, dtype=np.int64)[top.open]
+        return nodes, _slots(allowed_columns(nodes, tree, settings["seed"], settings["chosen"], columns))
+
     def count(batches):
-        parts = list(_blocks(batches, columns))
+        parts = list(_blocks(batches))
         if not parts:
             return
-        x, y = np.concatenate([p[1] for p in parts]), np.concatenate([p[2] for p in parts])
+        x, y = np.concatenate([_unpacked(p[1], columns) for p in parts], axis=1), np.concatenate([p[2] for p in parts])
         ids = np.concatenate([p[0] + np.arange(len(p[2])) for p in parts])
+        del parts
         for tree, top in enumerate(shared.value):
             if not top.open:
                 continue
-            number = np.full(len(top.node), -1)
-            number[top.open] = np.arange(len(top.open))
+            number, m = np.full(len(top.node), -1), len(top.open)
+            number[top.open] = np.arange(m)
             at = number[top.places(x)]
-            w = repeats(ids, tree, settings["seed"], settings["bootstrap"])
-            seen = np.flatnonzero((at >= 0) & (w > 0))
-            at, w, mine, m = at[seen], w[seen].astype(float), y[seen], len(top.open)
-            sums = [np.concatenate([np.bincount(at, v, m) for v in (w, w * mine, w * mine * mine)])]
-            for c in range(columns):
-                cell = at * BINS + x[seen, c]
-                sums += [np.bincount(cell, w, m * BINS), np.bincount(cell, w * mine, m * BINS)]
+            seen, w = at >= 0, None
+            if settings["bootstrap"]:
+                w = repeats(ids, tree, settings["seed"], True)
+                seen &= w > 0
+            rows = np.flatnonzero(seen)
+            at, mine = at[rows], y[rows]
+            w = None if w is None else w[rows].astype(float)
+            wy = mine if w is None else w * mine
+            sums = [np.concatenate([np.bincount(at, v, m) for v in (w, wy, wy * mine)]), _histograms(x, at, w, wy, open_slots(tree, top)[1], rows).ravel()]
             yield pa.RecordBatch.from_pydict({"tree": pa.array([tree], pa.int32()), "start": [int(ids[0])], "sums": [np.concatenate(sums).tobytes()]})
 
     def choose(table: pa.Table) -> pa.Table:
@@ -235,15 +367,14 @@ def _split_open(blocks: DataFrame, tops: list[_Top], columns: int, settings: dic
         total = 0.0
         for _, part in sorted(zip(table.column("start").to_pylist(), table.column("sums").to_pylist(), strict=True)):
             total = total + np.frombuffer(part)
-        m = len(top.open)
+        nodes, slots = open_slots(tree, top)
+        m = len(nodes)
         n, s, ss = total[: 3 * m].reshape(3, m)
-        cells = total[3 * m :].reshape(columns, 2, m, BINS)
-        nodes = np.array(top.node, dtype=np.int64)[top.open]
-        allowed = allowed_columns(nodes, tree, settings["seed"], settings["chosen"], columns)
-        allowed &= np.array([int(i).bit_length() - 1 < settings["depth"] for i in nodes])[:, None]
+        cells = total[3 * m :].reshape(len(slots), 2, m, BINS)
+        cells[:, :, [int(i).bit_length() - 1 >= settings["depth"] for i in nodes]] = 0.0
         best = _Best(nodes, tree, settings["seed"])
-        for c in range(columns):
-            best.offer(c, *cells[c], settings["least"], allowed[:, c])
+        for k, mine in enumerate(slots):
+            best.offer(mine, *cells[k], settings["least"])
         gain = np.where(best.feature >= 0, best.gain / np.maximum(n, 1.0), -1.0)
         values = [np.full(m, tree, dtype=np.int32), np.array(top.open), best.feature.astype(np.int32), best.bin.astype(np.int32), gain, n, s, ss, best.left]
         return pa.table(dict(zip(["tree", "node", "feature", "bin", "gain", "n", "s", "ss", "left"], values, strict=True)))
@@ -256,35 +387,49 @@ def _finish_small(blocks: DataFrame, tops: list[_Top], columns: int, settings: d
     shared = blocks.sparkSession.sparkContext.broadcast(tops)
 
     def deal(batches):
-        for start, x, y in _blocks(batches, columns):
-            ids = start + np.arange(len(y))
+        for start, words, y in _blocks(batches):
+            ids, x = start + np.arange(len(y)), _unpacked(words, columns)
             for tree, top in enumerate(shared.value):
                 if not top.small:
                     continue
                 small = np.zeros(len(top.node), dtype=bool)
                 small[top.small] = True
-                at, w = top.places(x), repeats(ids, tree, settings["seed"], settings["bootstrap"])
-                seen = np.flatnonzero(small[at] & (w > 0))
-                seen = seen[at[seen].argsort(kind="stable")]
-                ends = np.append(np.flatnonzero(np.diff(at[seen])) + 1, len(seen)) if len(seen) else []
-                runs = [seen[a:b] for a, b in zip([0, *ends[:-1]], ends, strict=True)] if len(seen) else []
+                at, w = top.places(x), None
+                seen = small[at]
+                if settings["bootstrap"]:
+                    w = repeats(ids, tree, settings["seed"], True)
+                    seen &= w > 0
+                rows = np.flatnonzero(seen)
+                if not len(rows):
+                    continue
+                at = at[rows]
+                order = at.astype(np.uint16 if len(top.node) <= 1 << 16 else np.int64).argsort(kind="stable")
+                rows, at = rows[order], at[order]
+                edges = [0, *(np.flatnonzero(np.diff(at)) + 1), len(rows)]
+                runs = [(int(at[a]), rows[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 yield pa.RecordBatch.from_pydict(
                     {
                         "tree": pa.array([tree] * len(runs), pa.int32()),
-                        "node": pa.array([top.node[at[r[0]]] for r in runs], pa.int64()),
+                        "node": pa.array([top.node[i] for i, _ in runs], pa.int64()),
                         "start": pa.array([start] * len(runs), pa.int64()),
-                        "bins": pa.array([x[r].tobytes() for r in runs], pa.binary()),
-                        "y": pa.array([y[r].tobytes() for r in runs], pa.binary()),
-                        "w": pa.array([w[r].tobytes() for r in runs], pa.binary()),
+                        "bins": pa.array([np.take(words, r, axis=1).tobytes() for _, r in runs], pa.binary()),
+                        "y": pa.array([y[r].tobytes() for _, r in runs], pa.binary()),
+                        "w": pa.array([b"" if w is None else w[r].tobytes() for _, r in runs], pa.binary()),
                     }
                 )
 
     def finish(table: pa.Table) -> pa.Table:
-        rows = sorted(zip(*(table.column(c).to_pylist() for c in ("start", "bins", "y", "w")), strict=True), key=lambda r: r[0])
-        x = np.frombuffer(b"".join(r[1] for r in rows), dtype=np.uint8).reshape(-1, columns)
-        y = np.frombuffer(b"".join(r[2] for r in rows))
-        w = np.frombuffer(b"".join(r[3] for r in rows), dtype=np.uint8).astype(float)
-        made = grow(x, y, w, table.column("tree")[0].as_py(), table.column("node")[0].as_py(), settings)
+        order = np.argsort(table.column("start").to_numpy(), kind="stable")
+        ys, words, ws = [], [], []
+        for i in map(int, order):
+            ys.append(np.frombuffer(table.column("y")[i].as_py()))
+            words.append(np.frombuffer(table.column("bins")[i].as_py(), dtype=np.uint16).reshape(-1, len(ys[-1])))
+            ws.append(np.frombuffer(table.column("w")[i].as_py(), dtype=np.uint8))
+        tree, root = table.column("tree")[0].as_py(), table.column("node")[0].as_py()
+        x, y = _unpacked(np.concatenate(words, axis=1), columns), np.concatenate(ys)
+        w = np.concatenate(ws).astype(float) if settings["bootstrap"] else None
+        del table, ys, words, ws
+        made = grow(x, y, w, tree, root, settings)
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
         return pa.table([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names=_NAMES)
 
@@ -333,23 +478,21 @@ def fit_forest(
     bootstrap: bool = True,
     seed: int = 42,
     group_rows: int = GROUP_ROWS,
+    prepared: Binned | None = None,
     **columns: str,
 ) -> RandomForestRegressionModel:
     """A forest over all rows; ``columns`` are names of columns for the model (``featuresCol`` and the like).
 
     Settings mean what they mean in Spark ML. Bins are cut from all rows. The rows of a tree are drawn by a hash of each row's place
-    in the staged table, so a repeated task draws the same.
+    in the staged table, so a repeated task draws the same. ``prepared`` are the same rows, binned before and discarded by the caller.
     """
     spark, names = rows.sparkSession, list(features)
-    cuts = _cuts(rows, names)
-    blocks = stage(_binned(rows, names, target, cuts))
+    bins = prepared or binned(rows, names, target)
+    blocks = bins.blocks
     settings = {"depth": depth, "least": min_leaf, "seed": seed, "bootstrap": bootstrap, "chosen": columns_per_split(subset, len(names))}
-    size = blocks.agg(F.sum(F.octet_length("y") / 8)).first()[0]
-    if not size:
-        raise ValueError("no rows to grow a forest on")
     tops = [_Top() for _ in range(trees)]
     for top in tops:
-        (top.open if size > group_rows else top.small).append(0)
+        (top.open if bins.rows > group_rows else top.small).append(0)
     done: list[tuple] = []
     while any(top.open for top in tops):
         found = _split_open(blocks, tops, len(names), settings)
@@ -368,8 +511,9 @@ def fit_forest(
     vectors = VectorAssembler(inputCols=names, outputCol=columns.get("featuresCol", "features"))
     path = f"{shared_dir(spark)}/forest-{uuid.uuid4().hex}"
     shell.fit(vectors.transform(rows.limit(1))).write().save(path)
-    _numbered(nodes, cuts).write.mode("overwrite").parquet(f"{path}/data")
+    _numbered(nodes, bins.cuts).write.mode("overwrite").parquet(f"{path}/data")
     model = RandomForestRegressionModel.load(path)
     delete_path(spark, path)
-    discard(blocks)
+    if prepared is None:
+        discard(blocks)
     return model

@@ -10,7 +10,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from aerolith.operators import stats
-from aerolith.operators.forest import fit_forest
+from aerolith.operators.forest import binned, fit_forest
 from aerolith.session import discard, stage
 
 # Weights of the four normalised scores.
@@ -26,11 +26,12 @@ def tree_importance(
     comes to fully random trees.
     """
     rows = stage(df.select(*columns, target).dropna("any"))
+    prepared = binned(rows, columns, target)
     kinds = [{"subset": "all"}, {"subset": "onethird", "bootstrap": False}]
     # Side by side: while one forest waits for its last tasks the other uses the cluster.
     with ThreadPoolExecutor(len(kinds)) as pool:
-        bagged, random = pool.map(lambda kind: fit_forest(rows, columns, target, trees=trees, depth=depth, seed=seed, **kind).featureImportances.toArray(), kinds)
-    discard(rows)
+        bagged, random = pool.map(lambda kind: fit_forest(rows, columns, target, trees=trees, depth=depth, seed=seed, prepared=prepared, **kind).featureImportances.toArray(), kinds)
+    discard(rows, prepared.blocks)
     table = [(c, float(a), float(b), float(a + b) / 2) for c, a, b in zip(columns, bagged, random, strict=True)]
     return df.sparkSession.createDataFrame(
         table, "feature string, rf_importance double, et_importance double, avg_tree_importance double"
@@ -71,10 +72,11 @@ def score_features(
     df: DataFrame, columns: Sequence[str], target: str, *, trees: int = 100, depth: int = 12, seed: int = 42
 ) -> DataFrame:
     """All scores of all features of one (staged) feature table."""
+    cells = stage(stats.target_cells(df, columns, target))
     return consolidate_scores(
         stats.pearson_with_target(df, columns, target),
-        stats.spearman_with_target(df, columns, target),
-        stats.mutual_information(df, columns, target),
+        stats.spearman_with_target(df, columns, target, cells),
+        stats.mutual_information(df, columns, target, cells=cells),
         tree_importance(df, columns, target, trees=trees, depth=depth, seed=seed),
         stats.variance_inflation(df, columns),
     )
