@@ -28,9 +28,11 @@ from aerolith.session import delete_path, discard, shared_dir, stage
 #: Values of a column that splits tell apart.
 BINS = 32
 #: Most rows (repeats of the bootstrap included) of a node that is finished in one place.
-GROUP_ROWS = 1 << 19
+GROUP_ROWS = 1 << 20
 #: Rows a node must have on average for its histograms to be taken from its parent's.
 DERIVE_ROWS = 1 << 12
+#: Rows of neighbouring nodes that are split further together.
+PIECE_ROWS = 1 << 15
 #: Rows of a block.
 BLOCK_ROWS = 1 << 16
 #: Gains that differ by no more than this share are equal.
@@ -100,19 +102,28 @@ def _unpacked(words: np.ndarray, columns: int) -> np.ndarray:
 
 
 def _histograms(x: np.ndarray, at: np.ndarray, w: np.ndarray | None, wy: np.ndarray, slots: np.ndarray, rows: np.ndarray | None = None) -> np.ndarray:
-    """slots x 2 x nodes x bins: counts and sums. ``at`` and the weights are those of ``rows`` (all if None); no ``w``: all weights are 1."""
+    """slots x 2 x nodes x bins: counts and sums. ``at`` and the weights are those of ``rows`` (all if None); no ``w``: all weights are 1.
+
+    A few rows at a time, whose numbers stay in the processor's cache.
+    """
     m = slots.shape[1]
-    base, out = at * BINS, np.empty((len(slots), 2, m, BINS))
-    same = (slots == slots[:, :1]).all(axis=1)
-    if not same.all():
-        flat, places = x.ravel(), np.arange(x.shape[1]) if rows is None else rows
-    for k, columns in enumerate(slots):
-        if same[k]:
-            cell = base + (x[columns[0]] if rows is None else x[columns[0]].take(rows))
-        else:
-            cell = base + flat.take((columns * x.shape[1]).take(at) + places)
-        out[k, 0] = np.bincount(cell, w, m * BINS).reshape(m, BINS)
-        out[k, 1] = np.bincount(cell, wy, m * BINS).reshape(m, BINS)
+    out, flat = np.zeros((len(slots), 2, m, BINS)), x.ravel()
+    same, first = (slots == slots[:, :1]).all(axis=1), slots * x.shape[1]
+    step = max(PIECE_ROWS, 4 * m * BINS)
+    for a in range(0, len(at), step):
+        part = slice(a, a + step)
+        here, sums = at[part], wy[part]
+        weights = None if w is None else w[part]
+        places = np.arange(a, a + len(here)) if rows is None else rows[part]
+        base = here * BINS
+        for k in range(len(slots)):
+            if not same[k]:
+                cell = flat.take(first[k].take(here) + places)
+            else:
+                cell = x[slots[k, 0], part] if rows is None else x[slots[k, 0]].take(places)
+            cell = base + cell
+            out[k, 0] += np.bincount(cell, weights, m * BINS).reshape(m, BINS)
+            out[k, 1] += np.bincount(cell, sums, m * BINS).reshape(m, BINS)
     return out
 
 
@@ -173,11 +184,13 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray | None, tree: int, root: in
 
     ``x`` is columns x rows; no ``w``: all weights are 1.
     """
-    columns, depth, seed = len(x), root.bit_length() - 1, settings["seed"]
-    nodes, at, out, parents = np.array([root], dtype=np.int64), np.zeros(len(y), dtype=np.int64), [], None
+    columns, seed, out = len(x), settings["seed"], []
     z, unit = _whole_numbers(y, w) if settings["chosen"] == columns else (y, 0.0)
     wy, wz = (y, z) if w is None else (w * y, w * z)
-    while len(nodes):
+    pieces = [(np.array([root], dtype=np.int64), root.bit_length() - 1, np.zeros(len(y), dtype=np.int64), x, y, w, wy, wz, None)]
+    del x, y, w, z, wy, wz
+    while pieces:
+        nodes, depth, at, x, y, w, wy, wz, parents = pieces.pop()
         m = len(nodes)
         n, s, ss = (np.bincount(at, v, m).astype(float) for v in (w, wy, wy * y))
         best, many = _Best(nodes, tree, seed), False
@@ -195,19 +208,39 @@ def grow(x: np.ndarray, y: np.ndarray, w: np.ndarray | None, tree: int, root: in
         split = best.feature >= 0
         gain = np.where(split, best.gain / np.maximum(n, 1.0), -1.0)
         out.append([np.full(m, tree), nodes, best.feature, best.bin, gain, n, s, ss])
+        if not split.any():
+            continue
         left = np.full(m, -1)
         left[split] = 2 * np.arange(split.sum())
-        stays = split[at]
-        if not stays.all():
-            rows = np.flatnonzero(stays)
-            x, y, wy, wz, at = x.take(rows, axis=1), y[rows], wy[rows], wz[rows], at[rows]
-            w = None if w is None else w[rows]
-        at = left[at] + (x.ravel().take(best.feature[at] * len(y) + np.arange(len(y))) > best.bin[at])
-        nodes, depth = (2 * nodes[split][:, None] + np.array([0, 1])).ravel(), depth + 1
-        parents = sums[:, :, split] if many else None
+        rows = np.flatnonzero(split[at])
+        at = at[rows]
+        at = left[at] + (x.ravel().take(best.feature[at] * len(y) + rows) > best.bin[at])
+        nodes, parents = (2 * nodes[split][:, None] + np.array([0, 1])).ravel(), sums[:, :, split] if many else None
+        cuts = _pieces(np.bincount(at, minlength=len(nodes)))
+        if len(cuts) > 2:
+            order = at.astype(np.uint16).argsort(kind="stable")
+            rows, at = rows[order], at[order]
+        ends = np.searchsorted(at, cuts) if len(cuts) > 2 else [0, len(at)]
+        for i, j, a, b in zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:], strict=True):
+            kept = rows[a:b]
+            mine = (x, y, w, wy, wz) if len(kept) == len(y) and len(cuts) == 2 else (x.take(kept, axis=1), y[kept], None if w is None else w[kept], wy[kept], wz[kept])
+            pieces.append((nodes[i:j], depth + 1, at[a:b] - i, *mine, None if parents is None else parents[:, :, i // 2 : j // 2]))
     return [np.concatenate(parts) for parts in zip(*out, strict=True)]
 
 
+def _pieces(sizes: np.ndarray) -> list[int]:
+    """Where to cut the nodes (children in pairs) into runs of about ``PIECE_ROWS`` rows: first nodes and the end."""
+    if sizes.sum() <= 2 * PIECE_ROWS or len(sizes) > 1 << 16:
+        return [0, len(sizes)]
+    cuts, rows = [0], 0
+    for i, pair in enumerate(sizes[0::2] + sizes[1::2]):
+        if rows and rows + pair > PIECE_ROWS:
+            cuts.append(2 * i)
+            rows = 0
+        rows += pair
+    return [*cuts, len(sizes)]
+
+
 def _of_children(parents: np.ndarray, x: np.ndarray, at: np.ndarray, w: np.ndarray | None, wz: np.ndarray) -> np.ndarray:
     """Histograms of all children: the smaller one of a node is counted, the other is the rest."""
     pairs = parents.shape[2]
@@ -433,7 +466,11 @@ def _finish_small(blocks: DataFrame, tops: list[_Top], columns: int, settings: d
         kinds = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), *[pa.float64()] * 4]
         return pa.table([pa.array(v, k) for v, k in zip(made, kinds, strict=True)], names=_NAMES)
 
-    return blocks.mapInArrow(deal, "tree int, node long, " + _BLOCK + ", w binary").groupBy("tree", "node").applyInArrow(finish, _NODE)
+    # A number of its own: the rows of many small trees are few bytes, but much work.
+    spark = blocks.sparkSession
+    parts = min(sum(len(top.small) for top in tops), max(int(spark.conf.get("spark.sql.shuffle.partitions")), 4 * spark.sparkContext.defaultParallelism))
+    dealt = blocks.mapInArrow(deal, "tree int, node long, " + _BLOCK + ", w binary").repartition(max(1, parts), "tree", "node")
+    return dealt.groupBy("tree", "node").applyInArrow(finish, _NODE)
 
 
 def _numbered(nodes: DataFrame, cuts: list[np.ndarray]) -> DataFrame:

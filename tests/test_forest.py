@@ -65,3 +65,34 @@ def test_equal_gains_do_not_go_to_the_first_column(spark):
     vectors = VectorAssembler(inputCols=list("abcdef"), outputCol="v").transform(made)
     other = RandomForestRegressor(featuresCol="v", labelCol="y", numTrees=30, maxDepth=12, featureSubsetStrategy="all").fit(vectors).featureImportances.toArray()
     assert np.abs(parts - other).max() < 0.04
+
+
+@pytest.mark.parametrize(("chosen", "bootstrap"), [(6, True), (6, False), (2, False)])
+def test_nodes_grown_in_pieces_are_those_grown_at_once(monkeypatch, chosen, bootstrap):
+    rng = np.random.default_rng(4)
+    x = rng.integers(0, forest.BINS, (6, 5000)).astype(np.uint8)
+    y = np.round(x[0] * 2.0 + x[3] * (x[5] > 9) + rng.normal(0, 9, 5000) + 50, 2)
+    w = rng.integers(1, 4, 5000).astype(float) if bootstrap else None
+    settings = {"depth": 8, "least": 2, "seed": 3, "chosen": chosen}
+    counted = []
+    histograms = forest._histograms
+    monkeypatch.setattr(forest, "_histograms", lambda x, at, w, wy, slots, rows=None: counted.append(len(slots) * len(at)) or histograms(x, at, w, wy, slots, rows))
+
+    def grown(derive, piece):
+        monkeypatch.setattr(forest, "DERIVE_ROWS", derive)
+        monkeypatch.setattr(forest, "PIECE_ROWS", piece)
+        counted.clear()
+        made = forest.grow(x, y, w, 1, 1, settings)
+        return [v[made[1].argsort()] for v in made], sum(counted)
+
+    (whole, cells), (pieces, fewer) = grown(10**9, 10**9), grown(60, 300)
+    # Only columns a node may be split by are counted; of two children with all columns, the smaller one.
+    assert cells <= 8 * chosen * 5000 and (fewer < 0.75 * cells if chosen == 6 else fewer == cells)
+    assert all(np.array_equal(a, b) for a, b in zip(whole[:4], pieces[:4], strict=True))
+    assert all(np.allclose(a, b, rtol=1e-6) for a, b in zip(whole[4:], pieces[4:], strict=True))
+
+
+def test_packed_bins_come_back():
+    x = np.random.default_rng(1).integers(0, forest.BINS, (7, 50)).astype(np.uint8)
+    words = forest._packed(x)
+    assert words.shape == (3, 50) and np.array_equal(forest._unpacked(words, 7), x)

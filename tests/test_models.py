@@ -1,6 +1,7 @@
 """Ranks, statistics, splits, models, forecast and attribution against plain computations."""
 
 import math
+from collections import Counter
 from datetime import timedelta
 from itertools import combinations
 from math import factorial
@@ -11,7 +12,7 @@ from pyspark.sql import functions as F
 
 from aerolith import SeriesSpec
 from aerolith.functions.risk import floored_prediction
-from aerolith.operators import explain, forecast, ranks, select, split, stats
+from aerolith.operators import explain, forecast, forest, ranks, select, split, stats
 from aerolith.operators.features import engineer_features, live_features
 from aerolith.plans import jobs
 from aerolith.plans import models as M
@@ -90,6 +91,45 @@ def test_statistics(numbers):
     assert math.isclose(got, want, rel_tol=1e-9)
 
 
+@pytest.mark.parametrize("bin_values", [40, 300, 10**6])
+def test_cells_of_many_ranges_give_both_scores(numbers, bin_values):
+    df, table = numbers
+    cells = ranks.rank_cells(df, ["a", "b", "y"], "y", 8, bin_values).localCheckpoint()
+    rho = {r.feature: r.spearman_rho for r in stats.spearman_with_target(df, ["a", "b", "y"], "y", cells).collect()}
+    got = {r.feature: {} for r in cells.select("feature").distinct().collect()}
+    for r in cells.collect():
+        got[r.feature][(r.x_bin, r.y_bin)] = got[r.feature].get((r.x_bin, r.y_bin), 0) + r.n
+    place = lambda x: [int((x < v).sum() * 8 // 900) for v in x]
+    for name, x in zip("aby", table.T, strict=True):
+        assert math.isclose(rho[name], np.corrcoef(plain_rank(x), plain_rank(table[:, 2]))[0, 1], rel_tol=1e-9)
+        assert got[name] == Counter(zip(place(x), place(table[:, 2]), strict=True))
+
+
+def test_ranges_of_a_mostly_zero_column(spark):
+    df = spark.range(4000).selectExpr("CASE WHEN id % 50 = 0 THEN cast(id as double) ELSE 0.0 END AS a", "cast(id as double) AS y")
+    x = np.array([float(i) if i % 50 == 0 else 0.0 for i in range(4000)])
+    cells = ranks.rank_cells(df, ["a"], "y", 8, 100)
+    rho = stats.spearman_with_target(df, ["a"], "y", cells).first().spearman_rho
+    assert math.isclose(rho, np.corrcoef(plain_rank(x), np.arange(4000))[0, 1], rel_tol=1e-9)
+    assert cells.agg({"n": "sum"}).first()[0] == 4000
+
+
+def test_the_selection_ranks_and_bins_its_rows_once(numbers, monkeypatch):
+    """Before, each score ranked all columns for itself and each forest cut its own bins."""
+    df, _ = numbers
+    calls = Counter()
+
+    def counted(module, name):
+        plain = getattr(module, name)
+        monkeypatch.setattr(module, name, lambda *args, **kw: calls.update([name]) or plain(*args, **kw))
+
+    counted(ranks, "value_ranks")
+    counted(forest, "_cuts")
+    scores = select.score_features(df, ["a", "b"], "y", trees=2, depth=2)
+    assert {r.feature for r in scores.collect()} == {"a", "b"}
+    assert calls == {"value_ranks": 1, "_cuts": 1}
+
+
 def test_constant_column_has_no_correlation(spark):
     df = spark.range(50).select(F.lit(3.0).alias("c"), F.col("id").cast("double").alias("y"))
     assert stats.pearson_with_target(df, ["c"], "y").first().pearson_r is None
